@@ -52,6 +52,7 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns ``names``, found by exact name; other columns, also those whose names differ
     only in case or clash with ours, play no part."""
+    ship(df.sparkSession)
     have = df.columns
     at = []
     for n in names:

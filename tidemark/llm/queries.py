@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import ego, packing, simhash, tokens
 
 QUERIES = {
+    "op2_epsilon_grid_join": ego.op2_epsilon_grid,
+    "op3_simhash_bk_trees": simhash.op3_simhash,
     "op4_best_fit_packing": packing.op4_best_fit,
     "op6_token_counts": tokens.op6_token_counts,
 }
