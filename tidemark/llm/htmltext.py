@@ -254,6 +254,13 @@ def main_text(html: str) -> str:
         if s > score:
             best, score = i, s
     marked = [i for i in range(1, n) if page.body[i] and size[i] and not (page.body[parent[i]] and size[parent[i]])]
+    # a container that spreads its paragraphs over wrappers of its own scores nearly as much as the best of them
+    while best > 0 and parent[best] > 0 and page.tag[parent[best]] not in ("html", "body"):
+        up = parent[best]
+        s = points[up] * (1 - linked[up] / size[up])
+        if s < 0.9 * score:
+            break
+        best, score = up, s
     if best < 0:
         best = max(marked, key=lambda i: size[i]) if marked else 0
     if inside_body[best]:
@@ -269,7 +276,7 @@ def main_text(html: str) -> str:
             if parent[i] == parent[best] and i != best and size[i]:
                 density = linked[i] / size[i]
                 heading = page.tag[i] in ("h1", "h2")
-                if (points[i] * (1 - density) >= max(10, 0.2 * score) and density < 0.5) or (page.tag[i] == "p" and size[i] > 80 and density < 0.25) or (heading and density < 0.5):
+                if (points[i] * (1 - density) >= 0.2 * score > 0 and density < 0.5) or (page.tag[i] == "p" and size[i] > 80 and density < 0.25) or (heading and density < 0.5):
                     chosen.add(i)
     keep = [False] * n
     for i in range(n):
