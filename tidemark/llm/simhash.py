@@ -214,7 +214,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, tree_points: int = TREE_POIN
     prints = full.select(F.col(at_id).alias("doc_id"), "fp")
     ids = labelled(prints, radius, tree_points)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")
-    rep = prints.join(ids, "fp").groupBy("fp", "component_id").agg(first).groupBy("component_id").agg(F.min("r").alias("r"))
+    # the least row of each fingerprint is found before the join, so that a hot fingerprint is summed where it is read
+    rep = prints.groupBy("fp").agg(first).join(ids, "fp").groupBy("component_id").agg(F.min("r").alias("r"))
     rep = rep.select(F.col("r.doc_id").alias("rep_id"), F.col("r.fp").alias("rep_fp"))
     near = full.join(rep, (full["fp"] == rep["rep_fp"]) & full[at_id].eqNullSafe(rep["rep_id"]), "left_semi")
     return near.dropDuplicates(["fp", at_id]).drop("fp").toDF(*names)
