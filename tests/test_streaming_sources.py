@@ -10,12 +10,12 @@ from tidemark.streaming import machines, streams
 
 
 def test_governor_steps():
-    temps = [(60, False), (72, False), (81, False), (76, False), (66, False), (64, False), (None, False), (50, True), (None, False), (66, False)]
+    temps = [(60, False), (72, False), (85, False), (82, False), (76, False), (68, False), (64, False), (None, False), (50, True), (None, False), (66, False)]
     state, seen = None, []
     for t, u in temps:
         state = machines.governor(state, t, u)
         seen.append(state)
-    assert seen == ["nominal", "warm", "hot", "hot", "warm", "nominal", "nominal", "throttled", "hot", "warm"]
+    assert seen == ["nominal", "warm", "hot", "hot", "warm", "warm", "nominal", "nominal", "throttled", "hot", "nominal"]
 
 
 def test_breaker_steps():
@@ -83,7 +83,7 @@ def bodies(spark, *rows, **extra):
 def test_sources(spark, tmp_path):
     got = landed.stories(bodies(spark, {"hits": [{"title": "T", "url": "https://a.io", "author": "x", "created_at_i": 0, "story_text": "<p>hi &amp; ho</p>"}]}, "junk")).collect()
     assert [(r["title"], r["snippet"]) for r in got] == [("T", "hi & ho")]
-    comments = [{"comment_text": "Acme | Dhaka <a href='https://acme.io'>x</a>", "author": "a", "created_at_i": 1}, {"comment_text": "none https://github.com/x", "author": "b", "created_at_i": 2}]
+    comments = [{"comment_text": "Acme | Dhaka <a href=\"https://acme.io\">x</a>", "author": "a", "created_at_i": 1}, {"comment_text": "none https://github.com/x", "author": "b", "created_at_i": 2}]
     assert [(r["title"], r["url"]) for r in landed.thread_comments(bodies(spark, {"hits": comments})).collect()] == [("Acme", "https://acme.io")]
     repos = {"items": [{"full_name": "o/r", "html_url": "h", "homepage": "acme.io", "owner": {"login": "o", "type": "Organization"}}, {"full_name": "u/r", "owner": {"login": "u", "type": "User"}}]}
     assert [r["title"] for r in landed.repositories(bodies(spark, repos)).collect()] == ["o/r"] and landed.repositories(bodies(spark, repos), False).count() == 2

@@ -546,7 +546,7 @@ def html_title(s, d):
 
 def _html_sql() -> str:
     t = r"regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style", "noscript", "template", "svg", "nav", "footer", "head"):
+    for tag in C.PROSE_DROPPED:
         t = rf"regexp_replace({t}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     t = rf"regexp_replace({t}, '(?i)<(p|div|section|li|tr|h1|h2|h3|h4|br)\b[^>]*>', chr(10), 'g')"
     t = rf"regexp_replace({t}, '<[^>]*>', ' ', 'g')"

@@ -55,12 +55,16 @@ def has_government_suffix(domain: Column) -> Column:
 
 def extraction_target(url: Column, homepage: Column) -> Column:
     """The hit's own URL if it names a company, else its homepage, with a scheme, else null."""
-    home = F.when(homepage.rlike(r"^(?i)https?://"), homepage).otherwise(F.concat(F.lit("https://"), homepage))
+    home = F.when(F.contains(homepage, F.lit("//")), homepage).otherwise(F.concat(F.lit("https://"), homepage))
     return F.when(canonical_domain(url).isNotNull(), url).when(canonical_domain(homepage).isNotNull(), home)
 
 
 def first_company_url(markup: Column) -> Column:
     """The first link that names a company, links in markup before bare ones."""
-    hrefs = F.regexp_extract_all(markup, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1))
-    bare = F.regexp_extract_all(markup, F.lit(r"""(https?://[^\s<>"']+)"""), F.lit(1))
-    return F.try_element_at(F.filter(F.concat(hrefs, bare), lambda u: canonical_domain(u).isNotNull()), F.lit(1))
+    from .text import unescape_basic
+
+    plain = unescape_basic(markup)
+    hrefs = F.regexp_extract_all(plain, F.lit(r"""(?i)href="(https?://[^"\s]+)\""""), F.lit(1))
+    bare = F.regexp_extract_all(plain, F.lit(r"""(?i)(https?://[^\s<>"')]+)"""), F.lit(1))
+    cleaned = F.transform(F.concat(hrefs, bare), lambda u: F.regexp_replace(u, r"[.,);]+$", ""))
+    return F.try_element_at(F.filter(cleaned, lambda u: canonical_domain(u).isNotNull()), F.lit(1))

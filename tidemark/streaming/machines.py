@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_AT, WARM_AT, HYSTERESIS = 80.0, 70.0, 5.0
+from ..config import BREAKER_FAILURES, BREAKER_SECONDS, HOT_AT, HYSTERESIS, WARM_AT
+
 
 
 def governor(state: str | None, temp: float | None, undervoltage: bool) -> str:
@@ -33,7 +34,7 @@ def governor(state: str | None, temp: float | None, undervoltage: bool) -> str:
     return "nominal"
 
 
-def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold: int = 5, cooldown: float = 900.0) -> tuple[tuple[str, int, float], bool]:
+def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold: int = BREAKER_FAILURES, cooldown: float = BREAKER_SECONDS) -> tuple[tuple[str, int, float], bool]:
     """A call at ``at`` with outcome ``ok``, if let through: ((state, failures, opened at), was it let through).
 
     Closed lets calls through; ``threshold`` failures in a row open it; past the cooldown one call probes, and its
@@ -94,7 +95,7 @@ def governor_states(samples: DataFrame) -> DataFrame:
     return fold(samples, "unit", ["at", "seq"], step, "unit string, seq long, state string", ["unit", "at", "seq", "value", "undervoltage"])
 
 
-def circuit_states(calls: DataFrame, threshold: int = 5, cooldown: float = 900.0) -> DataFrame:
+def circuit_states(calls: DataFrame, threshold: int = BREAKER_FAILURES, cooldown: float = BREAKER_SECONDS) -> DataFrame:
     """source, seq, state, admitted for calls (source, at, seq, ok)."""
 
     def step(state, r):
