@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config as C
 from .functions import dates, dns, email, ids, score, text, url
-from .operators import cache, cards, critic, diagnose, feedback, maintenance, merge, operations, planning, resolve, scoring, worklist
+from .operators import cache, cards, critic, details, diagnose, feedback, maintenance, merge, operations, planning, resolve, scoring, worklist
 from .plans import bindings as B
 from .plans.oracle import EVENTS_NOW, NOW, case, sql
 from .streaming import machines
@@ -786,3 +786,47 @@ def vector_neighbors(s, d):
     """Rung by vectors: rows that may be one entity, held for review. Queries are the rows whose id is divisible by 20."""
     e = B.read(s, d, "embeddings").select("vec_id", "embedding")
     return resolve.vector_neighbors(e.where(F.col("vec_id") % 20 == 0), e, 0.4).withColumn("cosine", r4("cosine"))
+
+
+@query("""SELECT k, split_part(min_by(full_name, ROW(CASE status WHEN 'verified' THEN 0 WHEN 'role_account' THEN 1 WHEN 'catch_all' THEN 2 WHEN 'risky' THEN 3 ELSE 4 END, contact_id)), ' ', 1) AS first_name FROM contacts WHERE full_name IS NOT NULL GROUP BY k""")
+def recipient_name(s, d):
+    return details.recipient(B.contacts(s, d))
+
+
+@query("""SELECT k, string_agg('  - "' || url || '"', chr(10) ORDER BY first, url) AS quotes FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY first, url) AS r FROM
+  (SELECT t.k, e.url, min(e.evidence_id * 1000000 + CAST(regexp_extract(e.url, '([0-9]+)$', 1) AS BIGINT)) AS first FROM live t JOIN evidence e ON e.trigger_id = t.trigger_id WHERE NOT e.ours GROUP BY t.k, e.url)) WHERE r <= 2 GROUP BY k""")
+def quote_block(s, d):
+    e = scoring.live_triggers(B.triggers(s, d), B.as_of()).select("k", "trigger_id").join(B.evidence(s, d), "trigger_id")
+    seq = F.col("evidence_id") * 1_000_000 + F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    return details.quotes(e.select("k", seq.alias("seq"), F.col("url").alias("snippet"), F.when(F.col("ours"), "").otherwise("sha").alias("content_hash")))
+
+
+@query("""SELECT round((72 - (avg(icp_fit) * 0.25 + avg(surface) * 0.10 + avg(freshness) * 0.05) - 15.0) / 0.45, 4) AS needed FROM leads""")
+def trigger_for_tier_a(s, d):
+    return details.trigger_for_tier_a(diagnose.component_stats(leads(s, d))).select(r4("needed").alias("needed"))
+
+
+@query("SELECT provider, round(units, 2) AS used, round(greatest(0, 120000 - units), 2) AS remaining, units >= 120000 AS exhausted FROM (SELECT event_type AS provider, CAST(sum(CAST(value AS DECIMAL(12, 2))) AS DOUBLE) AS units FROM events GROUP BY 1)")
+def budget_status(s, d):
+    x = B.read(s, d, "events").groupBy(F.col("event_type").alias("provider")).agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("double").alias("u"))
+    b = details.budget_status(F.col("u"), F.lit(120000.0))
+    return x.select("provider", b.alias("b")).select("provider", r4("b.used", 2).alias("used"), r4("b.remaining", 2).alias("remaining"), "b.exhausted")
+
+
+@query("""SELECT domain, rank FROM (SELECT page_id % 20 AS domain, page_id AS rank, sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS stop FROM
+  (SELECT page_id, row_number() OVER (PARTITION BY page_id % 20, sha256(left(html, 60)) ORDER BY page_id) > 1 AS again FROM pages)) WHERE stop = 0""")
+def site_pages(s, d):
+    p = B.read(s, d, "pages").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"), F.left("html", F.lit(60)).alias("html"))
+    return details.site_pages(p).select("domain", "rank")
+
+
+@query("""SELECT event_id, status, CASE WHEN status BETWEEN 200 AND 299 THEN true WHEN status BETWEEN 400 AND 499 AND status NOT IN (401, 403, 429) THEN false END AS verdict FROM (SELECT event_id, CAST(200 + event_id % 331 AS INT) AS status FROM events)""")
+def evidence_probe(s, d):
+    x = B.read(s, d, "events").select("event_id", (200 + F.col("event_id") % 331).cast("int").alias("status"))
+    return x.withColumn("verdict", maintenance.probe_verdict(F.col("status")))
+
+
+@query("SELECT job_id, CASE WHEN status = 'in_flight' AND priority < 3 THEN 'done' ELSE 'lease_lost' END AS outcome FROM jobs")
+def job_completion(s, d):
+    j = B.jobs(s, d).withColumn("lease_owner", F.when(F.col("priority") < 3, "w1").otherwise("w2"))
+    return details.complete(j, j.select("job_id", F.lit("w1").alias("lease_owner")))
