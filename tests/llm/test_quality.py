@@ -70,3 +70,14 @@ def test_blocked_product_is_exact():
         near = np.argsort(-sims, kind="stable")[: quality.K]
         w = np.maximum(sims[near], 0).astype(float) ** 4
         assert abs(s - (w * m.labels[near]).sum() / w.sum()) < 0.1
+
+
+def test_parts_of_long_texts(monkeypatch):
+    import numpy as np
+
+    texts = ["One two two THREE!! four 5 $$$ " * 30, "", "x"]
+    want = quality.term_counts(texts)
+    for n in (1, 8, 33):
+        monkeypatch.setattr(quality, "PART_CHARS", n)
+        got = quality.term_counts(texts)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])

@@ -42,8 +42,9 @@ def test_parts_of_long_texts(monkeypatch):
     b = templates.Benchmark([(1, ITEM)])
     text = FILLER + ITEM + " " + FILLER
     want = b.find(text)
-    monkeypatch.setattr(templates, "PART_WORDS", 7)
-    assert b.find(text) == want and want[0][3] == len(FILLER.split())
+    for n in (3, 7, 40, 100):
+        monkeypatch.setattr(templates, "PART_CHARS", n)
+        assert b.find(text) == want and want[0][3] == len(FILLER.split())
 
 
 def test_benchmark_in_parts(docs, benchmark, monkeypatch):

@@ -33,6 +33,17 @@ def test_small_memory_of_parts(monkeypatch):
     assert own.count(texts) == [len(x) for x in sp.encode(texts)]
 
 
+def test_parts_of_long_texts(monkeypatch):
+    t, e = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokens.byte_encoder()
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = ["word  two\n x é ü\t9,9 " * 40, "plain words in a row " * 30, "日本 " * 50 + "<|endoftext|> a b c d", " lead  ing " * 20]
+    for n in (1, 5, 17):
+        monkeypatch.setattr(tokens, "BATCH_CHARS", n)
+        assert tokens.piece_counter().count(texts) == [len(x) for x in sp.encode(texts)]
+        for x in texts:
+            assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_count_rows(docs):
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.token_counts(docs([(1, None), (2, "é a"), (None, ""), (2, "é a"), (3, "word " * 5000)])).collect()), key=repr)
     assert got[0][:3] == (1, 0, 0) and got[1] == got[2] and got[1][1] == 4 and got[3][3] and got[4][0] is None

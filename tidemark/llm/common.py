@@ -80,6 +80,20 @@ def byte_batches(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def word_parts(text: str, limit: int) -> Iterator[list[str]]:
+    """The words of ``text`` in lists from about ``limit`` characters each; a text is cut at white space only."""
+    if len(text) <= limit:
+        yield text.split()
+        return
+    start = 0
+    while start < len(text):
+        end = min(len(text), start + limit)
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[start:end].split()
+        start = end
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v: long), by alternating large-star and small-star rounds.
 

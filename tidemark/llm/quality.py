@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pick, table
+from .common import pick, table, word_parts
 
 #: Labelled texts that the classifier learns from, half of them of either label where there are enough.
 SAMPLE = 4096
@@ -28,8 +28,8 @@ K = 15
 THRESHOLD = 0.3
 #: Documents compared in one matrix product.
 BLOCK = 256
-#: Words counted at once of a very long text.
-WORDS = 1 << 20
+#: Characters of a very long text that are counted at once.
+PART_CHARS = 4_000_000
 #: Words whose terms one Python worker remembers.
 MEMORY_WORDS = 300_000
 
@@ -64,17 +64,20 @@ def term_counts(texts: list[str]):
 
     out, sizes = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
-        words = text.split()
-        sizes[row] = len(words)
-        for k in range(0, len(words), WORDS):
-            part = words[max(0, k - 1) : k + WORDS]
+        before: list[str] = []
+        for words in word_parts(text, PART_CHARS):
+            if not words:
+                continue
+            part = before + words  # the word before a part counts in pairs only
+            sizes[row] += len(words)
             codes = np.fromiter(map(_terms.__getitem__, part), np.int64, len(part))
             shapes = codes & (_SHAPES - 1)
-            own = codes if k == 0 else codes[1:]
+            own = codes[len(before) :]
             terms = np.concatenate([own & (_SHAPES - 1), _SHAPES + (shapes[:-1] * 31 + shapes[1:]) % _PAIRS, _SHAPES + _PAIRS + (own >> 10) % (DIMS - _SHAPES - _PAIRS - 1)])
             counts = np.bincount(terms, minlength=DIMS).astype(np.float32)
             counts[_REPEAT] = np.count_nonzero(codes[1:] == codes[:-1])
             out[row] += counts
+            before = words[-1:]
     return out, sizes
 
 

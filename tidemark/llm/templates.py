@@ -20,14 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import pick, table, word_parts
 
 WINDOW = 5
 COVERAGE = 0.5
 #: Benchmark tokens that one broadcast holds (some 64 bytes each); a larger benchmark goes in parts.
 BROADCAST_TOKENS = 2_000_000
-#: Words of a document looked up at once.
-PART_WORDS = 1 << 18
+#: Characters of a document looked up at once.
+PART_CHARS = 2_000_000
 MEMORY_WORDS = 300_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -130,25 +130,29 @@ class Benchmark:
 
         if not len(self.hashes):
             return []
-        words = text.split()
-        hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for start in range(0, max(1, len(words)), PART_WORDS):
-            part = words[start : start + PART_WORDS + WINDOW - 1]
+        hits: dict[tuple[int, int], dict[int, list[str]]] = defaultdict(dict)
+        start, before = 0, []
+        for words in word_parts(text, PART_CHARS):
+            # a part begins with the last words of the one before; the first of them only tells whether a sentence ended
+            part = before + words
+            skip = 1 if len(before) == WINDOW else 0
             typed, plain = canonical(part)
             for tokens in (typed, plain) if (typed != plain).any() else (typed,):
-                h = _window_hashes(tokens)
+                h = _window_hashes(tokens)[skip:]
                 maybe = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
                 if not len(maybe):
                     continue
                 lo = np.searchsorted(self.hashes, h[maybe], "left")
                 hi = np.searchsorted(self.hashes, h[maybe], "right")
-                for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                for p, a, b in zip((maybe[hi > lo] + skip).tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                     for at, q in self.where[a:b].tolist():
-                        hits[at, start + p - q].add(q)
+                        hits[at, start - len(before) + p - q][q] = part[p : p + WINDOW]
+            start += len(words)
+            before = part[-WINDOW:]
         covered: dict[int, set[int]] = defaultdict(set)
         first: dict[int, int] = {}
-        for (at, shift), places in hits.items():
-            good = self._consistent(at, shift, places, words)
+        for (at, shift), found in hits.items():
+            good = self._consistent(at, found)
             if good:
                 covered[at] |= good
                 first[at] = min(first.get(at, 1 << 62), shift + min(good))
@@ -160,17 +164,17 @@ class Benchmark:
                 out.append((item_id, len(places), share, first[at]))
         return out
 
-    def _consistent(self, at: int, shift: int, places: set[int], words: list[str]) -> set[int]:
+    def _consistent(self, at: int, found: dict[int, list[str]]) -> set[int]:
         """Places on one diagonal whose slots map one to one, the first value met deciding; a window
         in which all tokens are placeholders says nothing and doesn't count."""
         _, own, typed, _plain = self.items[at]
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
         good = set()
-        for q in sorted(places):
+        for q in sorted(found):
             pairs, literal = [], 0
             for k in range(q, q + WINDOW):
-                a, b = own[k], _TRIM.sub("", words[shift + k]).lower()
+                a, b = own[k], _TRIM.sub("", found[q][k - q]).lower()
                 if a == b:
                     literal += typed[k] >= 16
                 kind = int(typed[k]) if typed[k] < 16 else NAME if a != b else 0

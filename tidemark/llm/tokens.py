@@ -50,12 +50,24 @@ class PieceCounter:
         self.known: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
-        """One number a text; sub-batches keep the memory of one call bounded."""
+        """One number a text; sub-batches, and parts of long texts, keep the memory of one call bounded."""
         out: list[int] = []
         for a, b in byte_batches(texts, BATCH_CHARS):
-            out += self._count(texts[a:b])
+            if self.safe and b == a + 1 and len(texts[a]) > 2 * BATCH_CHARS:
+                out.append(sum(self._count([part])[0] for part in self._parts(texts[a])))
+            else:
+                out += self._count(texts[a:b])
         return out
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text cut before single or first spaces; the library's mark before each part stands for the space that is left out."""
+        start = 0
+        while start < len(text):
+            m = _BOUNDARY.search(text, start + BATCH_CHARS)
+            end = m.start() + 1 if m else len(text)
+            yield text[start:end]
+            start = end + 1
+
     def _count(self, texts: list[str]) -> list[int]:
         if not self.safe:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
@@ -101,7 +113,8 @@ class PieceCounter:
         return n
 
 
-_BOUNDARY = re.compile("[^ ▁][ ▁]")
+#: The last space of a text stands for itself, so something must follow.
+_BOUNDARY = re.compile(r"[^ ▁][ ▁](?=[\s\S])")
 
 
 def piece_counter(name: str = PIECE_MODEL, path: Callable[[str], str] = vocabulary_path) -> PieceCounter:
@@ -158,6 +171,17 @@ class ByteEncoder:
         self.rest = _Parts(self.ranks, " ")
 
     def encode(self, text: str) -> bytes:
+        """A long text is cut before single spaces between other characters, where every match of the pattern ends."""
+        out, start = [], 0
+        while len(text) - start > 2 * BATCH_CHARS:
+            m = _SINGLE.search(text, start + BATCH_CHARS)
+            if not m:
+                break
+            out.append(self._encode(text[start : m.start() + 1]))
+            start = m.start() + 1
+        return b"".join([*out, self._encode(text[start:] if start else text)])
+
+    def _encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
             return self.head[first] + b"".join(map(self.rest.__getitem__, rest))
@@ -167,6 +191,9 @@ class ByteEncoder:
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_SINGLE = re.compile(r"[!-~] (?=[!-~])")
+
+
 class _Odd(Exception):
     pass
 
