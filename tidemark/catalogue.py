@@ -168,7 +168,7 @@ def calibration_staleness(s, d):
 
 def _review(s, d):
     live = scoring.live_triggers(B.triggers(s, d), B.as_of()).select("k", "trigger_id")
-    urls = live.join(B.evidence(s, d), "trigger_id").groupBy("k").agg(F.collect_set("url").alias("urls"))
+    urls = live.join(B.evidence(s, d), "trigger_id").groupBy("k").agg(F.array(F.min("url")).alias("urls"))
     return scoring.reviewed(leads(s, d), B.contacts(s, d), urls)
 
 

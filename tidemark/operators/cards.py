@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PAGE_CHARS, PAGE_ROWS
 from ..functions.text import truncate
+from ..streaming.machines import fold
 
 
 def evidence_field(urls: Column) -> Column:
@@ -31,20 +32,19 @@ def rendered_size(title: Column, description: Column, fields: Column) -> Column:
 def digest_pages(rows: DataFrame, key: str, order: str, size: str, group: str | None = None, page_rows: int = PAGE_ROWS, page_chars: int = PAGE_CHARS) -> DataFrame:
     """Greedy pages of at most ``page_rows`` rows and ``page_chars`` characters, in ``order`` within ``group``.
 
-    A fold over one group's ordered (key, size) pairs; a digest's rows are a top-k report, so that a group is small by contract.
+    A fold that holds a page's counters only, so that a group may have any number of rows.
     """
-    g = F.lit(1) if group is None else F.col(group)
-    packed = rows.groupBy(g.alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(size).cast("int").alias("s")))).alias("xs"))
-    kind = f"struct<page:int,n:int,used:int,out:array<struct<k:{rows.schema[key].dataType.simpleString()},page:int>>>"
-    zero = F.struct(F.lit(0).alias("page"), F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().alias("out")).cast(kind)
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] >= page_rows) | (a["used"] + x["s"] > page_chars))
-        page = F.when(new, a["page"] + 1).otherwise(a["page"])
-        out = F.concat(a["out"], F.array(F.struct(x["k"].alias("k"), page.alias("page"))))
-        return F.struct(page.alias("page"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), (F.when(new, 0).otherwise(a["used"]) + x["s"]).alias("used"), out.alias("out")).cast(kind)
-
-    return packed.select("g", F.explode(F.aggregate("xs", zero, step, lambda a: a["out"])).alias("p")).select("g", F.col("p.k").alias(key), F.col("p.page").alias("page"))
+    kind = rows.schema[key].dataType.simpleString()
+    g = F.lit("all") if group is None else F.col(group).cast("string")
+    given = rows.select(g.alias("g"), F.col(order).alias("o"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"))
+
+    def step(state, r):
+        page, n, used = state or (0, 0, 0)
+        if n and (n >= page_rows or used + r["s"] > page_chars):
+            page, n, used = page + 1, 0, 0
+        return (page, n + 1, used + r["s"]), {"g": r["g"], "k": r["k"], "page": page}
+
+    return fold(given, "g", ["o", "k"], step, f"g string, k {kind}, page int", ["g", "o", "k", "s"]).withColumnRenamed("k", key)
 
 
 def new_dispatches(leads: DataFrame, log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .critic import lead_verdicts
@@ -11,12 +11,12 @@ QUESTION = {"good": "worth", "bad": "worth", "contacted": "outcome", "not_intere
 
 
 def latest_wins(feedback: DataFrame) -> DataFrame:
-    """An actor's last answer to each question about a lead; retractions are rows whose verdict is null."""
+    """An actor's last answer to each question about a lead."""
     from ..functions.score import lookup
 
-    w = Window.partitionBy("k", "actor", "question").orderBy(F.desc("created_at"), F.desc("feedback_id"))
     q = feedback.withColumn("question", lookup(QUESTION, F.col("verdict")))
-    return q.withColumn("r", F.row_number().over(w)).where("r = 1 AND verdict IS NOT NULL").drop("r")
+    last = F.max_by(F.struct(*[c for c in q.columns if c not in ("k", "actor", "question")]), F.struct("created_at", "feedback_id"))
+    return q.groupBy("k", "actor", "question").agg(last.alias("f")).select("k", "actor", "question", "f.*")
 
 
 def latest_dispatch(dispatches: DataFrame, since: Column) -> DataFrame:

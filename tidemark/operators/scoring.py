@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import PERSONAL_EMAIL_DOMAINS
 from ..functions import dns, email, rules, score
 from ..functions.dates import age_days
 from ..functions.ids import lead_id
@@ -15,9 +16,11 @@ def live_triggers(triggers: DataFrame, as_of: Column) -> DataFrame:
 
 
 def best_contact(contacts: DataFrame) -> DataFrame:
-    """One contact per company: a named one first, then by status, then by address."""
-    w = Window.partitionBy("k").orderBy(F.col("full_name").isNull(), email.status_rank(F.col("status")), "email", "contact_id")
-    return contacts.where("email IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r", "first_seen_at")
+    """One contact per company: a named one first, then by status, then by address. An aggregate, so that a company with
+    very many contacts is reduced where they are read."""
+    order = F.struct(F.col("full_name").isNull(), email.status_rank(F.col("status")), "email", "contact_id")
+    best = F.min_by(F.struct("contact_id", "email", "status", "full_name"), order)
+    return contacts.where("email IS NOT NULL").groupBy("k").agg(best.alias("c")).select("k", "c.*")
 
 
 def trigger_sums(triggers: DataFrame, as_of: Column) -> DataFrame:
@@ -67,7 +70,9 @@ def scored(given: DataFrame, anti_icp: Column | None = None, sectors: tuple[str,
 
 def reviewed(leads: DataFrame, contacts: DataFrame, evidence_urls: DataFrame, max_employees: int = 1000) -> DataFrame:
     """Leads with the verdict of all ten rules: passed, checks, vetoes."""
-    mail = contacts.where("email IS NOT NULL").groupBy("k").agg(F.collect_set("email").alias("emails"))
+    # the rule asks only for free-mail hosts, so no more than those are gathered
+    host = email.host_part(F.col("email"))
+    mail = contacts.where(host.isin(*PERSONAL_EMAIL_DOMAINS)).groupBy("k").agg(F.collect_set(F.concat(F.lit("x@"), host)).alias("emails"))
     joined = leads.join(mail, "k", "left").join(evidence_urls, "k", "left")
     joined = joined.withColumns({"emails": F.coalesce("emails", F.array().cast("array<string>")), "urls": F.coalesce("urls", F.array().cast("array<string>"))})
     checks = rules.rules(F.col("urls"), F.col("codes"), F.col("is_suppressed"), F.col("emails"), F.col("band"), F.col("domain"), F.col("industry"), F.col("display_name"), max_employees=max_employees)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TRIGGERS
@@ -52,5 +52,6 @@ def reachability_counts(leads, contacts, judged, suppressed, quarantined, tiers=
 
 def contacts_deduped(contacts: DataFrame) -> DataFrame:
     """One row per company and address, the first seen; rows without address stay apart."""
-    w = Window.partitionBy("k", F.coalesce("email", F.col("contact_id").cast("string"))).orderBy("first_seen_at", "contact_id")
-    return contacts.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    names = contacts.columns
+    first = F.min_by(F.struct(*names), F.struct("first_seen_at", "contact_id"))
+    return contacts.groupBy("k", F.coalesce("email", F.col("contact_id").cast("string"))).agg(first.alias("c")).select("c.*")

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..config import BREAKER_FAILURES, BREAKER_SECONDS, HOT_AT, HYSTERESIS, WARM_AT
 
@@ -65,10 +66,11 @@ def budget(state: list[tuple[int, float]] | None, hour: int, units: float, soft_
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Any, dict], tuple[Any, dict]], out: str, columns: list[str]) -> DataFrame:
     """Fold each key's rows in order: ``step(state, row) -> (state, output row)``; ``out`` is the output's schema."""
-    names = [key, *order, *[c for c in columns if c != key and c not in order]]
+    names = list(dict.fromkeys([key, *order, *columns]))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*names).repartition(n, key).sortWithinPartitions(key, *order)
-    fields = [x.strip().split(" ")[0] for x in out.split(",")]
+    schema = _parse_datatype_string(out)
+    fields, arrow = schema.names, to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
@@ -80,7 +82,7 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Any, dict]
                 state, result = step(state, row)
                 made.append(result)
             if made:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=fields), preserve_index=False)
+                yield pa.RecordBatch.from_pylist([{f: m[f] for f in fields} for m in made], schema=arrow)
 
     return dealt.mapInArrow(run, out)
 
