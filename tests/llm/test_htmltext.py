@@ -16,6 +16,8 @@ BODIES = [
     (f'<main><p>{P1}</p><form><p>{P2}</p></form><div class="ad-slot">Buy, buy, and buy again, all of this today</div><section><p>{P2}</p></section></main><section id="comments"><p>I disagree, strongly, with all of it, and so do you.</p></section>', f"{P1}\n{P2}"),
     (f"<div><div><p>{P1}</p></div><div><p>{P2}</p></div></div>", f"{P1}\n{P2}"),
     (f"<article><header><h1>Own</h1></header><p>{P1}</p><aside><p>{P2}</p></aside><table><tr><td>x<td>y</table></article>", f"Own\n{P1}\nx\ny"),
+    (f'<article><div class="notice">Read this, and that, before anything else here.</div><p class="ad">Buy now, and here<p>{P1}</p><div><p class="promo">x, y, z</div><p>{P2}</p><footer>f</footer></article>', f"{P1}\n{P2}"),
+    (f'<div id="wrap"><h1>Head</h1><div class="entry-content"><p>{P1}</p><p>{P2}</p></div><ul class="share-links"><li>Share</ul><div class="related">More, more, and more of the same for you.</div></div>', f"Head\n{P1}\n{P2}"),
     (f"<article><p>{P1}</p><!-- <p>no</p> --><p><b>bold</b> <i>it</i>alic <a href='x>y'>link</a></p></article>", f"{P1}\nbold italic link"),
 ]
 

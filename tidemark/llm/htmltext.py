@@ -38,7 +38,7 @@ NEGATIVE = frozenset(
 )
 POSITIVE = frozenset("article articlebody body content entry main page post story text blog column h1 title headline".split())
 #: These leave a part out even where a positive word stands beside them.
-STRONG = NEGATIVE - frozenset("header foot alert notice tags search form legal hidden skip banner".split())
+STRONG = NEGATIVE - frozenset("header tags search form legal skip".split())
 _CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -167,6 +167,8 @@ class _Page:
                         close = html.find(">", end.start())
                         pos = n if close < 0 else close + 1
                 continue
+            if skipping is not None and skipping[0] == "p" and (name in CLOSES_P if not closing else name != "p" and name not in INLINE):
+                skipping = None  # a paragraph ends without a tag of its own
             if skipping is not None:
                 # only the nesting of the left-out element's own tag counts
                 if name == skipping[0]:
