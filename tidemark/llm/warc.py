@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, pick, table
+from .common import cut, new_folder, pick, qualified, table
 
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 100
@@ -35,7 +35,7 @@ _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 def _at(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
@@ -220,7 +220,7 @@ def archive(pages: DataFrame, least_revisit: int = LEAST_REVISIT, archive_bytes:
     page_id of a payload are responses each. An empty table gives no archive.
     """
     spark = pages.sparkSession
-    raw, final = new_folder(spark, "warc-raw"), new_folder(spark, "warc")
+    raw, final = (qualified(spark, new_folder(spark, n)) for n in ("warc-raw", "warc"))
     for folder in (raw, final):
         fs, path = _at(folder)
         fs.create_dir(path, recursive=True)
