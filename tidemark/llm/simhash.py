@@ -210,15 +210,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, tree_points: int = TREE_POIN
             fp = [_signed(fingerprint(t)) if t else 0 for t in b.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "fp"])
 
-    full = cut(plain.mapInArrow(add, out), "printed")
-    prints = full.select(F.col(at_id).alias("doc_id"), "fp")
+    # rows are told apart by a number that is written with them, so that texts are shuffled once and by a key without repeats
+    full = cut(plain.mapInArrow(add, out).withColumn("uid", F.monotonically_increasing_id()), "printed")
+    prints = full.select(F.col(at_id).alias("doc_id"), "fp", "uid")
     ids = labelled(prints, radius, tree_points)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "uid")).alias("r")
     # the least row of each fingerprint is found before the join, so that a hot fingerprint is summed where it is read
     rep = prints.groupBy("fp").agg(first).join(ids, "fp").groupBy("component_id").agg(F.min("r").alias("r"))
-    rep = rep.select(F.col("r.doc_id").alias("rep_id"), F.col("r.fp").alias("rep_fp"))
-    near = full.join(rep, (full["fp"] == rep["rep_fp"]) & full[at_id].eqNullSafe(rep["rep_id"]), "left_semi")
-    return near.dropDuplicates(["fp", at_id]).drop("fp").toDF(*names)
+    return full.join(rep.select("r.uid"), "uid", "left_semi").drop("fp", "uid").toDF(*names)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
