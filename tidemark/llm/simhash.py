@@ -31,14 +31,14 @@ PART_BYTES = 1 << 22
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def fingerprint(text: str) -> int:
-    """64-bit SimHash of the text's three-word shingles, unsigned."""
+def shingles(text: str, size: int = 3) -> Iterator:
+    """XXH64 values of the text's shingles of ``size`` words (of the whole, if it has fewer), in uint64 arrays."""
     import numpy as np
     import xxhash
 
     hash_of = partial(xxhash.xxh64_intdigest, seed=42)
     raw = text.encode("utf-8", "surrogatepass").lower()
-    sums, n, carry, start = np.zeros(64, np.int64), 0, [], 0
+    n, carry, start = 0, [], 0
     while True:
         end = start + PART_BYTES
         if end < len(raw):
@@ -46,19 +46,27 @@ def fingerprint(text: str) -> int:
                 end += 1
         words = carry + raw[start:end].split()
         last = end >= len(raw)
-        if len(words) >= 3:
-            h = np.fromiter(map(hash_of, map(b" ".join, zip(words, words[1:], words[2:], strict=False))), np.uint64, len(words) - 2)
+        count = len(words) - size + 1
+        if count > 0:
+            yield np.fromiter(map(hash_of, map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64, count)
+            n += count
         elif last and n == 0 and words:
-            h = np.array([hash_of(b" ".join(words))], np.uint64)
-        else:
-            h = np.zeros(0, np.uint64)
+            yield np.array([hash_of(b" ".join(words))], np.uint64)
+        if last:
+            return
+        carry, start = words[max(0, count) :], end
+
+
+def fingerprint(text: str) -> int:
+    """64-bit SimHash of the text's three-word shingles, unsigned."""
+    import numpy as np
+
+    sums, n = np.zeros(64, np.int64), 0
+    for h in shingles(text):
         for k in range(0, len(h), 1 << 16):
             bits = np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             sums += bits.sum(0, dtype=np.int64)
         n += len(h)
-        if last:
-            break
-        carry, start = words[-2:], end
     if not n:
         return 0
     return sum(1 << i for i in np.flatnonzero(2 * sums > n).tolist())
