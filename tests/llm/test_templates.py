@@ -76,3 +76,25 @@ def test_whole_table_against_brute_force(spark):
                 want.add((r["doc_id"], i))
     got = {(r["doc_id"], r["item_id"]) for r in templates.op10_template_windows(spark, d).collect()}
     assert want <= got and len(got - want) <= 2
+
+
+TITLE = "Who Wrote The Famous Novel Pride And Prejudice In The Early Nineteenth Century"
+SERIES = "What comes next in 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096?"
+LIST = "Sort the list 5 3 9 1 12 44 7 8 2 6 10 11 13"
+
+
+@pytest.mark.parametrize("item", [TITLE, SERIES, LIST])
+def test_copies_with_runs_of_placeholders(item):
+    b = templates.Benchmark([(1, item)])
+    assert b.find(FILLER + item + " " + FILLER)[0][2] == 1.0
+    assert b.find(FILLER + item.lower() + " " + FILLER)
+    assert not b.find(FILLER)
+
+
+def test_other_values_in_runs_of_placeholders():
+    b = templates.Benchmark([(1, LIST), (2, SERIES), (3, TITLE)])
+    assert [f[0] for f in b.find(FILLER + "Sort the list 8 30 90 10 21 45 70 80 20 60 100 110 130 " + FILLER)] == [1]
+    assert [f[0] for f in b.find(FILLER + "What comes next in 3, 6, 12, 24, 48, 96, 192, 384, 768, 1536, 3072, 6144? " + FILLER)] == [2]
+    # one window of a title, or figures alone, are no copy
+    assert not b.find(FILLER + "Who Sang The Popular Song Yellow River On The Late Television Show " + FILLER)
+    assert not b.find(FILLER + "8 30 90 10 21 45 70 80 20 60 100 110 130 " + FILLER)

@@ -6,8 +6,10 @@ are looked up among them (a hash join, whose build side is the benchmark, broadc
 BROADCAST_TOKENS and in parts of that size beyond it). Hits on one diagonal, that is, with one
 distance between the places in the document and in the item, are then checked word by
 word, and their placeholders for consistency: equal values in the item must be equal in the
-document, and different ones different. What passes in at least COVERAGE of an item's
-windows is a copy of it, also with other numbers, names or units.
+document, and different ones different; windows whose words are equal as they stand pass in any case. What
+passes in at least COVERAGE of an item's windows is a copy of it. With other numbers, names or units only
+windows with a literal word can pass, so it is enough to reach COVERAGE of those (counted as WINDOW at least,
+where the item has as many windows: one window of a title says nothing).
 """
 
 from __future__ import annotations
@@ -104,6 +106,7 @@ class Benchmark:
         import numpy as np
 
         self.items = []
+        self.literal = []
         hashes, where = [], []
         for item_id, text in items:
             words = text.split()
@@ -112,6 +115,7 @@ class Benchmark:
                 continue
             at = len(self.items)
             self.items.append((item_id, [_TRIM.sub("", w).lower() for w in words], typed, plain))
+            self.literal.append(np.lib.stride_tricks.sliding_window_view(typed >= 16, WINDOW).any(1))
             for tokens in (typed, plain):
                 h = _window_hashes(tokens)
                 hashes.append(h)
@@ -159,23 +163,25 @@ class Benchmark:
         out = []
         for at, places in sorted(covered.items()):
             item_id, own = self.items[at][:2]
-            share = len(places) / (len(own) - WINDOW + 1)
+            n, literal = len(own) - WINDOW + 1, self.literal[at]
+            share = max(len(places) / n, sum(bool(literal[q]) for q in places) / max(int(literal.sum()), min(n, WINDOW)))
             if share >= COVERAGE:
                 out.append((item_id, len(places), share, first[at]))
         return out
 
     def _consistent(self, at: int, found: dict[int, list[str]]) -> set[int]:
         """Places on one diagonal whose slots map one to one, the first value met deciding; a window
-        in which all tokens are placeholders says nothing and doesn't count."""
+        in which all tokens are placeholders counts only if its words are equal, as does any such window."""
         _, own, typed, _plain = self.items[at]
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
         good = set()
         for q in sorted(found):
-            pairs, literal = [], 0
+            pairs, literal, equal = [], 0, 0
             for k in range(q, q + WINDOW):
                 a, b = own[k], _TRIM.sub("", found[q][k - q]).lower()
                 if a == b:
+                    equal += 1
                     literal += typed[k] >= 16
                 kind = int(typed[k]) if typed[k] < 16 else NAME if a != b else 0
                 if kind:
@@ -184,6 +190,8 @@ class Benchmark:
                 good.add(q)
                 for t, a, b in pairs:
                     there[t, a], back[t, b] = b, a
+            elif equal == WINDOW:
+                good.add(q)
         return good
 
 
