@@ -57,3 +57,20 @@ def test_whole_table_equals_articles(spark):
         a = re.sub(r"<br>", " ", re.sub(r"</?(h1|p)>", "\n", a))
         lines = (" ".join(x.split()) for x in h.unescape(re.sub(r"<[^>]*>", "", a)).split("\n"))
         assert got[p["page_id"]] == "\n".join(x for x in lines if x)
+
+
+STORY = "The harbour town rebuilt its old lighthouse last year, stone by stone, and the keepers came back to see the work."
+
+
+def test_attributes_are_read_by_name():
+    for attrs in ('data-hidden="false"', 'title="The hidden story"', 'data-id="comment-5"', 'data-class="sidebar"', 'class="post overflow-hidden"', 'class="content with-sidebar"', 'class="post category-social"'):
+        assert htmltext.main_text(f"<body><div {attrs}><p>{STORY}</p><p>{STORY}</p></div></body>") == f"{STORY}\n{STORY}", attrs
+    linked = f'<body><div><p>{STORY} See <a href="/hidden-fees">the fees</a> and <a href="/p?id=menu">the list</a>.</p><p>{STORY}</p></div></body>'
+    assert "See the fees and the list." in htmltext.main_text(linked)
+
+
+def test_article_stays_whatever_its_class():
+    for tag in ('article class="post social"', 'main class="content sidebar"', 'div itemprop="articleBody" class="widget"'):
+        assert htmltext.main_text(f"<body><{tag}><p>{STORY}</p></{tag.split()[0]}></body>") == STORY, tag
+    assert htmltext.main_text(f'<body><article hidden><p>{STORY} Not shown.</p></article><article><p>{STORY}</p></article></body>') == STORY
+    assert htmltext.main_text(f'<body><div class="site-footer"><p>{STORY} Below.</p></div><div><p>{STORY}</p></div></body>') == STORY

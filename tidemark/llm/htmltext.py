@@ -39,13 +39,27 @@ NEGATIVE = frozenset(
 POSITIVE = frozenset("article articlebody body content entry main page post story text blog column h1 title headline".split())
 #: These leave a part out even where a positive word stands beside them.
 STRONG = NEGATIVE - frozenset("header tags search form legal skip".split())
-_CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Before a word of a hyphenated class they tell of something beside the element, or of its subject.
+BESIDE = frozenset("with without has have no not is category tag topic format type overflow".split())
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: A quoted attribute may hold ">"; a tag longer than this ends at its first one.
 LONGEST_TAG = 1 << 16
 
 
+def _class_words(value: str) -> set[str]:
+    """The words of a class or id attribute that may mark its element."""
+    words = set()
+    for token in value.split():
+        parts = [w.lower() for w in re.split(r"[^\w]+|_", token) if w]
+        if len(parts) > 1 and parts[0] in BESIDE:
+            continue
+        own = set(parts) | {w.lower() for w in _WORD.findall(token)}
+        words |= own if len(own) == 1 else own - {"hidden"}
+    return words
+
+
 def _marked(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     """Is the element left out? Is it marked as the article itself?"""
     if name in LEFT_OUT or (name == "header" and not in_article):
@@ -53,14 +67,15 @@ def _marked(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
     body = name in ("article", "main")
     if not attrs:
         return False, body
-    out = False
-    for key, value in _CLASS.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
+    out = named = False
+    own: dict[str, str] = {}
+    for key, value in _ATTR.findall(attrs):
+        own.setdefault(key.lower(), value.strip("\"'"))
+    for key, value in own.items():
         if key in ("class", "id"):
-            whole = {w.lower() for w in re.split(r"[^\w]+|_", value) if w}
-            words = whole | {w.lower() for w in _WORD.findall(value)}
+            words = _class_words(value)
             if words & STRONG or (words & NEGATIVE and not words & POSITIVE and not in_article):
-                out = True
+                named = True
         elif key == "role":
             role = value.lower()
             out |= role in ROLES
@@ -73,6 +88,7 @@ def _marked(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
             out |= value.lower() == "true"
         elif key == "style":
             out |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
+    out |= named and not body  # what is marked as the article isn't left out for a word
     if name in ("html", "body"):
         out = False
     return out, body and not out
