@@ -539,6 +539,15 @@ def fuzzy_name_pairs(s, d):
     return resolve.name_pairs(_names(s, d), 88.0).withColumn("score", r4("score"))
 
 
+@query()
+def entity_clusters(s, d):
+    """Every part as a candidate, five to a domain."""
+    p = B.read(s, d, "part")
+    host = F.concat(F.lit("https://c"), F.floor(F.col("p_partkey") / 5).cast("string"), F.lit(".com/"))
+    c = p.select(F.col("p_partkey").cast("long").alias("id"), F.lit(None).cast("string").alias("claimed"), host.alias("url"), F.concat("p_name", F.lit(" "), "p_type").alias("name"), F.lit(None).cast("string").alias("country"), (F.col("p_partkey") % 7).cast("long").alias("created_at"))
+    return resolve.entity_clusters(c)
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
 def html_title(s, d):
     return B.read(s, d, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))

@@ -85,6 +85,22 @@ def resolve(candidates: DataFrame) -> DataFrame:
     return c.groupBy("resolved_domain").agg(by("name").alias("display_name"), by("country").alias("country"), F.count("*").alias("candidates"), F.min("created_at").alias("first_seen_at"))
 
 
+def entity_clusters(candidates: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """Each company of ``candidates`` (as for ``resolve``; id: long): resolved_domain, id of its earliest row, and entity_id,
+    the earliest (created_at, id) among the companies that similar names link with it, also by way of others."""
+    from ..llm.common import components
+
+    c = claimed_domain(candidates).where("resolved_domain IS NOT NULL")
+    order = F.struct("created_at", "id")
+    by = lambda col: F.min_by(F.col(col), F.when(F.col(col).isNotNull() & (F.col(col) != ""), order))
+    own = c.groupBy("resolved_domain").agg(F.min(order).alias("o"), by("name").alias("name"), by("country").alias("country"))
+    own = own.select("resolved_domain", "o", F.col("o.id").alias("id"), "name", "country")
+    comp = components(name_pairs(own, threshold).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+    held = own.join(comp, F.col("id") == F.col("node"), "left").select("resolved_domain", "o", "id", F.coalesce("component", "id").alias("c"))
+    first = held.groupBy("c").agg(F.min("o").alias("r"))
+    return held.join(first, "c").select("resolved_domain", "id", F.col("r.id").alias("entity_id"))
+
+
 def _vector_blocks(vectors: DataFrame, rows: int) -> DataFrame:
     """Vectors (id, embedding) as matrices of unit rows: (ids, x) in binary, at most ``rows`` a block."""
     names = vectors.columns
