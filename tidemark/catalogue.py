@@ -843,6 +843,19 @@ def site_pages(s, d):
     return details.site_pages(p).select("domain", "rank")
 
 
+_planted = "CASE WHEN page_id % 140 IN (41, 81) THEN 'one page' ELSE html END || CASE WHEN page_id % 60 IN (22, 45) THEN ' <a href=\"mailto:sales@harbour-works.com\">mail</a>' ELSE '' END"
+
+
+@query(f"""SELECT domain, rank FROM (SELECT domain, rank, sum(CASE WHEN again OR (had AND rank > 0) THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY rank) AS stop FROM
+  (SELECT domain, rank, row_number() OVER (PARTITION BY domain, sha256(h) ORDER BY rank) > 1 AS again,
+    coalesce(max(contains(h, 'mailto:')) OVER (PARTITION BY domain ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS had
+  FROM (SELECT page_id % 20 AS domain, page_id AS rank, {_planted} AS h FROM pages))) WHERE stop = 0""")
+def site_pages_whole(s, d):
+    """As site_pages, whose SQL stays at 60 characters, over whole pages, with mirrors and addresses planted by page_id."""
+    p = B.read(s, d, "pages").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"), F.expr(_planted).alias("html"))
+    return details.site_pages(p).select("domain", "rank")
+
+
 @query("""SELECT event_id, status, CASE WHEN status BETWEEN 200 AND 299 THEN true WHEN status BETWEEN 400 AND 499 AND status NOT IN (401, 403, 429) THEN false END AS verdict FROM (SELECT event_id, CAST(200 + event_id % 331 AS INT) AS status FROM events)""")
 def evidence_probe(s, d):
     x = B.read(s, d, "events").select("event_id", (200 + F.col("event_id") % 331).cast("int").alias("status"))
