@@ -7,6 +7,21 @@ from tidemark.functions.text import normalize_name
 from tidemark.operators import resolve
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_two_edits_anywhere(spark):
+    names = ["", "a", "ab", "Brand#12", "brand#12", "Grand#12", "and#12", "xxBrand#12", "Brand#21", "Brnad#12", "other", "another", "BBrand", "rand"]
+    got = {tuple(r) for r in resolve.within_two_edits(spark.createDataFrame([(n,) for n in names + names], "n string")).collect()}
+    assert got == {(*sorted(p), levenshtein(*p)) for p in combinations(names, 2) if levenshtein(*p) <= 2}
+
+
 def test_clusters(spark):
     rows = [(1, "Harbour Analytics", None, 3), (2, "Harbour Analytic", None, 1), (3, "Harbor Analytic", None, 2), (4, "Quarry Tools", "US", 1), (5, "Quarry Tools", "DE", 1), (6, "Something Else", None, 1)]
     c = spark.createDataFrame([(i, None, f"https://site{i}.com/", n, k, t) for i, n, k, t in rows], "id long, claimed string, url string, name string, country string, created_at long")

@@ -523,10 +523,7 @@ def normalize_name(s, d):
 
 @query("SELECT DISTINCT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT DISTINCT p_brand AS n FROM part) a JOIN (SELECT DISTINCT p_brand AS n FROM part) b ON a.n < b.n AND left(a.n, 3) = left(b.n, 3) AND levenshtein(a.n, b.n) <= 2")
 def name_levenshtein_pairs(s, d):
-    n = B.read(s, d, "part").select("p_brand").distinct()
-    a, b = n.toDF("a"), n.toDF("b")
-    j = a.join(b, (F.left("a", F.lit(3)) == F.left("b", F.lit(3))) & (F.col("a") < F.col("b")))
-    return j.withColumn("distance", F.levenshtein("a", "b")).where("distance <= 2")
+    return resolve.within_two_edits(B.read(s, d, "part").select(F.col("p_brand").alias("n")))
 
 
 def _names(s, d):

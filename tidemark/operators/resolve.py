@@ -85,6 +85,19 @@ def resolve(candidates: DataFrame) -> DataFrame:
     return c.groupBy("resolved_domain").agg(by("name").alias("display_name"), by("country").alias("country"), F.count("*").alias("candidates"), F.min("created_at").alias("first_seen_at"))
 
 
+def within_two_edits(names: DataFrame) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of the distinct ``names`` (n) that two insertions, deletions or replacements part at most.
+
+    Such names have a common form that each reaches by leaving out at most two characters: the join is on these forms, and loses no pair.
+    """
+    once = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.overlay(c, F.lit(""), i, F.lit(1)))
+    n = names.select("n").where("n IS NOT NULL").distinct().withColumn("d", once(F.col("n")))
+    forms = n.select("n", F.explode(F.array_distinct(F.concat(F.array("n"), "d", F.flatten(F.transform("d", once))))).alias("form"))
+    a, b = forms.toDF("a", "form"), forms.toDF("b", "form")
+    pairs = a.join(b, "form").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).where("distance <= 2")
+
+
 def entity_clusters(candidates: DataFrame, threshold: float = 92.0) -> DataFrame:
     """Each company of ``candidates`` (as for ``resolve``; id: long): resolved_domain, id of its earliest row, and entity_id,
     the earliest (created_at, id) among the companies that similar names link with it, also by way of others."""
