@@ -4,8 +4,8 @@ A layout's documents form blocks: the documents of one old shard whose hash fall
 BLOCKS buckets. Block sizes are summed by the cluster; their table is bounded by old shards times BLOCKS,
 whatever the input. On it the driver solves a transportation problem as a minimum-cost flow, where
 a byte that stays costs nothing and a byte that moves costs one, from the old sizes to the new
-capacities. Blocks are then chosen to carry the flow, and the shards that lose or gain any are
-rewritten; others keep their files.
+capacities. Blocks are then chosen to carry the flow. The plan names the shards that lose or gain any;
+the layout is written as a whole to a new folder, also the shards that the plan leaves as they are.
 """
 
 from __future__ import annotations
