@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalize_name
 from ..functions.url import canonical_domain
+from .graph import components
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -101,8 +102,6 @@ def within_two_edits(names: DataFrame) -> DataFrame:
 def entity_clusters(candidates: DataFrame, threshold: float = 92.0) -> DataFrame:
     """Each company of ``candidates`` (as for ``resolve``; id: long): resolved_domain, id of its earliest row, and entity_id,
     the earliest (created_at, id) among the companies that similar names link with it, also by way of others."""
-    from ..llm.common import components
-
     c = claimed_domain(candidates).where("resolved_domain IS NOT NULL")
     order = F.struct("created_at", "id")
     by = lambda col: F.min_by(F.col(col), F.when(F.col(col).isNotNull() & (F.col(col) != ""), order))
