@@ -12,7 +12,7 @@ returns a spanning forest of the links it finds, no list of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -108,6 +108,13 @@ class BkTree:
                 return
             at = below[d]
 
+    def _edges(self, at: int, lo: int, hi: int) -> list[int]:
+        """Children whose keys lie from ``lo`` to ``hi``."""
+        below = self.children[at]
+        if len(below) <= hi - lo:
+            return [p for k, p in below.items() if lo <= k <= hi]
+        return [below[k] for k in range(max(1, lo), hi + 1) if k in below]
+
     def within(self, point: int, radius: int) -> list[int]:
         found, todo = [], [self.root] if self.root is not None else []
         while todo:
@@ -115,12 +122,22 @@ class BkTree:
             d = (at ^ point).bit_count()
             if d <= radius:
                 found.append(at)
-            below = self.children[at]
-            for k in range(max(1, d - radius), d + radius + 1):
-                if k in below:
-                    todo.append(below[k])
+            todo += self._edges(at, d - radius, d + radius)
         return found
 
+    def nearest(self, point: int, radius: int, accept: Callable[[int], bool]) -> int | None:
+        """The nearest accepted point within ``radius``; the radius shrinks to what has been found."""
+        best, todo = None, [self.root] if self.root is not None else []
+        while todo:
+            at = todo.pop()
+            d = (at ^ point).bit_count()
+            if d <= radius and accept(at):
+                best, radius = at, d - 1
+                if radius < 0:
+                    break
+            todo += self._edges(at, d - radius, d + radius)
+        return best
+
 
 class Forest:
     """Union-find that keeps the links which joined two sets."""
