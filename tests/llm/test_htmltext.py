@@ -74,3 +74,106 @@ def test_article_stays_whatever_its_class():
         assert htmltext.main_text(f"<body><{tag}><p>{STORY}</p></{tag.split()[0]}></body>") == STORY, tag
     assert htmltext.main_text(f'<body><article hidden><p>{STORY} Not shown.</p></article><article><p>{STORY}</p></article></body>') == STORY
     assert htmltext.main_text(f'<body><div class="site-footer"><p>{STORY} Below.</p></div><div><p>{STORY}</p></div></body>') == STORY
+
+
+def test_tags_of_any_length_and_quoting():
+    for tag in (f'<img src="data:{"x" * 70_000}" alt="a > b">', '<img title = "x > y">', "<img data-x='it\"s > this'>", "<img a=b/c d>", '<img alt="a" alt=">">', "<img\n\talt\n=\n'>'\n/>"):
+        assert htmltext.main_text(f"<article><p>{P1}{tag} {P2}</p></article>") == f"{P1} {P2}", tag[:40]
+    # a quote that never ends is a plain character
+    assert htmltext.main_text(f'<article><p title="open>{P1}</p></article>') == P1
+    assert htmltext.main_text(f"<article><p title='open>{P1}</p></article>") == P1
+
+
+def test_formulas_and_drawings_in_the_line():
+    text = "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be, in <svg><title>no</title><g><text>Fig 1</text></g></svg> too.</p>"
+    assert htmltext.main_text(f"<article>{text}<p>{P1}</p></article>") == f"Let x=2 be, in Fig 1 too.\n{P1}"
+
+
+def test_names_alone_leave_nothing_out():
+    inside = '<h2 class="social-history">Clubs</h2><p class="share-price">It rose.</p><ul class="menu-items"><li>Soup<li>Bread</ul><p id="related-work">Others.</p>'
+    assert htmltext.main_text(f"<article><p>{P1}</p>{inside}</article>") == f"{P1}\nClubs\nIt rose.\nSoup\nBread\nOthers."
+    links = '<ul class="share-this"><li><a href="/a">One place</a><li><a href="/b">Another</a></ul>'
+    assert htmltext.main_text(f"<article><p>{P1}</p>{links}</article>") == P1
+    # a wrapper that holds the page, whatever its name
+    for name in ("sidebar", "menu content", "page-with-menu", "widget-area"):
+        assert htmltext.main_text(f'<body><div class="{name}"><p>{STORY}</p><p>{STORY}</p></div><div><p>More</p></div></body>') == f"{STORY}\n{STORY}", name
+    assert htmltext.main_text(f"<body><form><p>{STORY}</p></form></body>") == STORY
+    # readers may write more than the author
+    page = f'<body><div id="post"><p>{STORY}</p></div><div id="comments">' + f"<div><p>{P1}</p></div>" * 50 + "</div></body>"
+    assert htmltext.main_text(page) == STORY
+
+
+def test_nesting_is_linear():
+    import time
+
+    for tag in ("div", "b", "p", "li", "td", "article", "section", "x-y"):
+        began = time.time()
+        assert htmltext.main_text(f"<{tag}>" * 50_000 + STORY + f"</{tag}>" * 50_000) == STORY, tag
+        assert time.time() - began < 2, tag
+    began = time.time()
+    htmltext.main_text("<p title='" * 20_000 + '<a b="' * 20_000)
+    assert time.time() - began < 2
+
+
+def _best_by_recursion(root):
+    """The chosen text of a tree (tag, children or text), each rule followed node by node."""
+    nodes = []
+
+    def walk(node, parent):
+        nodes.append((node, parent))
+        for c in node[1]:
+            if not isinstance(c, str):
+                walk(c, node)
+
+    walk(root, None)
+    up = {id(n): p for n, p in nodes}
+    text = lambda n: [x for c in n[1] for x in ([c] if isinstance(c, str) else text(c))]
+    points = {id(n): 0.0 for n, _ in nodes}
+    for n, _ in nodes:
+        for c in n[1]:
+            if isinstance(c, str) and len(c) >= 25:
+                at = n if n[0] == "div" else up[id(n)]
+                for weight in (1, 2, 6, 9, 12):
+                    if at is not None:
+                        points[id(at)] += (1 + c.count(",") + min(len(c) / 100, 3)) / weight
+                        at = up[id(at)]
+    best = nodes[0][0]
+    for n, _ in nodes:
+        if points[id(n)] > points[id(best)]:
+            best = n
+    while up[id(best)] is not None and up[id(best)][0] not in ("body",) and points[id(up[id(best)])] >= 0.9 * points[id(best)]:
+        best = up[id(best)]
+    if up[id(best)] is None or best[0] == "body":
+        return text(best)
+    kept = []
+    for c in up[id(best)][1]:
+        if not isinstance(c, str):
+            size = sum(map(len, text(c)))
+            if c is best or (size and (points[id(c)] >= 0.2 * points[id(best)] > 0 or (c[0] == "p" and size > 80) or c[0] == "h1")):
+                kept += text(c)
+    return kept
+
+
+def test_scoring_equals_brute_force_without_article():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(300):
+        count = [0]
+
+        def words(n):
+            count[0] += 1
+            return f"t{count[0]} " + " ".join(rng.choice(["stone,", "town", "keeper", "harbour", "light,"]) for _ in range(n)) + "."
+
+        def tree(depth):
+            kids = []
+            for _ in range(rng.randint(1, 4)):
+                if depth and rng.random() < 0.5:
+                    kids.append(("div", tree(depth - 1)))
+                else:
+                    kids.append((rng.choice(["p", "p", "h1"]), [words(rng.choice([1, 2, 8, 20]))]))
+            return kids
+
+        body = ("body", tree(3))
+        show = lambda n: f"<{n[0]}>" + "".join(c if isinstance(c, str) else show(c) for c in n[1]) + f"</{n[0]}>"
+        assert htmltext.main_text(show(body)) == "\n".join(_best_by_recursion(body)), show(body)
