@@ -98,3 +98,65 @@ def test_other_values_in_runs_of_placeholders():
     # one window of a title, or figures alone, are no copy
     assert not b.find(FILLER + "Who Sang The Popular Song Yellow River On The Late Television Show " + FILLER)
     assert not b.find(FILLER + "8 30 90 10 21 45 70 80 20 60 100 110 130 " + FILLER)
+
+
+def test_short_items():
+    b = templates.Benchmark([(1, "Name the tallest mountain"), (2, "Why?"), (3, "  "), (4, "Two 5 kg")])
+    assert [f[0] for f in b.find(FILLER + "name the tallest mountain! " + FILLER)] == [1]
+    assert [f[0] for f in b.find("Oh why")] == [2] and not b.find(FILLER + "Name the tallest building") and not b.find("")
+    assert [f[0] for f in b.find("two 5 kg")] == [4] and not b.find("two 6 kg")
+
+
+def test_repetitive_texts():
+    import time
+
+    items = [(i, f"item{i} " + "north south east west 5 kg " * 16) for i in range(100)]
+    b = templates.Benchmark(items)
+    for text in ("north south east west 5 kg " * 333, "north south east west 7 kg " * 333, "".join(f"north south east west {i} kg " for i in range(333))):
+        began = time.time()
+        found = b.find(text)
+        assert time.time() - began < 3 and (text.count(" 5 kg") < 300 or len(found) == 100)
+
+
+def _windows_by_hand(item, text):
+    """Passing windows of ``item`` in ``text``, every pair of places compared."""
+    w, x = item.split(), text.split()
+    (ta, pa), (tb, pb) = (tuple(c.tolist() for c in templates.canonical(y)) for y in (w, x))
+    core = lambda y: [templates._TRIM.sub("", z).lower() for z in y]
+    a, b = core(w), core(x)
+    n = templates.WINDOW
+    passed = set()
+    diagonals = {}
+    for q in range(len(w) - n + 1):
+        for p in range(len(x) - n + 1):
+            if a[q : q + n] == b[p : p + n]:
+                passed.add(q)
+            readings = [c[q : q + n] for c in (ta, pa)]
+            if any(c[p : p + n] in readings for c in (tb, pb)) and any(ta[q + k] >= 16 and a[q + k] == b[p + k] for k in range(n)):
+                diagonals.setdefault(p - q, []).append(q)
+    for d, qs in diagonals.items():
+        slots = sorted({k for q in qs for k in range(q, q + n)})
+        kind = {k: ta[k] if ta[k] < 16 else templates.NAME if a[k] != b[k + d] else 0 for k in slots}
+        there, back = {}, {}
+        for k in slots:
+            if kind[k]:
+                there.setdefault((kind[k], a[k]), b[k + d]), back.setdefault((kind[k], b[k + d]), a[k])
+        bad = {k for k in slots if kind[k] and (there[kind[k], a[k]] != b[k + d] or back[kind[k], b[k + d]] != a[k])}
+        passed |= {q for q in qs if not bad & set(range(q, q + n))}
+    return passed
+
+
+def test_windows_against_brute_force():
+    import random
+
+    rng = random.Random(8)
+    pool = ["Tom", "Anna", "buys", "sells", "apples", "5", "7", "9", "kg", "lbs", "and", "Then", "pears."]
+    for _ in range(400):
+        item = " ".join(rng.choice(pool) for _ in range(rng.randint(5, 14)))
+        text = " ".join([*(rng.choice(pool) for _ in range(3)), *(rng.choice(pool) if rng.random() < 0.2 else w for w in item.split()), *(rng.choice(pool) for _ in range(rng.randint(0, 9)))])
+        want = _windows_by_hand(item, text)
+        got = templates.Benchmark([(1, item)]).find(text)
+        if got:
+            assert got[0][1] == len(want)
+        else:
+            assert len(want) < 0.5 * (len(item.split()) - 4)

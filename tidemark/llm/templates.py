@@ -1,23 +1,28 @@
 """Benchmark decontamination (op 10) by template canonicalisation.
 
 Numbers, names and units become typed placeholders; the rest of a word is its lower-case letters.
-Windows of WINDOW such tokens of the benchmark are hashed. The windows of every document
+Windows of WINDOW such tokens of the benchmark are hashed (an item of fewer words is one window of them all, which has to
+be there as it stands). The windows of every document
 are looked up among them (a hash join, whose build side is the benchmark, broadcast within
-BROADCAST_TOKENS and in parts of that size beyond it). Hits on one diagonal, that is, with one
-distance between the places in the document and in the item, are then checked word by
-word, and their placeholders for consistency: equal values in the item must be equal in the
-document, and different ones different; windows whose words are equal as they stand pass in any case. What
+BROADCAST_TOKENS and in parts of that size beyond it). Windows whose words are equal as they stand pass; they are
+matched by distinct windows, whatever number of times either side repeats them. Of the others
+those with a literal word pass where their slots are consistent on their diagonal, that is, among the hits with one
+distance between the places in the document and in the item: equal values in the item must be equal in the
+document, and different ones different, the first value met deciding. What
 passes in at least COVERAGE of an item's windows is a copy of it. With other numbers, names or units only
 windows with a literal word can pass, so it is enough to reach COVERAGE of those (counted as WINDOW at least,
 where the item has as many windows: one window of a title says nothing).
+
+Diagonals are looked at for one item after the other, and only for items whose hits could reach the coverage, so
+that memory holds the hits of one document with one item, as arrays.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,115 +89,219 @@ def canonical(words: list[str]):
     return typed, plain
 
 
-def _window_hashes(tokens):
+class _Exact(dict):
+    """word -> hash of its letters and digits as they stand, without case."""
+
+    def __missing__(self, word: str) -> int:
+        raw = _TRIM.sub("", word).lower().encode("utf-8", "surrogatepass")
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        self[word] = code = (zlib.crc32(raw) << 28 | zlib.crc32(raw, 0x5BD1E995) >> 4) & _MASK
+        return code
+
+
+_exact = _Exact()
+
+
+def _window_hashes(tokens, size: int = WINDOW):
     import numpy as np
 
-    n = len(tokens) - WINDOW + 1
+    n = len(tokens) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     t = tokens.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, size - WINDOW, np.int64).astype(np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(WINDOW):
+        for k in range(size):
             h = (h ^ t[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return h
 
 
+def _expand(lo, hi):
+    """The numbers from lo[i] to hi[i] - 1 for each i, and the i that each stands for."""
+    import numpy as np
+
+    n = hi - lo
+    of = np.repeat(np.arange(len(lo)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
+
+
+@dataclass
+class _Item:
+    item_id: object
+    words: object  # hashes of the words as they stand
+    typed: object
+    size: int  # of its windows
+    exact: object  # hash of each window as it stands
+    literal: object  # does the window hold a literal word?
+    hashes: object  # of the windows with one, under both readings of names
+    places: object
+
+
 class Benchmark:
     """Window index of some items."""
 
     def __init__(self, items: list[tuple[object, str]]):
         import numpy as np
 
-        self.items = []
-        self.literal = []
-        hashes, where = [], []
+        self.items: list[_Item] = []
+        looked_up, exact, owner, place = [], [], [], []
         for item_id, text in items:
             words = text.split()
-            typed, plain = canonical(words)
-            if len(words) < WINDOW:
+            if not words:
                 continue
-            at = len(self.items)
-            self.items.append((item_id, [_TRIM.sub("", w).lower() for w in words], typed, plain))
-            self.literal.append(np.lib.stride_tricks.sliding_window_view(typed >= 16, WINDOW).any(1))
-            for tokens in (typed, plain):
-                h = _window_hashes(tokens)
-                hashes.append(h)
-                where.append(np.stack([np.full(len(h), at), np.arange(len(h))], 1))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        w = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
+            typed, plain = canonical(words)
+            own = np.fromiter(map(_exact.__getitem__, words), np.int64, len(words))
+            size = min(WINDOW, len(words))
+            e = _window_hashes(own, size)
+            literal = np.lib.stride_tricks.sliding_window_view(typed >= 16, size).any(1) if size == WINDOW else np.zeros(1, bool)
+            at = np.flatnonzero(literal)
+            both = [_window_hashes(t, size) for t in (typed, plain)]
+            self.items.append(_Item(item_id, own, typed, size, e, literal, np.concatenate([h[at] for h in both]), np.concatenate([at, at])))
+            looked_up += both
+            exact.append(e)
+            owner.append(np.full(len(e), len(self.items) - 1))
+            place.append(np.arange(len(e)))
+        none = [np.zeros(0, np.uint64)]
+        self.sizes = sorted({x.size for x in self.items})
+        #: every window's hash under both readings
+        self.hashes = np.unique(np.concatenate(looked_up or none))
+        e = np.concatenate(exact or none)
+        order = np.argsort(e, kind="stable")
+        self.exact = e[order]
+        self.exact_at = np.stack([np.concatenate(x or none)[order].astype(np.int64) for x in (owner, place)], 1)
+        # windows with a literal word: hash -> items
+        h = np.concatenate([x.hashes for x in self.items] or none)
+        o = np.repeat(np.arange(len(self.items)), [len(x.hashes) for x in self.items])
         order = np.argsort(h, kind="stable")
-        self.hashes, self.where = h[order], w[order]
+        self.open, self.open_item = h[order], o[order]
+        self.open_place = np.concatenate([x.places for x in self.items] or none).astype(np.int64)[order]
         # a small bit table in front of the sorted hashes: most windows end here
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def find(self, text: str) -> list[tuple[object, int, float, int]]:
-        """(item_id, matched windows, coverage, first word) of the items that ``text`` holds."""
+    def _hits(self, text: str):
+        """The document's windows whose hash some item has: place, hash, hash as it stands, hashes of the words."""
         import numpy as np
 
-        if not len(self.hashes):
-            return []
-        hits: dict[tuple[int, int], dict[int, list[str]]] = defaultdict(dict)
+        found = []
         start, before = 0, []
         for words in word_parts(text, PART_CHARS):
             # a part begins with the last words of the one before; the first of them only tells whether a sentence ended
             part = before + words
-            skip = 1 if len(before) == WINDOW else 0
             typed, plain = canonical(part)
-            for tokens in (typed, plain) if (typed != plain).any() else (typed,):
-                h = _window_hashes(tokens)[skip:]
-                maybe = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                lo = np.searchsorted(self.hashes, h[maybe], "left")
-                hi = np.searchsorted(self.hashes, h[maybe], "right")
-                for p, a, b in zip((maybe[hi > lo] + skip).tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    for at, q in self.where[a:b].tolist():
-                        hits[at, start - len(before) + p - q][q] = part[p : p + WINDOW]
+            for size in self.sizes:
+                skip = max(0, len(before) - size + 1)
+                for tokens in (typed, plain) if (typed != plain).any() else (typed,):
+                    h = _window_hashes(tokens, size)[skip:]
+                    at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
+                    if len(at):
+                        i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+                        at = at[self.hashes[i] == h[at]]
+                    if not len(at):
+                        continue
+                    own = np.zeros((len(at), WINDOW), np.int64)
+                    for k in range(size):
+                        own[:, k] = [_exact[part[p]] for p in (at + skip + k).tolist()]
+                    e = np.full(len(at), size - WINDOW, np.int64).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        for k in range(size):
+                            e = (e ^ own[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                            e ^= e >> np.uint64(29)
+                    found.append((at + skip + start - len(before), h[at], e, own))
             start += len(words)
             before = part[-WINDOW:]
-        covered: dict[int, set[int]] = defaultdict(set)
-        first: dict[int, int] = {}
-        for (at, shift), found in hits.items():
-            good = self._consistent(at, found)
-            if good:
-                covered[at] |= good
-                first[at] = min(first.get(at, 1 << 62), shift + min(good))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else None
+
+    def find(self, text: str) -> list[tuple[object, int, float, int]]:
+        """(item_id, matched windows, coverage, first word) of the items that ``text`` holds."""
+        import numpy as np
+
+        hits = self._hits(text) if len(self.hashes) else None
+        if hits is None:
+            return []
+        at, h, e, own = hits
+        # the first place of each distinct window as it stands, and the items' windows that are equal to it
+        e1 = np.unique(e)
+        first_at = np.full(len(e1), 1 << 62)
+        np.minimum.at(first_at, np.searchsorted(e1, e), at)
+        rows, of = _expand(np.searchsorted(self.exact, e1, "left"), np.searchsorted(self.exact, e1, "right"))
+        same = self.exact_at[rows]
+        # what any placeholder could add
+        h1 = np.unique(h)
+        more, _ = _expand(np.searchsorted(self.open, h1, "left"), np.searchsorted(self.open, h1, "right"))
+        could = np.stack([self.open_item[more], self.open_place[more]], 1)
+        names = np.unique(np.concatenate([same[:, 0], could[:, 0]]))
+        order = np.argsort(h, kind="stable")
         out = []
-        for at, places in sorted(covered.items()):
-            item_id, own = self.items[at][:2]
-            n, literal = len(own) - WINDOW + 1, self.literal[at]
-            share = max(len(places) / n, sum(bool(literal[q]) for q in places) / max(int(literal.sum()), min(n, WINDOW)))
+        for k in names.tolist():
+            item = self.items[k]
+            mine = same[:, 0] == k
+            passed = np.zeros(len(item.exact), bool)
+            passed[same[mine, 1]] = True
+            first = int(first_at[of[mine]].min()) if mine.any() else 1 << 62
+            upper = passed.copy()
+            upper[could[could[:, 0] == k, 1]] = True
+            if self._share(item, upper) < COVERAGE:
+                continue
+            if (upper & ~passed).any():
+                p, q = self._consistent(item, at[order], h[order], e[order], own[order])
+                passed[q] = True
+                first = min(first, int(p.min())) if len(p) else first
+            share = self._share(item, passed)
             if share >= COVERAGE:
-                out.append((item_id, len(places), share, first[at]))
+                out.append((item.item_id, int(passed.sum()), share, first))
         return out
 
-    def _consistent(self, at: int, found: dict[int, list[str]]) -> set[int]:
-        """Places on one diagonal whose slots map one to one, the first value met deciding; a window
-        in which all tokens are placeholders counts only if its words are equal, as does any such window."""
-        _, own, typed, _plain = self.items[at]
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        good = set()
-        for q in sorted(found):
-            pairs, literal, equal = [], 0, 0
-            for k in range(q, q + WINDOW):
-                a, b = own[k], _TRIM.sub("", found[q][k - q]).lower()
-                if a == b:
-                    equal += 1
-                    literal += typed[k] >= 16
-                kind = int(typed[k]) if typed[k] < 16 else NAME if a != b else 0
-                if kind:
-                    pairs.append((kind, a, b))
-            if literal and all(there.get((t, a), b) == b and back.get((t, b), a) == a for t, a, b in pairs):
-                good.add(q)
-                for t, a, b in pairs:
-                    there[t, a], back[t, b] = b, a
-            elif equal == WINDOW:
-                good.add(q)
-        return good
+    @staticmethod
+    def _share(item: _Item, passed) -> float:
+        n = len(passed)
+        share = int(passed.sum()) / n
+        if item.size == WINDOW:
+            share = max(share, int((passed & item.literal).sum()) / max(int(item.literal.sum()), min(n, WINDOW)))
+        return share
+
+    @staticmethod
+    def _consistent(item: _Item, at, h, e, own):
+        """Places (in the document, in the item) of the windows with a literal word whose slots map one to one on their
+        diagonal. ``h`` is sorted."""
+        import numpy as np
+
+        r, of = _expand(np.searchsorted(h, item.hashes, "left"), np.searchsorted(h, item.hashes, "right"))
+        p, q = at[r], item.places[of]
+        # of diagonals with equal words at equal places the first is enough
+        order = np.lexsort((q, p - q))
+        r, p, q = r[order], p[order], q[order]
+        starts = np.flatnonzero(np.diff(p - q, prepend=np.iinfo(np.int64).min))
+        with np.errstate(over="ignore"):
+            x = (e[r] + q.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            marks = np.add.reduceat(x ^ (x >> np.uint64(32)), starts) if len(starts) else x
+        kept = np.zeros(len(starts), bool)
+        kept[np.unique(marks, return_index=True)[1]] = True
+        kept = np.repeat(kept, np.diff(starts, append=len(q)))
+        r, p, q = r[kept], p[kept], q[kept]
+        k = q[:, None] + np.arange(WINDOW)
+        a, b, t = item.words[k], own[r], item.typed[k]
+        literal = ((t >= 16) & (a == b)).any(1)
+        kind = np.where(t < 16, t, np.where(a != b, NAME, 0))
+        d = np.broadcast_to((p - q)[:, None], k.shape)
+        use = (kind != 0) & literal[:, None]
+        cells = [x[use] for x in (d, k, kind, a, b)]
+        wrong = np.zeros(k.shape, bool)
+        bad = np.zeros(len(cells[0]), bool)
+        for x, y in ((3, 4), (4, 3)):
+            order = np.lexsort((cells[1], cells[x], cells[2], cells[0]))
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for c in (cells[0], cells[2], cells[x]):
+                new[1:] |= c[order][1:] != c[order][:-1]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            bad[order] |= cells[y][order] != cells[y][order][lead]
+        wrong[use] = bad
+        good = literal & ~wrong.any(1)
+        return p[good], q[good]
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
@@ -212,8 +321,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_windows,
     coverage, first_word. Documents without any give no row.
 
-    Items of fewer than WINDOW words can't be recognised and never match; null texts hold nothing; null
-    ids stay null; repeated rows are reported each; other columns play no part.
+    An item of fewer than WINDOW words matches where its words stand in the text in order, whatever their case; items and
+    texts that are null or hold no word match nothing; null ids stay null; repeated rows, of either table, are reported
+    each; a very long text is read in parts; other columns play no part, whatever their names; an empty table on
+    either side gives no rows.
     """
     d = pick(docs, "doc_id", "text")
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((d, "doc_id"), (pick(benchmark, "item_id"), "item_id")))
@@ -237,7 +348,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns as they are."""
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they are, whatever their names.
+
+    Cases are those of ``contaminated``: rows with a null or empty text stay, repeated rows stay or go together, and
+    all rows stay where the benchmark is empty.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = f"c{names.index('text')}"
