@@ -57,19 +57,54 @@ def test_keep_good(spark, docs):
     assert len(ids ^ {i for i, q, _ in labels if q}) <= 4
 
 
-def test_blocked_product_is_exact():
+def vote(model, text):
+    """One score, all labelled vectors compared one by one."""
     import numpy as np
 
+    counts, sizes = quality.term_counts([text])
+    if not sizes[0]:
+        return model.prior
+    z = model.latent(counts, sizes)[0].astype(float)
+    near = sorted(((round(sum(map(float, z * v)), quality.DIGITS), y) for v, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+    least = near[min(quality.K, len(near)) - 1][0]
+    w = [(max(c, 0.0) ** 4, y) for c, y in near if c >= least]
+    total = sum(x for x, _ in w)
+    return float(np.clip(sum(x * y for x, y in w) / total, 0, 1)) if total > 1e-12 else model.prior
+
+
+def test_blocked_product_is_exact():
     rows, labels = corpus(60)
+    rows, labels = rows * 2, labels * 2  # every vector ties with another
     texts = [t for _, t in rows]
     counts, sizes = quality.term_counts(texts)
     m = quality.fit_counts(counts, sizes, [q for _, q, _ in labels], 0.5)
-    z = m.latent(counts, sizes)
-    for i, s in enumerate(m.score(texts)):
-        sims = z[i] @ m.vectors.T
-        near = np.argsort(-sims, kind="stable")[: quality.K]
-        w = np.maximum(sims[near], 0).astype(float) ** 4
-        assert abs(s - (w * m.labels[near]).sum() / w.sum()) < 0.1
+    for t, s in zip(texts, m.score(texts), strict=True):
+        assert abs(s - vote(m, t)) < 1e-6
+
+
+def test_whole_table_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs_, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    m = quality.fit(docs_, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.op7_neighbour_voting(spark, d).collect()}
+    want = {r["doc_id"]: vote(m, r["text"] or "") for r in docs_.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_a_hot_doc_id_sends_one_row(spark, docs, monkeypatch):
+    rows, labels = corpus(40)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hot = docs(rows).union(docs([rows[1]]).crossJoin(spark.range(20_000)).drop("id"))
+    seen, own = [], type(hot).collect
+
+    def collect(df):
+        out = own(df)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(hot), "collect", collect)
+    m = quality.fit(hot, lab)
+    assert max(seen) <= 40 and len(m.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
 
 
 def test_parts_of_long_texts(monkeypatch):

@@ -3,8 +3,9 @@
 Terms of a text are its words, the words' shapes, pairs of neighbouring shapes and repetitions of the
 previous word, hashed into DIMS counts. A bounded sample of labelled texts gives the term weights and
 a truncated singular value decomposition. The sample's latent vectors are broadcast (SAMPLE
-x LATENT numbers, whatever the input) and every document is compared with all of them, block by block.
-Its K nearest labels vote with their similarity as weight.
+x LATENT numbers, whatever the input) and every document is compared with all of them, block by block, in double
+precision. Its K nearest labels, and all that tie with the last of them, vote with the POWER-th power of their cosine
+similarity (none below zero) as weight.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ SAMPLE = 4096
 LATENT = 64
 DIMS = 4096
 K = 15
+POWER = 4
+#: Similarities are compared to so many digits, so that rounding decides no tie.
+DIGITS = 9
 THRESHOLD = 0.3
 #: Documents compared in one matrix product.
 BLOCK = 256
@@ -107,14 +111,15 @@ class Model:
         if not len(self.labels):
             return out
         k = min(K, len(self.labels))
+        known, labels = self.vectors.astype(np.float64).T, self.labels
         for a in range(0, len(texts), BLOCK):
             counts, sizes = term_counts(texts[a : a + BLOCK])
-            sims = self.latent(counts, sizes) @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
-            votes = (w * self.labels[near]).sum(1) / np.maximum(w.sum(1), 1e-12)
-            empty = (sizes == 0) | (w.sum(1) <= 1e-12)
-            out[a : a + BLOCK] = np.where(empty, self.prior, np.clip(votes, 0, 1))
+            sims = np.round(self.latent(counts, sizes).astype(np.float64) @ known, DIGITS)
+            least = np.partition(sims, -k, axis=1)[:, -k, None]
+            w = np.where(sims >= least, np.maximum(sims, 0), 0) ** POWER
+            total = w.sum(1)
+            empty = (sizes == 0) | (total <= 1e-12)
+            out[a : a + BLOCK] = np.where(empty, self.prior, np.clip((w @ labels) / np.maximum(total, 1e-12), 0, 1))
         return out
 
 
@@ -149,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows of ``docs`` outside the held-out fifth.
 
     Rows with a null doc_id, quality or text are not learnt from; a document with both labels counts for
-    neither. The sample is the smallest hashes of either label, so it is the same on every run.
+    neither; where a doc_id repeats in ``docs``, one of its texts is learnt from, the one with the smallest term counts. The
+    sample is the smallest hashes of either label (ties: the smallest doc_id), so it is the same on every run.
     """
     import numpy as np
 
@@ -164,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = zeros[:n0] + ones[: sample - n0]
     ids = spark.createDataFrame([(r["doc_id"], r["q"]) for r in chosen], known.schema)
     d = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    # doc_ids that repeat give one text each
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, BLOCK):
@@ -178,12 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     kind = d.schema["doc_id"].dataType.simpleString()
     found = d.select("doc_id", "q", "text").mapInArrow(count, f"doc_id {kind}, q int, n long, at binary, c binary")
-    rows = {}
-    for r in found.collect():
-        key = (r["n"], bytes(r["at"]), bytes(r["c"]))
-        if r["doc_id"] not in rows or key < rows[r["doc_id"]][0]:
-            rows[r["doc_id"]] = (key, r["q"])
-    rows = [rows[k] for k in sorted(rows)]
+    # the smallest of the counts where a doc_id repeats, found where it is read: one row a sampled doc_id reaches the driver
+    least = found.groupBy("doc_id").agg(F.min(F.struct("n", "at", "c", "q")).alias("r"))
+    rows = [((r["n"], bytes(r["at"]), bytes(r["c"])), r["q"]) for r in sorted(least.select("doc_id", "r.*").collect(), key=lambda r: r["doc_id"])]
     counts = np.zeros((len(rows), DIMS), np.float32)
     for i, ((_, at, c), _q) in enumerate(rows):
         counts[i, np.frombuffer(at, "<i4")] = np.frombuffer(c, "<f4")
@@ -210,8 +213,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
     Texts that are null, empty or hold no word get the labels' mean; without labels that is
-    0.5. A null doc_id is not held out and stays null. Repeated rows are scored each; other columns
-    are never read.
+    0.5. A null doc_id is not held out and stays null. Repeated rows are scored each; a very long text is counted in
+    parts; neighbours at equal distances all vote; other columns are never read, whatever their names; an empty
+    table gives no rows.
     """
     model = fit(docs, labels, sample)
     d = pick(docs, "doc_id", "text")
@@ -230,7 +234,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns as they are."""
+    """The rows of ``docs`` that the classifier accepts, with their columns as they are, whatever their names.
+
+    Cases are those of ``quality_scores``: empty texts go by the labels' mean, repeated rows stay or go together, and
+    without any label all rows stay.
+    """
     names = docs.columns
     scored = with_score(docs, fit(docs, labels, sample)).toDF(*[f"c{i}" for i in range(len(names) + 1)])
     return scored.where(F.col(f"c{len(names)}") >= threshold).drop(f"c{len(names)}").toDF(*names)
