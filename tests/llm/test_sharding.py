@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,72 @@ def test_query(spark):
     got = sharding.op5_min_cost_flow(spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert len(got) == len(texts) and all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["law"] == "bytes" and 0 <= r["shard"] < 24 for r in got)
+
+
+def test_blocks_are_cut_by_bytes(docs):
+    rows = [(i, "word " * 40) for i in range(400)] + [(None, None)] * 3
+    for blocks in (1, 4):
+        out, _ = sharding.reshard(docs(rows), F.lit(0), 3, blocks=blocks, file_bytes=5000)
+        got = out.collect()
+        assert len(got) == 403
+        for j in {r["shard"] for r in got}:
+            own = [r for r in got if r["shard"] == j]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            parts = {}
+            for r in own:
+                parts.setdefault(r["part"], []).append(r)
+            assert max(sum(r["size"] for r in x) for x in parts.values()) <= 2 * 5000
+            # a part's slots are in one run
+            assert all(max(r["slot"] for r in x) - min(r["slot"] for r in x) == len(x) - 1 for x in parts.values())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "x", 3, 9), (2, None, "y", 3, 9)], "doc_id long, text string, TEXT string, size int, part int")
+    out, _ = sharding.reshard(df, F.lit(0), 2, blocks=4)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "a"), (2, None)]
+
+
+def test_untouched_shards_keep_their_files(spark, docs, tmp_path):
+    rows = [(i, "x" * (10 if i % 4 < 3 else 200)) for i in range(400)]
+    # shards 0 to 2 are alike and stay; 3 is cut in two
+    layout = sharding.write_layout(docs(rows), F.col("doc_id") % 4, blocks=16)
+    files = lambda at: {j: sorted((x.name, x.stat().st_mtime_ns) for x in Path(f.removeprefix("file://")).glob("*.parquet")) for j, f in at.folders.items()}
+    before = files(layout)
+    even, p = sharding.reshard_files(spark, sharding.Layout({j: layout.folders[j] for j in range(3)}), 3, blocks=16)
+    assert not p.changed and p.moved == 0 and files(even) == {j: before[j] for j in range(3)}
+    blocks = [(o, k, 100) for o in range(3) for k in range(4)] + [(3, k, 100) for k in range(8)]
+    assert sharding.plan(blocks, 5).changed == {3, 4}
+    new, p = sharding.reshard_files(spark, layout, 5, blocks=16)
+    after = files(new)
+    for j in set(range(5)) - p.changed:
+        assert after[j] == before[j]
+    assert all(new.folders[j] != layout.folders.get(j) for j in p.changed & set(new.folders))
+    got = new.rows(spark).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+    assert files(layout) == before
+
+
+def test_rows_of_unchanged_shards_are_not_written(spark, docs, monkeypatch):
+    rows = [(i, "x" * 50) for i in range(240)]
+    out, p = sharding.reshard(docs(rows), F.col("doc_id") % 4, 4, blocks=16)
+    got = out.collect()
+    assert p.moved == 0 or p.changed
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+    for j in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == j) == list(range(sum(r["shard"] == j for r in got)))
+    assert sharding.plan([(o, k, 60) for o in range(4) for k in range(16)], 4).changed == set()
+
+
+def test_least_moved_bytes_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        n_old, n_new, n = rng.randint(1, 3), rng.randint(1, 3), 6
+        if n % n_new:
+            continue
+        blocks = [(rng.randrange(n_old), k, 10) for k in range(n)]
+        p = sharding.plan(blocks, n_new)
+        best = min(
+            sum(b for (o, _, b), j in zip(blocks, way, strict=True) if o != j)
+            for way in itertools.product(range(n_new), repeat=n) if all(way.count(j) == n // n_new for j in range(n_new))
+        )
+        assert p.moved == best, blocks

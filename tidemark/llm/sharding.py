@@ -4,16 +4,20 @@ A layout's documents form blocks: the documents of one old shard whose hash fall
 BLOCKS buckets. Block sizes are summed by the cluster; their table is bounded by old shards times BLOCKS,
 whatever the input. On it the driver solves a transportation problem as a minimum-cost flow, where
 a byte that stays costs nothing and a byte that moves costs one, from the old sizes to the new
-capacities. Blocks are then chosen to carry the flow. The plan names the shards that lose or gain any;
-the layout is written as a whole to a new folder, also the shards that the plan leaves as they are.
+capacities. Blocks are then chosen to carry the flow. The plan names the shards that lose or gain any, and only these are
+rewritten: the others keep their files.
+
+A shard is written in parts of about FILE_BYTES of text. Small blocks share a part; a block of more bytes is cut into
+parts by a second hash, whose counts are summed by the cluster too, so that a part is one task's work at any size.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, pick, table
@@ -22,7 +26,7 @@ SHARDS = 24
 OLD_SHARDS = 16
 #: Blocks of an old shard: with OLD_SHARDS, the bound on the table of blocks that is solved and broadcast.
 BLOCKS = 1024
-#: Bytes of text of a file of a rewritten shard, about.
+#: Bytes of text of a part of a shard, about: one task's work.
 FILE_BYTES = 64 << 20
 
 
@@ -128,41 +132,118 @@ def plan(blocks: list[tuple[int, int, int]], n_new: int) -> Plan:
     return Plan(shard, sum(b for *_, b in moves), {x for o, j, _ in moves for x in (o, j)})
 
 
-def reshard(docs: DataFrame, old_shard, n_new: int = SHARDS, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, Plan]:
-    """Rewrite ``docs`` (doc_id, text), laid out by the column ``old_shard``, into ``n_new`` shards.
+@dataclass
+class Layout:
+    """Where each shard's rows lie: its folder under the layout it was written in."""
 
-    Returns the rewritten rows (doc_id, text, size, old_shard, shard, slot), read from files under
-    shard=N in the shared folder, and the plan. A document's size is the UTF-8 bytes of its text (none for null) plus 8.
-    doc_id and text may be null or repeat: a row's block hangs on both. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    d = docs.select("doc_id", "text", old_shard.cast("int").alias("old_shard"))
+    folders: dict[int, str]
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """doc_id, text, size, old_shard, slot, part, shard of all shards."""
+        by_folder = [spark.read.parquet(f).withColumn("shard", F.lit(j)) for j, f in sorted(self.folders.items())]
+        return reduce(DataFrame.unionByName, by_folder)
+
+
+def _sized(docs: DataFrame, old_shard: Column, blocks: int) -> DataFrame:
+    d = pick(docs.select("*", old_shard.cast("int").alias("_old_shard")), "doc_id", "text", "_old_shard").withColumnRenamed("_old_shard", "old_shard")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    bucket = F.pmod(F.xxhash64("doc_id", F.length("text"), F.crc32("text")), F.lit(blocks)).cast("int")
-    d = d.withColumn("size", size).withColumn("bucket", bucket)
-    sums = d.groupBy("old_shard", "bucket").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-    p = plan([(r["old_shard"], r["bucket"], r["b"]) for r in sums], n_new)
-    # a shard's files are its parts; a part's first slot is known from the blocks' counts
+    d = d.withColumn("size", size).withColumn("h", F.xxhash64("doc_id", F.length("text"), F.crc32("text")))
+    return d.withColumn("bucket", F.pmod("h", F.lit(blocks)).cast("int"))
+
+
+def _placed(d: DataFrame, sums: list, p: Plan, file_bytes: int) -> DataFrame:
+    """Rows with shard, part and slot, of the shards that change."""
+    spark = d.sparkSession
     per: dict[int, list] = {}
     for r in sums:
         per.setdefault(p.shard[r["old_shard"], r["bucket"]], []).append(r)
-    rows = []
-    for j, held in per.items():
-        held.sort(key=lambda r: (r["old_shard"], r["bucket"]))
-        parts, filled, before, at = 0, 0, 0, 0
-        for r in held:
-            if filled and filled + r["b"] > file_bytes:
-                parts, filled, before = parts + 1, 0, at
-            filled, at = filled + r["b"], at + r["n"]
-            rows.append((r["old_shard"], r["bucket"], j, parts, before))
-    where = spark.createDataFrame(rows, "old_shard int, bucket int, shard int, part int, before long")
+    rows, cut_blocks = [], False
+    for j in p.changed & per.keys():
+        parts, filled, at = 0, 0, 0
+        before = 0
+        for r in sorted(per[j], key=lambda r: (r["old_shard"], r["bucket"])):
+            subs = -(-r["b"] // file_bytes)
+            cut_blocks |= subs > 1
+            if filled and (subs > 1 or filled + r["b"] > file_bytes):
+                parts, filled = parts + 1, 0
+            if not filled:
+                before = at
+            rows.append((r["old_shard"], r["bucket"], j, parts, subs, at if subs > 1 else before))
+            if subs > 1:
+                parts, filled = parts + subs, 0
+            else:
+                filled += r["b"]
+            at += r["n"]
+    where = spark.createDataFrame(rows, "old_shard int, bucket int, shard int, part int, subs long, before long")
     placed = d.join(F.broadcast(where), ["old_shard", "bucket"])
+    sub = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("h"), F.col("subs"))).otherwise(F.lit(0)).cast("int")
+    placed = placed.withColumn("sub", sub).withColumn("part", F.col("part") + F.col("sub"))
+    if cut_blocks:
+        # where a part begins within its block is known from the counts of the parts before it
+        block = ["old_shard", "bucket"]
+        counts = placed.where("subs > 1").groupBy(*block, "sub").agg(F.count("*").alias("n"))
+        earlier = Window.partitionBy(*block).orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*block, "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
+        placed = placed.join(counts, [*block, "sub"], "left").withColumn("before", F.col("before") + F.coalesce("skipped", F.lit(0)))
     in_part = Window.partitionBy("shard", "part").orderBy("old_shard", "bucket", "doc_id", F.crc32("text"))
     placed = placed.withColumn("slot", F.col("before") + F.row_number().over(in_part) - 1)
+    return placed.select("doc_id", "text", "size", "old_shard", "slot", "part", "shard")
+
+
+def _summed(d: DataFrame) -> list:
+    return d.groupBy("old_shard", "bucket").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_new: int = SHARDS, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, Plan]:
+    """``docs`` (doc_id, text), laid out by the column ``old_shard``, in ``n_new`` shards of near equal bytes.
+
+    Returns the rows (doc_id, text, size, old_shard, shard, part, slot) and the plan. Rows of shards that change are written under
+    shard=N in the shared folder and read from there; those of the others are not written: they are read where they lie and
+    numbered as their shard's only blocks. A document's size is the UTF-8 bytes of its text (none for null) plus 8.
+
+    The law is ``bytes`` alone: equal texts form no groups that would have to stay together. doc_id and text may be null or
+    repeat: a row's block and part hang on both, so that only rows equal in both share a part whatever their number (ties in
+    slots fall to any of them). A very long text is one row of its part. Other columns play no part, whatever their names. An
+    empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    d = _sized(docs, old_shard, blocks)
+    sums = _summed(d)
+    p = plan([(r["old_shard"], r["bucket"], r["b"]) for r in sums], n_new)
     folder = new_folder(spark, "shards")
-    placed.select("doc_id", "text", "size", "old_shard", "slot", "shard").write.partitionBy("shard").parquet(folder)
-    schema = placed.select("doc_id", "text", "size", "old_shard", "slot", "shard").schema
-    return spark.read.schema(schema).parquet(folder), p
+    written = _placed(d, sums, p, file_bytes)
+    written.write.partitionBy("shard").parquet(folder)
+    rows = spark.read.schema(written.schema).parquet(folder)
+    if still := sorted({j for j in p.shard.values()} - p.changed):
+        # their blocks are all their own, so that the plan of nothing but them numbers their rows
+        own = Plan({k: j for k, j in p.shard.items() if j in still}, 0, set(still))
+        kept = _placed(d.where(F.col("old_shard").isin(still)), [r for r in sums if r["old_shard"] in still], own, file_bytes)
+        rows = rows.unionByName(kept)
+    return rows, p
+
+
+def write_layout(docs: DataFrame, shard: Column, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> Layout:
+    """``docs`` (doc_id, text) written as the layout that the column ``shard`` names, a folder a shard."""
+    spark = docs.sparkSession
+    d = _sized(docs, shard, blocks)
+    sums = _summed(d)
+    p = Plan({(r["old_shard"], r["bucket"]): r["old_shard"] for r in sums}, 0, {r["old_shard"] for r in sums})
+    folder = new_folder(spark, "layout")
+    _placed(d, sums, p, file_bytes).write.partitionBy("shard").parquet(folder)
+    return Layout({j: f"{folder}/shard={j}" for j in sorted(p.changed)})
+
+
+def reshard_files(spark: SparkSession, layout: Layout, n_new: int = SHARDS, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> tuple[Layout, Plan]:
+    """The layout in ``n_new`` shards: shards that change are written to a new folder, the others keep their files."""
+    old = layout.rows(spark)
+    d = _sized(old, F.col("shard"), blocks)
+    sums = _summed(d)
+    p = plan([(r["old_shard"], r["bucket"], r["b"]) for r in sums], n_new)
+    folder = new_folder(spark, "layout")
+    if p.changed:
+        _placed(d, sums, p, file_bytes).write.partitionBy("shard").parquet(folder)
+    held = sorted(set(p.shard.values()))
+    return Layout({j: f"{folder}/shard={j}" if j in p.changed else layout.folders[j] for j in held}), p
 
 
 def source_layout(docs: DataFrame, n_old: int = OLD_SHARDS) -> DataFrame:
