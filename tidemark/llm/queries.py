@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL for those that SQL can express.
 
-Ops 2 to 4 and 6 to 10 rest on iteration, library vocabularies, learning or parsing that SQL can't express or
+Ops 3 to 7, 9 and 10 rest on 64-bit hashes, library vocabularies, flows, learning or parsing that SQL can't express or
 not on whole tables; tests/llm holds them against brute force, exact round trips and held-out rows.
 """
 
@@ -21,4 +21,4 @@ QUERIES = {
     "op10_template_windows": templates.op10_template_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_snapshot_collapse": chat.OP1_SQL, "op8_gzip_normaliser": warc.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_snapshot_collapse": chat.OP1_SQL, "op2_epsilon_grid_join": ego.OP2_SQL, "op8_gzip_normaliser": warc.OP8_SQL}
