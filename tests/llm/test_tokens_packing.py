@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -103,3 +104,15 @@ def test_best_fit_is_bounded(open_bins):
         assert used[b] <= 100 and bins.open <= open_bins
     assert sorted(bins.partly()) == sorted((b, n) for b, n in used.items() if n < 100)
     assert packing.cut_lengths(100, 100) == [100] and packing.cut_lengths(250, 100) == [50, 100, 100] and packing.cut_lengths(200, 100) == [100, 100]
+
+
+def test_byte_batches():
+    from tidemark.llm.common import byte_batches
+
+    assert list(byte_batches([], 10)) == [] and list(byte_batches([0, 0], 10)) == [(0, 2)]
+    rng = random.Random(3)
+    sizes = [rng.randrange(100) for _ in range(1000)]
+    got = list(byte_batches(sizes, 1000))
+    assert [a for a, _ in got] == [0, *(b for _, b in got[:-1])] and got[-1][1] == 1000
+    assert max(sum(sizes[a:b]) for a, b in got) <= 1100 and min(sum(sizes[a:b]) for a, b in got) >= 800
+    assert (1, 2) in list(byte_batches([5, 10_000, 5, 5], 1000))

@@ -12,6 +12,7 @@ from ..shipping import ship
 
 __all__ = ["byte_batches", "components", "cut", "drop_folder", "new_folder", "pick", "qualified", "shared_dir", "table", "word_parts"]
 
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as Spark would resolve it, for code that opens files itself."""
     jvm = spark.sparkContext._jvm
@@ -46,16 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_batches(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters each; one longer text stands alone."""
+def byte_batches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes in bytes, as few as ``limit`` bytes each allow and of near equal sizes; a text that is
+    longer than a range stands alone."""
+    total = sum(sizes)
+    target = total / max(1, -(-total // limit))
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if i > start and size + n / 2 > target:  # the cut nearest to the target
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def word_parts(text: str, limit: int) -> Iterator[list[str]]:

@@ -1,6 +1,6 @@
 """Token counts (op 6), and the byte-level encoder that packing (op 4) shares.
 
-Texts are encoded in Arrow functions, in sub-batches of about ``batch_chars`` characters. Every
+Texts are encoded in Arrow functions, in sub-batches of near equal sizes of at most about BATCH_BYTES. Every
 text, also a very long one, is split at boundaries that no token can cross, and each part that has not
 been seen lately is encoded by the library, all new parts of a sub-batch in one call; only lengths
 leave the function.
@@ -19,6 +19,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import byte_batches, pick, table
@@ -26,6 +27,8 @@ from .common import byte_batches, pick, table
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Parts that one Python worker remembers; a bound on its memory (some 100 MB), not on what is counted.
 MEMORY_PARTS = 500_000
+BATCH_BYTES = 2_000_000
+#: Characters of one part of a very long text.
 BATCH_CHARS = 2_000_000
 
 _loaded: dict = {}
@@ -52,7 +55,8 @@ class PieceCounter:
     def count(self, texts: list[str]) -> list[int]:
         """One number a text; sub-batches, and parts of long texts, keep the memory of one call bounded."""
         out: list[int] = []
-        for a, b in byte_batches(texts, BATCH_CHARS):
+        sizes = pc.binary_length(pa.array(texts, pa.large_string())).to_pylist()
+        for a, b in byte_batches(sizes, BATCH_BYTES):
             if self.safe and b == a + 1 and len(texts[a]) > 2 * BATCH_CHARS:
                 out.append(sum(self._count([part])[0] for part in self._parts(texts[a])))
             else:
@@ -128,8 +132,8 @@ def token_counts(docs: DataFrame, limit: int = 4096, model: str = PIECE_MODEL, p
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; a null doc_id
-    stays null; columns other than the two are ignored. No shuffle; memory is bounded by
-    BATCH_CHARS, the longest text and MEMORY_PARTS.
+    stays null; columns other than the two are ignored, whatever their names; an empty table gives no rows. No shuffle;
+    memory is bounded by BATCH_BYTES, the longest text and MEMORY_PARTS.
     """
     d = pick(docs, "doc_id", "text")
 
@@ -138,8 +142,8 @@ def token_counts(docs: DataFrame, limit: int = 4096, model: str = PIECE_MODEL, p
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = pa.array(counter.count(texts), pa.int64())
-            size = pa.compute.cast(pa.compute.coalesce(pa.compute.binary_length(b.column("text")), 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            size = pc.cast(pc.coalesce(pc.binary_length(b.column("text")), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
