@@ -63,3 +63,17 @@ def test_empty(spark):
 
 def test_against_sql(spark, duck, same, data_dir):
     same(warc.op8_gzip_normaliser(spark, data_dir).toPandas(), duck.sql(warc.OP8_SQL).df())
+
+
+def test_ranges(monkeypatch):
+    members = [gzip.compress(bytes([i]) * 50) for i in range(20)]
+    raw, lines, at = b"", [], 0
+    for i, m in enumerate(members):
+        if i % 7 == 3:  # a gap
+            raw, at = raw + b"?" * 9, at + 9
+        lines.append(f"{at}\t{len(m)}\tresponse\t{i}".encode())
+        raw, at = raw + m, at + len(m)
+    for n in (1, 100, 1 << 20):
+        monkeypatch.setattr(warc, "RANGE_BYTES", n)
+        assert [m for _, _, m in warc._members(io.BytesIO(raw), iter(lines))] == members
+    assert list(warc._members(io.BytesIO(raw), iter([]))) == []

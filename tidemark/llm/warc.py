@@ -27,6 +27,8 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 4
 CHUNK = 1 << 20
+#: Members that lie side by side are read in ranges of about so many bytes.
+RANGE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -169,16 +171,14 @@ def read_back(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
                 _, index_path = _at(index)
                 out = []
                 with fs.open_input_file(path) as f, fs.open_input_stream(index_path, compression=None) as s:
-                    for line in _lines(s):
-                        offset, length, kind, _id = line.split(b"\t")
-                        f.seek(int(offset))
-                        head, _, rest = zlib.decompress(f.read(int(length)), 31).partition(b"\r\n\r\n")
+                    for kind, offset, member in _members(f, _lines(s)):
+                        head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
                         h = headers(head)
                         http, _, body = rest[: int(h["content-length"])].partition(b"\r\n\r\n")
                         digest = h["warc-payload-digest"].removeprefix("sha256:")
                         size = int(headers(http)["content-length"])
                         if kind == b"response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != size):
-                            raise ValueError(f"{name}: the payload at {int(offset)} differs from its digest")
+                            raise ValueError(f"{name}: the payload at {offset} differs from its digest")
                         out.append((page(h["warc-record-id"]), size, digest, h["warc-type"], page(h.get("warc-refers-to"))))
                         if len(out) == 5000:
                             yield batch(out)
@@ -194,6 +194,28 @@ def read_back(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
     return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
+def _members(f, lines: Iterator[bytes]) -> Iterator[tuple[bytes, int, bytes]]:
+    """(type, offset, gzip member) of each line of an index, read in ranges of neighbouring members."""
+    held: list[tuple[bytes, int, int]] = []
+
+    def read() -> Iterator[tuple[bytes, int, bytes]]:
+        start = held[0][1]
+        f.seek(start)
+        raw = f.read(held[-1][1] + held[-1][2] - start)
+        for kind, offset, length in held:
+            yield kind, offset, raw[offset - start : offset - start + length]
+        held.clear()
+
+    for line in lines:
+        at, n, kind, _id = line.split(b"\t")
+        offset, length = int(at), int(n)
+        if held and (held[-1][1] + held[-1][2] != offset or offset + length - held[0][1] > RANGE_BYTES):
+            yield from read()
+        held.append((kind, offset, length))
+    if held:
+        yield from read()
+
+
 def _lines(stream) -> Iterator[bytes]:
     held = b""
     while chunk := stream.read(CHUNK):
