@@ -1,6 +1,7 @@
 """Best-fit packing (op 4): bounded-space online best-fit.
 
-Each task packs the pieces of its documents as they stream by. A fixed number of bins is open, in a bit
+Each task packs the pieces of its documents as they stream by, batch by batch; the pieces of one Arrow batch are placed longest
+first, so that the packing is online from batch to batch and not from row to row. A fixed number of bins is open, in a bit
 set keyed by free space: the lowest bit at or above a piece's length is the bin that it fits best; when
 all bins are open and none fits, the fullest closes. What the tasks leave partly filled
 is packed once more, whole bins at a time, by the same rule.
@@ -81,7 +82,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Only documents
     longer than ``capacity`` are cut. Repeated rows are packed each. doc_id may be null or repeat;
-    other columns are ignored; an empty table gives no rows. Texts are encoded once, where they are read,
+    other columns are ignored, whatever their names; an empty table gives no rows; a very long text is encoded in parts; pieces
+    of equal length are placed in the order of their rows. Texts are encoded once, where they are read,
     and never shuffled; only the pieces' numbers are written and joined.
     """
     d = pick(docs, "doc_id", "text")
