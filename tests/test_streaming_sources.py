@@ -34,6 +34,26 @@ def test_budget_refusals_spend_nothing():
     assert out == [True, True, False, True, True, False]
 
 
+def test_governor_bands():
+    steps = [("nominal", 71, "warm"), ("warm", 67.5, "warm"), ("nominal", 67.5, "nominal"), ("warm", 66, "nominal"), ("warm", 84, "hot"), ("hot", 81, "hot"), ("hot", 80.9, "warm"), ("throttled", 82, "warm"), ("throttled", 60, "nominal"), ("throttled", None, "hot"), ("warm", None, "warm")]
+    assert [machines.governor(now, t, False) for now, t, _ in steps] == [want for *_, want in steps]
+    assert machines.governor("nominal", 20, True) == "throttled"
+
+
+def test_folds_do_not_depend_on_the_time_zone(spark):
+    rows = [("a", f"2024-03-{d:02d} {h:02d}:30:00", d * 100 + h, float(h % 3 != 0)) for d in (9, 10, 11) for h in range(24)]
+    df = spark.createDataFrame(rows, "source string, at string, seq long, v double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    calls, asks = df.withColumn("ok", F.col("v") > 0), df.select(F.col("source").alias("provider"), "at", "seq", (F.col("seq") % 7 + 1).cast("double").alias("units"))
+    got, zone = [], spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Dhaka"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append((sorted(map(tuple, machines.circuit_states(calls, 2, 5400.0).collect())), sorted(map(tuple, machines.budget_grants(asks, 50.0).collect()))))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got[0] == got[1] == got[2]
+
+
 def samples(spark, n=200):
     df = spark.range(n).select(F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("unit"), F.col("id").alias("seq"), (F.col("id") * 37 % 50 + 50).cast("double").alias("value"), (F.col("id") % 31 == 0).alias("undervoltage"))
     return df.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))

@@ -114,16 +114,30 @@ def surface_phrases(surfaces: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(surfaces, lambda x: lookup(C.SURFACE_PHRASES, x))))
 
 
+#: Raised with every change to the arithmetic of this module, which no hash of the values can see.
+ARITHMETIC = 1
+#: The constants that decide a score. Phrases are not among them: rewording one must not make a score stale.
+CALIBRATION = (
+    "TRIGGERS", "COMPONENTS", "PENALTIES", "SANCTIONED_COUNTRIES", "TIERS", "BAND_POINTS", "UNKNOWN_BAND_POINTS", "BAND_FROM_ROLES", "SECTOR_BONUS", "LOCAL_BONUS", "NO_SECURITY_HIRE_BONUS",
+    "AI_SURFACE_POINTS", "SPRAWL_POINTS", "HYGIENE_POINTS", "SPRAWL_SUBDOMAINS", "REACHABILITY", "NAMED_CONTACT_POINTS", "FRESHNESS_ZERO_DAYS", "STALE_DAYS", "LOCAL_TLDS", "LOCAL_COUNTRIES",
+)
+#: Those that decide a verdict of the gate.
+GATE = ("EXCLUDED_SECTORS", "MAX_EMPLOYEES", "BAND_TO_MAX", "GOVERNMENT_SUFFIXES", "GOVERNMENT_WORDS", "INFRASTRUCTURE_WORDS", "COMPETITOR_WORDS", "PERSONAL_EMAIL_DOMAINS")
+
+
+def _stamp(names: tuple[str, ...], *more) -> str:
+    plain = lambda v: sorted(v, key=repr) if isinstance(v, tuple) else v
+    return hashlib.sha256(json.dumps([*more, {n: plain(getattr(C, n)) for n in names}], sort_keys=True).encode()).hexdigest()[:16]
+
+
 def fingerprint() -> str:
-    """Identity of the calibration: 16 hex digits over all numbers that decide a score."""
-    numbers = {"t": C.TRIGGERS, "c": C.COMPONENTS, "p": C.PENALTIES, "tiers": C.TIERS, "bands": C.BAND_POINTS, "roles": C.BAND_FROM_ROLES, "reach": C.REACHABILITY, "fresh": C.FRESHNESS_ZERO_DAYS,
-               "bonus": [C.SECTOR_BONUS, C.LOCAL_BONUS, C.NO_SECURITY_HIRE_BONUS, C.AI_SURFACE_POINTS, C.SPRAWL_POINTS, C.HYGIENE_POINTS]}
-    return hashlib.sha256(json.dumps(numbers, sort_keys=True).encode()).hexdigest()[:16]
+    """Identity of the calibration: 16 hex digits over all values that decide a score."""
+    return _stamp(CALIBRATION, ARITHMETIC)
 
 
 def gate_fingerprint() -> str:
-    rules = {"sectors": sorted(C.EXCLUDED_SECTORS), "max": C.MAX_EMPLOYEES, "gov": sorted(C.GOVERNMENT_SUFFIXES), "words": sorted(C.GOVERNMENT_WORDS + C.INFRASTRUCTURE_WORDS + C.COMPETITOR_WORDS)}
-    return hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()[:16]
+    """Identity of the compliance rules."""
+    return _stamp(GATE)
 
 
 def calibration_version() -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PAGE_CHARS, PAGE_ROWS
@@ -38,13 +38,13 @@ def digest_pages(rows: DataFrame, key: str, order: str, size: str, group: str |
     g = F.lit("all") if group is None else F.col(group).cast("string")
     given = rows.select(g.alias("g"), F.col(order).alias("o"), F.col(key).alias("k"), F.col(size).cast("long").alias("s"))
 
-    def step(state, r):
+    def step(state, own, k, s):
         page, n, used = state or (0, 0, 0)
-        if n and (n >= page_rows or used + r["s"] > page_chars):
+        if n and (n >= page_rows or used + s > page_chars):
             page, n, used = page + 1, 0, 0
-        return (page, n + 1, used + r["s"]), {"g": r["g"], "k": r["k"], "page": page}
+        return (page, n + 1, used + s), (own, k, page)
 
-    return fold(given, "g", ["o", "k"], step, f"g string, k {kind}, page int", ["g", "o", "k", "s"]).withColumnRenamed("k", key)
+    return fold(given, "g", ["o", "k"], step, f"g string, k {kind}, page int", ["k", "s"]).withColumnRenamed("k", key)
 
 
 def new_dispatches(leads: DataFrame, log: DataFrame) -> DataFrame:
@@ -67,7 +67,3 @@ def markdown(rows: DataFrame, title: str) -> str:
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()]
     return "\n".join(lines)
-
-
-def ranked(rows: DataFrame, by: str, key: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), key)))

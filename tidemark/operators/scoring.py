@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PERSONAL_EMAIL_DOMAINS
+from ..config import PERSONAL_EMAIL_DOMAINS, STALE_DAYS
 from ..functions import dns, email, rules, score
 from ..functions.dates import age_days
 from ..functions.ids import lead_id
@@ -59,7 +59,7 @@ def scored(given: DataFrame, anti_icp: Column | None = None, sectors: tuple[str,
         "reachability": score.reachability_component(c("status"), c("named")),
         "surface": score.surface_component(c("ai_surface"), c("subdomains"), c("gap")),
         "freshness": score.freshness_component(c("newest")),
-        "penalties": score.penalty_map(F.lit(False) if anti_icp is None else anti_icp, c("is_suppressed"), c("newest") > 180, c("country"), c("n_sources"), c("n_triggers")),
+        "penalties": score.penalty_map(F.lit(False) if anti_icp is None else anti_icp, c("is_suppressed"), c("newest") > STALE_DAYS, c("country"), c("n_sources"), c("n_triggers")),
     })
     names = list(score.C.COMPONENTS)
     out = out.withColumn("components", F.create_map(*[x for n in names for x in (F.lit(n), c(n))]))

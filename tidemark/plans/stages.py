@@ -15,11 +15,18 @@ Model = Callable[[DataFrame], DataFrame]
 
 
 def harvest(hits: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates of hits whose target is a company's and new; and the yield by template."""
+    """Candidates of hits whose target is a company's and new; and the yield by template.
+
+    A target that several hits name is one candidate, of the first template by name; the yield counts as ``candidates`` what is
+    new, as ``dropped`` the hits without a company's URL, so that a template that finds only what is known looks exhausted.
+    """
     h = hits.withColumn("target", extraction_target(F.col("url"), F.col("homepage")))
-    new = h.where("target IS NOT NULL").dropDuplicates(["target"]).join(seen.select(F.col("url").alias("target")), "target", "left_anti")
-    y = h.groupBy("template").agg(F.count("*").alias("hits"), F.count("target").alias("candidates"), F.count_if(F.col("target").isNull()).alias("dropped"))
-    return new, y
+    columns = h.columns
+    first = h.where("target IS NOT NULL").groupBy("target").agg(F.min_by(F.struct(*columns), F.struct("template", "url")).alias("h")).select("h.*")
+    new = first.join(seen.select(F.col("url").alias("target")), "target", "left_anti")
+    found = new.groupBy("template").agg(F.count("*").alias("candidates"))
+    y = h.groupBy("template").agg(F.count("*").alias("hits"), F.count_if(F.col("target").isNull()).alias("dropped"))
+    return new, y.join(found, "template", "left").select("template", "hits", F.coalesce("candidates", F.lit(0)).alias("candidates"), "dropped")
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..config import BREAKER_FAILURES, BREAKER_SECONDS, HOT_AT, HYSTERESIS, WARM_AT
-
+from ..config import BREAKER_FAILURES, BREAKER_SECONDS, HYSTERESIS, THERMAL_BANDS
 
 
 def governor(state: str | None, temp: float | None, undervoltage: bool) -> str:
@@ -25,14 +24,9 @@ def governor(state: str | None, temp: float | None, undervoltage: bool) -> str:
     if undervoltage:
         return "throttled"
     if temp is None or temp != temp:
-        return "hot" if now == "throttled" else now
-    if temp >= HOT_AT:
-        return "hot"
-    if temp >= WARM_AT:
-        return "hot" if now == "hot" and temp >= HOT_AT - HYSTERESIS else "warm"
-    if temp >= WARM_AT - HYSTERESIS and now in ("warm", "hot", "throttled"):
-        return "warm"
-    return "nominal"
+        return {"throttled": "hot"}.get(now, now)
+    held = [name for name, (begins, holds) in THERMAL_BANDS.items() if temp >= begins - (HYSTERESIS if now in holds else 0.0)]
+    return held[-1] if held else "nominal"
 
 
 def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold: int = BREAKER_FAILURES, cooldown: float = BREAKER_SECONDS) -> tuple[tuple[str, int, float], bool]:
@@ -64,58 +58,62 @@ def budget(state: list[tuple[int, float]] | None, hour: int, units: float, soft_
     return held, True
 
 
-def fold(rows: DataFrame, key: str, order: list[str], step: Callable[[Any, dict], tuple[Any, dict]], out: str, columns: list[str]) -> DataFrame:
-    """Fold each key's rows in order: ``step(state, row) -> (state, output row)``; ``out`` is the output's schema."""
+def fold(rows: DataFrame, key: str, order: list[str], step: Callable[..., tuple[Any, tuple]], out: str, columns: list[str]) -> DataFrame:
+    """Fold each key's rows in order: ``step(state, key, *columns) -> (state, output row)``; ``out`` is the output's schema.
+
+    A key's rows lie in one partition, in order; only its state is held, and rows are read column by column.
+    """
     names = list(dict.fromkeys([key, *order, *columns]))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*names).repartition(n, key).sortWithinPartitions(key, *order)
-    schema = _parse_datatype_string(out)
-    fields, arrow = schema.names, to_arrow_schema(schema)
+    dealt = rows.select(*names).repartition(key).sortWithinPartitions(key, *order)
+    arrow = to_arrow_schema(_parse_datatype_string(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for b in batches:
             made = []
-            for row in b.to_pylist():
-                if row[key] != now:
-                    now, state = row[key], None
-                state, result = step(state, row)
+            for own, *values in zip(b.column(key).to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
+                if own != now:
+                    now, state = own, None
+                state, result = step(state, own, *values)
                 made.append(result)
             if made:
-                yield pa.RecordBatch.from_pylist([{f: m[f] for f in fields} for m in made], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
     return dealt.mapInArrow(run, out)
 
 
+def _with_micros(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``us``: microseconds of ``at`` since the epoch; a time without a zone counts as UTC, on every worker alike."""
+    naive = rows.schema["at"].dataType.simpleString() == "timestamp_ntz"
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return rows.withColumn("us", F.timestamp_diff("MICROSECOND", zero, "at") if naive else F.unix_micros("at"))
+
+
 def governor_states(samples: DataFrame) -> DataFrame:
     """unit, seq, state for samples (unit, at, seq, value, undervoltage)."""
 
-    def step(state, r):
-        new = governor(state, r["value"], bool(r["undervoltage"]))
-        return new, {"unit": r["unit"], "seq": r["seq"], "state": new}
+    def step(state, unit, seq, value, undervoltage):
+        new = governor(state, value, bool(undervoltage))
+        return new, (unit, seq, new)
 
-    return fold(samples, "unit", ["at", "seq"], step, "unit string, seq long, state string", ["unit", "at", "seq", "value", "undervoltage"])
+    return fold(samples, "unit", ["at", "seq"], step, "unit string, seq long, state string", ["seq", "value", "undervoltage"])
 
 
 def circuit_states(calls: DataFrame, threshold: int = BREAKER_FAILURES, cooldown: float = BREAKER_SECONDS) -> DataFrame:
     """source, seq, state, admitted for calls (source, at, seq, ok)."""
 
-    def step(state, r):
-        new, admitted = breaker(state, r["at"].timestamp(), bool(r["ok"]), threshold, cooldown)
-        return new, {"source": r["source"], "seq": r["seq"], "state": new[0], "admitted": admitted}
+    def step(state, source, us, seq, ok):
+        new, admitted = breaker(state, us / 1e6, bool(ok), threshold, cooldown)
+        return new, (source, seq, new[0], admitted)
 
-    return fold(calls, "source", ["at", "seq"], step, "source string, seq long, state string, admitted boolean", ["source", "at", "seq", "ok"])
+    return fold(_with_micros(calls), "source", ["at", "seq"], step, "source string, seq long, state string, admitted boolean", ["us", "seq", "ok"])
 
 
 def budget_grants(requests: DataFrame, soft_cap: float, hours: int = 24) -> DataFrame:
     """provider, seq, granted for requests (provider, at, seq, units)."""
 
-    def step(state, r):
-        new, ok = budget(state, int(r["at"].timestamp() // 3600), float(r["units"]), soft_cap, hours)
-        return new, {"provider": r["provider"], "seq": r["seq"], "granted": ok}
-
-    return fold(requests, "provider", ["at", "seq"], step, "provider string, seq long, granted boolean", ["provider", "at", "seq", "units"])
-
+    def step(state, provider, us, seq, units):
+        new, ok = budget(state, us // 3_600_000_000, float(units), soft_cap, hours)
+        return new, (provider, seq, ok)
 
-def hour_of(ts):
-    return F.date_trunc("hour", ts)
+    return fold(_with_micros(requests), "provider", ["at", "seq"], step, "provider string, seq long, granted boolean", ["us", "seq", "units"])
