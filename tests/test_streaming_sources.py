@@ -1,6 +1,7 @@
 """State machines in batch and as streams, and landed source files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,16 +62,18 @@ def samples(spark, n=200):
 
 def test_governor_stream_equals_batch(spark, tmp_path):
     s = samples(spark)
-    for i in range(4):
+    seen: set = set()
+    for i in range(4):  # files are read in the order of their times
         s.where(F.col("seq").between(i * 50, i * 50 + 49)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("*.parquet")) - seen:
+            os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+            seen.add(f)
     want = {(r["unit"], r["seq"]): r["state"] for r in machines.governor_states(s).collect()}
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = streams.governor_stream(stream).writeStream.format("memory").queryName("governor").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     got = {(r["unit"], r["seq"]): r["state"] for r in spark.table("governor").collect()}
-    assert set(got) == set(want)
-    # files may arrive in any order; within a key the rows of one trigger are folded in order
-    assert sum(got[k] == want[k] for k in want) >= 0.8 * len(want)
+    assert got == want
 
 
 def test_rolling_units_and_sessions(spark, tmp_path):

@@ -166,23 +166,41 @@ def calibration_staleness(s, d):
 # ------------------------------------------------------------------------------------------------ compliance
 
 
+def _gate_leads(s, d):
+    """Leads, some of whose names, sectors and domains break a rule each, so that every rule fires."""
+    k = F.col("k")
+    name = F.when(k % 23 == 1, F.concat("display_name", F.lit(" Ministry"))).when(k % 29 == 1, F.concat("display_name", F.lit(" Red Team"))).otherwise(F.col("display_name"))
+    domain = F.when(k % 19 == 1, F.concat(F.lit("c"), k.cast("string"), F.lit(".gov.bd"))).when(k % 43 == 1, "").otherwise(F.col("domain"))
+    return leads(s, d).withColumns({"display_name": name, "industry": F.when(k % 31 == 1, "News Media").otherwise(F.col("industry")), "domain": domain})
+
+
 def _review(s, d):
     live = scoring.live_triggers(B.triggers(s, d), B.as_of()).select("k", "trigger_id")
     urls = live.join(B.evidence(s, d), "trigger_id").groupBy("k").agg(F.array(F.min("url")).alias("urls"))
-    return scoring.reviewed(leads(s, d), B.contacts(s, d), urls)
+    free = F.when(F.col("email").isNotNull() & (F.col("contact_id") % 13 == 0), "someone@gmail.com").otherwise(F.col("email"))
+    return scoring.reviewed(_gate_leads(s, d), B.contacts(s, d).withColumn("email", free), urls)
 
 
-_checks = """SELECT k, domain, n_sources > 0 AS has_evidence, n_triggers > 0 AS has_trigger, NOT is_suppressed AS not_suppressed,
-  band IS NULL OR band <> '1000+' AS under_employee_ceiling FROM leads"""
+_words = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_none_of = lambda xs: f"len(list_filter({_words(xs)}, lambda w: contains(about, w))) = 0"
+_RULES = (
+    "has_evidence", "has_trigger", "not_suppressed", "is_business_not_individual", "no_personal_email", "under_employee_ceiling", "not_government_or_cni", "not_a_competitor", "not_an_excluded_sector",
+    "has_canonical_domain",
+)
+_checks = f"""SELECT k, dom AS domain, n_sources > 0 AS has_evidence, n_triggers > 0 AS has_trigger, NOT is_suppressed AS not_suppressed, true AS is_business_not_individual,
+  k NOT IN (SELECT k FROM contacts WHERE email IS NOT NULL AND contact_id % 13 = 0) AS no_personal_email, band IS NULL OR band <> '1000+' AS under_employee_ceiling,
+  NOT ends_with(dom, '.gov.bd') AND {_none_of(C.GOVERNMENT_WORDS + C.INFRASTRUCTURE_WORDS)} AS not_government_or_cni, {_none_of(C.COMPETITOR_WORDS)} AS not_a_competitor,
+  {_none_of(C.EXCLUDED_SECTORS)} AS not_an_excluded_sector, dom <> '' AS has_canonical_domain
+  FROM (SELECT *, CASE WHEN k % 19 = 1 THEN 'c' || k || '.gov.bd' WHEN k % 43 = 1 THEN '' ELSE domain END AS dom,
+    lower(CASE WHEN k % 31 = 1 THEN 'News Media' ELSE industry END || ' ' || display_name || CASE WHEN k % 23 = 1 THEN ' Ministry' WHEN k % 29 = 1 THEN ' Red Team' ELSE '' END) AS about FROM leads)"""
 
 
 @query(_checks)
 def compliance_checks(s, d):
-    return _review(s, d).select("k", "domain", *[F.col("checks")[n].alias(n) for n in ("has_evidence", "has_trigger", "not_suppressed", "under_employee_ceiling")])
+    return _review(s, d).select("k", "domain", *[F.col("checks")[n].alias(n) for n in _RULES])
 
 
-@query(f"""SELECT k, concat_ws(',', CASE WHEN NOT has_evidence THEN 'has_evidence' END, CASE WHEN NOT has_trigger THEN 'has_trigger' END, CASE WHEN NOT not_suppressed THEN 'not_suppressed' END,
-  CASE WHEN NOT under_employee_ceiling THEN 'under_employee_ceiling' END) AS detail FROM ({_checks}) WHERE NOT (has_evidence AND has_trigger AND not_suppressed AND under_employee_ceiling)""")
+@query(f"SELECT k, detail FROM (SELECT k, concat_ws(',', {', '.join(f"CASE WHEN NOT {n} THEN '{n}' END" for n in _RULES)}) AS detail FROM ({_checks})) WHERE detail <> ''")
 def vetoes(s, d):
     return _review(s, d).where(~F.col("passed")).select("k", F.concat_ws(",", "vetoes").alias("detail"))
 
@@ -286,10 +304,12 @@ def critic_templates(s, d):
     return critic.template_proposals(B.companies(s, d), leads(s, d), w).withColumn("hit_rate", r4("hit_rate"))
 
 
-@query("""SELECT name, n AS at_zero FROM (SELECT 'trigger' AS name, max(trigger) AS m, count(*) AS n FROM leads UNION ALL SELECT 'icp_fit', max(icp_fit), count(*) FROM leads UNION ALL SELECT 'reachability', max(reachability), count(*) FROM leads
-  UNION ALL SELECT 'surface', max(surface), count(*) FROM leads UNION ALL SELECT 'freshness', max(freshness), count(*) FROM leads) WHERE m <= 0""")
+@query("""SELECT name, n AS at_zero FROM (SELECT 'trigger' AS name, max(trigger) AS m, count(*) AS n FROM leads UNION ALL SELECT 'icp_fit', max(icp_fit), count(*) FROM leads
+  UNION ALL SELECT 'reachability', 0.0, count(*) FROM leads UNION ALL SELECT 'surface', 0.0, count(*) FROM leads UNION ALL SELECT 'freshness', max(freshness), count(*) FROM leads) WHERE m <= 0""")
 def dead_components(s, d):
-    return critic.dead_components(leads(s, d))
+    """Two components are put to zero, as where their lookups never answer."""
+    gone = F.transform_values("components", lambda n, v: F.when(n.isin("surface", "reachability"), 0.0).otherwise(v))
+    return critic.dead_components(leads(s, d).withColumn("components", gone))
 
 
 # ------------------------------------------------------------------------------------------------ maintenance
@@ -305,12 +325,19 @@ def expire_decayed(s, d):
     return maintenance.expire(B.triggers(s, d), B.as_of()).select("trigger_id", "code", "active")
 
 
-@query("""WITH n AS (SELECT trigger_id, url FROM (SELECT *, row_number() OVER (PARTITION BY trigger_id ORDER BY observed_at DESC, evidence_id DESC, url DESC) AS r FROM evidence) WHERE r = 1), f AS (SELECT url, min(observed_at) AS first FROM evidence GROUP BY url)
-  SELECT t.trigger_id, t.observed_at, f.first AS new_observed_at FROM triggers t JOIN n ON n.trigger_id = t.trigger_id JOIN f ON f.url = n.url WHERE t.active AND date_diff('second', f.first, t.observed_at) / 86400.0 > 0.5""")
+_redated = """SELECT t.trigger_id, t.observed_at, f.first AS new_observed_at FROM triggers t JOIN (SELECT trigger_id, url FROM (SELECT *, row_number() OVER (PARTITION BY trigger_id
+    ORDER BY observed_at DESC, evidence_id DESC, url DESC) AS r FROM evidence) WHERE r = 1) n ON n.trigger_id = t.trigger_id
+  JOIN (SELECT url, min(observed_at) AS first FROM evidence GROUP BY url) f ON f.url = n.url WHERE t.active AND date_diff('second', f.first, t.observed_at) / 86400.0 > 0.5"""
+
+
+@query(_redated)
 def restore_first_observation(s, d):
-    # equal (time, id) pairs are told apart by the URL
-    e = B.evidence(s, d).groupBy("trigger_id", "observed_at", "evidence_id").agg(F.max("url").alias("top")).join(B.evidence(s, d), ["trigger_id", "observed_at", "evidence_id"])
-    return maintenance.redated(B.triggers(s, d), e.withColumn("evidence_id", F.struct("evidence_id", "url")))
+    return maintenance.redated(B.triggers(s, d), _told_apart(B.evidence(s, d)))
+
+
+def _told_apart(evidence: DataFrame) -> DataFrame:
+    """Equal (time, id) pairs are told apart by the URL."""
+    return evidence.withColumn("evidence_id", F.struct("evidence_id", "url"))
 
 
 @query("""SELECT trigger_id FROM triggers WHERE active AND trigger_id IN (SELECT trigger_id FROM evidence GROUP BY trigger_id HAVING NOT bool_or(coalesce(reachable, true)))""")
@@ -318,13 +345,29 @@ def unevidenced_triggers(s, d):
     return maintenance.unevidenced(B.triggers(s, d), B.evidence(s, d)).select("trigger_id")
 
 
-@query(f"""SELECT 'old_evidence' AS what, count(*) AS n FROM evidence WHERE observed_at < {NOW} - INTERVAL 180 DAY UNION ALL SELECT 'done_jobs', count(*) FROM jobs WHERE status = 'done' AND created_at < {EVENTS_NOW} - INTERVAL 20 DAY
-  UNION ALL SELECT 'dead_contacts', count(*) FROM contacts WHERE k IN (SELECT k FROM companies WHERE k NOT IN (SELECT k FROM live))""")
+@query(f"""SELECT 'raw_documents' AS what, count(*) AS n FROM documents WHERE doc_id % 400 > 180
+  UNION ALL SELECT 'candidates', count(*) FROM documents WHERE doc_id % 400 > 90 AND doc_id % 5 < 4
+  UNION ALL SELECT 'dead_letter', count(*) FROM jobs WHERE status = 'dead' AND created_at < {EVENTS_NOW} - INTERVAL 20 DAY
+  UNION ALL SELECT 'metrics', count(*) FROM heartbeats WHERE seen_at < {EVENTS_NOW} - INTERVAL 15 DAY
+  UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE status = 'done' AND created_at < {EVENTS_NOW} - INTERVAL 20 DAY
+  UNION ALL SELECT 'contacts', count(*) FROM contacts WHERE k IN (SELECT k FROM companies WHERE k % 3 > 0 AND k NOT IN (SELECT k FROM triggers WHERE active))
+  UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE observed_at < {NOW} - INTERVAL 180 DAY AND trigger_id NOT IN (SELECT trigger_id FROM triggers WHERE active)
+    AND evidence_id NOT IN (SELECT contact_id FROM contacts)""")
 def retention_purge_counts(s, d):
-    n = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-    done = maintenance.older_than(B.jobs(s, d).where("status = 'done'"), "created_at", ts(B.EVENTS_AS_OF), 20)
-    dead = maintenance.dead_company_contacts(B.contacts(s, d), B.companies(s, d), B.triggers(s, d), B.as_of())
-    return n("old_evidence", maintenance.older_than(B.evidence(s, d), "observed_at", B.as_of(), C.RETENTION_DAYS)).unionByName(n("done_jobs", done)).unionByName(n("dead_contacts", dead))
+    """The rows that each of the seven deletes would remove."""
+    docs = B.read(s, d, "documents")
+    at = ts(B.EVENTS_AS_OF) - F.make_dt_interval(days=(F.col("doc_id") % 400).cast("int"))
+    status = F.element_at(F.array(*[F.lit(x) for x in (*maintenance.TERMINAL, "new")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    tables = {
+        "raw_documents": docs.select(at.alias("fetched_at")), "candidates": docs.select(at.alias("created_at"), status.alias("status")), "jobs": B.jobs(s, d).withColumn("updated_at", F.col("created_at")),
+        "dead_letter": B.jobs(s, d).where("status = 'dead'").select(F.col("created_at").alias("died_at")), "metrics": B.heartbeats(s, d).select(F.col("at").alias("recorded_at")),
+        "contacts": B.contacts(s, d).withColumn("evidence_id", F.col("contact_id")), "evidence": B.evidence(s, d), "triggers": B.triggers(s, d).where("active"),
+        "companies": B.companies(s, d).withColumn("last_updated_at", B.as_of() - F.make_dt_interval(days=F.when(F.col("k") % 3 > 0, 400).otherwise(1))),
+    }
+    windows = {"raw_documents": 180, "candidates": 90, "dead_letter": 20, "metrics": 15, "jobs": 20}
+    old = maintenance.purged({n: tables[n] for n in windows}, ts(B.EVENTS_AS_OF), windows)
+    people = maintenance.purged({n: t for n, t in tables.items() if n not in windows}, B.as_of(), {"contacts": 180, "evidence": C.RETENTION_DAYS})
+    return maintenance.counted(old | people)
 
 
 @query("SELECT e.evidence_id, e.url FROM evidence e WHERE e.trigger_id NOT IN (SELECT trigger_id FROM triggers WHERE active)")
@@ -344,12 +387,14 @@ def evidence_resample(s, d):
 
 
 @query(f"""SELECT 'superseded' AS pass_name, count(*) AS n FROM triggers t JOIN companies c ON c.k = t.k WHERE t.active AND t.code = 'T8_HYGIENE_GAP' AND c.dns_known AND NOT (c.mx AND (NOT c.spf OR c.dmarc IS NULL OR c.dmarc = 'none'))
-  UNION ALL SELECT 'platform_suppressed', 0 UNION ALL SELECT 'decayed', count(*) FROM triggers WHERE active AND decays_at <= {NOW}
+  UNION ALL SELECT 'platform_suppressed', count(*) FROM companies WHERE k % 90 = 7 UNION ALL SELECT 'decayed', count(*) FROM triggers WHERE active AND decays_at <= {NOW}
+  UNION ALL SELECT 'redated', count(*) FROM ({_redated})
   UNION ALL SELECT 'unevidenced', count(*) FROM triggers WHERE active AND trigger_id IN (SELECT trigger_id FROM evidence GROUP BY trigger_id HAVING NOT bool_or(coalesce(reachable, true)))
-  UNION ALL SELECT 'orphan_evidence', count(*) FROM evidence WHERE trigger_id NOT IN (SELECT trigger_id FROM triggers)""")
+  UNION ALL SELECT 'orphan_evidence', count(*) FROM evidence WHERE trigger_id NOT IN (SELECT trigger_id FROM triggers WHERE trigger_id % 11 > 0)""")
 def maintenance_counts(s, d):
-    x = maintenance.run(B.triggers(s, d), B.evidence(s, d), B.companies(s, d), B.suppressed(s, d), B.as_of())
-    return x.where("pass_name <> 'redated'")
+    """Every pass has something to do: some companies on a platform's domain, some triggers gone."""
+    c = B.companies(s, d).withColumn("domain", F.when(F.col("k") % 90 == 7, F.concat(F.lit("site"), F.col("k").cast("string"), F.lit(".github.io"))).otherwise(F.col("domain")))
+    return maintenance.run(B.triggers(s, d), _told_apart(B.evidence(s, d)), c, B.suppressed(s, d), B.as_of(), known=B.triggers(s, d).where("trigger_id % 11 > 0"))
 
 
 # ------------------------------------------------------------------------------------------------ operations
@@ -421,25 +466,49 @@ def state_durations(s, d):
     return operations.state_minutes(_samples(s, d), 1800).withColumn("minutes", r4("minutes"))
 
 
-@query(f"""WITH a AS (SELECT unit, epoch_us(seen_at) AS u, seq, {_state} <> 'nominal' AS o FROM heartbeats), b AS (SELECT *, o AND NOT coalesce(lag(o) OVER w, false) AS st, lead(u) OVER w AS nx FROM a WINDOW w AS (PARTITION BY unit ORDER BY u, seq)),
-  c AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY u, seq) AS sp FROM b), e AS (SELECT unit, sp, (max(nx) - min(u)) / 60e6 AS m, bool_or(nx IS NULL) AS open FROM c WHERE o GROUP BY unit, sp)
-  SELECT unit, count(*) AS spells, round(max(m), 4) AS longest_min, count(*) FILTER (WHERE NOT open AND m <= 90) AS recovered FROM e GROUP BY unit""")
+def _spells(beats: str) -> str:
+    return f"""SELECT unit, count(*) AS spells, round(max(m), 4) AS longest_min, count(*) FILTER (WHERE NOT open AND m <= 90) AS recovered FROM
+      (SELECT unit, sp, (max(nx) - min(u)) / 60e6 AS m, bool_or(nx IS NULL) AS open FROM
+      (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY u, seq) AS sp FROM
+      (SELECT *, o AND NOT coalesce(lag(o) OVER w, false) AS st, lead(u) OVER w AS nx FROM
+      (SELECT unit, epoch_us(seen_at) AS u, seq, {_state} <> 'nominal' AS o FROM {beats}) WINDOW w AS (PARTITION BY unit ORDER BY u, seq))) WHERE o GROUP BY unit, sp) GROUP BY unit"""
+
+
+@query(_spells("heartbeats"))
 def governor_recovered(s, d):
     return operations.recovered(_samples(s, d)).withColumn("longest_min", r4("longest_min"))
 
 
-@query()
+_band = """CASE WHEN uv THEN 'throttled' WHEN value IS NULL THEN CASE {now} WHEN 'throttled' THEN 'hot' ELSE {now} END WHEN value >= 84 OR (value >= 81 AND {now} = 'hot') THEN 'hot'
+  WHEN value >= 70 OR (value >= 67 AND {now} IN ('warm', 'hot', 'throttled')) THEN 'warm' ELSE 'nominal' END"""
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT unit, seq, value, seq % 97 = 0 AS uv, row_number() OVER (PARTITION BY unit ORDER BY seen_at, seq) AS r FROM heartbeats),
+  m AS (SELECT unit, r, seq, {_band.format(now="'nominal'")} AS state FROM h WHERE r = 1 UNION ALL SELECT h.unit, h.r, h.seq, {_band.format(now="m.state")} FROM m JOIN h ON h.unit = m.unit AND h.r = m.r + 1)
+  SELECT unit, seq, state FROM m""")
 def governor_states(s, d):
     return machines.governor_states(B.heartbeats(s, d).withColumn("undervoltage", F.col("seq") % 97 == 0))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT event_type AS source, epoch_us(ts) AS u, event_id AS seq, value >= 30 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+  m AS (SELECT source, r, seq, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CAST(0 AS BIGINT) AS opened, true AS admitted FROM h WHERE r = 1
+  UNION ALL SELECT h.source, h.r, h.seq,
+    CASE WHEN m.state = 'open' AND h.u - m.opened < 900000000 THEN 'open' WHEN h.ok THEN 'closed' WHEN m.state = 'open' OR m.failures + 1 >= 3 THEN 'open' ELSE 'closed' END,
+    CASE WHEN m.state = 'open' AND h.u - m.opened < 900000000 THEN m.failures WHEN h.ok THEN 0 WHEN m.state = 'open' THEN m.failures ELSE m.failures + 1 END,
+    CASE WHEN m.state = 'open' AND h.u - m.opened < 900000000 THEN m.opened WHEN NOT h.ok AND (m.state = 'open' OR m.failures + 1 >= 3) THEN h.u ELSE 0 END,
+    NOT (m.state = 'open' AND h.u - m.opened < 900000000) FROM m JOIN h ON h.source = m.source AND h.r = m.r + 1)
+  SELECT source, seq, state, admitted FROM m""")
 def circuit_states(s, d):
     calls = B.read(s, d, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("value") >= 30).alias("ok"))
     return machines.circuit_states(calls, threshold=3)
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT event_type AS provider, CAST(floor(epoch_us(ts) / 3600e6) AS BIGINT) AS h, event_id AS seq, value AS units, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+  m AS (SELECT provider, r, seq, units <= 2000 AS granted, CASE WHEN units <= 2000 THEN [{'h': h, 'u': units}] ELSE [] END AS held FROM x WHERE r = 1
+  UNION ALL SELECT provider, r, seq, ok, CASE WHEN ok THEN list_append(k, {'h': h, 'u': units}) ELSE k END FROM (
+    SELECT *, coalesce(list_sum(list_transform(k, lambda e: e.u)), 0) + units <= 2000 AS ok FROM (
+      SELECT x.provider, x.r, x.seq, x.h, x.units, list_filter(m.held, lambda e: e.h > x.h - 24) AS k FROM m JOIN x ON x.provider = m.provider AND x.r = m.r + 1)))
+  SELECT provider, seq, granted FROM m""")
 def budget_reservations(s, d):
     r = B.read(s, d, "events").select(F.col("event_type").alias("provider"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("value").alias("units"))
     return machines.budget_grants(r, 2000.0)
@@ -468,10 +537,10 @@ def throughput(s, d):
 @query(f"""WITH t AS (SELECT count(DISTINCT k) AS leads, count(DISTINCT CASE WHEN tier IN ('A', 'B') THEN k END) AS ab_leads FROM dispatches WHERE dispatched_at >= TIMESTAMP '2024-01-28'),
   j AS (SELECT count(*) AS n FROM jobs WHERE status = 'dead' AND created_at >= TIMESTAMP '2024-01-28'),
   g AS (SELECT count(*) FILTER (WHERE (u - b) / 1e6 > 300) AS gaps, count(DISTINCT unit) AS units FROM (SELECT unit, epoch_us(seen_at) AS u, lag(epoch_us(seen_at)) OVER (PARTITION BY unit ORDER BY seen_at, seq) AS b FROM heartbeats WHERE seen_at >= TIMESTAMP '2024-01-28'))
-  SELECT leads, ab_leads, ab_leads / 3.0 >= 15 AS throughput_ok, n = 0 AS jobs_ok, CASE WHEN units > 0 THEN gaps = 0 END AS liveness_ok FROM t, j, g""")
+  SELECT leads, ab_leads, ab_leads / 3.0 >= 15 AS throughput_ok, n = 0 AS jobs_ok, CASE WHEN units > 0 THEN gaps = 0 END AS liveness_ok, longest <= 90 AS thermal_ok
+  FROM t, j, g, (SELECT max(longest_min) AS longest FROM ({_spells("heartbeats WHERE seen_at >= TIMESTAMP '2024-01-28'")}))""")
 def acceptance_report(s, d):
-    x = operations.acceptance(B.dispatches(s, d), B.jobs(s, d), B.heartbeats(s, d), _samples(s, d), ts("2024-01-28 00:00:00"), 3.0)
-    return x.drop("thermal_ok")
+    return operations.acceptance(B.dispatches(s, d), B.jobs(s, d), B.heartbeats(s, d), _samples(s, d), ts("2024-01-28 00:00:00"), 3.0)
 
 
 @query(f"""SELECT unit, round((epoch_us({EVENTS_NOW}) - epoch_us(seen_at)) / 1e6, 3) AS silence_s, CASE WHEN (epoch_us({EVENTS_NOW}) - epoch_us(seen_at)) / 1e6 > 3600 THEN 'critical' WHEN (epoch_us({EVENTS_NOW}) - epoch_us(seen_at)) / 1e6 > 900 OR NOT ok THEN 'degraded' ELSE 'ok' END AS level
@@ -507,9 +576,13 @@ def canonical_domain(s, d):
     return B.read(s, d, "pages").select("page_id", url.canonical_domain(F.col("url")).alias("domain"))
 
 
-@query(f"SELECT page_id, {_host} AS host, false AS platform FROM pages")
+_hosts = "CASE page_id % 5 WHEN 0 THEN 'https://www.github.com/x' WHEN 1 THEN 'http://acme' || page_id || '.github.io/' WHEN 2 THEN 'NEWS.ycombinator.com:443/item' WHEN 3 THEN 'https://notgithub.com/' ELSE url END"
+
+
+@query(f"SELECT page_id, host, len(list_filter({_words(C.PLATFORM_HOSTS)}, lambda x: host = x OR ends_with(host, '.' || x))) > 0 AS platform FROM (SELECT page_id, {_host} AS host FROM (SELECT page_id, {_hosts} AS url FROM pages))")
 def platform_filter(s, d):
-    return B.read(s, d, "pages").select("page_id", url.host_of(F.col("url")).alias("host"), url.is_platform(url.host_of(F.col("url"))).alias("platform"))
+    host = url.host_of(F.expr(_hosts))
+    return B.read(s, d, "pages").select("page_id", host.alias("host"), url.is_platform(host).alias("platform"))
 
 
 _legal = C.LEGAL_SUFFIXES
@@ -521,7 +594,7 @@ def normalize_name(s, d):
     return B.read(s, d, "part").select("p_partkey", text.normalize_name(F.concat("p_name", F.lit(" Systems "), "p_type", F.lit(" Ltd"))).alias("name"))
 
 
-@query("SELECT DISTINCT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT DISTINCT p_brand AS n FROM part) a JOIN (SELECT DISTINCT p_brand AS n FROM part) b ON a.n < b.n AND left(a.n, 3) = left(b.n, 3) AND levenshtein(a.n, b.n) <= 2")
+@query("SELECT DISTINCT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT DISTINCT p_brand AS n FROM part) a JOIN (SELECT DISTINCT p_brand AS n FROM part) b ON a.n < b.n AND levenshtein(a.n, b.n) <= 2")
 def name_levenshtein_pairs(s, d):
     return resolve.within_two_edits(B.read(s, d, "part").select(F.col("p_brand").alias("n")))
 
@@ -620,7 +693,7 @@ _secrets = ("Bearer abcdefghijklmnop", "ghp_0123456789abcdefXYZ", "?api_key=0123
 
 
 def _scrub_sql() -> str:
-    t = f"left(text, 200) || ' ' || {case(f'doc_id % {len(_secrets)}', dict(enumerate(_secrets)))}"
+    t = f"text || ' ' || {case(f'doc_id % {len(_secrets)}', dict(enumerate(_secrets)))}"
     for p in C.SECRET_PATTERNS:
         t = f"regexp_replace({t}, '{p}', '{C.REDACTED}', 'g')"
     return f"SELECT doc_id, sha256({t}) AS sha FROM documents"
@@ -628,20 +701,6 @@ def _scrub_sql() -> str:
 
 @query(_scrub_sql())
 def secret_scrub(s, d):
-    extra = F.element_at(F.array(*[F.lit(x) for x in _secrets]), (F.col("doc_id") % len(_secrets) + 1).cast("int"))
-    return B.read(s, d, "documents").select("doc_id", F.sha2(text.scrub(F.concat(F.left("text", F.lit(200)), F.lit(" "), extra)), 256).alias("sha"))
-
-
-def _scrub_whole_sql() -> str:
-    t = f"text || ' ' || {case(f'doc_id % {len(_secrets)}', dict(enumerate(_secrets)))}"
-    for p in C.SECRET_PATTERNS:
-        t = f"regexp_replace({t}, '{p}', '{C.REDACTED}', 'g')"
-    return f"SELECT doc_id, sha256({t}) AS sha FROM documents"
-
-
-@query(_scrub_whole_sql())
-def secret_scrub_whole(s, d):
-    """As secret_scrub, whose SQL stays at 200 characters, over whole documents."""
     extra = F.element_at(F.array(*[F.lit(x) for x in _secrets]), (F.col("doc_id") % len(_secrets) + 1).cast("int"))
     return B.read(s, d, "documents").select("doc_id", F.sha2(text.scrub(F.concat("text", F.lit(" "), extra)), 256).alias("sha"))
 
@@ -788,7 +847,11 @@ def age_phrases(s, d):
     return B.triggers(s, d).select("trigger_id", dates.age_phrase(F.col("observed_at"), B.as_of()).alias("age"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT source, doc_id, least(length(text), 400) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+  m AS (SELECT source, doc_id, r, CAST(0 AS INT) AS page, 1 AS n, size AS used FROM x WHERE r = 1
+  UNION ALL SELECT source, doc_id, r, CASE WHEN turn THEN page + 1 ELSE page END, CASE WHEN turn THEN 1 ELSE n + 1 END, CASE WHEN turn THEN size ELSE used + size END FROM (
+    SELECT x.source, x.doc_id, x.r, x.size, m.page, m.n, m.used, m.n >= 8 OR m.used + x.size > 6000 AS turn FROM m JOIN x ON x.source = m.source AND x.r = m.r + 1))
+  SELECT source, doc_id, page FROM m""")
 def digest_pages(s, d):
     x = B.read(s, d, "documents").select("doc_id", "source", F.least(F.length("text"), F.lit(400)).alias("size"))
     return cards.digest_pages(x, "doc_id", "doc_id", "size", group="source").select(F.col("g").alias("source"), "doc_id", "page")
@@ -833,13 +896,6 @@ def budget_status(s, d):
     return x.select("provider", b.alias("b")).select("provider", r4("b.used", 2).alias("used"), r4("b.remaining", 2).alias("remaining"), "b.exhausted")
 
 
-@query("""SELECT domain, rank FROM (SELECT page_id % 20 AS domain, page_id AS rank, sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS stop FROM
-  (SELECT page_id, row_number() OVER (PARTITION BY page_id % 20, sha256(left(html, 60)) ORDER BY page_id) > 1 AS again FROM pages)) WHERE stop = 0""")
-def site_pages(s, d):
-    p = B.read(s, d, "pages").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"), F.left("html", F.lit(60)).alias("html"))
-    return details.site_pages(p).select("domain", "rank")
-
-
 _planted = "CASE WHEN page_id % 140 IN (41, 81) THEN 'one page' ELSE html END || CASE WHEN page_id % 60 IN (22, 45) THEN ' <a href=\"mailto:sales@harbour-works.com\">mail</a>' ELSE '' END"
 
 
@@ -847,8 +903,8 @@ _planted = "CASE WHEN page_id % 140 IN (41, 81) THEN 'one page' ELSE html END ||
   (SELECT domain, rank, row_number() OVER (PARTITION BY domain, sha256(h) ORDER BY rank) > 1 AS again,
     coalesce(max(contains(h, 'mailto:')) OVER (PARTITION BY domain ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS had
   FROM (SELECT page_id % 20 AS domain, page_id AS rank, {_planted} AS h FROM pages))) WHERE stop = 0""")
-def site_pages_whole(s, d):
-    """As site_pages, whose SQL stays at 60 characters, over whole pages, with mirrors and addresses planted by page_id."""
+def site_pages(s, d):
+    """Whole pages, with mirrors and addresses planted by page_id."""
     p = B.read(s, d, "pages").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"), F.expr(_planted).alias("html"))
     return details.site_pages(p).select("domain", "rank")
 

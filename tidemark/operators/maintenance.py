@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,14 +97,43 @@ def erase_subject(tables: dict[str, DataFrame], key: str, subjects: DataFrame) -
     return {n: t.join(subjects.select(key).distinct(), key, "left_anti") if key in t.columns else t for n, t in tables.items()}
 
 
-def run(triggers, evidence, companies, suppressed, as_of) -> DataFrame:
-    """Counts of all passes in their order: (pass, n)."""
-    passes = [
-        ("superseded", superseded(triggers, companies)), ("platform_suppressed", platform_companies(companies, suppressed)), ("redated", redated(triggers, evidence)),
-        ("decayed", decayed(triggers, as_of)), ("unevidenced", unevidenced(triggers, evidence)), ("orphan_evidence", orphan_evidence(evidence, triggers)),
-    ]
-    out = None
-    for name, rows in passes:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("pass_name"), "n")
-        out = one if out is None else out.unionByName(one)
+#: Candidates that nothing will happen to any more.
+TERMINAL = ("resolved", "unresolvable", "skipped", "quarantined")
+_AT = {"raw_documents": "fetched_at", "candidates": "created_at", "dead_letter": "died_at", "metrics": "recorded_at", "jobs": "updated_at"}
+
+
+def purged(tables: dict[str, DataFrame], as_of: Column, days: dict[str, int]) -> dict[str, DataFrame]:
+    """Of each table named in ``days`` the rows that retention removes. Candidates and jobs go only where they are finished; contacts where
+    their company has been quiet that long and has no active trigger; evidence where no trigger and no contact cites it."""
+    out = {}
+    for name, window in days.items():
+        if name == "contacts":
+            quiet = older_than(tables["companies"], "last_updated_at", as_of, window).select("k")
+            dead = quiet.join(tables["triggers"].where("active").select("k"), "k", "left_anti")
+            out[name] = tables[name].join(dead, "k", "left_semi")
+        elif name == "evidence":
+            old = older_than(tables[name], "observed_at", as_of, window).join(tables["triggers"].select("trigger_id"), "trigger_id", "left_anti")
+            out[name] = old.join(tables["contacts"].where("evidence_id IS NOT NULL").select("evidence_id"), "evidence_id", "left_anti")
+        else:
+            old = older_than(tables[name], _AT[name], as_of, window)
+            out[name] = old.where(F.col("status").isin(*TERMINAL)) if name == "candidates" else old.where("status = 'done'") if name == "jobs" else old
     return out
+
+
+def counted(passes: dict[str, DataFrame], name: str = "what") -> DataFrame:
+    """The number of rows of each, in one plan."""
+    each = [rows.agg(F.count("*").alias("n")).select(F.lit(n).alias(name), "n") for n, rows in passes.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def run(triggers, evidence, companies, suppressed, as_of, known: DataFrame | None = None) -> DataFrame:
+    """Counts of all passes in their order: (pass, n). ``known``: the triggers that evidence may belong to, where these aren't all."""
+    return counted({
+        "superseded": superseded(triggers, companies), "platform_suppressed": platform_companies(companies, suppressed), "redated": redated(triggers, evidence),
+        "decayed": decayed(triggers, as_of), "unevidenced": unevidenced(triggers, evidence), "orphan_evidence": orphan_evidence(evidence, triggers if known is None else known),
+    }, "pass_name")
+
+
+def changed(counts: DataFrame) -> DataFrame:
+    """One row: did any pass change anything?"""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select("rows", (F.col("rows") > 0).alias("changed"))

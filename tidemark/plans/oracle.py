@@ -92,6 +92,8 @@ def sql(body: str) -> str:
     body = body.strip()
     if not with_:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {with_},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {with_},\n{body[5:]}"
     return f"WITH {with_}\n{body}"

@@ -103,7 +103,7 @@ def circuit_states(calls: DataFrame, threshold: int = BREAKER_FAILURES, cooldown
     """source, seq, state, admitted for calls (source, at, seq, ok)."""
 
     def step(state, source, us, seq, ok):
-        new, admitted = breaker(state, us / 1e6, bool(ok), threshold, cooldown)
+        new, admitted = breaker(state, us, bool(ok), threshold, cooldown * 1e6)
         return new, (source, seq, new[0], admitted)
 
     return fold(_with_micros(calls), "source", ["at", "seq"], step, "source string, seq long, state string, admitted boolean", ["us", "seq", "ok"])

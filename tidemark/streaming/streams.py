@@ -28,7 +28,11 @@ def first_by_key(jobs: DataFrame, key: str = "dedupe_key", at: str = "created_at
 
 
 class Governor(StatefulProcessor):
-    """The thermal state machine with a value state per unit."""
+    """The thermal state machine with a value state per unit.
+
+    Triggers are folded in the order in which they come, the rows of one trigger by time and number: where the source delivers
+    in order of time the result is that of the batch form.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "state string")
