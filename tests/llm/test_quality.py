@@ -65,9 +65,9 @@ def vote(model, text):
     if not sizes[0]:
         return model.prior
     z = model.latent(counts, sizes)[0].astype(float)
-    near = sorted(((round(sum(map(float, z * v)), quality.DIGITS), y) for v, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
+    near = sorted(((sum(map(float, z * v)), y) for v, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)
     least = near[min(quality.K, len(near)) - 1][0]
-    w = [(max(c, 0.0) ** 4, y) for c, y in near if c >= least]
+    w = [(max(c, 0.0) ** 4, y) for c, y in near if c >= least - quality.TIE]
     total = sum(x for x, _ in w)
     return float(np.clip(sum(x * y for x, y in w) / total, 0, 1)) if total > 1e-12 else model.prior
 

@@ -27,8 +27,8 @@ LATENT = 64
 DIMS = 4096
 K = 15
 POWER = 4
-#: Similarities are compared to so many digits, so that rounding decides no tie.
-DIGITS = 9
+#: Similarities that differ by less are a tie, so that rounding decides none.
+TIE = 1e-9
 THRESHOLD = 0.3
 #: Documents compared in one matrix product.
 BLOCK = 256
@@ -114,12 +114,13 @@ class Model:
         known, labels = self.vectors.astype(np.float64).T, self.labels
         for a in range(0, len(texts), BLOCK):
             counts, sizes = term_counts(texts[a : a + BLOCK])
-            sims = np.round(self.latent(counts, sizes).astype(np.float64) @ known, DIGITS)
+            sims = self.latent(counts, sizes).astype(np.float64) @ known
             least = np.partition(sims, -k, axis=1)[:, -k, None]
-            w = np.where(sims >= least, np.maximum(sims, 0), 0) ** POWER
-            total = w.sum(1)
+            row, col = np.nonzero(sims >= least - TIE)
+            w = np.maximum(sims[row, col], 0) ** POWER
+            total, votes = (np.bincount(row, x, len(sizes)) for x in (w, w * labels[col]))
             empty = (sizes == 0) | (total <= 1e-12)
-            out[a : a + BLOCK] = np.where(empty, self.prior, np.clip((w @ labels) / np.maximum(total, 1e-12), 0, 1))
+            out[a : a + BLOCK] = np.where(empty, self.prior, np.clip(votes / np.maximum(total, 1e-12), 0, 1))
         return out
 
 
