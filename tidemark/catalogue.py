@@ -443,9 +443,7 @@ _gap = "(SELECT *, epoch_us(seen_at) AS u, lag(epoch_us(seen_at)) OVER (PARTITIO
 
 @query(f"SELECT unit, seq, round((u - b) / 1e6, 3) AS gap_s FROM {_gap} WHERE (u - b) / 1e6 > 3600")
 def heartbeat_gaps(s, d):
-    b = B.heartbeats(s, d)
-    g = operations.gaps(b, 3600).join(b.select("unit", "seq", F.col("at").alias("to_at")), ["unit", "to_at"])
-    return g.select("unit", "seq", r4("gap_s", 3).alias("gap_s"))
+    return operations.gaps(B.heartbeats(s, d), 3600).select("unit", "seq", r4("gap_s", 3).alias("gap_s"))
 
 
 @query(f"SELECT unit, count(*) AS beats, count(*) FILTER (WHERE (u - b) / 1e6 > 300) AS gaps, round(max((u - b) / 1e6), 3) AS longest_s, count(DISTINCT build) AS builds FROM {_gap} GROUP BY unit")
@@ -857,12 +855,6 @@ def digest_pages(s, d):
     return cards.digest_pages(x, "doc_id", "doc_id", "size", group="source").select(F.col("g").alias("source"), "doc_id", "page")
 
 
-@query()
-def lead_cards(s, d):
-    x = leads(s, d).withColumns({"urls": F.array(F.concat(F.lit("https://"), "domain")), "angle": score.trigger_phrases(F.transform("codes", lambda c: F.struct(c.alias("code"), B.as_of().alias("observed_at"))), B.as_of())})
-    return cards.card(x)
-
-
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b
   ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4""")
 def vector_neighbors(s, d):
@@ -919,3 +911,6 @@ def evidence_probe(s, d):
 def job_completion(s, d):
     j = B.jobs(s, d).withColumn("lease_owner", F.when(F.col("priority") < 3, "w1").otherwise("w2"))
     return details.complete(j, j.select("job_id", F.lit("w1").alias("lease_owner")))
+
+
+from . import catalogue_reads, catalogue_sources  # noqa: E402, F401  they register their queries here

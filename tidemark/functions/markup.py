@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import PROSE_DROPPED
 
-#: Elements that begin a block.
-_BLOCKS = frozenset("address article blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: Tags that begin a line; any other stands for a space.
+_BLOCKS = frozenset("p div section li tr h1 h2 h3 h4 br".split())
 _RAW = {"script", "style"}
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*(?:>|\Z) | (?P<text><|[^<]+)""", re.S | re.X
@@ -36,7 +36,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str]]:
 
 
 def prose(page: str | None) -> tuple[str, str]:
-    """(text, title) of a page: one line a block, white space in it as one space; what PROSE_DROPPED names is left out, but the title is read."""
+    """(text, title) of a page: one line a block or line of a block, other white space as one space; what PROSE_DROPPED names is left out, but the title is read."""
     blocks: list[list[str]] = [[]]
     title: list[str] = []
     left_out: list[str] = []
@@ -51,10 +51,13 @@ def prose(page: str | None) -> tuple[str, str]:
             left_out.append(value)
         elif kind == "close" and value in left_out:
             del left_out[len(left_out) - 1 - left_out[::-1].index(value) :]
-        elif not inside and value in _BLOCKS:
+        elif not inside and kind == "open" and value in _BLOCKS:
             blocks.append([])
-    plain = lambda parts: " ".join(unescape("".join(parts)).split())
-    return "\n".join(filter(None, map(plain, blocks))), plain(title)
+        elif not inside:
+            blocks[-1].append(" ")
+    plain = lambda said: " ".join(unescape(said).split())
+    lines = (line for parts in blocks for line in "".join(parts).split("\n"))
+    return "\n".join(filter(None, map(plain, lines))), plain("".join(title))
 
 
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))

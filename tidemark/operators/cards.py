@@ -5,23 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PAGE_CHARS, PAGE_ROWS
-from ..functions.text import truncate
+from ..config import DESCRIPTION_CHARS, FIELD_CHARS, PAGE_CHARS, PAGE_ROWS, TITLE_CHARS
+from ..functions.text import publishable, truncate
 from ..streaming.machines import fold
+from .details import fit_total, let
 
 
-def evidence_field(urls: Column) -> Column:
-    return F.array_join(F.array_distinct(urls), " · ")
+def _field(name: str, value: Column, keep_tail: bool = False) -> Column:
+    return let(value, lambda v: F.when(F.length(v) > 0, F.struct(F.lit(name).alias("name"), truncate(v, FIELD_CHARS, keep_tail).alias("value"))))
 
 
-def card(leads: DataFrame) -> DataFrame:
-    """A nested card per lead as JSON: title, description, fields."""
-    c = F.col
-    fields = F.array(
-        F.struct(F.lit("offer").alias("name"), c("offer").alias("value")), F.struct(F.lit("evidence").alias("name"), truncate(evidence_field(c("urls")), 1024, keep_tail=True).alias("value")),
+def lead_card(view: DataFrame, as_of: Column, basis: str = "legitimate_interest_b2b") -> DataFrame:
+    """The full card of each lead of ``reads.lead_view``: author, title, description, fields and footer, within a message's limits.
+
+    ``view`` may have description, angle, translation and contact (as ``scoring.facts`` gives it); angles that name internal codes are withheld. A field without
+    content is left out, but for triggers, evidence and compliance.
+    """
+    view = view.withColumns({n: F.lit(None).cast("string") for n in ("description", "angle", "translation") if n not in view.columns})
+    contact = F.col("contact.email") if "contact" in view.columns else F.lit(None).cast("string")
+    ages = F.transform("triggers", lambda t: F.format_string("`%s` 0.80 · %dd ago", t["code"], F.datediff(as_of, t["observed_at"])))
+    surface = F.concat(F.col("ai_surface"), F.when(F.col("subdomains") > 0, F.array(F.concat(F.col("subdomains").cast("string"), F.lit(" CT subdomains")))).otherwise(F.array().cast("array<string>")))
+    passed = F.col("passed") if "passed" in view.columns else F.lit(True)
+    fields = F.array_compact(F.array(
+        _field("🔥 Triggers", F.when(F.size("triggers") > 0, F.array_join(ages, "\n")).otherwise("—")), _field("🎯 Angle", publishable(F.col("angle"))), _field("🇧🇩 বাংলা", publishable(F.col("translation"))),
+        _field("👤 Contact", contact), _field("🛰 Publicly visible", F.array_join(surface, " · ")), _field("📎 Evidence", links(F.col("evidence")), keep_tail=True),
+        _field("⚖️ Compliance", F.concat(F.when(passed, "PASS").otherwise("VETO"), F.lit(f" · basis: {basis} · passive-only ✓ · no scan performed"))),
+    ))
+    head = view.select(
+        *[n for n in ("k",) if n in view.columns], "lead_id", F.concat(F.lit("TIER "), "tier", F.lit(" · "), F.col("score").cast("string"), F.lit(" · "), "offer").alias("author"), truncate(F.concat("display_name", F.lit(" · "), "domain"), TITLE_CHARS).alias("title"),
+        F.concat(F.lit("https://"), "domain").alias("url"), truncate(F.coalesce("description", F.lit("—")), DESCRIPTION_CHARS).alias("description"), fields.alias("fields"), F.concat(F.lit("lead_id "), "lead_id").alias("footer"),
     )
-    body = F.struct(truncate(c("display_name"), 256).alias("title"), truncate(c("angle"), 2048).alias("description"), fields.alias("fields"), c("score").alias("score"), c("tier").alias("tier"))
-    return leads.select("lead_id", F.to_json(body).alias("card"))
+    # what stands outside of description and fields counts as well
+    other = F.length("author") + F.length("title") + F.length("footer")
+    fitted = fit_total(F.col("description"), F.col("fields"), F.lit(PAGE_CHARS) - other)
+    return head.withColumn("fitted", fitted).withColumns({"description": F.col("fitted.description"), "fields": F.col("fitted.fields")}).drop("fitted")
+
+
+def links(evidence: Column) -> Column:
+    """Sources as links, each address once, in order."""
+    urls = F.transform(evidence, lambda e: e["url"])
+    once = F.filter(evidence, lambda e, i: F.array_position(urls, e["url"]) == i + 1)
+    said = F.array_join(F.transform(once, lambda e: F.concat(F.lit("["), e["source_id"].cast("string"), F.lit("]("), e["url"], F.lit(")"))), " · ")
+    return F.when(F.size(evidence) > 0, said).otherwise("—")
 
 
 def rendered_size(title: Column, description: Column, fields: Column) -> Column:

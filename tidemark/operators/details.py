@@ -160,23 +160,41 @@ def trigger_lines(triggers: Column) -> Column:
     return F.array_join(F.transform(triggers, lambda t: F.format_string("`%s` %.0f%% · %d d", t["code"], t["confidence"] * 100, F.floor(t["age_days"]))), "\n")
 
 
-def fit_total(description: Column, fields: Column, limit: int = PAGE_CHARS) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which stands in the plan once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fit_total(description: Column, fields: Column, limit: int | Column = PAGE_CHARS) -> Column:
     """A card within the limit: the description shrinks if that is enough, else optional fields go from the end; evidence and
     compliance fields are kept, behind the others."""
-    size = lambda fs: F.aggregate(fs, F.lit(0), lambda a, f: a + F.length(f["name"]) + F.length(f["value"]))
-    over = F.length(description) + size(fields) - limit
-    room = F.length(description) - over - 16
-    head = F.left(description, room - 1)
-    cut_at = F.length(head) - F.instr(F.reverse(head), " ")
-    shrunk = F.concat(F.when((F.instr(head, " ") > 0) & (cut_at > room * 0.6), F.left(head, cut_at)).otherwise(head), F.lit("…"))
-    fits = F.length(description) > over + 16
-    desc = F.when(over <= 0, description).when(fits, shrunk).otherwise(description)
+    own = lambda f: F.length(f["name"]) + F.length(f["value"])
+    size = lambda fs: F.aggregate(fs, F.lit(0), lambda a, f: a + own(f))
     safe = lambda f: F.startswith(f["name"], F.lit(CARD_PROTECTED[0])) | F.startswith(f["name"], F.lit(CARD_PROTECTED[1]))
-    kept, optional = F.filter(fields, safe), F.filter(fields, lambda f: ~safe(f))
-    # the longest run of optional fields that fits
-    runs = F.filter(F.sequence(F.lit(0), F.size(optional)), lambda n: F.length(desc) + size(kept) + size(F.slice(optional, 1, n)) <= limit)
-    left = F.slice(optional, 1, F.coalesce(F.array_max(runs), F.lit(0)))
-    return F.struct(desc.alias("description"), F.when((over <= 0) | fits, fields).otherwise(F.concat(left, kept)).alias("fields"))
+    bound = F.lit(limit) if isinstance(limit, int) else limit
+
+    def measured(x: Column) -> Column:
+        over = F.length(x["d"]) + size(x["f"]) - x["limit"]
+        return F.struct(x["d"].alias("d"), x["f"].alias("f"), x["limit"].alias("limit"), over.alias("over"), (F.length(x["d"]) - over - 16).alias("room"))
+
+    def described(x: Column) -> Column:
+        head = F.left(x["d"], x["room"] - 1)
+        cut_at = F.length(head) - F.instr(F.reverse(head), " ")
+        shrunk = F.concat(F.when((F.instr(head, " ") > 0) & (cut_at > x["room"] * 0.6), F.left(head, cut_at)).otherwise(head), F.lit("…"))
+        desc = F.when((x["over"] > 0) & (x["room"] > 0), shrunk).otherwise(x["d"])
+        kept, optional = F.filter(x["f"], safe), F.filter(x["f"], lambda f: ~safe(f))
+        return F.struct(desc.alias("d"), x["f"].alias("f"), ((x["over"] <= 0) | (x["room"] > 0)).alias("whole"), x["limit"].alias("limit"), kept.alias("kept"), optional.alias("optional"))
+
+    def fitted(x: Column) -> Column:
+        # optional fields from the first on, as long as they fit
+        none = F.struct(F.slice(x["optional"], 1, 0).alias("kept"), (F.length(x["d"]) + size(x["kept"]) - x["limit"]).alias("over"), F.lit(True).alias("open"))
+        fit = lambda a, f: a["open"] & (a["over"] + own(f) <= 0)
+        add = lambda a, f: F.struct(F.when(fit(a, f), F.concat(a["kept"], F.array(f))).otherwise(a["kept"]).alias("kept"), F.when(fit(a, f), a["over"] + own(f)).otherwise(a["over"]).alias("over"), fit(a, f).alias("open"))
+        left = F.aggregate(x["optional"], none, add)["kept"]
+        return F.struct(x["d"].alias("description"), F.when(x["whole"], x["f"]).otherwise(F.concat(left, x["kept"])).alias("fields"))
+
+    given = F.struct(description.alias("d"), fields.alias("f"), bound.alias("limit"))
+    return let(let(let(given, measured), described), fitted)
 
 
 def trigger_for_tier_a(stats: DataFrame) -> DataFrame:

@@ -53,6 +53,13 @@ def corroboration(leads: DataFrame) -> DataFrame:
     return leads.agg(F.count_if(both).alias("corroborated"), F.count_if(both & F.array_contains(F.map_keys("penalties"), "single_source")).alias("penalised_but_corroborated"))
 
 
+def corroboration_effect(leads: DataFrame) -> DataFrame:
+    """Leads with two sources or more; those of them that are charged for a single one; and those whose tier that charge decides."""
+    both, cost = F.col("n_sources") >= 2, F.try_element_at("penalties", F.lit("single_source"))
+    lifted = score.tier(score.final(F.col("raw") - cost)) != F.col("tier")
+    return leads.agg(F.count_if(both).alias("corroborated"), F.count_if(both & cost.isNotNull()).alias("penalised"), F.count_if(both & cost.isNotNull() & lifted).alias("promoted"))
+
+
 def template_yield(companies: DataFrame, leads: DataFrame) -> DataFrame:
     """Per discovery template: companies, scored, sendable and mean score; an unscored company counts 0."""
     joined = companies.select("k", F.coalesce("template", F.lit("(unknown)")).alias("template")).join(leads.select("k", "score", "tier"), "k", "left")

@@ -12,21 +12,42 @@ def _seconds(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)
 
 
+_ORDER = ("at", "seq")
+
+
+def _day() -> Column:
+    return F.to_date("at").alias("day")
+
+
+def _beside(rows: DataFrame, columns: tuple[str, ...], before: bool, name: str) -> DataFrame:
+    """``rows`` with the struct ``name`` of ``columns`` of the unit's row before (or after), null at its end.
+
+    A unit's rows are ordered day by day, and what crosses midnight is carried on by a table of one row for each unit and day, so
+    that a unit with a third of all rows is many groups.
+    """
+    held = F.struct(*columns)
+    by_day = Window.partitionBy("unit", "day").orderBy(*_ORDER)
+    w = Window.partitionBy("unit").orderBy("day")
+    d = rows.withColumn("day", _day())
+    edge = (F.max_by if before else F.min_by)(held, F.struct(*_ORDER))
+    ends = d.groupBy("unit", "day").agg(edge.alias("edge")).select("unit", "day", (F.lag if before else F.lead)("edge").over(w).alias("carried"))
+    out = d.withColumn(name, (F.lag if before else F.lead)(held).over(by_day)).join(ends, ["unit", "day"])
+    return out.withColumn(name, F.coalesce(name, "carried")).drop("carried", "day")
+
+
 def latest_per_unit(beats: DataFrame) -> DataFrame:
     return beats.groupBy("unit").agg(F.max_by(F.struct("seq", "at", "ok", "value"), F.struct("at", "seq")).alias("b")).select("unit", "b.*")
 
 
 def gaps(beats: DataFrame, seconds: float = HEARTBEAT_GAP_SECONDS) -> DataFrame:
-    """Silences of a unit longer than ``seconds``."""
-    w = Window.partitionBy("unit").orderBy("at", "seq")
-    g = beats.withColumn("before", F.lag("at").over(w))
-    return g.where(_seconds(F.col("at"), F.col("before")) > seconds).select("unit", F.col("before").alias("from_at"), F.col("at").alias("to_at"), _seconds(F.col("at"), F.col("before")).alias("gap_s"))
+    """Silences of a unit longer than ``seconds``, up to the beat (seq, to_at) that ends them."""
+    g = _beside(beats, ("at",), True, "last").withColumn("before", F.col("last.at"))
+    return g.where(_seconds(F.col("at"), F.col("before")) > seconds).select("unit", "seq", F.col("before").alias("from_at"), F.col("at").alias("to_at"), _seconds(F.col("at"), F.col("before")).alias("gap_s"))
 
 
 def liveness(beats: DataFrame, seconds: float = HEARTBEAT_GAP_SECONDS) -> DataFrame:
     """Per unit: beats, gaps, the longest of them, distinct builds."""
-    w = Window.partitionBy("unit").orderBy("at", "seq")
-    g = beats.withColumn("s", _seconds(F.col("at"), F.lag("at").over(w)))
+    g = _beside(beats, ("at",), True, "last").withColumn("s", _seconds(F.col("at"), F.col("last.at")))
     return g.groupBy("unit").agg(F.count("*").alias("beats"), F.count_if(F.col("s") > seconds).alias("gaps"), F.max("s").alias("longest_s"), F.countDistinct("build").alias("builds"))
 
 
@@ -36,16 +57,18 @@ def thermal_state(value: Column) -> Column:
 
 def state_minutes(samples: DataFrame, most_gap_s: float = 300.0) -> DataFrame:
     """Minutes in each state: a sample's state lasts to the next sample, unless that is further than ``most_gap_s``."""
-    w = Window.partitionBy("unit").orderBy("at", "seq")
-    s = samples.withColumn("s", _seconds(F.lead("at").over(w), F.col("at"))).where(F.col("s") <= most_gap_s)
+    s = _beside(samples, ("at",), False, "next").withColumn("s", _seconds(F.col("next.at"), F.col("at"))).where(F.col("s") <= most_gap_s)
     return s.groupBy("unit", "state").agg((F.sum("s") / 60).alias("minutes"), F.count("*").alias("samples"))
 
 
 def recovered(samples: DataFrame, minutes: float = OUTAGE_MINUTES) -> DataFrame:
     """Spells outside the nominal state, per unit: number, the longest, and how many ended within ``minutes``."""
-    w = Window.partitionBy("unit").orderBy("at", "seq")
-    s = samples.withColumn("out", F.col("state") != "nominal").withColumn("start", F.col("out") & ~F.coalesce(F.lag("out").over(w), F.lit(False)))
-    s = s.withColumn("spell", F.sum(F.col("start").cast("int")).over(w)).withColumn("next_at", F.lead("at").over(w))
+    s = _beside(samples.withColumn("out", F.col("state") != "nominal"), ("out",), True, "last")
+    s = _beside(s.withColumn("start", (F.col("out") & ~F.coalesce("last.out", F.lit(False))).cast("int")), ("at",), False, "next").withColumn("day", _day())
+    # spells are numbered within a day, after those of the days before
+    run, earlier = Window.partitionBy("unit", "day").orderBy(*_ORDER), Window.partitionBy("unit").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = s.groupBy("unit", "day").agg(F.sum("start").alias("n")).select("unit", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skipped"))
+    s = s.withColumn("spell", F.sum("start").over(run)).join(days, ["unit", "day"]).withColumns({"spell": F.col("spell") + F.col("skipped"), "next_at": F.col("next.at")})
     spells = s.where("out").groupBy("unit", "spell").agg(F.min("at").alias("a"), F.max("next_at").alias("b"), F.bool_or(F.col("next_at").isNull()).alias("open"))
     m = _seconds(F.col("b"), F.col("a")) / 60
     return spells.groupBy("unit").agg(F.count("*").alias("spells"), F.max(m).alias("longest_min"), F.count_if(~F.col("open") & (m <= minutes)).alias("recovered"))

@@ -63,3 +63,8 @@ def hiring_signals(postings: DataFrame) -> DataFrame:
         F.when(F.col("security") > 0, "T3_HIRING_SEC"), F.when((F.col("ai") > 0) & (F.col("security") == 0), "T4_HIRING_AI_ONLY"), F.when(F.col("c"), "T5_COMPLIANCE"), F.when(F.col("s"), "T11_STACK_RISK"),
     ))
     return g.withColumn("codes", codes).drop("c", "s")
+
+
+def suppressed_domains(suppressed: DataFrame) -> DataFrame:
+    """Domains that nothing is spent on."""
+    return suppressed.where("kind = 'domain'").select(F.lower("value").alias("domain")).distinct()

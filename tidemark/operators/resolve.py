@@ -38,15 +38,15 @@ def name_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([100.0 if x == y and x else indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def name_pairs(names: DataFrame, threshold: float = 92.0) -> DataFrame:
+def name_pairs(names: DataFrame, threshold: float = 92.0, normalized: bool = False) -> DataFrame:
     """Pairs (a, b, score) of distinct normalized names whose ratio reaches ``threshold`` (at least 67), with no country in conflict.
 
     ``names``: id, name, country. Names are one point per normalized form and country. Two names that are
     alike enough differ in few characters, so they share one of the pieces that each is cut into (a
     name of length n with at most e edits, cut into e + 1 pieces, keeps one piece whole, moved by at most e places):
-    the join is on (piece, place), exact, and never of all pairs. Equal names link by a star to the smallest id.
+    the join is on (piece, place), exact, and never of all pairs. Equal names link by a star to the smallest id. ``normalized``: the names are in that form.
     """
-    norm = names.select("id", normalize_name(F.col("name")).alias("n"), F.coalesce("country", F.lit("")).alias("c")).where("n <> ''")
+    norm = names.select("id", (F.col("name") if normalized else normalize_name(F.col("name"))).alias("n"), F.coalesce("country", F.lit("")).alias("c")).where("n <> ''")
     points = norm.groupBy("n", "c").agg(F.min("id").alias("id"))
     share = 1 - threshold / 100
     # of a pair the shorter name a has |b| <= |a| * (1 + share) / (1 - share), and at most e insertions and deletions
@@ -134,10 +134,21 @@ def _vector_blocks(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.select(*names).mapInArrow(run, "dim long, ids binary, x binary")
 
 
+#: Blocks on either side of one cell of the grid.
+CELL = 8
+
+
 def vector_neighbors(queries: DataFrame, vectors: DataFrame, threshold: float = 0.88, rows: int = 1024) -> DataFrame:
-    """(a, b, cosine) of a stated query set against all vectors, block by block: one matrix product for each pair of blocks."""
-    q = _vector_blocks(queries, rows).toDF("dim", "qi", "qx")
-    v = _vector_blocks(vectors, rows)
+    """(a, b, cosine) of a stated query set against all vectors, block by block: one matrix product for each pair of blocks.
+
+    Blocks are dealt out over a grid of cells of some CELL by CELL blocks, so that no task meets more than those, and each
+    block is sent once to a row (or a column) of cells.
+    """
+    sides = [max(1, -(-d.count() // (CELL * rows))) for d in (queries, vectors)]
+    place = lambda own: F.pmod(F.monotonically_increasing_id(), F.lit(own)).cast("int")
+    every = lambda other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+    q = _vector_blocks(queries, rows).toDF("dim", "qi", "qx").withColumn("i", place(sides[0])).withColumn("j", every(sides[1]))
+    v = _vector_blocks(vectors, rows).withColumn("j", place(sides[1])).withColumn("i", every(sides[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,4 +159,4 @@ def vector_neighbors(queries: DataFrame, vectors: DataFrame, threshold: float =
                 i, j = np.nonzero(m >= threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(vi[j]), pa.array(m[i, j])], ["a", "b", "cosine"])
 
-    return v.join(q, "dim").mapInArrow(run, "a long, b long, cosine double").where("a <> b")
+    return v.join(q, ["dim", "i", "j"]).mapInArrow(run, "a long, b long, cosine double").where("a <> b")

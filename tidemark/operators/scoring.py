@@ -23,6 +23,14 @@ def best_contact(contacts: DataFrame) -> DataFrame:
     return contacts.where("email IS NOT NULL").groupBy("k").agg(best.alias("c")).select("k", "c.*")
 
 
+def contact_facts(contacts: DataFrame) -> DataFrame:
+    """Per company, in one pass: is anyone named, the best contact as in ``best_contact``, and the number of addresses."""
+    order = F.when(F.col("email").isNotNull(), F.struct(F.col("full_name").isNull(), email.status_rank(F.col("status")), "email", "contact_id"))
+    return contacts.groupBy("k").agg(
+        F.bool_or(F.col("full_name").isNotNull()).alias("named"), F.min_by(F.struct("email", "status", "full_name"), order).alias("contact"), F.count("email").alias("contacts_total"),
+    )
+
+
 def trigger_sums(triggers: DataFrame, as_of: Column) -> DataFrame:
     """Per company: the decayed sum (at most 100), the newest age, the codes and their number, over live triggers."""
     age = age_days(F.col("observed_at"), as_of)
@@ -39,13 +47,12 @@ def source_breadth(triggers: DataFrame, evidence: DataFrame, as_of: Column) -> D
 
 
 def facts(companies: DataFrame, triggers: DataFrame, evidence: DataFrame, contacts: DataFrame, suppressed: DataFrame, as_of: Column) -> DataFrame:
-    """Everything that the arithmetic needs, a row per company."""
-    named = contacts.groupBy("k").agg(F.bool_or(F.col("full_name").isNotNull()).alias("named"))
-    best = best_contact(contacts).select("k", "status")
+    """Everything that the arithmetic needs, a row per company, and its best contact for the reports."""
+    people = contact_facts(contacts).withColumn("status", F.col("contact.status"))
     off = suppressed.where("kind = 'domain'").select(F.lower("value").alias("off")).distinct()
     weak = dns.mail_weakness(dns.parse_hygiene(F.when(F.col("dns_hygiene").startswith("{"), F.col("dns_hygiene"))))
     out = companies.join(trigger_sums(triggers, as_of), "k", "left").join(source_breadth(triggers, evidence, as_of), "k", "left")
-    out = out.join(best, "k", "left").join(named, "k", "left").join(off, F.col("domain") == F.col("off"), "left")
+    out = out.join(people, "k", "left").join(off, F.col("domain") == F.col("off"), "left")
     zero = {"trigger": 0.0, "n_triggers": 0, "n_sources": 0, "status": "none", "named": False}
     out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zero.items()} | {"codes": F.coalesce("codes", F.array().cast("array<string>"))})
     return out.withColumns({"gap": F.coalesce(F.size(weak) > 0, F.lit(False)), "is_suppressed": F.col("off").isNotNull(), "band": F.coalesce("band", score.band_from_roles(F.col("open_roles")))}).drop("off")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TRIGGERS
 from ..functions.score import lookup
-from .scoring import best_contact
+from .scoring import contact_facts
 
 
 def top_trigger(triggers: DataFrame, evidence: DataFrame, live_only: bool = False, as_of=None) -> DataFrame:
@@ -32,22 +32,26 @@ def candidates(leads: DataFrame, judged: DataFrame, suppressed: DataFrame, quara
 
 
 def worklist(leads, contacts, triggers, evidence, judged, suppressed, quarantined, tiers=("A", "B"), limit: int | None = 25, include_judged: bool = False) -> DataFrame:
-    """Reachable leads, best first: by score, then named contacts, then domain. ``limit`` is the feature: a top-k report."""
+    """Reachable leads, best first: by score, then named contacts, then domain. ``limit`` is the feature: a top-k report.
+
+    Leads from ``scoring.facts`` hold their best contact already; for others ``contacts`` are aggregated here.
+    """
     base = candidates(leads, judged, suppressed, quarantined, tiers, include_judged)
-    total = contacts.where("email IS NOT NULL").groupBy("k").agg(F.count("*").alias("contacts_total"))
-    best = best_contact(contacts).select("k", F.col("email"), F.col("status").alias("email_status"), "full_name")
+    if "contact" not in base.columns:
+        base = base.join(contact_facts(contacts), "k")
     top = top_trigger(triggers, evidence).select("k", F.col("code").alias("trigger_code"), F.col("url").alias("evidence_url"))
-    out = base.select("k", "domain", "display_name", "score", "tier", "offer").join(best, "k").join(total, "k", "left").join(top, "k", "left")
-    out = out.withColumn("contacts_total", F.coalesce("contacts_total", F.lit(1)))
+    found = base.where("contact.email IS NOT NULL")
+    out = found.select("k", "domain", "display_name", "score", "tier", "offer", "contact.email", F.col("contact.status").alias("email_status"), "contact.full_name", "contacts_total").join(top, "k", "left")
     ordered = out.orderBy(F.desc("score"), F.col("full_name").isNull(), "domain")
     return ordered if limit is None else ordered.limit(limit)
 
 
 def reachability_counts(leads, contacts, judged, suppressed, quarantined, tiers=("A", "B")) -> DataFrame:
     base = candidates(leads, judged, suppressed, quarantined, tiers)
-    has = contacts.where("email IS NOT NULL").select("k").distinct().withColumn("has", F.lit(True))
-    joined = base.join(has, "k", "left")
-    return joined.agg(F.count_if("has").alias("reachable"), F.count_if(F.col("has").isNull()).alias("unreachable"))
+    if "contact" not in base.columns:
+        base = base.join(contact_facts(contacts), "k", "left")
+    has = F.col("contact.email").isNotNull()
+    return base.agg(F.count_if(has).alias("reachable"), F.count_if(~has).alias("unreachable"))
 
 
 def contacts_deduped(contacts: DataFrame) -> DataFrame:

@@ -83,9 +83,13 @@ def certificate_growth(names: DataFrame, since: Column) -> DataFrame:
 
 def registration(rows: DataFrame, as_of: Column) -> DataFrame:
     """The last registration event, the age in days and the registrar of each domain: rows (domain, body)."""
-    j = rows.select("domain", F.from_json("body", "events array<struct<eventAction:string,eventDate:string>>, entities array<struct<roles:array<string>,handle:string>>").alias("j"))
+    j = rows.select("domain", F.from_json("body", "events array<struct<eventAction:string,eventDate:string>>, entities array<struct<roles:array<string>,handle:string,vcardArray:array<string>>>").alias("j"))
     at = F.try_to_timestamp(F.try_element_at(F.filter("j.events", lambda e: e["eventAction"] == "registration"), F.lit(-1))["eventDate"])
-    registrar = F.try_element_at(F.filter("j.entities", lambda e: F.array_contains(e["roles"], "registrar")), F.lit(1))["handle"]
+    # a card is ["vcard", [[name, parameters, type, value], ...]]; the name of the first registrar that has one
+    lines = lambda e: F.coalesce(F.from_json(F.try_element_at(e["vcardArray"], F.lit(2)), "array<array<string>>"), F.array().cast("array<array<string>>"))
+    registrars = F.filter("j.entities", lambda e: F.array_contains(e["roles"], "registrar"))
+    named = F.filter(F.flatten(F.transform(registrars, lines)), lambda x: F.try_element_at(x, F.lit(1)) == "fn")
+    registrar = F.coalesce(F.try_element_at(F.try_element_at(named, F.lit(1)), F.lit(4)), F.try_element_at(registrars, F.lit(1))["handle"])
     return j.select("domain", at.alias("registered_at"), F.datediff(as_of, at).alias("age_days"), registrar.alias("registrar"))
 
 
