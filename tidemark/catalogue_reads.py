@@ -460,6 +460,85 @@ def critique_dead(s, d):
     return every.where("proposal = 'dead'")
 
 
+_UNITS = (("signup", 3600.0, False), ("click", 60.0, False), ("view", 600.0, True), ("purchase", 1e9, False), ("backup", 60.0, False), ("extra", 60.0, True))
+
+
+def _units(s):
+    return s.createDataFrame(list(_UNITS), "unit string, limit_s double, optional boolean")
+
+
+@query(f"""SELECT u.unit, round((epoch_us({EVENTS_NOW}) - epoch_us(b.seen_at)) / 1e6, 3) AS silence_s, CASE WHEN b.seen_at IS NULL THEN CASE WHEN u.optional THEN 'ok' ELSE 'degraded' END
+  WHEN (epoch_us({EVENTS_NOW}) - epoch_us(b.seen_at)) / 1e6 > u.limit_s THEN CASE WHEN u.optional OR 300 < u.limit_s THEN 'degraded' ELSE 'critical' END WHEN NOT b.ok THEN 'degraded' ELSE 'ok' END AS level
+  FROM (VALUES {", ".join(f"('{u}', {x}, {str(o).lower()})" for u, x, o in _UNITS)}) AS u(unit, limit_s, optional)
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY seen_at DESC, seq DESC) AS r FROM heartbeats) WHERE r = 1) b ON b.unit = u.unit""")
+def expected_units(s, d):
+    return operations.expected_units(_units(s), B.heartbeats(s, d), ts(B.EVENTS_AS_OF), 300.0).withColumn("silence_s", r4("silence_s", 3))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT epoch_us(seen_at) - lag(epoch_us(seen_at)) OVER (ORDER BY seen_at, seq) AS g FROM heartbeats WHERE unit = 'signup' AND seen_at >= TIMESTAMP '2024-01-10') WHERE g > 300000000) AS gaps,
+  count(DISTINCT build) AS builds, count(*) FILTER (WHERE seq % 50 = 0) AS clean_exits, 'backup' AS silent_units FROM heartbeats WHERE unit = 'signup' AND seen_at >= TIMESTAMP '2024-01-10'""")
+def run_record(s, d):
+    beats = B.heartbeats(s, d).withColumn("exiting", F.col("seq") % 50 == 0)
+    return operations.run_record(beats, _units(s), ts("2024-01-10 00:00:00"), "signup")
+
+
+@query("SELECT template, costed, weight FROM (VALUES ('a', false, 96), ('f', false, 35), ('d', true, 80)) AS t(template, costed, weight)")
+def scout_plan_budget(s, d):
+    """Costed templates only where their provider has their cost left."""
+    from .catalogue import _templates
+
+    t = _templates(s).withColumns({"provider": F.when(F.col("template") == "d", "one").when(F.col("template") == "e", "three").otherwise("two"), "cost": F.lit(5)})
+    left = s.createDataFrame([("one", 5), ("two", 4)], "provider string, units_left int")
+    return planning.plan(t, s.createDataFrame([("b",)], "template string"), budgets=left).select("template", "costed", "weight")
+
+
+_SNAP = {
+    "companies_total": "count(*) FROM companies", "companies_enriched": "count(*) FROM companies WHERE k % 3 > 0", "candidates_pending": "count(*) FROM documents WHERE doc_id % 5 = 4",
+    "triggers_live": "count(*) FROM live", "evidence_total": "count(*) FROM evidence", "evidence_dead": "count(*) FROM evidence WHERE NOT reachable", "contacts_total": "count(*) FROM contacts",
+    "leads_total": "count(*) FROM leads", "dispatches_total": "count(*) FROM dispatches", "queue_ready": f"count(*) FROM jobs WHERE status = 'pending' AND created_at <= {EVENTS_NOW} - INTERVAL 1 DAY",
+    "queue_deferred": f"count(*) FROM jobs WHERE status = 'pending' AND created_at > {EVENTS_NOW} - INTERVAL 1 DAY", "queue_in_flight": "count(*) FROM jobs WHERE status = 'in_flight'",
+    "queue_failed": "count(*) FROM jobs WHERE status = 'failed'", "queue_dead": "count(*) FROM jobs WHERE status = 'dead'", "dead_letter_total": "count(*) FROM jobs WHERE status = 'dead'",
+    "dead_letter_recent": f"count(*) FROM jobs WHERE status = 'dead' AND created_at > {EVENTS_NOW} - INTERVAL 8 DAY", "leads_tier_a": "count(*) FROM leads WHERE tier = 'A'", "leads_tier_b": "count(*) FROM leads WHERE tier = 'B'",
+    "leads_tier_c": "count(*) FROM leads WHERE tier = 'C'", "leads_tier_reject": "count(*) FROM leads WHERE tier = 'REJECT'", "dispatches_24h": f"count(*) FROM dispatches WHERE dispatched_at > {EVENTS_NOW} - INTERVAL 7 DAY",
+    "dispatches_ab_24h": f"count(*) FROM dispatches WHERE dispatched_at > {EVENTS_NOW} - INTERVAL 7 DAY AND tier IN ('A', 'B')",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, " + q.replace("count(*) FROM", "count(*) AS value FROM", 1) for n, q in _SNAP.items()))
+def gauges(s, d):
+    """Every gauge of a status, the windows a week long."""
+    jobs = B.jobs(s, d).withColumn("available_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    week = ts(B.EVENTS_AS_OF) - F.expr("INTERVAL 7 DAYS")
+    candidates = B.read(s, d, "documents").select(F.when(F.col("doc_id") % 5 == 4, "new").otherwise("resolved").alias("status"))
+    companies = B.companies(s, d).withColumn("enriched_at", F.when(F.col("k") % 3 > 0, B.as_of()))
+    dead = jobs.where("status = 'dead'").select((F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("died_at"))
+    return reads.gauges(companies, candidates, B.triggers(s, d), B.evidence(s, d), B.contacts(s, d), leads(s, d), B.dispatches(s, d), jobs, dead, B.as_of(), ts(B.EVENTS_AS_OF), week)
+
+
+@query("""SELECT 'quarantine' AS what, count(*) AS n FROM leads WHERE k % 3 = 0 UNION ALL SELECT 'stored', count(*) FROM leads WHERE k % 3 <> 0 OR k % 2 = 0 UNION ALL SELECT 'kept_angle', count(*) FROM leads WHERE k % 2 = 0
+  UNION ALL SELECT 'sent', count(*) FROM leads WHERE k % 3 <> 0 AND k % 5 <> 0 AND tier IN ('A', 'B')""")
+def scorer_commit(s, d):
+    """The chain after a score: a third is vetoed, half is stored already, a fifth was sent before."""
+    x = leads(s, d).withColumns({"passed": F.col("k") % 3 != 0, "vetoes": F.array(F.lit("has_evidence")), "angle": F.lit(""), "as_of": B.as_of()})
+    key = ids.idempotency_key(F.col("lead_id"), F.col("codes"), F.col("score")).alias("idempotency_key")
+    old = x.where("k % 2 = 0").select("lead_id", F.lit(1).alias("score"), F.lit("old").alias("angle"), F.lit(None).cast("string").alias("translation"), B.as_of().alias("first_seen_at"))
+    held, stored, sent = stages.decide(x, old, x.where("k % 5 = 0").select(key))
+    return maintenance.counted({"quarantine": held, "stored": stored, "kept_angle": stored.where("angle = 'old'"), "sent": sent})
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'quarantined' WHEN doc_id % 5 = 1 THEN 'deferred' WHEN doc_id % 5 = 2 THEN 'skipped' ELSE 'extracted' END AS status, CASE WHEN doc_id % 5 = 3 THEN 'T1_AI_SHIP' ELSE '' END AS codes,
+  CASE WHEN doc_id % 5 = 3 THEN left(sha256('https://p/' || doc_id || '|'), 16) END AS evidence_id FROM documents""")
+def extractor_commit(s, d):
+    """Statuses in their order of precedence; codes and evidence only with a verified snippet."""
+    i = F.col("doc_id")
+    outcome = F.when(i % 5 == 0, "quarantine").when(i % 5 == 2, "skip").otherwise("store")
+    none = F.array().cast("array<string>")
+    p = B.read(s, d, "documents").select(F.concat(F.lit("https://p/"), i.cast("string")).alias("url"), outcome.alias("outcome"), (i % 5 < 2).alias("paused"), F.when(i % 5 == 3, F.array(F.lit("a verified snippet"))).otherwise(none).alias("snippets"), F.array(F.lit("T1_AI_SHIP")).alias("codes"), B.as_of().alias("fetched_at"))
+    status, rows = stages.committed(p)
+    out = status.join(rows.select("url", "evidence_id"), "url", "left")
+    return out.select(F.substring("url", 11, 20).cast("long").alias("doc_id"), "status", F.array_join("codes", ",").alias("codes"), "evidence_id")
+
+
 # ------------------------------------------------------------------------------------------------ caches and sources
 
 

@@ -153,6 +153,28 @@ def unit_health(beats: DataFrame, as_of: Column, budget_s: float, critical_s: fl
     return b.select("unit", s.alias("silence_s"), F.when(s > critical_s, "critical").when((s > budget_s) | ~F.col("ok"), "degraded").otherwise("ok").alias("level"))
 
 
+def expected_units(units: DataFrame, beats: DataFrame, as_of: Column, uptime_s: float | None = None) -> DataFrame:
+    """The health of every unit that should report: rows (unit, limit_s, optional) with their last beats.
+
+    A unit that never reported is degraded, or ok if it is optional. A silence over the limit is critical; degraded where the unit is
+    optional or the host itself has not been up for that long (null: not known, no excuse). A reported failure is degraded.
+    """
+    s = _seconds(as_of, F.col("at"))
+    booted = F.lit(False) if uptime_s is None else F.lit(uptime_s) < F.col("limit_s")
+    level = F.when(F.col("at").isNull() & F.col("optional"), "ok").when(F.col("at").isNull(), "degraded").when((s > F.col("limit_s")) & (booted | F.col("optional")), "degraded")
+    level = level.when(s > F.col("limit_s"), "critical").when(~F.col("ok"), "degraded").otherwise("ok")
+    return F.broadcast(units).join(latest_per_unit(beats), "unit", "left").select("unit", s.alias("silence_s"), level.alias("level"))
+
+
+def run_record(beats: DataFrame, units: DataFrame, since: Column, worker: str) -> DataFrame:
+    """One row on a run: the worker's gaps, builds and clean exits, and the units that never reported in it."""
+    own = beats.where((F.col("at") >= since) & (F.col("unit") == worker))
+    exits = own.agg(F.count_if("exiting").alias("clean_exits"))
+    heard = beats.where(F.col("at") >= since).select("unit").distinct()
+    silent = units.where(~F.col("optional") & (F.col("unit") != worker)).join(heard, "unit", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("silent_units"))
+    return liveness(own).select("gaps", "builds").crossJoin(F.broadcast(exits)).crossJoin(F.broadcast(silent))  # one row each
+
+
 def worst(levels: DataFrame) -> DataFrame:
     rank = F.when(F.col("level") == "critical", 2).when(F.col("level") == "degraded", 1).otherwise(0)
     return levels.agg(F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("critical")), F.coalesce(F.max(rank), F.lit(0)) + 1).alias("level"))

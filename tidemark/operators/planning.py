@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def plan(templates: DataFrame, answered: DataFrame, most: int = 12, most_costed: int = 2) -> DataFrame:
-    """Templates without a fresh answer: free ones by weight, then at most ``most_costed`` costed ones, ``most`` in all."""
+def plan(templates: DataFrame, answered: DataFrame, most: int = 12, most_costed: int = 2, budgets: DataFrame | None = None) -> DataFrame:
+    """Templates without a fresh answer: free ones by weight, then at most ``most_costed`` costed ones, ``most`` in all.
+
+    ``budgets`` (provider, units_left): a costed template is planned only where its provider has its cost left; a provider without a row has none.
+    """
     t = templates.join(answered.select("template"), "template", "left_anti")
+    if budgets is not None:
+        t = t.join(budgets, "provider", "left").where(~F.col("costed") | (F.coalesce("units_left", F.lit(0)) >= F.col("cost"))).drop("units_left")
     t = t.withColumn("r", F.row_number().over(Window.partitionBy("costed").orderBy(F.desc("weight"), "template")))
     t = t.where(~F.col("costed") | (F.col("r") <= most_costed))
     return t.orderBy("costed", F.desc("weight"), "template").limit(most).drop("r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,3 +176,23 @@ def same_company(candidates: DataFrame, companies: DataFrame, threshold: float =
     found = ours.join(both, "a_id").join(theirs, "b_id").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "domain")).alias("m"))
     near = found.select(F.substring("id", 2, 100).cast(candidates.schema["id"].dataType).alias("id"), F.lit(2).alias("rung"), "m.domain", (-F.col("m.s")).alias("score"))
     return exact.unionByName(near)
+
+
+def gauges(companies, candidates, triggers, evidence, contacts, leads, dispatches, jobs, dead_letter, as_of: Column, now: Column, since: Column) -> DataFrame:
+    """Every number of a status as (name, value). One scan a table: its numbers are one aggregate, whatever their count."""
+    when = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    status, tier, new = F.col("status"), F.col("tier"), F.col("dispatched_at") > since
+    of = [
+        (companies, {"companies_total": F.count("*"), "companies_enriched": F.count("enriched_at")}),
+        (candidates, {"candidates_pending": when(status == "new")}),
+        (triggers, {"triggers_live": when(F.col("active") & (F.col("decays_at") > as_of))}),
+        (evidence, {"evidence_total": F.count("*"), "evidence_dead": when(~F.col("reachable"))}),
+        (contacts, {"contacts_total": F.count("*")}),
+        (leads, {"leads_total": F.count("*")} | {f"leads_tier_{t.lower()}": when(tier == t) for t in ("A", "B", "C", "REJECT")}),
+        (dispatches, {"dispatches_total": F.count("*"), "dispatches_24h": when(new), "dispatches_ab_24h": when(new & tier.isin("A", "B"))}),
+        (jobs, {"queue_ready": when((status == "pending") & (F.col("available_at") <= now)), "queue_deferred": when((status == "pending") & (F.col("available_at") > now)), "queue_in_flight": when(status == "in_flight"),
+                "queue_failed": when(status == "failed"), "queue_dead": when(status.isin("dead", "dead_letter"))}),
+        (dead_letter, {"dead_letter_total": F.count("*"), "dead_letter_recent": when(F.col("died_at") > since)}),
+    ]
+    each = [rows.agg(*[c.alias(n) for n, c in numbers.items()]).unpivot([], list(numbers), "name", "value") for rows, numbers in of]
+    return reduce(DataFrame.unionByName, each)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.url import extraction_target
-from ..operators import cards, resolve, scoring
+from ..operators import cards, merge, reads, resolve, scoring
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -49,4 +49,30 @@ def score(companies, triggers, evidence, contacts, suppressed, as_of: Column) ->
     return scoring.scored(scoring.facts(companies, triggers, evidence, contacts, suppressed, as_of))
 
 
+def decide(review: DataFrame, stored: DataFrame, log: DataFrame, immediate: tuple[str, ...] = ("A", "B")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What follows a verdict: the quarantine's new rows, the stored leads after the upsert, and the leads to be sent now.
+
+    A vetoed lead is quarantined and neither stored nor sent; the others are stored; of these, those of a tier that is sent at once go out, unless their state was sent before.
+    """
+    passed = review.where("passed")
+    new = passed.select("lead_id", "score", F.coalesce("angle", F.lit("")).alias("angle"), F.lit(None).cast("string").alias("translation"), F.col("as_of").alias("first_seen_at"))
+    return scoring.quarantine_rows(review), merge.upsert_leads(stored, new), cards.new_dispatches(passed.where(F.col("tier").isin(*immediate)), log)
+
+
+def committed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``extract`` leaves behind: each page's status, and the evidence rows of its verified snippets.
+
+    A page whose model was not to be had (``paused``) is deferred and keeps its place; one without a verified snippet brings no
+    trigger, and its codes fall away.
+    """
+    status = F.when(F.col("outcome") == "quarantine", "quarantined").when(F.col("paused"), "deferred").when(F.col("outcome") == "skip", "skipped").otherwise("extracted")
+    p = pages.withColumn("status", status)
+    stored = p.where("status = 'extracted'")
+    row = reads.evidence_row(F.col("url"), F.lit("page"), F.col("snippet"), F.col("fetched_at"))
+    found = stored.select("url", "fetched_at", F.explode("snippets").alias("snippet")).select(row.alias("e")).select("e.*")
+    none = F.array().cast("array<string>")
+    codes = F.when((F.col("status") == "extracted") & (F.size("snippets") > 0), F.col("codes")).otherwise(none)
+    return p.select("url", "status", codes.alias("codes")), found
+
+
 STAGES: dict[str, Callable] = {"harvest": harvest, "extract": extract, "resolve": resolve.resolve, "enrich": enrich, "score": score, "dispatch": cards.new_dispatches}
