@@ -223,8 +223,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_points: int = TR
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, tree_points: int = TREE_POINTS) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest doc_id (ties: the
-    smallest fingerprint; rows that repeat both: one of them). All columns of ``docs`` stay."""
+    """``docs`` with one row of each component: the one with its smallest doc_id (null last; ties: the
+    smallest fingerprint; rows that repeat both: one of them). All columns of ``docs`` stay, whatever their names; null and
+    empty texts are one group; an empty table gives no rows."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"

@@ -239,7 +239,8 @@ def archive(pages: DataFrame, least_revisit: int = LEAST_REVISIT, archive_bytes:
     """Write, normalise; returns (file, index, n_records).
 
     A null html is an empty payload, a null url is left out, a null page_id stays null; rows that repeat the smallest
-    page_id of a payload are responses each. An empty table gives no archive.
+    page_id of a payload are responses each. A very long page is one record, held as a whole by one task. Other columns are
+    left out, whatever their names. An empty table gives no archive.
     """
     spark = pages.sparkSession
     raw, final = (qualified(spark, new_folder(spark, n)) for n in ("warc-raw", "warc"))
