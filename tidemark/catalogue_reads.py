@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import config as C
 from .catalogue import _words, leads, query, r4, ts
 from .functions import dates, email, ids, score, text, url
-from .operators import cache, cards, critic, details, feedback, maintenance, merge, operations, planning, reads, scoring
+from .operators import cache, cards, critic, details, feedback, maintenance, merge, operations, planning, reads, reports, scoring
 from .plans import bindings as B
 from .plans import stages, versions
 from .plans.oracle import EVENTS_NOW, NOW, case
@@ -539,6 +539,26 @@ def extractor_commit(s, d):
     return out.select(F.substring("url", 11, 20).cast("long").alias("doc_id"), "status", F.array_join("codes", ",").alias("codes"), "evidence_id")
 
 
+_flag = lambda c: f"CASE WHEN {c} IS NULL THEN 'n/a ' WHEN {c} THEN 'PASS' ELSE 'FAIL' END"
+
+
+@query(f"""WITH m AS (SELECT event_id, event_id % 2 = 0 AS a, CASE WHEN event_id % 3 > 0 THEN event_id % 3 = 1 END AS b, event_id % 7 AS x FROM events WHERE event_id = 12)
+  SELECT CAST(i AS INT) AS n, CASE i WHEN 0 THEN CASE WHEN NOT a OR NOT coalesce(b, true) THEN '# Acceptance: NOT PASSED' ELSE '# Acceptance: PASSED' END WHEN 1 THEN '| | Criterion | Measured |' WHEN 2 THEN '| --- | --- | --- |'
+  WHEN 3 THEN '| ' || {_flag("a")} || ' | `throughput` | ' || x || ' of 12 leads in tiers A and B |' WHEN 4 THEN '| ' || {_flag("b")} || ' | `no_job_lost` |  |' WHEN 5 THEN '| n/a  | `no_silent_unit` |  |' ELSE '| PASS | `governor_recovered` |  |' END AS line
+  FROM m, range(7) AS r(i)""")
+def acceptance_lines(s, d):
+    i = F.col("event_id")
+    row = _events(s, d).where("event_id = 12").select((i % 7).alias("ab_leads"), i.alias("leads"), (i % 2 == 0).alias("throughput_ok"), F.when(i % 3 > 0, i % 3 == 1).alias("jobs_ok"), F.lit(None).cast("boolean").alias("liveness_ok"), F.lit(True).alias("thermal_ok"))
+    return reports.acceptance_lines(row)
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INT) AS n, line FROM (SELECT '0' AS o, '# Critic: 30 scored leads, 4 judged' AS line UNION ALL SELECT DISTINCT '1' || event_type || '0', '## ' || event_type FROM events
+  UNION ALL SELECT DISTINCT '1' || event_type || '1k' || user_id % 3, '- `k' || user_id % 3 || '`: raise' FROM events)""")
+def critique_lines(s, d):
+    p = _events(s, d).select(F.col("event_type").alias("target"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("key"), F.lit("raise").alias("proposal")).distinct()
+    return reports.critique_lines(p, 30, 4)
+
+
 # ------------------------------------------------------------------------------------------------ caches and sources
 
 
