@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import config as C
 from .catalogue import _words, leads, query, r4, ts
 from .functions import dates, email, ids, score, text, url
-from .operators import cache, cards, critic, details, feedback, maintenance, merge, operations, planning, reads, reports, scoring
+from .operators import cache, cards, critic, details, feedback, graph, maintenance, merge, operations, planning, reads, reports, scoring
 from .plans import bindings as B
 from .plans import stages, versions
 from .plans.oracle import EVENTS_NOW, NOW, case
@@ -559,6 +561,47 @@ def critique_lines(s, d):
     return reports.critique_lines(p, 30, 4)
 
 
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'no domain' WHEN event_id % 7 = 0 THEN 'not found' WHEN event_id % 5 = 0 THEN 'no live trigger' WHEN event_id % 3 = 0 THEN 'no model' WHEN event_id % 4 = 0 THEN 'moot' ELSE 'ask' END AS decision FROM events")
+def prose_decisions(s, d):
+    i = F.col("event_id")
+    decision = reads.prose_decision(F.when(i % 11 != 0, "a.io"), i % 7 != 0, i % 5, i % 3 != 0, i % 2 == 0, i % 4 == 0)
+    return _events(s, d).select("event_id", decision.alias("decision"))
+
+
+_WHY = ("paused by the thermal governor", "read timed out", "refused by policy")
+
+
+@query("""SELECT event_id, CAST(a AS INT) AS attempt, CAST(p AS INT) AS pauses, CASE WHEN event_id % 3 = 0 AND p < 12 THEN 1800 WHEN event_id % 3 = 1 AND a < 3 THEN 1800 ELSE 0 END AS retry_in FROM (SELECT event_id,
+  user_id % 4 + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS a, user_id % 14 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS p FROM events)""")
+def prose_retries(s, d):
+    u = F.col("user_id")
+    return _events(s, d).select("event_id", reads.prose_retry(pick_of(_WHY, F.col("event_id") % 3), u % 4, u % 14).alias("x")).select("event_id", "x.attempt", "x.pauses", "x.retry_in")
+
+
+@query("""SELECT event_id, event_id % 4 IN (0, 1) AS ok, CASE event_id % 4 WHEN 0 THEN 204 WHEN 1 THEN 200 WHEN 2 THEN 400 END AS status, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 5 END AS attempts, event_id % 4 = 3 AS exhausted FROM events""")
+def post_outcomes(s, d):
+    null = F.lit(None).cast("int")
+    runs = (F.array(F.lit(204)), F.array(F.lit(429), null, F.lit(200)), F.array(F.lit(503), F.lit(400), F.lit(200)), F.array(*[F.lit(500)] * 6))
+    i = F.col("event_id") % 4
+    tries = F.when(i == 0, runs[0]).when(i == 1, runs[1]).when(i == 2, runs[2]).otherwise(runs[3])
+    return _events(s, d).select("event_id", reads.post_outcome(tries).alias("x")).select("event_id", "x.ok", "x.status", "x.attempts", "x.exhausted")
+
+
+@query("SELECT event_id, CAST(greatest(0, ceil(least(t, 900) / 60) - 1) AS INT) AS renewals, CASE WHEN t > 900 THEN 'cancelled' ELSE 'done' END AS outcome FROM (SELECT event_id, value * 12 AS t FROM events)")
+def lease_runs(s, d):
+    return _events(s, d).select("event_id", reads.lease_run(F.col("value") * 12, 60.0, 900.0).alias("x")).select("event_id", "x.renewals", "x.outcome")
+
+
+@query("SELECT DISTINCT 'langchain OR mcp-server OR llamaindex OR autogen pushed:>' || strftime(CAST(ts AS DATE) - 180, '%Y-%m-%d') AS query FROM events")
+def stack_queries(s, d):
+    return _events(s, d).select(reads.stack_query(F.col("ts")).alias("query")).distinct()
+
+
+@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+def table_backup(s, d):
+    return graph.backup({n: B.read(s, d, n) for n in ("nation", "region")}, f"{graph.shared_dir(s)}/tidemark/backup-{uuid.uuid4().hex}")
+
+
 # ------------------------------------------------------------------------------------------------ caches and sources
 
 

@@ -71,3 +71,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Copies of tables under ``folder``, each as a whole: (name, n). A copy that holds another number of rows is an error."""
+    found = []
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        copied, n = rows.sparkSession.read.parquet(f"{folder}/{name}").count(), rows.count()
+        if copied != n:
+            raise RuntimeError(f"{name}: {copied} of {n} rows were copied")
+        found.append((name, n))
+    return next(iter(tables.values())).sparkSession.createDataFrame(found, "name string, n long")

@@ -196,3 +196,38 @@ def gauges(companies, candidates, triggers, evidence, contacts, leads, dispatche
     ]
     each = [rows.agg(*[c.alias(n) for n, c in numbers.items()]).unpivot([], list(numbers), "name", "value") for rows, numbers in of]
     return reduce(DataFrame.unionByName, each)
+
+
+def prose_decision(domain: Column, known: Column, n_triggers: Column, has_model: Column, retry: Column, has_angle: Column) -> Column:
+    """What a score job does about its prose: why not, or ``ask``. A retry is moot where the lead has its angle by now."""
+    why = F.when(F.coalesce(domain, F.lit("")) == "", "no domain").when(~known, "not found").when(n_triggers == 0, "no live trigger")
+    return why.when(~has_model, "no model").when(retry & has_angle, "moot").otherwise("ask")
+
+
+def prose_retry(reason: Column, attempt: Column, pauses: Column, most: int = 3, most_pauses: int = 12, seconds: int = 1800) -> Column:
+    """After a failure: the new counts, and the seconds to the next try, 0 for none. A pause for heat doesn't count as an attempt."""
+    paused = text.reason_is(reason, "thermal")
+    again = text.reason_is(reason, "thermal", "timed out", "connection", "schema")
+    a, p = attempt + F.when(paused, 0).otherwise(1), pauses + F.when(paused, 1).otherwise(0)
+    within = F.when(paused, p < most_pauses).otherwise(a < most)
+    return F.struct(a.cast("int").alias("attempt"), p.cast("int").alias("pauses"), F.when(again & within, seconds).otherwise(0).alias("retry_in"))
+
+
+def post_outcome(statuses: Column, most: int = 5) -> Column:
+    """How posting ends over the answers' statuses in order (null: no answer): the first that is no reason to try again decides, within ``most`` attempts."""
+    tried = F.slice(statuses, 1, most)
+    final = F.filter(F.transform(tried, lambda s, i: F.struct((i + 1).alias("attempt"), s.alias("status"))), lambda x: x["status"].isNotNull() & (x["status"] != 429) & ~x["status"].between(500, 599))
+    last = F.try_element_at(final, F.lit(1))
+    return F.struct(F.coalesce(last["status"] < 400, F.lit(False)).alias("ok"), last["status"].alias("status"), F.coalesce(last["attempt"], F.size(tried)).alias("attempts"), last.isNull().alias("exhausted"))
+
+
+def lease_run(seconds: Column, interval: float, most: float) -> Column:
+    """A stage of ``seconds`` under a lease that is renewed every ``interval``: the renewals, and whether it ends or is cancelled at ``most``."""
+    cancelled = seconds > most
+    ran = F.least(seconds, F.lit(most))
+    return F.struct(F.greatest(F.lit(0), F.ceil(ran / interval) - 1).cast("int").alias("renewals"), F.when(cancelled, "cancelled").otherwise("done").alias("outcome"))
+
+
+def stack_query(as_of: Column, days: int = 180) -> Column:
+    """The search for public code on agent frameworks, pushed within ``days``; its answers are read with organizations only."""
+    return F.concat(F.lit(" OR ".join(C.STACK_TERMS) + " pushed:>"), F.date_format(F.date_sub(as_of.cast("date"), days), "yyyy-MM-dd"))
