@@ -41,17 +41,21 @@ _FLOOR = "CAST(floor(epoch_us(ts) / 1e6) AS BIGINT)"
 @query(f"SELECT 'stories' AS engine, event_type AS title, 'https://u' || user_id || '.io/' || event_id AS url, 'a' || user_id AS author, {_FLOOR} AS seconds, 'v & ' || event_id AS snippet FROM events")
 def landed_stories(s, d):
     i, u = F.col("event_id"), F.col("user_id")
-    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://u"), _s(u), F.lit(".io/"), _s(i)).alias("url"), F.concat(F.lit("a"), _s(u)).alias("author"), _seconds("ts").alias("created_at_i"), F.concat(F.lit("<p>v &amp; "), _s(i), F.lit("</p>")).alias("story_text"))
+    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://u"), _s(u), F.lit(".io/"), _s(i)).alias("url"),
+        F.concat(F.lit("a"), _s(u)).alias("author"), _seconds("ts").alias("created_at_i"), F.concat(F.lit("<p>v &amp; "), _s(i), F.lit("</p>")).alias("story_text"))
     return landed.stories(_landed(_events(s, d), u % 50, item, "hits")).select("engine", "title", "url", "author", _epoch("published_at"), "snippet")
 
 
-@query(f"""SELECT title, url, author, seconds, snippet FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS r FROM (SELECT event_id, 'a' || user_id AS author, {_FLOOR} AS seconds,
-  CASE event_id % 3 WHEN 0 THEN 'Acme' || event_id ELSE 'Plain Co ' || event_id END AS title, CASE event_id % 3 WHEN 0 THEN 'https://acme' || event_id || '.io/jobs' ELSE 'https://www.plain' || event_id || '.com/x' END AS url,
+@query(f"""SELECT title, url, author, seconds, snippet FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS r
+    FROM (SELECT event_id, 'a' || user_id AS author, {_FLOOR} AS seconds,
+  CASE event_id % 3 WHEN 0 THEN 'Acme' || event_id ELSE 'Plain Co ' || event_id END AS title, CASE event_id % 3
+  WHEN 0 THEN 'https://acme' || event_id || '.io/jobs' ELSE 'https://www.plain' || event_id || '.com/x' END AS url,
   CASE event_id % 3 WHEN 0 THEN 'Acme' || event_id || ' | Dhaka | apply' ELSE 'Plain Co ' || event_id || ' - hiring https://www.plain' || event_id || '.com/x, now' END AS snippet FROM events WHERE event_id % 3 <> 1)) WHERE r <= 5""")
 def landed_threads(s, d):
     """Comments of threads that name a company's address, the first five of a thread."""
     i = F.col("event_id")
-    said = F.when(i % 3 == 0, F.concat(F.lit("Acme"), _s(i), F.lit(' | Dhaka | <a href="https:&#x2F;&#x2F;acme'), _s(i), F.lit('.io&#x2F;jobs">apply</a>'))).when(i % 3 == 1, "see https://github.com/x only")
+    said = F.when(i % 3 == 0, F.concat(F.lit("Acme"), _s(i), F.lit(' | Dhaka | <a href="https:&#x2F;&#x2F;acme'), _s(i),
+        F.lit('.io&#x2F;jobs">apply</a>'))).when(i % 3 == 1, "see https://github.com/x only")
     said = said.otherwise(F.concat(F.lit("Plain Co "), _s(i), F.lit(" - hiring https://www.plain"), _s(i), F.lit(".com/x, now")))
     item = F.struct(said.alias("comment_text"), F.concat(F.lit("a"), _s(F.col("user_id"))).alias("author"), _seconds("ts").alias("created_at_i"))
     return landed.thread_comments(_landed(_events(s, d), i % 500, item, "hits"), 5).select("title", "url", "author", _epoch("published_at"), "snippet")
@@ -62,7 +66,8 @@ def landed_repositories(s, d):
     """Repositories of organizations; those of persons are left out."""
     i, u = F.col("event_id"), F.col("user_id")
     owner = F.struct(F.concat(F.lit("o"), _s(u)).alias("login"), F.when(u % 3 < 2, "Organization").otherwise("User").alias("type"))
-    item = F.struct(F.concat(F.lit("o"), _s(u), F.lit("/r"), _s(i)).alias("full_name"), F.concat(F.lit("https://github.com/r"), _s(i)).alias("html_url"), F.when(i % 2 == 0, F.concat(F.lit("https://r"), _s(i), F.lit(".io"))).alias("homepage"),
+    item = F.struct(F.concat(F.lit("o"), _s(u), F.lit("/r"), _s(i)).alias("full_name"), F.concat(F.lit("https://github.com/r"), _s(i)).alias("html_url"),
+        F.when(i % 2 == 0, F.concat(F.lit("https://r"), _s(i), F.lit(".io"))).alias("homepage"),
                     F.col("event_type").alias("description"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pushed_at"), owner.alias("owner"))
     return landed.repositories(_landed(_events(s, d), u % 50, item, "items")).select("title", "url", "homepage", "author", _epoch("published_at"), "snippet")
 
@@ -71,9 +76,11 @@ def landed_repositories(s, d):
 def landed_web(s, d):
     """Organic and news results; an answer with an error gives none."""
     i = F.col("event_id")
-    item = F.array(F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://w"), _s(i), F.lit(".io/")).alias("link"), F.concat(F.lit("s"), _s(i)).alias("snippet")))
+    item = F.array(F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://w"), _s(i), F.lit(".io/")).alias("link"),
+        F.concat(F.lit("s"), _s(i)).alias("snippet")))
     none = F.lit(None).cast(item_type(s, d, item))
-    body = F.struct(F.when(i % 10 == 3, "quota").alias("error"), F.when(i % 2 == 0, item).otherwise(none).alias("organic_results"), F.when(i % 2 == 1, item).otherwise(none).alias("news_results"))
+    body = F.struct(F.when(i % 10 == 3, "quota").alias("error"), F.when(i % 2 == 0, item).otherwise(none).alias("organic_results"),
+        F.when(i % 2 == 1, item).otherwise(none).alias("news_results"))
     return landed.web_results(_events(s, d).select(F.to_json(body).alias("body")))
 
 
@@ -84,7 +91,8 @@ def item_type(s, d, column):
 @query(f"SELECT 'g' || user_id % 50 AS board, event_type AS title, 'https://b/' || event_id AS url, {_FLOOR} AS seconds, 'need & ' || event_id AS content FROM events")
 def landed_board_a(s, d):
     i = F.col("event_id")
-    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://b/"), _s(i)).alias("absolute_url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.concat(F.lit("<p>need &amp;amp; "), _s(i), F.lit("</p>")).alias("content"))
+    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://b/"), _s(i)).alias("absolute_url"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.concat(F.lit("<p>need &amp;amp; "), _s(i), F.lit("</p>")).alias("content"))
     out = landed.greenhouse(_landed(_events(s, d), F.col("user_id") % 50, item, "jobs"))
     return out.select("board", "title", "url", _epoch("published_at"), F.replace("content", F.lit("&amp;"), F.lit("&")).alias("content"))
 
@@ -94,14 +102,16 @@ def landed_board_b(s, d):
     """Times in milliseconds, some of them no number."""
     i = F.col("event_id")
     at = F.when(i % 5 > 0, _s(F.timestamp_diff("MILLISECOND", ts("1970-01-01 00:00:00"), F.col("ts")))).otherwise("soon")
-    item = F.struct(F.col("event_type").alias("text"), F.concat(F.lit("https://b/"), _s(i)).alias("hostedUrl"), at.alias("createdAt"), F.concat(F.lit("plain "), _s(i)).alias("descriptionPlain"))
+    item = F.struct(F.col("event_type").alias("text"), F.concat(F.lit("https://b/"), _s(i)).alias("hostedUrl"), at.alias("createdAt"),
+        F.concat(F.lit("plain "), _s(i)).alias("descriptionPlain"))
     return landed.lever(_landed(_events(s, d), F.col("user_id") % 50, item, None)).select("board", "title", "url", _epoch("published_at"), "content")
 
 
 @query(f"SELECT 'g' || user_id % 50 AS board, event_type AS title, 'https://b/' || event_id AS url, {_FLOOR} AS seconds, 'plain ' || event_id AS content FROM events")
 def landed_board_c(s, d):
     i = F.col("event_id")
-    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://b/"), _s(i)).alias("jobUrl"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), F.concat(F.lit("plain "), _s(i)).alias("descriptionPlain"))
+    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://b/"), _s(i)).alias("jobUrl"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"), F.concat(F.lit("plain "), _s(i)).alias("descriptionPlain"))
     return landed.ashby(_landed(_events(s, d), F.col("user_id") % 50, item, "jobs")).select("board", "title", "url", _epoch("published_at"), "content")
 
 
@@ -127,13 +137,15 @@ def certificate_growth(s, d):
     return landed.certificate_growth(_certificates(s, d), F.lit("2024-01-20 00:00:00").cast("timestamp"))
 
 
-@query("""SELECT 'c' || c_custkey || '.io' AS domain, CASE WHEN c_custkey % 4 > 0 THEN CAST(date_diff('day', DATE '2024-01-01' - to_days(CAST(c_custkey % 700 AS INT)), DATE '2024-02-01') AS INT) END AS age_days,
+@query("""SELECT 'c' || c_custkey || '.io' AS domain, CASE WHEN c_custkey % 4 > 0 THEN CAST(date_diff('day', DATE '2024-01-01' - to_days(CAST(c_custkey % 700 AS INT)),
+    DATE '2024-02-01') AS INT) END AS age_days,
   CASE WHEN c_custkey % 3 > 0 THEN 'Names Inc ' || c_custkey END AS registrar FROM customer""")
 def registrations(s, d):
     """Registration data: the age, and the registrar's name from its card; events or roles may be missing."""
     k = F.col("c_custkey")
     day = F.date_format(F.date_sub(F.lit("2024-01-01").cast("date"), (k % 700).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'")
-    event = F.concat(F.lit('{"eventAction":"last changed","eventDate":"2024-01-15T00:00:00Z"}'), F.when(k % 4 > 0, F.concat(F.lit(',{"eventAction":"registration","eventDate":"'), day, F.lit('"}'))).otherwise(""))
+    event = F.concat(F.lit('{"eventAction":"last changed","eventDate":"2024-01-15T00:00:00Z"}'),
+        F.when(k % 4 > 0, F.concat(F.lit(',{"eventAction":"registration","eventDate":"'), day, F.lit('"}'))).otherwise(""))
     card = F.concat(F.lit('["vcard",[["version",{},"text","4.0"],["fn",{},"text","Names Inc '), _s(k), F.lit('"]]]'))
     role = F.when(k % 3 > 0, '["registrar"]').otherwise('["abuse"]')
     body = F.concat(F.lit('{"events":['), event, F.lit('],"entities":[{"roles":["abuse"]},{"roles":'), role, F.lit(',"vcardArray":'), card, F.lit("}]}"))
@@ -141,13 +153,15 @@ def registrations(s, d):
     return landed.registration(x, F.lit("2024-02-01").cast("date")).select("domain", F.col("age_days").cast("int").alias("age_days"), "registrar")
 
 
-@query("""SELECT c_custkey AS k, c_custkey % 2 = 0 AS mx, CASE WHEN c_custkey % 3 = 0 THEN 'v=spf1 -all' END AS spf, CASE WHEN c_custkey % 5 = 0 THEN 'reject' END AS dmarc, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 7 = 1 END AS dnssec FROM customer""")
+@query("""SELECT c_custkey AS k, c_custkey % 2 = 0 AS mx, CASE WHEN c_custkey % 3 = 0 THEN 'v=spf1 -all' END AS spf, CASE
+    WHEN c_custkey % 5 = 0 THEN 'reject' END AS dmarc, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 7 = 1 END AS dnssec FROM customer""")
 def dns_answers(s, d):
     """Records of lookups as one row a domain; what was not looked up stays unknown."""
     k = F.col("c_custkey")
     row = lambda kind, value, cond=None: F.when(F.lit(True) if cond is None else cond, F.struct(F.lit(kind).alias("kind"), value.alias("value")))
     every = F.array_compact(F.array(
-        row("MX", F.when(k % 2 == 0, "mx.example")), row("TXT", F.lit("google=1")), row("TXT", F.when(k % 3 == 0, "v=spf1 -all")), row("DMARC", F.when(k % 5 == 0, "v=DMARC1; p=reject").otherwise("v=DMARC1")), row("DNSKEY", F.when(k % 7 == 1, "key"), k % 7 > 0),
+        row("MX", F.when(k % 2 == 0, "mx.example")), row("TXT", F.lit("google=1")), row("TXT", F.when(k % 3 == 0, "v=spf1 -all")),
+            row("DMARC", F.when(k % 5 == 0, "v=DMARC1; p=reject").otherwise("v=DMARC1")), row("DNSKEY", F.when(k % 7 == 1, "key"), k % 7 > 0),
     ))
     x = B.read(s, d, "customer").select(F.concat(F.lit("c"), _s(k)).alias("domain"), F.explode(every).alias("r")).select("domain", "r.*")
     return landed.dns_records(x).select(F.substring("domain", 2, 20).cast("long").alias("k"), "hygiene.mx", "hygiene.spf", "hygiene.dmarc", "hygiene.dnssec")
@@ -162,7 +176,8 @@ def parsed_prose(s, d):
     return B.read(s, d, "pages").select("page_id", F.sha2(markup.html_prose("html")["text"], 256).alias("sha"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE rtrim(CASE WHEN strpos(reverse(left(text, 300)), ' ') > 0 AND 300 - strpos(reverse(left(text, 300)), ' ') > 240 THEN left(text, 300 - strpos(reverse(left(text, 300)), ' ')) ELSE left(text, 300) END, ' ') || ' …' END AS cut FROM documents""")
+@query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE rtrim(CASE WHEN strpos(reverse(left(text, 300)), ' ') > 0 AND 300 - strpos(reverse(left(text,
+    300)), ' ') > 240 THEN left(text, 300 - strpos(reverse(left(text, 300)), ' ')) ELSE left(text, 300) END, ' ') || ' …' END AS cut FROM documents""")
 def prose_budget(s, d):
     return B.read(s, d, "documents").select("doc_id", text.cut_prose(F.col("text"), 300).alias("cut"))
 
@@ -172,11 +187,14 @@ def fenced_text(s, d):
     return B.read(s, d, "documents").select("doc_id", F.sha2(text.wrap_untrusted(F.concat("text", F.lit(f" {C.CLOSE_FENCE}"))), 256).alias("sha"))
 
 
-@query(f"""SELECT event_id, '{C.REDACTED}' AS webhook, '{C.REDACTED}' AS my_token, CASE WHEN event_id % 2 = 0 THEN '{C.REDACTED}' ELSE 'plain ' || event_id END AS note FROM events""")
+@query(f"""SELECT event_id, '{C.REDACTED}' AS webhook, '{C.REDACTED}' AS my_token, CASE WHEN event_id % 2 = 0 THEN '{C.REDACTED}'
+    ELSE 'plain ' || event_id END AS note FROM events""")
 def secret_maps(s, d):
     i = F.col("event_id")
-    m = F.create_map(F.lit("Webhook"), F.lit("x"), F.lit("my_token"), F.lit("y"), F.lit("note"), F.when(i % 2 == 0, "Bearer abcdefghijklmnop").otherwise(F.concat(F.lit("plain "), _s(i))))
-    return _events(s, d).select("event_id", text.scrub_map(m).alias("m")).select("event_id", F.col("m")["Webhook"].alias("webhook"), F.col("m")["my_token"].alias("my_token"), F.col("m")["note"].alias("note"))
+    m = F.create_map(F.lit("Webhook"), F.lit("x"), F.lit("my_token"), F.lit("y"), F.lit("note"),
+        F.when(i % 2 == 0, "Bearer abcdefghijklmnop").otherwise(F.concat(F.lit("plain "), _s(i))))
+    return _events(s, d).select("event_id", text.scrub_map(m).alias("m")).select("event_id", F.col("m")["Webhook"].alias("webhook"),
+        F.col("m")["my_token"].alias("my_token"), F.col("m")["note"].alias("note"))
 
 
 @query("SELECT page_id, 'sales@p' || page_id || '.io,b@c.io' AS emails FROM pages")
@@ -194,7 +212,8 @@ _SECURITY = ("# policy\nContact: mailto:Sec@acme.io\nExpires: never", "  contact
 def security_policies(s, d):
     """The contact line; is the body a policy; and what a fetch of it says: absent, there, or unknown."""
     body = pick_of(_SECURITY, F.col("event_id") % 5)
-    return _events(s, d).select("event_id", email.security_contact(body).alias("contact"), text.is_security_txt(body).alias("is_policy"), details.security_txt(F.when(F.col("event_id") % 2 == 1, 404).otherwise(200), body).alias("found"))
+    return _events(s, d).select("event_id", email.security_contact(body).alias("contact"), text.is_security_txt(body).alias("is_policy"),
+        details.security_txt(F.when(F.col("event_id") % 2 == 1, 404).otherwise(200), body).alias("found"))
 
 
 _COMMENTS = ("Acme | Dhaka | Remote", "One - two", "No separator here", " | nothing before", "<p>Tags &amp; all</p> – rest")
@@ -206,7 +225,8 @@ def comment_titles(s, d):
     return _events(s, d).select("event_id", text.comment_title(F.when(F.col("event_id") % 5 == 4, text.strip_tags(body)).otherwise(body)).alias("title"))
 
 
-_LINKS = ('<a href="https://github.com/x">x</a> https://acme.io/jobs', 'https://www.acme.io/a). <a href="https://b.io/c">', "https://news.ycombinator.com/item?id=1", "no link")
+_LINKS = ('<a href="https://github.com/x">x</a> https://acme.io/jobs', 'https://www.acme.io/a). <a href="https://b.io/c">', "https://news.ycombinator.com/item?id=1",
+    "no link")
 
 
 @query(f"SELECT event_id, {case('event_id % 4', {0: 'https://acme.io/jobs', 1: 'https://b.io/c'})} AS url FROM events")
@@ -217,7 +237,9 @@ def company_links(s, d):
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'https://acme.io/x' WHEN 1 THEN 'https://home.io' WHEN 2 THEN 'http://other.io/' END AS target FROM events")
 def extraction_targets(s, d):
     i = F.col("event_id") % 4
-    return _events(s, d).select("event_id", url.extraction_target(pick_of(("https://acme.io/x", "https://github.com/a", "https://github.com/b", "https://github.com/c"), i), pick_of(("home.io", "home.io", "http://other.io/", ""), i)).alias("target"))
+    return _events(s, d).select("event_id",
+        url.extraction_target(pick_of(("https://acme.io/x", "https://github.com/a", "https://github.com/b", "https://github.com/c"), i),
+        pick_of(("home.io", "home.io", "http://other.io/", ""), i)).alias("target"))
 
 
 _ANGLES = ("You published T1_AI_SHIP last week", "We offer an ai_llm_assessment", "A plain sentence", "T3_HIRING_SEC and snapshot_free")
@@ -260,7 +282,9 @@ def extraction_bounds(s, d):
 def stored_codes(s, d):
     i = F.col("event_id") % 3
     none = F.array().cast("array<string>")
-    return _events(s, d).select("event_id", F.array_join(details.stored_codes(F.when(i == 0, F.array(F.lit("T1_AI_SHIP"))).otherwise(none), F.when(i == 1, F.array(F.lit("T2_FUNDING"), F.lit("X"))).otherwise(none)), ",").alias("codes"))
+    return _events(s, d).select("event_id",
+        F.array_join(details.stored_codes(F.when(i == 0, F.array(F.lit("T1_AI_SHIP"))).otherwise(none),
+        F.when(i == 1, F.array(F.lit("T2_FUNDING"), F.lit("X"))).otherwise(none)), ",").alias("codes"))
 
 
 _DOMAINS = ("acme.gov.bd", "gov.uk", "x.mil", "agov.com", "acme.io", "")
@@ -274,13 +298,15 @@ def government_domains(s, d):
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'is_business_not_individual' ELSE '' END AS vetoes FROM events")
 def business_rule(s, d):
     none = F.array(F.lit("x"))
-    checks = rules.rules(none, none, F.lit(False), none, F.lit(None).cast("string"), F.lit("acme.io"), F.lit("software"), F.lit("Acme"), business=F.col("event_id") % 2 == 1)
+    checks = rules.rules(none, none, F.lit(False), none, F.lit(None).cast("string"), F.lit("acme.io"), F.lit("software"), F.lit("Acme"),
+        business=F.col("event_id") % 2 == 1)
     return _events(s, d).select("event_id", F.array_join(rules.verdict(checks)["vetoes"], ",").alias("vetoes"))
 
 
 @query("SELECT event_id, status IN ('verified', 'role_account', 'catch_all') AS usable FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'role_account' WHEN 2 THEN 'catch_all' WHEN 3 THEN 'risky' ELSE 'unverified' END AS status FROM events)")
 def usable_contacts(s, d):
-    return _events(s, d).select("event_id", email.usable(pick_of(("verified", "role_account", "catch_all", "risky", "unverified"), F.col("event_id") % 5)).alias("usable"))
+    return _events(s, d).select("event_id",
+        email.usable(pick_of(("verified", "role_account", "catch_all", "risky", "unverified"), F.col("event_id") % 5)).alias("usable"))
 
 
 @query("SELECT event_id, length('Title') + length(event_type) + 10 AS n FROM events")
@@ -291,13 +317,16 @@ def message_sizes(s, d):
     return _events(s, d).select("event_id", cards.rendered_size(F.lit("Title"), F.col("event_type"), fields).cast("long").alias("n"))
 
 
-@query("""SELECT event_id, CAST(CASE WHEN d + f + 1323 <= 6000 OR d > d + f + 1323 - 6000 + 16 THEN m ELSE len(list_filter(range(1, m + 1), lambda k: 500 * k + 2 * least(k, 9) + 3 * greatest(0, k - 9) <= 6000 - d - 1323)) END + 2 AS INT) AS n_fields, true AS fits
-  FROM (SELECT event_id, 5 * (event_id % 800) AS d, event_id % 20 + 1 AS m, 500 * (event_id % 20 + 1) + 2 * least(event_id % 20 + 1, 9) + 3 * greatest(0, event_id % 20 - 8) AS f FROM events)""")
+@query("""SELECT event_id, CAST(CASE WHEN d + f + 1323 <= 6000 OR d > d + f + 1323 - 6000 + 16 THEN m
+    ELSE len(list_filter(range(1, m + 1), lambda k: 500 * k + 2 * least(k, 9) + 3 * greatest(0, k - 9) <= 6000 - d - 1323)) END + 2 AS INT) AS n_fields, true AS fits
+  FROM (SELECT event_id, 5 * (event_id % 800) AS d, event_id % 20 + 1 AS m, 500 * (event_id % 20 + 1) + 2 * least(event_id % 20 + 1, 9) + 3 * greatest(0,
+  event_id % 20 - 8) AS f FROM events)""")
 def fitted_cards(s, d):
     """Cards of any length, cut to a message's limit: how many fields are left."""
     i = F.col("event_id")
     f = lambda n, c: F.struct(n.alias("name"), F.repeat(F.lit("v"), c).alias("value"))
-    fields = F.concat(F.transform(F.sequence(F.lit(1), (i % 20 + 1).cast("int")), lambda k: f(F.concat(F.lit("f"), _s(k)), F.lit(500))), F.array(f(F.lit("📎 Evidence"), F.lit(1000)), f(F.lit("⚖️ Compliance"), F.lit(300))))
+    fields = F.concat(F.transform(F.sequence(F.lit(1), (i % 20 + 1).cast("int")), lambda k: f(F.concat(F.lit("f"), _s(k)), F.lit(500))),
+        F.array(f(F.lit("📎 Evidence"), F.lit(1000)), f(F.lit("⚖️ Compliance"), F.lit(300))))
     x = details.fit_total(F.repeat(F.lit("word "), (i % 800).cast("int")), fields, C.PAGE_CHARS)
     size = F.length("x.description") + F.aggregate("x.fields", F.lit(0), lambda a, v: a + F.length(v["name"]) + F.length(v["value"]))
     return _events(s, d).select("event_id", x.alias("x")).select("event_id", F.size("x.fields").alias("n_fields"), (size <= C.PAGE_CHARS).alias("fits"))
@@ -306,14 +335,18 @@ def fitted_cards(s, d):
 # ------------------------------------------------------------------------------------------------ stage bodies
 
 
-@query("""SELECT template, title, url FROM (SELECT 'tpl_' || event_id % 40 AS template, CASE WHEN event_id % 10 = 0 THEN 'Ask: Who is hiring' ELSE event_type END AS title, 'https://s/' || event_id AS url, event_id FROM events) WHERE event_id % 10 <> 0
-  UNION ALL SELECT t.template, c.event_type, 'https://c/' || c.event_id FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY ts DESC, event_id) AS r FROM (SELECT 'tpl_' || event_id % 40 AS template, event_id, ts FROM events WHERE event_id % 10 = 0)) t
+@query("""SELECT template, title, url FROM (SELECT 'tpl_' || event_id % 40 AS template, CASE
+    WHEN event_id % 10 = 0 THEN 'Ask: Who is hiring' ELSE event_type END AS title, 'https://s/' || event_id AS url, event_id FROM events) WHERE event_id % 10 <> 0
+  UNION ALL SELECT t.template, c.event_type, 'https://c/' || c.event_id FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY ts DESC, event_id) AS r
+  FROM (SELECT 'tpl_' || event_id % 40 AS template, event_id, ts FROM events WHERE event_id % 10 = 0)) t
   JOIN events c ON c.event_id % 1000 = t.event_id % 1000 AND c.event_id % 2 = 0 WHERE t.r <= 3""")
 def expanded_threads(s, d):
     """Threads of a template become their comments, at most three threads, the newest first."""
     i = F.col("event_id")
     e = _events(s, d)
-    stories = e.select(F.concat(F.lit("tpl_"), _s(i % 40)).alias("template"), i.alias("story_id"), F.when(i % 10 == 0, "Ask: Who is hiring").otherwise(F.col("event_type")).alias("title"), F.concat(F.lit("https://s/"), _s(i)).alias("url"), F.col("ts").alias("published_at"))
+    stories = e.select(F.concat(F.lit("tpl_"), _s(i % 40)).alias("template"), i.alias("story_id"),
+        F.when(i % 10 == 0, "Ask: Who is hiring").otherwise(F.col("event_type")).alias("title"), F.concat(F.lit("https://s/"), _s(i)).alias("url"),
+        F.col("ts").alias("published_at"))
     own = e.where(i % 2 == 0).select((i % 1000).alias("m"), F.col("event_type").alias("title"), F.concat(F.lit("https://c/"), _s(i)).alias("url"))
     comments = e.where(i % 10 == 0).select(i.alias("story_id"), (i % 1000).alias("m")).join(own, "m").drop("m")
     return details.expand_threads(stories, comments, "who is hiring", 3)
@@ -322,38 +355,44 @@ def expanded_threads(s, d):
 @query("""SELECT event_id, '{"url":"https://t/' || event_id || '","discovered_at":"https://u/' || event_id || '","title":"' || event_type || '","snippet":"s","targets":["T1_AI_SHIP"],"template_id":"tpl_1"}' AS raw_payload FROM events""")
 def candidate_payloads(s, d):
     i = F.col("event_id")
-    x = _events(s, d).select("event_id", F.concat(F.lit("https://t/"), _s(i)).alias("target"), F.concat(F.lit("https://u/"), _s(i)).alias("url"), F.col("event_type").alias("title"), F.lit("s").alias("snippet"), F.array(F.lit("T1_AI_SHIP")).alias("targets"), F.lit("tpl_1").alias("template"))
+    x = _events(s, d).select("event_id", F.concat(F.lit("https://t/"), _s(i)).alias("target"), F.concat(F.lit("https://u/"), _s(i)).alias("url"),
+        F.col("event_type").alias("title"), F.lit("s").alias("snippet"), F.array(F.lit("T1_AI_SHIP")).alias("targets"), F.lit("tpl_1").alias("template"))
     return details.payload(x).select("event_id", "raw_payload")
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'job' WHEN 1 THEN 'stored' END AS template FROM events")
 def stored_templates(s, d):
     i = F.col("event_id") % 3
-    return _events(s, d).select("event_id", details.template_of(F.when(i == 0, "job").when(i == 1, ""), F.when(i == 1, '{"template_id":"stored"}').when(i == 2, "junk")).alias("template"))
+    return _events(s, d).select("event_id", details.template_of(F.when(i == 0, "job").when(i == 1, ""),
+        F.when(i == 1, '{"template_id":"stored"}').when(i == 2, "junk")).alias("template"))
 
 
 @query("SELECT 't' || event_id AS template, CASE WHEN event_id % 2 = 0 THEN 'language,tags' ELSE 'tags' END AS params, CAST(greatest(1, event_id % 5) AS INT) AS ttl_hours FROM events")
 def template_plans(s, d):
     i = F.col("event_id")
-    x = _events(s, d).select(F.concat(F.lit("t"), _s(i)).alias("template"), F.lit("web").alias("engine"), F.lit("q").alias("query"), F.lit("story").alias("tags"), F.when(i % 2 == 0, "en").alias("language"), F.lit(None).cast("string").alias("title_contains"), (i % 5).cast("int").alias("ttl_hours"))
+    x = _events(s, d).select(F.concat(F.lit("t"), _s(i)).alias("template"), F.lit("web").alias("engine"), F.lit("q").alias("query"), F.lit("story").alias("tags"),
+        F.when(i % 2 == 0, "en").alias("language"), F.lit(None).cast("string").alias("title_contains"), (i % 5).cast("int").alias("ttl_hours"))
     return details.plan_rows(x).select("template", F.array_join(F.array_sort(F.map_keys("params")), ",").alias("params"), "ttl_hours")
 
 
 @query("SELECT 'd' || user_id AS domain, min(event_id) AS board FROM events WHERE value >= 50 GROUP BY user_id")
 def first_boards(s, d):
-    x = _events(s, d).select(F.concat(F.lit("d"), _s(F.col("user_id"))).alias("domain"), F.col("event_id").alias("board"), F.col("event_id").alias("rank"), F.when(F.col("value") >= 50, 3).otherwise(0).alias("n_postings"), F.lit("u").alias("url"))
+    x = _events(s, d).select(F.concat(F.lit("d"), _s(F.col("user_id"))).alias("domain"), F.col("event_id").alias("board"), F.col("event_id").alias("rank"),
+        F.when(F.col("value") >= 50, 3).otherwise(0).alias("n_postings"), F.lit("u").alias("url"))
     return details.first_board(x).select("domain", "board")
 
 
 @query("SELECT page_id % 20 AS domain, string_agg('p' || page_id || '@acme.io', ',' ORDER BY page_id) AS emails FROM (SELECT min(page_id) AS page_id FROM pages WHERE page_id > 0 GROUP BY page_id % 20) GROUP BY page_id % 20")
 def site_findings(s, d):
     """Of each domain the pages up to the first with an address: here the first, whose address it is."""
-    p = B.read(s, d, "pages").where("page_id > 0").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"), F.concat("html", F.lit('<a href="mailto:p'), _s(F.col("page_id")), F.lit('@acme.io">')).alias("html"))
+    p = B.read(s, d, "pages").where("page_id > 0").select((F.col("page_id") % 20).alias("domain"), F.col("page_id").alias("rank"),
+        F.concat("html", F.lit('<a href="mailto:p'), _s(F.col("page_id")), F.lit('@acme.io">')).alias("html"))
     return details.site_findings(p).select("domain", F.array_join("emails", ",").alias("emails"))
 
 
 @query("SELECT event_id, true AS within FROM events")
 def backoff_bounds(s, d):
     """Random delays between zero and the doubled base, at most the cap."""
-    x = _events(s, d).select("event_id", details.backoff((F.col("event_id") % 12).cast("double")).alias("s"), F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("event_id") % 12)).alias("most"))
+    x = _events(s, d).select("event_id", details.backoff((F.col("event_id") % 12).cast("double")).alias("s"),
+        F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("event_id") % 12)).alias("most"))
     return x.select("event_id", F.col("s").between(0, F.col("most")).alias("within"))

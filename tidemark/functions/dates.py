@@ -37,4 +37,5 @@ def throttle_flags(text: Column) -> Column:
     """Bits of a hexadecimal status word: under-voltage, capped and throttled, now and before."""
     v = F.conv(F.regexp_extract(text, r"(?i)0x([0-9a-f]+)", 1), 16, 10).try_cast("long")
     bit = lambda n: F.shiftright(v, n).bitwiseAND(F.lit(1)) == 1
-    return F.struct(bit(0).alias("undervoltage"), bit(1).alias("capped"), bit(2).alias("throttled"), bit(3).alias("soft_limit"), bit(16).alias("was_undervoltage"), bit(17).alias("was_capped"), bit(18).alias("was_throttled"), bit(19).alias("was_soft_limit"))
+    return F.struct(bit(0).alias("undervoltage"), bit(1).alias("capped"), bit(2).alias("throttled"), bit(3).alias("soft_limit"), bit(16).alias("was_undervoltage"),
+        bit(17).alias("was_capped"), bit(18).alias("was_throttled"), bit(19).alias("was_soft_limit"))

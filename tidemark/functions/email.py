@@ -61,7 +61,8 @@ def contact_rank(email: Column) -> Column:
 def extract_contacts(prose: Column, more: Column, has_mx: Column, domain: Column, limit: int = 3) -> Column:
     """The usable addresses of a page's prose and of ``more`` (its links, its security.txt): people first, then roles that are read, then
     others, each in order of address. ``limit`` is the rule that no more is stored than is needed. Obfuscated ones are left alone."""
-    every = F.array_distinct(F.concat(F.transform(F.coalesce(more, F.array().cast("array<string>")), F.lower), F.coalesce(emails_in(prose), F.array().cast("array<string>"))))
+    every = F.array_distinct(F.concat(F.transform(F.coalesce(more, F.array().cast("array<string>")), F.lower),
+        F.coalesce(emails_in(prose), F.array().cast("array<string>"))))
     good = F.filter(every, lambda e: usable(classify_email(e, has_mx, domain)))
     ranked = F.array_sort(F.transform(good, lambda e: F.struct(contact_rank(e).alias("r"), e.alias("e"))))
     return F.slice(F.transform(ranked, lambda x: x["e"]), 1, limit)

@@ -16,7 +16,8 @@ from ..config import PROSE_DROPPED
 _BLOCKS = frozenset("p div section li tr h1 h2 h3 h4 br".split())
 _RAW = {"script", "style"}
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*(?:>|\Z) | (?P<text><|[^<]+)""", re.S | re.X
+    r"""<!--.*?(?:-->|\Z) | <[!?][^>]*(?:>|\Z) | <(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*(?:>|\Z) | (?P<text><|[^<]+)""",
+        re.S | re.X
 )
 
 

@@ -52,7 +52,8 @@ def icp_component(band: Column, industry: Column, domain: Column, country: Colum
 
 def surface_component(ai_surface: Column, subdomains: Column, gap: Column) -> Column:
     points = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), x).otherwise(0.0)
-    return F.least(F.lit(100.0), points(F.size(ai_surface) > 0, C.AI_SURFACE_POINTS) + points(subdomains >= C.SPRAWL_SUBDOMAINS, C.SPRAWL_POINTS) + points(gap, C.HYGIENE_POINTS))
+    return F.least(F.lit(100.0), points(F.size(ai_surface) > 0, C.AI_SURFACE_POINTS) + points(subdomains >= C.SPRAWL_SUBDOMAINS, C.SPRAWL_POINTS) + points(gap,
+        C.HYGIENE_POINTS))
 
 
 def reachability_component(status: Column, named: Column) -> Column:
@@ -97,7 +98,8 @@ def tier(score: Column) -> Column:
 def offer(codes: Column, ai_surface: Column) -> Column:
     has = lambda c: F.array_contains(codes, c)
     ai = F.size(ai_surface) > 0
-    return F.when(has("T9_MARKETPLACE"), "gig").when((has("T1_AI_SHIP") | has("T11_STACK_RISK")) & ai, "ai_llm_assessment").when((has("T7_SURFACE_SPRAWL") | has("T5_COMPLIANCE")) & ~ai, "watch").otherwise("snapshot_free")
+    return F.when(has("T9_MARKETPLACE"), "gig").when((has("T1_AI_SHIP") | has("T11_STACK_RISK")) & ai,
+        "ai_llm_assessment").when((has("T7_SURFACE_SPRAWL") | has("T5_COMPLIANCE")) & ~ai, "watch").otherwise("snapshot_free")
 
 
 def trigger_phrases(triggers: Column, as_of: Column) -> Column:
@@ -106,7 +108,8 @@ def trigger_phrases(triggers: Column, as_of: Column) -> Column:
 
     w = {k: v[0] for k, v in C.TRIGGERS.items()}
     ranked = F.transform(triggers, lambda t: F.struct((-lookup(w, t["code"], 0.0)).alias("r"), t["code"].alias("code"), t["observed_at"].alias("at")))
-    said = lambda t: F.concat(lookup(C.TRIGGER_PHRASES, t["code"]), F.when(t["code"].isin(*C.DERIVED_TRIGGERS), F.lit("")).otherwise(F.concat(F.lit(" "), age_phrase(t["at"], as_of))))
+    said = lambda t: F.concat(lookup(C.TRIGGER_PHRASES, t["code"]),
+        F.when(t["code"].isin(*C.DERIVED_TRIGGERS), F.lit("")).otherwise(F.concat(F.lit(" "), age_phrase(t["at"], as_of))))
     return F.array_join(F.array_compact(F.transform(F.array_sort(ranked), said)), "; ")
 
 
@@ -118,11 +121,14 @@ def surface_phrases(surfaces: Column) -> Column:
 ARITHMETIC = 1
 #: The constants that decide a score. Phrases are not among them: rewording one must not make a score stale.
 CALIBRATION = (
-    "TRIGGERS", "COMPONENTS", "PENALTIES", "SANCTIONED_COUNTRIES", "TIERS", "BAND_POINTS", "UNKNOWN_BAND_POINTS", "BAND_FROM_ROLES", "SECTOR_BONUS", "LOCAL_BONUS", "NO_SECURITY_HIRE_BONUS",
-    "AI_SURFACE_POINTS", "SPRAWL_POINTS", "HYGIENE_POINTS", "SPRAWL_SUBDOMAINS", "REACHABILITY", "NAMED_CONTACT_POINTS", "FRESHNESS_ZERO_DAYS", "STALE_DAYS", "LOCAL_TLDS", "LOCAL_COUNTRIES",
+    "TRIGGERS", "COMPONENTS", "PENALTIES", "SANCTIONED_COUNTRIES", "TIERS", "BAND_POINTS", "UNKNOWN_BAND_POINTS", "BAND_FROM_ROLES", "SECTOR_BONUS", "LOCAL_BONUS",
+        "NO_SECURITY_HIRE_BONUS",
+    "AI_SURFACE_POINTS", "SPRAWL_POINTS", "HYGIENE_POINTS", "SPRAWL_SUBDOMAINS", "REACHABILITY", "NAMED_CONTACT_POINTS", "FRESHNESS_ZERO_DAYS", "STALE_DAYS",
+        "LOCAL_TLDS", "LOCAL_COUNTRIES",
 )
 #: Those that decide a verdict of the gate.
-GATE = ("EXCLUDED_SECTORS", "MAX_EMPLOYEES", "BAND_TO_MAX", "GOVERNMENT_SUFFIXES", "GOVERNMENT_WORDS", "INFRASTRUCTURE_WORDS", "COMPETITOR_WORDS", "PERSONAL_EMAIL_DOMAINS")
+GATE = ("EXCLUDED_SECTORS", "MAX_EMPLOYEES", "BAND_TO_MAX", "GOVERNMENT_SUFFIXES", "GOVERNMENT_WORDS", "INFRASTRUCTURE_WORDS", "COMPETITOR_WORDS",
+    "PERSONAL_EMAIL_DOMAINS")
 
 
 def _stamp(names: tuple[str, ...], *more) -> str:

@@ -30,7 +30,8 @@ def already_answered(plans: DataFrame, cache: DataFrame, as_of: Column) -> DataF
 
 
 def stats(cache: DataFrame, as_of: Column) -> DataFrame:
-    return cache.agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"), F.sum("n_bytes").alias("n_bytes"), F.count_if(F.col("expires_at") > as_of).alias("fresh"))
+    return cache.agg(F.count("*").alias("entries"), F.sum("hits").alias("hits"), F.sum("n_bytes").alias("n_bytes"),
+        F.count_if(F.col("expires_at") > as_of).alias("fresh"))
 
 
 def purge(cache: DataFrame, bodies: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

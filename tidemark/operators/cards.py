@@ -24,16 +24,21 @@ def lead_card(view: DataFrame, as_of: Column, basis: str = "legitimate_interest_
     view = view.withColumns({n: F.lit(None).cast("string") for n in ("description", "angle", "translation") if n not in view.columns})
     contact = F.col("contact.email") if "contact" in view.columns else F.lit(None).cast("string")
     ages = F.transform("triggers", lambda t: F.format_string("`%s` 0.80 · %dd ago", t["code"], F.datediff(as_of, t["observed_at"])))
-    surface = F.concat(F.col("ai_surface"), F.when(F.col("subdomains") > 0, F.array(F.concat(F.col("subdomains").cast("string"), F.lit(" CT subdomains")))).otherwise(F.array().cast("array<string>")))
+    surface = F.concat(F.col("ai_surface"), F.when(F.col("subdomains") > 0,
+        F.array(F.concat(F.col("subdomains").cast("string"), F.lit(" CT subdomains")))).otherwise(F.array().cast("array<string>")))
     passed = F.col("passed") if "passed" in view.columns else F.lit(True)
     fields = F.array_compact(F.array(
-        _field("🔥 Triggers", F.when(F.size("triggers") > 0, F.array_join(ages, "\n")).otherwise("—")), _field("🎯 Angle", publishable(F.col("angle"))), _field("🇧🇩 বাংলা", publishable(F.col("translation"))),
+        _field("🔥 Triggers", F.when(F.size("triggers") > 0, F.array_join(ages, "\n")).otherwise("—")), _field("🎯 Angle", publishable(F.col("angle"))),
+            _field("🇧🇩 বাংলা", publishable(F.col("translation"))),
         _field("👤 Contact", contact), _field("🛰 Publicly visible", F.array_join(surface, " · ")), _field("📎 Evidence", links(F.col("evidence")), keep_tail=True),
         _field("⚖️ Compliance", F.concat(F.when(passed, "PASS").otherwise("VETO"), F.lit(f" · basis: {basis} · passive-only ✓ · no scan performed"))),
     ))
     head = view.select(
-        *[n for n in ("k",) if n in view.columns], "lead_id", F.concat(F.lit("TIER "), "tier", F.lit(" · "), F.col("score").cast("string"), F.lit(" · "), "offer").alias("author"), truncate(F.concat("display_name", F.lit(" · "), "domain"), TITLE_CHARS).alias("title"),
-        F.concat(F.lit("https://"), "domain").alias("url"), truncate(F.coalesce("description", F.lit("—")), DESCRIPTION_CHARS).alias("description"), fields.alias("fields"), F.concat(F.lit("lead_id "), "lead_id").alias("footer"),
+        *[n for n in ("k",) if n in view.columns], "lead_id",
+            F.concat(F.lit("TIER "), "tier", F.lit(" · "), F.col("score").cast("string"), F.lit(" · "), "offer").alias("author"),
+            truncate(F.concat("display_name", F.lit(" · "), "domain"), TITLE_CHARS).alias("title"),
+        F.concat(F.lit("https://"), "domain").alias("url"), truncate(F.coalesce("description", F.lit("—")), DESCRIPTION_CHARS).alias("description"),
+            fields.alias("fields"), F.concat(F.lit("lead_id "), "lead_id").alias("footer"),
     )
     # what stands outside of description and fields counts as well
     other = F.length("author") + F.length("title") + F.length("footer")
@@ -82,7 +87,8 @@ def new_dispatches(leads: DataFrame, log: DataFrame) -> DataFrame:
 
 def skip_reason(leads: DataFrame, immediate=("A", "B")) -> DataFrame:
     c = F.col
-    why = F.when(c("tier") == "REJECT", "rejected").when(~c("tier").isin(*immediate), "digest").when(c("already_sent"), "already_sent").when(c("channel").isNull(), "no_channel")
+    why = F.when(c("tier") == "REJECT", "rejected").when(~c("tier").isin(*immediate), "digest").when(c("already_sent"), "already_sent").when(c("channel").isNull(),
+        "no_channel")
     return leads.withColumn("skip_reason", why)
 
 

@@ -34,14 +34,16 @@ def penalty_proposals(leads: DataFrame) -> DataFrame:
     total = leads.agg(F.count("*").alias("total"))
     p = penalty_stats(leads).where(F.col("name").isin(*PENALTIES)).crossJoin(F.broadcast(total))
     share, lifted = F.col("n") / F.col("total"), F.col("promoted") / F.col("total")
-    kind: Column = F.when(share >= CONSTANT, "constant_offset").when((lifted >= HELD_BACK) & (share >= HELD_INCIDENCE), "held_back").when(F.abs(F.col("cost") / F.col("n")) >= DOUBLE * (100 - FLOOR), "double_charged")
+    kind: Column = F.when(share >= CONSTANT, "constant_offset").when((lifted >= HELD_BACK) & (share >= HELD_INCIDENCE),
+        "held_back").when(F.abs(F.col("cost") / F.col("n")) >= DOUBLE * (100 - FLOOR), "double_charged")
     return p.withColumn("incidence", share).withColumn("proposal", kind)
 
 
 def template_proposals(companies: DataFrame, leads: DataFrame, weights: DataFrame) -> DataFrame:
     """Templates that find too few or many sendable leads against the corpus; a template without weight has 50."""
     y = template_yield(companies, leads).where("template <> '(unknown)'")
-    corpus = y.agg((F.sum("sendable") / F.sum("companies")).alias("rate"), (F.sum(F.col("mean_score") * F.col("companies")) / F.sum("companies")).alias("mean"), F.count("*").alias("templates"))
+    corpus = y.agg((F.sum("sendable") / F.sum("companies")).alias("rate"), (F.sum(F.col("mean_score") * F.col("companies")) / F.sum("companies")).alias("mean"),
+        F.count("*").alias("templates"))
     y = y.join(F.broadcast(weights), "template", "left").withColumn("weight", F.coalesce("weight", F.lit(50))).crossJoin(F.broadcast(corpus))
     own = F.col("sendable") / F.col("companies")
     poor = (own < 0.5 * F.col("rate")) & (F.col("companies") >= LEAST_COMPANIES) & (F.col("templates") >= 2) & (F.col("weight") > 30)
@@ -52,7 +54,8 @@ def template_proposals(companies: DataFrame, leads: DataFrame, weights: DataFram
 def dead_components(leads: DataFrame) -> DataFrame:
     """Components with a weight that are zero on every lead."""
     n = leads.agg(F.count("*").alias("n"))
-    return component_stats(leads).crossJoin(F.broadcast(n)).where((F.col("at_zero") == F.col("n")) & F.col("name").isin(*[k for k, w in COMPONENTS.items() if w > 0])).select("name", "at_zero")
+    return component_stats(leads).crossJoin(F.broadcast(n)).where((F.col("at_zero") == F.col("n")) & F.col("name").isin(*[k for k,
+        w in COMPONENTS.items() if w > 0])).select("name", "at_zero")
 
 
 def critique(leads, triggers, feedback, companies, weights) -> DataFrame:
@@ -60,7 +63,8 @@ def critique(leads, triggers, feedback, companies, weights) -> DataFrame:
     a = penalty_proposals(leads).where("proposal IS NOT NULL").select(F.lit("scoring").alias("target"), F.concat(F.lit("penalties."), "name").alias("key"), "proposal")
     b = template_proposals(companies, leads, weights).where("proposal IS NOT NULL").select(F.lit("templates").alias("target"), F.col("template").alias("key"), "proposal")
     c = dead_components(leads).select(F.lit("scoring").alias("target"), F.concat(F.lit("components."), "name").alias("key"), F.lit("dead").alias("proposal"))
-    e = trigger_rates(leads, triggers, feedback).where("proposal IS NOT NULL").select(F.lit("scoring").alias("target"), F.concat(F.lit("triggers."), "code").alias("key"), "proposal")
+    e = trigger_rates(leads, triggers, feedback).where("proposal IS NOT NULL").select(F.lit("scoring").alias("target"), F.concat(F.lit("triggers."), "code").alias("key"),
+        "proposal")
     every = a.unionByName(b).unionByName(c).unionByName(e)
     enough = leads.agg((F.count("*") >= LEAST_LEADS).alias("enough"))
     return every.crossJoin(F.broadcast(enough)).where("enough").drop("enough")

@@ -20,7 +20,8 @@ def quotes(evidence: DataFrame, most: int = MAX_QUOTES) -> DataFrame:
     first = e.groupBy("k", "key").agg(F.min(F.struct("seq", "snippet")).alias("q"))
     w = Window.partitionBy("k").orderBy("q")
     top = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    return top.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.trim("q.snippet").alias("s")))), lambda x: F.concat(F.lit('  - "'), x["s"], F.lit('"'))), "\n").alias("quotes"))
+    return top.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.trim("q.snippet").alias("s")))),
+        lambda x: F.concat(F.lit('  - "'), x["s"], F.lit('"'))), "\n").alias("quotes"))
 
 
 def recipient(contacts: DataFrame) -> DataFrame:
@@ -41,8 +42,10 @@ def extraction(body: Column) -> Column:
     x = F.from_json(text.outer_json(body), EXTRACTION)
     short = lambda c, n: c.isNull() | (F.length(c) <= n)
     few = lambda c, n, m: c.isNull() | ((F.size(c) <= n) & F.forall(c, lambda v: v.isNotNull() & (F.length(v) <= m)))
-    ok = x["display_name"].isNotNull() & short(x["display_name"], 80) & short(x["canonical_domain"], 80) & short(x["country"], 2) & short(x["description"], 160) & short(x["industry"], 40)
-    ok = ok & (x["employee_band"].isNull() | x["employee_band"].isin(*BAND_TO_MAX)) & few(x["tech_signals"], 6, 24) & few(x["ai_surface"], 4, 24) & few(x["evidence_snippets"], 2, 120)
+    ok = x["display_name"].isNotNull() & short(x["display_name"], 80) & short(x["canonical_domain"], 80) & short(x["country"], 2) & short(x["description"],
+        160) & short(x["industry"], 40)
+    ok = ok & (x["employee_band"].isNull() | x["employee_band"].isin(*BAND_TO_MAX)) & few(x["tech_signals"], 6, 24) & few(x["ai_surface"], 4,
+        24) & few(x["evidence_snippets"], 2, 120)
     codes = x["trigger_codes"]
     ok = ok & (codes.isNull() | ((F.size(codes) <= 4) & F.forall(codes, lambda c: c.isin(*TRIGGERS))))
     return F.when(ok, x)
@@ -67,8 +70,10 @@ def site_pages(pages: DataFrame) -> DataFrame:
 
 def site_findings(pages: DataFrame) -> DataFrame:
     """Text and addresses of each domain's pages."""
-    g = site_pages(pages).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("rank", text.cut_prose(text.html_text(F.col("html")), 8000).alias("t"), "mails"))).alias("x"))
-    return g.select("domain", F.array_join(F.transform("x", lambda v: v["t"]), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("x", lambda v: v["mails"]))).alias("emails"))
+    g = site_pages(pages).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("rank", text.cut_prose(text.html_text(F.col("html")), 8000).alias("t"),
+        "mails"))).alias("x"))
+    return g.select("domain", F.array_join(F.transform("x", lambda v: v["t"]), "\n").alias("text"),
+        F.array_distinct(F.flatten(F.transform("x", lambda v: v["mails"]))).alias("emails"))
 
 
 def security_txt(status: Column, body: Column) -> Column:
@@ -85,19 +90,22 @@ def derived_triggers(triggers: DataFrame, found: DataFrame, window: Column) -> D
     """Derived triggers (k, code, seen_at) merged into the live ones: the date always moves; new ones have no id yet and confidence 0.8."""
     live = triggers.where("active").groupBy("k", "code").agg(F.min("trigger_id").alias("trigger_id"))
     f = found.groupBy("k", "code").agg(F.max("seen_at").alias("observed_at"))
-    return f.join(live, ["k", "code"], "left").select("trigger_id", "k", "code", "observed_at", (F.col("observed_at") + window).alias("decays_at"), F.lit(0.8).alias("confidence"))
+    return f.join(live, ["k", "code"], "left").select("trigger_id", "k", "code", "observed_at", (F.col("observed_at") + window).alias("decays_at"),
+        F.lit(0.8).alias("confidence"))
 
 
 def injection_rows(pages: DataFrame, key: str, prose: str) -> DataFrame:
     """What tripped pages append to the quarantine."""
     reasons = text.injection_reasons(F.col(prose))
     p = pages.withColumn("reasons", reasons).where(F.size("reasons") > 0)
-    return p.select(F.col(key).alias("subject_id"), F.concat_ws(",", "reasons").alias("reason_code"), F.substring(F.concat_ws(" | ", text.injection_excerpts(F.col(prose))), 1, 1000).alias("detail"))
+    return p.select(F.col(key).alias("subject_id"), F.concat_ws(",", "reasons").alias("reason_code"),
+        F.substring(F.concat_ws(" | ", text.injection_excerpts(F.col(prose))), 1, 1000).alias("detail"))
 
 
 def heartbeat_rows(beats: DataFrame) -> DataFrame:
     """Heartbeats as metric rows with JSON labels."""
-    return beats.select(F.lit("heartbeat").alias("name"), F.lit(1.0).alias("value"), F.to_json(F.struct("unit", "ok", "build")).alias("labels"), to_iso(F.col("at")).alias("recorded_at"))
+    return beats.select(F.lit("heartbeat").alias("name"), F.lit(1.0).alias("value"), F.to_json(F.struct("unit", "ok", "build")).alias("labels"),
+        to_iso(F.col("at")).alias("recorded_at"))
 
 
 def payload(hits: DataFrame) -> DataFrame:
@@ -130,7 +138,8 @@ def complete(jobs: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def budget_status(used: Column, cap: Column) -> Column:
-    return F.struct(used.alias("used"), F.greatest(F.lit(0.0), cap - used).alias("remaining"), F.try_divide(used, cap).alias("fraction"), (used >= cap).alias("exhausted"))
+    return F.struct(used.alias("used"), F.greatest(F.lit(0.0), cap - used).alias("remaining"), F.try_divide(used, cap).alias("fraction"),
+        (used >= cap).alias("exhausted"))
 
 
 def backoff(attempt: Column, base: float = 1.0, cap: float = 60.0, seed: int = 0) -> Column:
@@ -183,13 +192,15 @@ def fit_total(description: Column, fields: Column, limit: int | Column = PAGE_CH
         shrunk = F.concat(F.when((F.instr(head, " ") > 0) & (cut_at > x["room"] * 0.6), F.left(head, cut_at)).otherwise(head), F.lit("…"))
         desc = F.when((x["over"] > 0) & (x["room"] > 0), shrunk).otherwise(x["d"])
         kept, optional = F.filter(x["f"], safe), F.filter(x["f"], lambda f: ~safe(f))
-        return F.struct(desc.alias("d"), x["f"].alias("f"), ((x["over"] <= 0) | (x["room"] > 0)).alias("whole"), x["limit"].alias("limit"), kept.alias("kept"), optional.alias("optional"))
+        return F.struct(desc.alias("d"), x["f"].alias("f"), ((x["over"] <= 0) | (x["room"] > 0)).alias("whole"), x["limit"].alias("limit"), kept.alias("kept"),
+            optional.alias("optional"))
 
     def fitted(x: Column) -> Column:
         # optional fields from the first on, as long as they fit
         none = F.struct(F.slice(x["optional"], 1, 0).alias("kept"), (F.length(x["d"]) + size(x["kept"]) - x["limit"]).alias("over"), F.lit(True).alias("open"))
         fit = lambda a, f: a["open"] & (a["over"] + own(f) <= 0)
-        add = lambda a, f: F.struct(F.when(fit(a, f), F.concat(a["kept"], F.array(f))).otherwise(a["kept"]).alias("kept"), F.when(fit(a, f), a["over"] + own(f)).otherwise(a["over"]).alias("over"), fit(a, f).alias("open"))
+        add = lambda a, f: F.struct(F.when(fit(a, f), F.concat(a["kept"], F.array(f))).otherwise(a["kept"]).alias("kept"),
+            F.when(fit(a, f), a["over"] + own(f)).otherwise(a["over"]).alias("over"), fit(a, f).alias("open"))
         left = F.aggregate(x["optional"], none, add)["kept"]
         return F.struct(x["d"].alias("description"), F.when(x["whole"], x["f"]).otherwise(F.concat(left, x["kept"])).alias("fields"))
 
@@ -220,7 +231,8 @@ def build_level(running: Column, on_disk: Column, slack_s: float = 1.0) -> Colum
 def plan_rows(templates: DataFrame) -> DataFrame:
     """Templates as plans: only the parameters that are set."""
     every = F.create_map(F.lit("tags"), F.col("tags"), F.lit("language"), F.col("language"), F.lit("title_contains"), F.col("title_contains"))
-    return templates.select("template", "engine", "query", F.map_filter(every, lambda k, v: v.isNotNull()).alias("params"), F.greatest(F.lit(1), F.col("ttl_hours")).alias("ttl_hours"))
+    return templates.select("template", "engine", "query", F.map_filter(every, lambda k, v: v.isNotNull()).alias("params"),
+        F.greatest(F.lit(1), F.col("ttl_hours")).alias("ttl_hours"))
 
 
 def expand_threads(stories: DataFrame, comments: DataFrame, title: str, most: int = 3) -> DataFrame:

@@ -44,27 +44,31 @@ def near_misses(leads: DataFrame, limit: int = 10) -> DataFrame:
     worst = F.element_at(F.array_sort(F.transform(F.map_entries("penalties"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k")))), 1)
     weakest = F.element_at(F.array_sort(F.transform(F.map_entries("components"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k")))), 1)
     blocker = F.when(F.size("penalties") > 0, worst["k"]).otherwise(F.concat(F.lit("weak "), weakest["k"]))
-    out = leads.where("tier = 'REJECT'").select("domain", "raw", (F.lit(float(FLOOR)) - F.col("raw")).alias("gap"), F.when(F.size("penalties") > 0, worst["k"]).alias("penalty"), blocker.alias("blocker"))
+    out = leads.where("tier = 'REJECT'").select("domain", "raw", (F.lit(float(FLOOR)) - F.col("raw")).alias("gap"),
+        F.when(F.size("penalties") > 0, worst["k"]).alias("penalty"), blocker.alias("blocker"))
     return out.orderBy("gap", "domain").limit(limit)
 
 
 def corroboration(leads: DataFrame) -> DataFrame:
     both = F.col("n_sources") >= 2
-    return leads.agg(F.count_if(both).alias("corroborated"), F.count_if(both & F.array_contains(F.map_keys("penalties"), "single_source")).alias("penalised_but_corroborated"))
+    return leads.agg(F.count_if(both).alias("corroborated"),
+        F.count_if(both & F.array_contains(F.map_keys("penalties"), "single_source")).alias("penalised_but_corroborated"))
 
 
 def corroboration_effect(leads: DataFrame) -> DataFrame:
     """Leads with two sources or more; those of them that are charged for a single one; and those whose tier that charge decides."""
     both, cost = F.col("n_sources") >= 2, F.try_element_at("penalties", F.lit("single_source"))
     lifted = score.tier(score.final(F.col("raw") - cost)) != F.col("tier")
-    return leads.agg(F.count_if(both).alias("corroborated"), F.count_if(both & cost.isNotNull()).alias("penalised"), F.count_if(both & cost.isNotNull() & lifted).alias("promoted"))
+    return leads.agg(F.count_if(both).alias("corroborated"), F.count_if(both & cost.isNotNull()).alias("penalised"),
+        F.count_if(both & cost.isNotNull() & lifted).alias("promoted"))
 
 
 def template_yield(companies: DataFrame, leads: DataFrame) -> DataFrame:
     """Per discovery template: companies, scored, sendable and mean score; an unscored company counts 0."""
     joined = companies.select("k", F.coalesce("template", F.lit("(unknown)")).alias("template")).join(leads.select("k", "score", "tier"), "k", "left")
     return joined.groupBy("template").agg(
-        F.count("*").alias("companies"), F.count("score").alias("scored"), F.count_if(F.col("tier").isin("A", "B")).alias("sendable"), F.avg(F.coalesce("score", F.lit(0))).alias("mean_score"),
+        F.count("*").alias("companies"), F.count("score").alias("scored"), F.count_if(F.col("tier").isin("A", "B")).alias("sendable"),
+            F.avg(F.coalesce("score", F.lit(0))).alias("mean_score"),
     )
 
 

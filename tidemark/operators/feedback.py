@@ -49,4 +49,5 @@ def reactions_to_verdicts(reactions: DataFrame, dispatches: DataFrame, emoji: di
     from ..functions.score import lookup
 
     last = dispatches.groupBy("message_id").agg(F.max_by("k", F.struct("dispatched_at", "dispatch_id")).alias("k"))
-    return reactions.withColumn("verdict", lookup(emoji, F.col("emoji"))).where("verdict IS NOT NULL").join(last, "message_id").select("k", "verdict", "actor", "created_at")
+    return reactions.withColumn("verdict", lookup(emoji, F.col("emoji"))).where("verdict IS NOT NULL").join(last, "message_id").select("k", "verdict", "actor",
+        "created_at")

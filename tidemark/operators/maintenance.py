@@ -130,7 +130,8 @@ def run(triggers, evidence, companies, suppressed, as_of, known: DataFrame | Non
     """Counts of all passes in their order: (pass, n). ``known``: the triggers that evidence may belong to, where these aren't all."""
     return counted({
         "superseded": superseded(triggers, companies), "platform_suppressed": platform_companies(companies, suppressed), "redated": redated(triggers, evidence),
-        "decayed": decayed(triggers, as_of), "unevidenced": unevidenced(triggers, evidence), "orphan_evidence": orphan_evidence(evidence, triggers if known is None else known),
+        "decayed": decayed(triggers, as_of), "unevidenced": unevidenced(triggers, evidence),
+            "orphan_evidence": orphan_evidence(evidence, triggers if known is None else known),
     }, "pass_name")
 
 

@@ -19,7 +19,8 @@ def upsert_companies(old: DataFrame, new: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     return _both(old, new, "domain").select(
         "domain", F.coalesce("o.display_name", "n.display_name").alias("display_name"), full("country").alias("country"), full("industry").alias("industry"),
-        F.array_sort(F.array_union(F.coalesce("o.signals", none), F.coalesce("n.signals", none))).alias("signals"), F.coalesce("o.template", "n.template").alias("template"),
+        F.array_sort(F.array_union(F.coalesce("o.signals", none), F.coalesce("n.signals", none))).alias("signals"),
+            F.coalesce("o.template", "n.template").alias("template"),
     )
 
 
@@ -35,7 +36,8 @@ def refresh_triggers(triggers: DataFrame, sightings: DataFrame, evidence: DataFr
     """Live triggers met again: the date moves only for a URL not cited yet; the decay date always moves."""
     known = evidence.select("trigger_id", "url").distinct().withColumn("known", F.lit(True))
     s = sightings.join(triggers.where("active").select("trigger_id", "k", "code", "observed_at"), ["k", "code"]).join(known, ["trigger_id", "url"], "left")
-    g = s.groupBy("trigger_id").agg(F.max("observed_at").alias("old"), F.max(F.when(F.col("known").isNull(), F.col("seen_at"))).alias("moved"), F.max("seen_at").alias("seen"))
+    g = s.groupBy("trigger_id").agg(F.max("observed_at").alias("old"), F.max(F.when(F.col("known").isNull(), F.col("seen_at"))).alias("moved"),
+        F.max("seen_at").alias("seen"))
     return g.select("trigger_id", F.coalesce(F.greatest("old", "moved"), F.col("old")).alias("observed_at"), (F.col("seen") + window).alias("decays_at"))
 
 

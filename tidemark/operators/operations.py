@@ -42,13 +42,15 @@ def latest_per_unit(beats: DataFrame) -> DataFrame:
 def gaps(beats: DataFrame, seconds: float = HEARTBEAT_GAP_SECONDS) -> DataFrame:
     """Silences of a unit longer than ``seconds``, up to the beat (seq, to_at) that ends them."""
     g = _beside(beats, ("at",), True, "last").withColumn("before", F.col("last.at"))
-    return g.where(_seconds(F.col("at"), F.col("before")) > seconds).select("unit", "seq", F.col("before").alias("from_at"), F.col("at").alias("to_at"), _seconds(F.col("at"), F.col("before")).alias("gap_s"))
+    return g.where(_seconds(F.col("at"), F.col("before")) > seconds).select("unit", "seq", F.col("before").alias("from_at"), F.col("at").alias("to_at"),
+        _seconds(F.col("at"), F.col("before")).alias("gap_s"))
 
 
 def liveness(beats: DataFrame, seconds: float = HEARTBEAT_GAP_SECONDS) -> DataFrame:
     """Per unit: beats, gaps, the longest of them, distinct builds."""
     g = _beside(beats, ("at",), True, "last").withColumn("s", _seconds(F.col("at"), F.col("last.at")))
-    return g.groupBy("unit").agg(F.count("*").alias("beats"), F.count_if(F.col("s") > seconds).alias("gaps"), F.max("s").alias("longest_s"), F.countDistinct("build").alias("builds"))
+    return g.groupBy("unit").agg(F.count("*").alias("beats"), F.count_if(F.col("s") > seconds).alias("gaps"), F.max("s").alias("longest_s"),
+        F.countDistinct("build").alias("builds"))
 
 
 def thermal_state(value: Column) -> Column:
@@ -95,7 +97,8 @@ def reclaim(jobs: DataFrame, as_of: Column, most: int = 3) -> DataFrame:
 def fail(jobs: DataFrame, most: int = 3, base_s: int = 2) -> DataFrame:
     """What a failure makes of a job: one more attempt, dead at the ``most``-th, else a doubled delay."""
     n = F.col("attempts") + 1
-    return jobs.select("job_id", n.alias("attempts"), F.when(n >= most, "dead").otherwise("pending").alias("status"), F.when(n < most, F.pow(F.lit(float(base_s)), n).cast("long")).alias("delay_s"))
+    return jobs.select("job_id", n.alias("attempts"), F.when(n >= most, "dead").otherwise("pending").alias("status"),
+        F.when(n < most, F.pow(F.lit(float(base_s)), n).cast("long")).alias("delay_s"))
 
 
 def enqueue(new: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -141,7 +144,8 @@ def acceptance(dispatches: DataFrame, jobs: DataFrame, beats: DataFrame, samples
     hot = recovered(samples.where(F.col("at") >= since)).agg(F.max("longest_min").alias("longest_min"))
     one = t.crossJoin(F.broadcast(dead)).crossJoin(F.broadcast(live)).crossJoin(F.broadcast(hot))  # one row each
     return one.select(
-        "leads", "ab_leads", (F.col("ab_per_day") >= 15).alias("throughput_ok"), (F.col("dead_jobs") == 0).alias("jobs_ok"), F.when(F.col("units") > 0, F.col("gaps") == 0).alias("liveness_ok"),
+        "leads", "ab_leads", (F.col("ab_per_day") >= 15).alias("throughput_ok"), (F.col("dead_jobs") == 0).alias("jobs_ok"),
+            F.when(F.col("units") > 0, F.col("gaps") == 0).alias("liveness_ok"),
         F.when(F.col("longest_min").isNotNull(), F.col("longest_min") <= OUTAGE_MINUTES).alias("thermal_ok"),
     )
 
@@ -161,7 +165,8 @@ def expected_units(units: DataFrame, beats: DataFrame, as_of: Column, uptime_s:
     """
     s = _seconds(as_of, F.col("at"))
     booted = F.lit(False) if uptime_s is None else F.lit(uptime_s) < F.col("limit_s")
-    level = F.when(F.col("at").isNull() & F.col("optional"), "ok").when(F.col("at").isNull(), "degraded").when((s > F.col("limit_s")) & (booted | F.col("optional")), "degraded")
+    level = F.when(F.col("at").isNull() & F.col("optional"), "ok").when(F.col("at").isNull(), "degraded").when((s > F.col("limit_s")) & (booted | F.col("optional")),
+        "degraded")
     level = level.when(s > F.col("limit_s"), "critical").when(~F.col("ok"), "degraded").otherwise("ok")
     return F.broadcast(units).join(latest_per_unit(beats), "unit", "left").select("unit", s.alias("silence_s"), level.alias("level"))
 
@@ -171,7 +176,8 @@ def run_record(beats: DataFrame, units: DataFrame, since: Column, worker: str) -
     own = beats.where((F.col("at") >= since) & (F.col("unit") == worker))
     exits = own.agg(F.count_if("exiting").alias("clean_exits"))
     heard = beats.where(F.col("at") >= since).select("unit").distinct()
-    silent = units.where(~F.col("optional") & (F.col("unit") != worker)).join(heard, "unit", "left_anti").agg(F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("silent_units"))
+    silent = units.where(~F.col("optional") & (F.col("unit") != worker)).join(heard, "unit",
+        "left_anti").agg(F.array_join(F.array_sort(F.collect_list("unit")), ",").alias("silent_units"))
     return liveness(own).select("gaps", "builds").crossJoin(F.broadcast(exits)).crossJoin(F.broadcast(silent))  # one row each
 
 
@@ -181,7 +187,8 @@ def worst(levels: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, by: str, value: str) -> DataFrame:
-    return values.groupBy(by).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    return values.groupBy(by).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"),
+        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
 
 
 def prometheus(gauges: DataFrame, prefix: str = "leads_") -> DataFrame:

@@ -21,11 +21,13 @@ def plan(templates: DataFrame, answered: DataFrame, most: int = 12, most_costed:
 
 def coverage(templates: DataFrame) -> DataFrame:
     """Trigger code -> templates that look for it."""
-    return templates.select("template", F.explode("targets").alias("code")).groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("template")), ",").alias("templates"))
+    return templates.select("template", F.explode("targets").alias("code")).groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("template")),
+        ",").alias("templates"))
 
 
 def unextracted(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
-    return candidates.where("status = 'new'").join(jobs.where(F.col("status").isin("pending", "in_flight")).select("candidate_id"), "candidate_id", "left_anti").orderBy("created_at", "candidate_id")
+    return candidates.where("status = 'new'").join(jobs.where(F.col("status").isin("pending", "in_flight")).select("candidate_id"), "candidate_id",
+        "left_anti").orderBy("created_at", "candidate_id")
 
 
 def unenriched(companies: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -65,7 +67,8 @@ def hiring_signals(postings: DataFrame) -> DataFrame:
         F.bool_or(F.col("content").rlike(COMPLIANCE_POSTING)).alias("c"), F.bool_or(F.concat_ws(" ", "title", "content").rlike(STACK_POSTING)).alias("s"),
     )
     codes = F.array_compact(F.array(
-        F.when(F.col("security") > 0, "T3_HIRING_SEC"), F.when((F.col("ai") > 0) & (F.col("security") == 0), "T4_HIRING_AI_ONLY"), F.when(F.col("c"), "T5_COMPLIANCE"), F.when(F.col("s"), "T11_STACK_RISK"),
+        F.when(F.col("security") > 0, "T3_HIRING_SEC"), F.when((F.col("ai") > 0) & (F.col("security") == 0), "T4_HIRING_AI_ONLY"), F.when(F.col("c"), "T5_COMPLIANCE"),
+            F.when(F.col("s"), "T11_STACK_RISK"),
     ))
     return g.withColumn("codes", codes).drop("c", "s")
 

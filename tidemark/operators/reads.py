@@ -35,7 +35,8 @@ def stored_leads(leads: DataFrame, companies: DataFrame) -> DataFrame:
     """Leads (domain, score, tier, breakdown, scoring_version) of known companies, their breakdown in two maps; broken JSON gives empty ones."""
     components, penalties = split_breakdown(F.col("breakdown"))
     names = companies.select("domain", F.col("display_name").alias("tm_name"))
-    out = leads.drop("display_name").join(names, "domain").withColumns({"components": components, "penalties": penalties, "display_name": F.coalesce("tm_name", "domain"), "scoring_version": F.coalesce("scoring_version", F.lit(""))})
+    out = leads.drop("display_name").join(names, "domain").withColumns({"components": components, "penalties": penalties, "display_name": F.coalesce("tm_name", "domain"),
+        "scoring_version": F.coalesce("scoring_version", F.lit(""))})
     return out.drop("tm_name", "breakdown")
 
 
@@ -45,9 +46,11 @@ def lead_view(leads: DataFrame, triggers: DataFrame, evidence: DataFrame, as_of:
     weight = lookup({k: v[0] for k, v in C.TRIGGERS.items()}, F.col("code"), 0.0)
     live = live_triggers(triggers, as_of).select("k", "trigger_id", "code", "observed_at", (-weight).alias("order"))
     cited = evidence.groupBy("trigger_id").agg(F.array_sort(F.collect_set(F.struct("evidence_id", "source_id", "url"))).alias("cited"))
-    each = live.join(cited, "trigger_id", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("order", "trigger_id", "code", "observed_at", "cited"))).alias("x"))
+    each = live.join(cited, "trigger_id",
+        "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("order", "trigger_id", "code", "observed_at", "cited"))).alias("x"))
     none = F.array().cast(each.select(F.col("x.cited")[0].alias("c")).schema["c"].dataType)
-    seen = each.select("k", F.transform("x", lambda t: F.struct(t["trigger_id"].alias("trigger_id"), t["code"].alias("code"), t["observed_at"].alias("observed_at"))).alias("triggers"),
+    seen = each.select("k", F.transform("x", lambda t: F.struct(t["trigger_id"].alias("trigger_id"), t["code"].alias("code"),
+        t["observed_at"].alias("observed_at"))).alias("triggers"),
                        F.flatten(F.transform("x", lambda t: F.coalesce(t["cited"], none))).alias("evidence"))
     return leads.join(seen, "k", "left")
 
@@ -66,9 +69,11 @@ def stale_extractions(candidates: DataFrame, companies: DataFrame, jobs: DataFra
     live = jobs.where(F.col("status").isin("pending", "in_flight"))
     gap = companies.where("description IS NULL OR industry IS NULL").select(F.col("domain").alias("resolved_domain"), "last_updated_at")
     told = F.coalesce(F.get_json_object("raw_payload", "$.prompt_version"), F.lit(""))
-    c = candidates.where(F.col("status").isin("extracted", "resolved") & (told != version)).join(gap, "resolved_domain").join(live.select("candidate_id"), "candidate_id", "left_anti")
+    c = candidates.where(F.col("status").isin("extracted", "resolved") & (told != version)).join(gap, "resolved_domain").join(live.select("candidate_id"), "candidate_id",
+        "left_anti")
     c = c.withColumn("url", F.coalesce(F.get_json_object("raw_payload", "$.url"), F.lit("")))
-    ranked = c.orderBy(F.desc("last_updated_at"), "candidate_id").limit(limit).withColumn("r", F.row_number().over(Window.orderBy(F.desc("last_updated_at"), "candidate_id")))
+    ranked = c.orderBy(F.desc("last_updated_at"), "candidate_id").limit(limit).withColumn("r",
+        F.row_number().over(Window.orderBy(F.desc("last_updated_at"), "candidate_id")))
     room = live.agg((F.lit(limit) - F.count_if("backfill")).alias("room"))
     return ranked.crossJoin(F.broadcast(room)).where("r <= room AND url <> ''").select("candidate_id", "url")
 
@@ -86,7 +91,8 @@ def digest_rows(view: DataFrame) -> DataFrame:
     link = F.coalesce(F.concat(F.lit(" · ["), first["source_id"].cast("string"), F.lit("]("), first["url"], F.lit(")")), F.lit(""))
     body = F.concat(F.lit("`"), top, F.lit("` · "), "offer", link, F.lit("\n"), F.coalesce("description", F.lit("")))
     title = F.concat(F.col("score").cast("string"), F.lit(" · "), "display_name")
-    return view.select(*[n for n in ("k",) if n in view.columns], "lead_id", text.truncate(title, C.TITLE_CHARS).alias("title"), F.concat(F.lit("https://"), "domain").alias("url"), text.truncate(body, C.ROW_CHARS).alias("description"))
+    return view.select(*[n for n in ("k",) if n in view.columns], "lead_id", text.truncate(title, C.TITLE_CHARS).alias("title"),
+        F.concat(F.lit("https://"), "domain").alias("url"), text.truncate(body, C.ROW_CHARS).alias("description"))
 
 
 def worklist_lines(rows: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def missing_weights(codes: DataFrame) -> DataFrame:
 def evidence_row(url: Column, source_id: Column, snippet: Column, observed_at: Column) -> Column:
     from ..functions.ids import evidence_id
 
-    return F.struct(evidence_id(url, F.lit("")).alias("evidence_id"), url.alias("url"), source_id.alias("source_id"), F.left(snippet, F.lit(500)).alias("snippet"), observed_at.alias("observed_at"))
+    return F.struct(evidence_id(url, F.lit("")).alias("evidence_id"), url.alias("url"), source_id.alias("source_id"), F.left(snippet, F.lit(500)).alias("snippet"),
+        observed_at.alias("observed_at"))
 
 
 def fetch_decision(status: Column, attempt: Column, retries: int, retry_after: Column) -> Column:
@@ -126,7 +133,8 @@ def generation(attempts: Column, escalation: Column) -> Column:
     """The ladder of structured answers over ``attempts``, an array of (ok, down) of the local tries: two of them, the second only where the first
     broke the schema; then one escalated try where ``escalation`` (allowed, configured, affordable, ok) permits it."""
     first, second = F.try_element_at(attempts, F.lit(1)), F.try_element_at(attempts, F.lit(2))
-    up = F.when(~escalation["allowed"], "not permitted").when(~escalation["configured"], "not configured").when(~escalation["affordable"], "budget exhausted").when(~escalation["ok"], "attempt failed")
+    up = F.when(~escalation["allowed"], "not permitted").when(~escalation["configured"], "not configured").when(~escalation["affordable"],
+        "budget exhausted").when(~escalation["ok"], "attempt failed")
     local = F.when(first["ok"], 1).when(~first["down"] & F.coalesce(second["ok"], F.lit(False)), 2)
     return F.struct(local.alias("local_attempt"), (local.isNull() & up.isNull()).alias("escalated"), F.when(local.isNull(), up).alias("reason"))
 
@@ -140,7 +148,8 @@ def plan_cache_key(plans: DataFrame) -> DataFrame:
     """The key under which each plan's answer is stored: the source, the query, and of the parameters only those that the source is asked with."""
     from ..functions.ids import cache_key
 
-    asked = F.when(F.col("source") == "stories", F.map_filter("params", lambda k, v: k.isin("since_days", "tags", "max_hits"))).otherwise(F.create_map().cast("map<string,string>"))
+    asked = F.when(F.col("source") == "stories", F.map_filter("params", lambda k,
+        v: k.isin("since_days", "tags", "max_hits"))).otherwise(F.create_map().cast("map<string,string>"))
     return known_engines(plans).withColumn("cache_key", cache_key(F.col("source"), F.col("query"), asked))
 
 
@@ -149,7 +158,8 @@ def active_tool(command: Column) -> Column:
     low = F.lower(F.regexp_replace(command, r"[\"']", " "))
     names = F.transform(F.split(F.trim(low), r"\s+"), lambda t: F.element_at(F.split(t, "/"), -1))
     parts = F.array(*[F.lit(p) for p in C.ACTIVE_PROBES])
-    return F.coalesce(F.try_element_at(F.filter(names, lambda n: n.isin(*C.ACTIVE_TOOLS)), F.lit(1)), F.trim(F.try_element_at(F.filter(parts, lambda p: F.contains(low, p)), F.lit(1))))
+    return F.coalesce(F.try_element_at(F.filter(names, lambda n: n.isin(*C.ACTIVE_TOOLS)), F.lit(1)),
+        F.trim(F.try_element_at(F.filter(parts, lambda p: F.contains(low, p)), F.lit(1))))
 
 
 def breaker_snapshot(states: DataFrame) -> DataFrame:
@@ -163,12 +173,14 @@ def same_company(candidates: DataFrame, companies: DataFrame, threshold: float =
     exact = candidates.join(companies.select("domain").distinct(), "domain", "left_semi").select("id", F.lit(1).alias("rung"), "domain", F.lit(100.0).alias("score"))
     rest = candidates.join(companies.select("domain"), "domain", "left_anti")
     form = lambda d, i: d.select(i.alias("id"), "name", "country", "domain")
-    named = form(rest, F.concat(F.lit("a"), F.col("id").cast("string"))).unionByName(form(companies.withColumnRenamed("display_name", "name"), F.concat(F.lit("k"), "domain")))
+    named = form(rest, F.concat(F.lit("a"), F.col("id").cast("string"))).unionByName(form(companies.withColumnRenamed("display_name", "name"),
+        F.concat(F.lit("k"), "domain")))
     named = named.withColumns({"n": text.normalize_name(F.col("name")), "c": F.coalesce("country", F.lit(""))}).where("n <> ''")
     # of equal names in one country one stands for all
     first = named.groupBy("n", "c").agg(F.min("id").alias("form"))
     held = named.join(first, ["n", "c"]).select("id", "form", "domain")
-    pairs = name_pairs(first.select(F.col("form").alias("id"), F.col("n").alias("name"), F.col("c").alias("country")).withColumn("country", F.nullif("country", F.lit(""))), threshold, normalized=True)
+    pairs = name_pairs(first.select(F.col("form").alias("id"), F.col("n").alias("name"), F.col("c").alias("country")).withColumn("country",
+        F.nullif("country", F.lit(""))), threshold, normalized=True)
     both = pairs.select("a_id", "b_id", "score").unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "score"))
     both = both.unionByName(first.select(F.col("form").alias("a_id"), F.col("form").alias("b_id"), F.lit(100.0).alias("score")))
     ours = held.where(F.startswith("id", F.lit("a"))).select("id", F.col("form").alias("a_id"))
@@ -190,7 +202,8 @@ def gauges(companies, candidates, triggers, evidence, contacts, leads, dispatche
         (contacts, {"contacts_total": F.count("*")}),
         (leads, {"leads_total": F.count("*")} | {f"leads_tier_{t.lower()}": when(tier == t) for t in ("A", "B", "C", "REJECT")}),
         (dispatches, {"dispatches_total": F.count("*"), "dispatches_24h": when(new), "dispatches_ab_24h": when(new & tier.isin("A", "B"))}),
-        (jobs, {"queue_ready": when((status == "pending") & (F.col("available_at") <= now)), "queue_deferred": when((status == "pending") & (F.col("available_at") > now)), "queue_in_flight": when(status == "in_flight"),
+        (jobs, {"queue_ready": when((status == "pending") & (F.col("available_at") <= now)),
+            "queue_deferred": when((status == "pending") & (F.col("available_at") > now)), "queue_in_flight": when(status == "in_flight"),
                 "queue_failed": when(status == "failed"), "queue_dead": when(status.isin("dead", "dead_letter"))}),
         (dead_letter, {"dead_letter_total": F.count("*"), "dead_letter_recent": when(F.col("died_at") > since)}),
     ]
@@ -216,9 +229,11 @@ def prose_retry(reason: Column, attempt: Column, pauses: Column, most: int = 3,
 def post_outcome(statuses: Column, most: int = 5) -> Column:
     """How posting ends over the answers' statuses in order (null: no answer): the first that is no reason to try again decides, within ``most`` attempts."""
     tried = F.slice(statuses, 1, most)
-    final = F.filter(F.transform(tried, lambda s, i: F.struct((i + 1).alias("attempt"), s.alias("status"))), lambda x: x["status"].isNotNull() & (x["status"] != 429) & ~x["status"].between(500, 599))
+    final = F.filter(F.transform(tried, lambda s, i: F.struct((i + 1).alias("attempt"), s.alias("status"))),
+        lambda x: x["status"].isNotNull() & (x["status"] != 429) & ~x["status"].between(500, 599))
     last = F.try_element_at(final, F.lit(1))
-    return F.struct(F.coalesce(last["status"] < 400, F.lit(False)).alias("ok"), last["status"].alias("status"), F.coalesce(last["attempt"], F.size(tried)).alias("attempts"), last.isNull().alias("exhausted"))
+    return F.struct(F.coalesce(last["status"] < 400, F.lit(False)).alias("ok"), last["status"].alias("status"),
+        F.coalesce(last["attempt"], F.size(tried)).alias("attempts"), last.isNull().alias("exhausted"))
 
 
 def lease_run(seconds: Column, interval: float, most: float) -> Column:

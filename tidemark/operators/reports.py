@@ -32,7 +32,9 @@ def critique_lines(proposals: DataFrame, corpus: int, judged: int) -> DataFrame:
     spark = proposals.sparkSession
     order = F.struct(F.lit(1).alias("part"), F.col("target"), F.lit(1).alias("sub"), F.col("key"))
     lines = proposals.select(order.alias("o"), F.concat(F.lit("- `"), "key", F.lit("`: "), "proposal").alias("line"))
-    heads = proposals.select("target").distinct().select(F.struct(F.lit(1).alias("part"), F.col("target"), F.lit(0).alias("sub"), F.lit("").alias("key")).alias("o"), F.concat(F.lit("## "), "target").alias("line"))
-    top = spark.range(1).select(F.struct(F.lit(0).alias("part"), F.lit("").alias("target"), F.lit(0).alias("sub"), F.lit("").alias("key")).alias("o"), F.lit(f"# Critic: {corpus} scored leads, {judged} judged").alias("line"))
+    heads = proposals.select("target").distinct().select(F.struct(F.lit(1).alias("part"), F.col("target"), F.lit(0).alias("sub"), F.lit("").alias("key")).alias("o"),
+        F.concat(F.lit("## "), "target").alias("line"))
+    top = spark.range(1).select(F.struct(F.lit(0).alias("part"), F.lit("").alias("target"), F.lit(0).alias("sub"), F.lit("").alias("key")).alias("o"),
+        F.lit(f"# Critic: {corpus} scored leads, {judged} judged").alias("line"))
     every = top.unionByName(heads).unionByName(lines)
     return every.withColumn("n", (F.row_number().over(Window.orderBy("o")) - 1).cast("int")).select("n", "line")

@@ -67,7 +67,8 @@ def name_pairs(names: DataFrame, threshold: float = 92.0, normalized: bool = Fal
     listed = listed.withColumn("piece", F.substring(F.col("b"), F.col("pos"), F.col("step")))
     joined = probes.join(listed, ["la", "step", "piece"]).where(F.abs(F.col("at") - F.col("pos")) <= F.col("e"))
     guard = (F.col("ca") == "") | (F.col("cb") == "") | (F.col("ca") == F.col("cb"))
-    pairs = joined.where(guard & ((F.col("a") != F.col("b")) | (F.col("ca") != F.col("cb")))).select(F.least("ida", "idb").alias("a_id"), F.greatest("ida", "idb").alias("b_id"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    pairs = joined.where(guard & ((F.col("a") != F.col("b")) | (F.col("ca") != F.col("cb")))).select(F.least("ida", "idb").alias("a_id"),
+        F.greatest("ida", "idb").alias("b_id"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     scored = pairs.withColumn("score", name_similarity("x", "y")).where(F.col("score") >= threshold).select("a_id", "b_id", "score")
     first = norm.join(points.select("n", "c", F.col("id").alias("first")), ["n", "c"]).where(F.col("id") != F.col("first"))
     return scored.unionByName(first.select(F.col("first").alias("a_id"), F.col("id").alias("b_id"), F.lit(100.0).alias("score")))
@@ -83,7 +84,8 @@ def resolve(candidates: DataFrame) -> DataFrame:
     c = claimed_domain(candidates).where("resolved_domain IS NOT NULL")
     order = F.struct("created_at", "id")
     by = lambda col: F.min_by(F.col(col), F.when(F.col(col).isNotNull() & (F.col(col) != ""), order))
-    return c.groupBy("resolved_domain").agg(by("name").alias("display_name"), by("country").alias("country"), F.count("*").alias("candidates"), F.min("created_at").alias("first_seen_at"))
+    return c.groupBy("resolved_domain").agg(by("name").alias("display_name"), by("country").alias("country"), F.count("*").alias("candidates"),
+        F.min("created_at").alias("first_seen_at"))
 
 
 def within_two_edits(names: DataFrame) -> DataFrame:

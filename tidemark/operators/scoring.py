@@ -27,7 +27,8 @@ def contact_facts(contacts: DataFrame) -> DataFrame:
     """Per company, in one pass: is anyone named, the best contact as in ``best_contact``, and the number of addresses."""
     order = F.when(F.col("email").isNotNull(), F.struct(F.col("full_name").isNull(), email.status_rank(F.col("status")), "email", "contact_id"))
     return contacts.groupBy("k").agg(
-        F.bool_or(F.col("full_name").isNotNull()).alias("named"), F.min_by(F.struct("email", "status", "full_name"), order).alias("contact"), F.count("email").alias("contacts_total"),
+        F.bool_or(F.col("full_name").isNotNull()).alias("named"), F.min_by(F.struct("email", "status", "full_name"), order).alias("contact"),
+            F.count("email").alias("contacts_total"),
     )
 
 
@@ -55,7 +56,8 @@ def facts(companies: DataFrame, triggers: DataFrame, evidence: DataFrame, contac
     out = out.join(people, "k", "left").join(off, F.col("domain") == F.col("off"), "left")
     zero = {"trigger": 0.0, "n_triggers": 0, "n_sources": 0, "status": "none", "named": False}
     out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zero.items()} | {"codes": F.coalesce("codes", F.array().cast("array<string>"))})
-    return out.withColumns({"gap": F.coalesce(F.size(weak) > 0, F.lit(False)), "is_suppressed": F.col("off").isNotNull(), "band": F.coalesce("band", score.band_from_roles(F.col("open_roles")))}).drop("off")
+    return out.withColumns({"gap": F.coalesce(F.size(weak) > 0, F.lit(False)), "is_suppressed": F.col("off").isNotNull(),
+        "band": F.coalesce("band", score.band_from_roles(F.col("open_roles")))}).drop("off")
 
 
 def scored(given: DataFrame, anti_icp: Column | None = None, sectors: tuple[str, ...] = ()) -> DataFrame:
@@ -66,11 +68,13 @@ def scored(given: DataFrame, anti_icp: Column | None = None, sectors: tuple[str,
         "reachability": score.reachability_component(c("status"), c("named")),
         "surface": score.surface_component(c("ai_surface"), c("subdomains"), c("gap")),
         "freshness": score.freshness_component(c("newest")),
-        "penalties": score.penalty_map(F.lit(False) if anti_icp is None else anti_icp, c("is_suppressed"), c("newest") > STALE_DAYS, c("country"), c("n_sources"), c("n_triggers")),
+        "penalties": score.penalty_map(F.lit(False) if anti_icp is None else anti_icp, c("is_suppressed"), c("newest") > STALE_DAYS, c("country"), c("n_sources"),
+            c("n_triggers")),
     })
     names = list(score.C.COMPONENTS)
     out = out.withColumn("components", F.create_map(*[x for n in names for x in (F.lit(n), c(n))]))
-    out = out.withColumn("weighted", score.weighted(c("components"))).withColumn("penalty_total", score.map_total(c("penalties"))).withColumn("raw", c("weighted") + c("penalty_total"))
+    out = out.withColumn("weighted", score.weighted(c("components"))).withColumn("penalty_total", score.map_total(c("penalties"))).withColumn("raw",
+        c("weighted") + c("penalty_total"))
     out = out.withColumn("score", score.final(c("raw")))
     return out.withColumns({"tier": score.tier(c("score")), "offer": score.offer(c("codes"), c("ai_surface")), "lead_id": lead_id(c("domain"))})
 
@@ -82,11 +86,13 @@ def reviewed(leads: DataFrame, contacts: DataFrame, evidence_urls: DataFrame, ma
     mail = contacts.where(host.isin(*PERSONAL_EMAIL_DOMAINS)).groupBy("k").agg(F.collect_set(F.concat(F.lit("x@"), host)).alias("emails"))
     joined = leads.join(mail, "k", "left").join(evidence_urls, "k", "left")
     joined = joined.withColumns({"emails": F.coalesce("emails", F.array().cast("array<string>")), "urls": F.coalesce("urls", F.array().cast("array<string>"))})
-    checks = rules.rules(F.col("urls"), F.col("codes"), F.col("is_suppressed"), F.col("emails"), F.col("band"), F.col("domain"), F.col("industry"), F.col("display_name"), max_employees=max_employees)
+    checks = rules.rules(F.col("urls"), F.col("codes"), F.col("is_suppressed"), F.col("emails"), F.col("band"), F.col("domain"), F.col("industry"), F.col("display_name"),
+        max_employees=max_employees)
     return joined.withColumn("verdict", rules.verdict(checks)).select("*", "verdict.*").drop("verdict")
 
 
 def quarantine_rows(review: DataFrame) -> DataFrame:
     """What a vetoed lead appends to the quarantine."""
     detail = F.substring(F.concat_ws(",", "vetoes"), 1, 200)
-    return review.where(~F.col("passed")).select("lead_id", F.lit("lead").alias("subject_kind"), F.try_element_at("vetoes", F.lit(1)).alias("reason_code"), detail.alias("detail"))
+    return review.where(~F.col("passed")).select("lead_id", F.lit("lead").alias("subject_kind"), F.try_element_at("vetoes", F.lit(1)).alias("reason_code"),
+        detail.alias("detail"))

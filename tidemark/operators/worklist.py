@@ -41,7 +41,8 @@ def worklist(leads, contacts, triggers, evidence, judged, suppressed, quarantine
         base = base.join(contact_facts(contacts), "k")
     top = top_trigger(triggers, evidence).select("k", F.col("code").alias("trigger_code"), F.col("url").alias("evidence_url"))
     found = base.where("contact.email IS NOT NULL")
-    out = found.select("k", "domain", "display_name", "score", "tier", "offer", "contact.email", F.col("contact.status").alias("email_status"), "contact.full_name", "contacts_total").join(top, "k", "left")
+    out = found.select("k", "domain", "display_name", "score", "tier", "offer", "contact.email", F.col("contact.status").alias("email_status"), "contact.full_name",
+        "contacts_total").join(top, "k", "left")
     ordered = out.orderBy(F.desc("score"), F.col("full_name").isNull(), "domain")
     return ordered if limit is None else ordered.limit(limit)
 

@@ -55,7 +55,8 @@ def decide(review: DataFrame, stored: DataFrame, log: DataFrame, immediate: tupl
     A vetoed lead is quarantined and neither stored nor sent; the others are stored; of these, those of a tier that is sent at once go out, unless their state was sent before.
     """
     passed = review.where("passed")
-    new = passed.select("lead_id", "score", F.coalesce("angle", F.lit("")).alias("angle"), F.lit(None).cast("string").alias("translation"), F.col("as_of").alias("first_seen_at"))
+    new = passed.select("lead_id", "score", F.coalesce("angle", F.lit("")).alias("angle"), F.lit(None).cast("string").alias("translation"),
+        F.col("as_of").alias("first_seen_at"))
     return scoring.quarantine_rows(review), merge.upsert_leads(stored, new), cards.new_dispatches(passed.where(F.col("tier").isin(*immediate)), log)
 
 

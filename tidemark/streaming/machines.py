@@ -29,7 +29,8 @@ def governor(state: str | None, temp: float | None, undervoltage: bool) -> str:
     return held[-1] if held else "nominal"
 
 
-def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold: int = BREAKER_FAILURES, cooldown: float = BREAKER_SECONDS) -> tuple[tuple[str, int, float], bool]:
+def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold: int = BREAKER_FAILURES,
+    cooldown: float = BREAKER_SECONDS) -> tuple[tuple[str, int, float], bool]:
     """A call at ``at`` with outcome ``ok``, if let through: ((state, failures, opened at), was it let through).
 
     Closed lets calls through; ``threshold`` failures in a row open it; past the cooldown one call probes, and its

@@ -54,7 +54,8 @@ class Governor(StatefulProcessor):
 
 def governor_stream(samples: DataFrame) -> DataFrame:
     """unit, seq, state of a stream of samples. Needs the RocksDB state store provider."""
-    return samples.groupBy("unit").transformWithStateInPandas(statefulProcessor=Governor(), outputStructType="unit string, seq long, state string", outputMode="Append", timeMode="None")
+    return samples.groupBy("unit").transformWithStateInPandas(statefulProcessor=Governor(), outputStructType="unit string, seq long, state string", outputMode="Append",
+        timeMode="None")
 
 
 def append_once_sink(path: str, key: str):
