@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config as C
 from .functions import dates, dns, email, ids, score, text, url
-from .operators import cache, cards, critic, details, diagnose, feedback, maintenance, merge, operations, planning, resolve, scoring, worklist
+from .operators import cache, cards, critic, details, diagnose, feedback, maintenance, merge, operations, planning, reads, resolve, scoring, worklist
 from .plans import bindings as B
 from .plans.oracle import EVENTS_NOW, NOW, case, sql
 from .streaming import machines
@@ -665,12 +665,35 @@ def _names(s, d):
         F.lit(None).cast("string").alias("country"))
 
 
-@query()
+def _alike(names: str, least: float) -> str:
+    """Common table expressions over ``names`` (id, n): ``pts``, a row per name with its smallest id, and ``found`` (ida, idb, score), the pairs of
+    different names whose ratio of twice the longest common subsequence to both lengths reaches ``least`` percent: the dynamic programme
+    takes one character of the first name a step, a row of it being the prefix maxima over the row before."""
+    return f"""pts AS (SELECT n, min(id) AS id FROM {names} WHERE n <> '' GROUP BY n),
+  lcs AS (SELECT a.n AS x, b.n AS y, a.id AS ida, b.id AS idb, 0 AS i, list_transform(range(length(b.n) + 1), lambda j: CAST(0 AS BIGINT)) AS row FROM pts a
+    JOIN pts b ON a.n < b.n AND 200.0 * least(length(a.n), length(b.n)) / (length(a.n) + length(b.n)) >= {least}
+  UNION ALL SELECT x, y, ida, idb, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(cand[1:j])) FROM (
+    SELECT *, list_transform(range(1, length(y) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(row[j], row[j - 1]
+      + CASE WHEN substr(y, CAST(j - 1 AS INT), 1) = substr(x, i + 1, 1) THEN 1 ELSE 0 END) END) AS cand FROM lcs WHERE i < length(x))),
+  found AS (SELECT least(ida, idb) AS ida, greatest(ida, idb) AS idb, 200.0 * row[-1] / (length(x) + length(y)) AS score FROM lcs
+    WHERE i = length(x) AND 200.0 * row[-1] / (length(x) + length(y)) >= {least})"""
+
+
+@query(f"""WITH RECURSIVE norm AS (SELECT min(p_partkey) AS id, {_norm("p_name || ' ' || p_type")} AS n FROM part GROUP BY p_name || ' ' || p_type, 2), {_alike("norm", 88.0)}
+  SELECT ida AS a_id, idb AS b_id, round(score, 4) AS score FROM found UNION ALL SELECT p.id, m.id, 100.0 FROM norm m JOIN pts p ON p.n = m.n AND p.id <> m.id""")
 def fuzzy_name_pairs(s, d):
     return resolve.name_pairs(_names(s, d), 88.0).withColumn("score", r4("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE own AS (SELECT 'c' || dom || '.com' AS resolved_domain, min_by(id, ROW(created, id)) AS id, min_by(created, ROW(created, id)) AS created, min_by(name, ROW(created, id)) AS name
+    FROM (SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey // 5 AS dom, p_name || ' ' || p_type AS name, p_partkey % 7 AS created FROM part) GROUP BY dom),
+  norm AS (SELECT id, {_norm("name")} AS n FROM own), {_alike("norm", 92.0)},
+  half AS (SELECT ida AS u, idb AS v FROM found UNION ALL SELECT p.id, m.id FROM norm m JOIN pts p ON p.n = m.n AND p.id <> m.id),
+  links AS (SELECT u, v FROM half UNION SELECT v, u FROM half),
+  reach AS (SELECT id AS node, id AS label FROM own UNION SELECT links.v, reach.label FROM reach JOIN links ON links.u = reach.node WHERE reach.label < links.v),
+  held AS (SELECT node, min(label) AS c FROM reach GROUP BY node),
+  first AS (SELECT h.c, min_by(o.id, ROW(o.created, o.id)) AS entity_id FROM held h JOIN own o ON o.id = h.node GROUP BY h.c)
+  SELECT o.resolved_domain, o.id, f.entity_id FROM own o JOIN held h ON h.node = o.id JOIN first f ON f.c = h.c""")
 def entity_clusters(s, d):
     """Every part as a candidate, five to a domain."""
     p = B.read(s, d, "part")
@@ -680,6 +703,21 @@ def entity_clusters(s, d):
     return resolve.entity_clusters(c)
 
 
+@query(f"""WITH RECURSIVE raw AS (SELECT CAST(p_partkey AS BIGINT) AS k, {_norm("p_name || ' ' || p_type")} AS n FROM part WHERE p_partkey % 10 < 3), norm AS (SELECT k AS id, n FROM raw), {_alike("norm", 92.0)},
+  sim AS (SELECT ida AS a, idb AS b, score FROM found UNION ALL SELECT idb, ida, score FROM found UNION ALL SELECT id, id, 100.0 FROM pts),
+  best AS (SELECT r.k AS id, 2 AS rung, 'c' || m.k || '.io' AS domain, s.score, row_number() OVER (PARTITION BY r.k ORDER BY s.score DESC, 'c' || m.k || '.io') AS place FROM raw r JOIN pts p ON p.n = r.n
+    JOIN sim s ON s.a = p.id JOIN pts q ON q.id = s.b JOIN raw m ON m.n = q.n AND m.k % 10 = 0 WHERE r.k % 10 > 0 AND r.k % 20 <> 1)
+  SELECT id, rung, domain, round(score, 4) AS score FROM best WHERE place = 1 UNION ALL SELECT k, 1, 'c' || (k - 1) || '.io', 100.0 FROM raw WHERE k % 20 = 1 AND k - 1 IN (SELECT k FROM raw)""")
+def duplicate_candidates(s, d):
+    """Every tenth part is a company; the two after it are candidates, some under its own domain."""
+    k = F.col("p_partkey").cast("long")
+    p = B.read(s, d, "part").select(k.alias("id"), F.concat("p_name", F.lit(" "), "p_type").alias("name"), F.lit(None).cast("string").alias("country"))
+    at = lambda c: F.concat(F.lit("c"), c.cast("string"), F.lit(".io"))
+    known = p.where("id % 10 = 0").select(at(F.col("id")).alias("domain"), F.col("name").alias("display_name"), "country")
+    own = F.when(F.col("id") % 20 == 1, at(F.col("id") - 1)).otherwise(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit(".io")))
+    return reads.same_company(p.where("id % 10 IN (1, 2)").withColumn("domain", own), known).withColumn("score", r4("score"))
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
 def html_title(s, d):
     return B.read(s, d, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
