@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import GOVERNMENT_SUFFIXES, MULTI_PART_SUFFIXES, PLATFORM_HOSTS
+from .binding import let
 
 
 def _strings(values) -> Column:
@@ -37,14 +38,19 @@ def is_platform(host: Column) -> Column:
 
 def canonical_domain(value: Column) -> Column:
     """Registrable domain of a URL or host; null for addresses, single labels, platforms and odd characters."""
-    host = host_of(value)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    tail = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
-    two = F.when(n >= 2, tail(2))
-    registrable = F.when((n >= 3) & two.isin(*MULTI_PART_SUFFIXES), F.when(n >= 3, tail(3))).otherwise(two)
-    good = ~host.rlike(r"[ :]") & ~host.rlike(r"^[0-9.]+$") & (n >= 2) & ~is_platform(host) & registrable.rlike(r"^[a-z0-9.-]+$") & ~is_platform(registrable)
-    return F.when(host.isNotNull() & good, registrable)
+
+    def registrable(host: Column, labels: Column) -> Column:
+        n = F.size(labels)
+        tail = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+        return F.when(n >= 3, F.when(tail(2).isin(*MULTI_PART_SUFFIXES), tail(3)).otherwise(tail(2))).when(n == 2, host)
+
+    def checked(x: Column) -> Column:
+        host, domain = x["host"], x["domain"]
+        good = ~host.rlike(r"[ :]") & ~host.rlike(r"^[0-9.]+$") & domain.rlike(r"^[a-z0-9.-]+$") & ~is_platform(host) & ~is_platform(domain)
+        return F.when(good, domain)
+
+    # the host and its labels are computed once
+    return let(host_of(value), lambda h: let(F.struct(h.alias("host"), registrable(h, F.split(h, r"\.")).alias("domain")), checked))
 
 
 def has_government_suffix(domain: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DESCRIPTION_CHARS, FIELD_CHARS, PAGE_CHARS, PAGE_ROWS, TITLE_CHARS
+from ..functions.binding import let
 from ..functions.text import publishable, truncate
 from ..streaming.machines import fold
-from .details import fit_total, let
+from .details import fit_total
 
 
 def _field(name: str, value: Column, keep_tail: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BAND_TO_MAX, COMPONENTS, PAGE_CHARS, TIERS, TRIGGERS
 from ..functions import email, text
+from ..functions.binding import let
 from ..functions.dates import to_iso
 
 MAX_QUOTES = 2
@@ -169,11 +170,6 @@ def trigger_lines(triggers: Column) -> Column:
     return F.array_join(F.transform(triggers, lambda t: F.format_string("`%s` %.0f%% · %d d", t["code"], t["confidence"] * 100, F.floor(t["age_days"]))), "\n")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which stands in the plan once however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fit_total(description: Column, fields: Column, limit: int | Column = PAGE_CHARS) -> Column:
     """A card within the limit: the description shrinks if that is enough, else optional fields go from the end; evidence and
     compliance fields are kept, behind the others."""
