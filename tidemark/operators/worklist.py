@@ -17,8 +17,9 @@ def top_trigger(triggers: DataFrame, evidence: DataFrame, live_only: bool = Fals
         t = t.where(F.col("decays_at") > as_of)
     weight = lookup({k: v[0] for k, v in TRIGGERS.items()}, F.col("code"), 0.0)
     t = t.groupBy("k").agg(F.max_by(F.struct("trigger_id", "code"), F.struct(weight, -F.col("trigger_id"))).alias("t")).select("k", "t.*")
-    first = evidence.groupBy("trigger_id").agg(F.min("url").alias("url"))
-    return t.join(first, "trigger_id", "left").select("k", "trigger_id", "code", "url")
+    # only what the chosen triggers cite is reduced
+    cited = t.join(evidence.select("trigger_id", "url"), "trigger_id", "left")
+    return cited.groupBy("k", "trigger_id", "code").agg(F.min("url").alias("url"))
 
 
 def candidates(leads: DataFrame, judged: DataFrame, suppressed: DataFrame, quarantined: DataFrame, tiers=("A", "B"), include_judged: bool = False) -> DataFrame:
