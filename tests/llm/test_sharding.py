@@ -134,3 +134,24 @@ def test_least_moved_bytes_equal_brute_force():
             for way in itertools.product(range(n_new), repeat=n) if all(way.count(j) == n // n_new for j in range(n_new))
         )
         assert p.moved == best, blocks
+
+
+def test_query_against_brute_force(spark):
+    """Whole rows, gapless slots, near equal sizes, and not many more bytes moved than any layout of these capacities must move."""
+    d = "/root/testdata/sf0.001"
+    got = sharding.op5_min_cost_flow(spark, d).collect()
+    texts = sorted((r["doc_id"], len((r["text"] or "").encode()) + 8) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    assert sorted((r["doc_id"], r["size"]) for r in got) == texts
+    size, old = [0] * sharding.SHARDS, {}
+    for j in range(sharding.SHARDS):
+        own = [r for r in got if r["shard"] == j]
+        size[j] = sum(r["size"] for r in own)
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    for r in got:
+        old[r["old_shard"]] = old.get(r["old_shard"], 0) + r["size"]
+    largest = max(s for _, s in texts)
+    assert max(size) - min(size) <= 2 * largest
+    # a shard keeps at most its new size of what it holds already
+    least = sum(max(0, b - size[o]) for o, b in old.items())
+    moved = sum(r["size"] for r in got if r["shard"] != r["old_shard"])
+    assert least <= moved <= least + sharding.SHARDS * largest
