@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 from ..operators.graph import components, cut, new_folder, shared_dir
 from ..shipping import ship
 
-__all__ = ["byte_batches", "components", "cut", "drop_folder", "new_folder", "pick", "qualified", "shared_dir", "table", "word_parts"]
+__all__ = ["MEMORIES", "byte_batches", "components", "cut", "drop_folder", "new_folder", "only_memory", "pick", "qualified", "shared_dir", "table", "word_parts"]
+
+
+#: What a Python worker remembers between tasks, by operator: how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def only_memory(name: str) -> None:
+    """Called as a task begins: workers outlive their tasks, so what other operators left in this one is forgotten, and a worker
+    holds one operator's memory however many stages it serves."""
+    for other, forget in MEMORIES.items():
+        if other != name:
+            forget()
 
 
 def qualified(spark: SparkSession, path: str) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, only_memory, pick, table
 from .tokens import byte_encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -93,6 +93,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only_memory("tokens")
         encoder, bins = byte_encoder(vocabulary, path), BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 32
         id_type = None

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pick, table, word_parts
+from .common import MEMORIES, only_memory, pick, table, word_parts
 
 #: Labelled texts that the classifier learns from, half of them of either label where there are enough.
 SAMPLE = 4096
@@ -60,6 +60,7 @@ class _Terms(dict):
 
 
 _terms = _Terms()
+MEMORIES["quality"] = _terms.clear
 
 
 def term_counts(texts: list[str]):
@@ -173,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     d = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memory("quality")
         for b in batches:
             for a in range(0, b.num_rows, BLOCK):
                 part = b.slice(a, BLOCK)
@@ -202,6 +204,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memory("quality")
         m = sent.value
         for b in batches:
             s = m.score([t or "" for t in b.column(at).to_pylist()])
@@ -225,6 +228,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memory("quality")
         m = sent.value
         for b in batches:
             s = m.score([t or "" for t in b.column("text").to_pylist()])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, cut, pick, table
+from .common import components, cut, only_memory, pick, table
 
 RADIUS = 2
 #: Nodes of one tree: the bound on what is sent to each block of queries.
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memory("simhash")
         for b in batches:
             fp = [_signed(fingerprint(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_batches, pick, table
+from .common import MEMORIES, byte_batches, only_memory, pick, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Parts that one Python worker remembers; a bound on its memory (some 100 MB), not on what is counted.
@@ -32,6 +32,7 @@ BATCH_BYTES = 2_000_000
 BATCH_CHARS = 2_000_000
 
 _loaded: dict = {}
+MEMORIES["tokens"] = _loaded.clear
 
 
 def vocabulary_path(name: str) -> str:
@@ -138,6 +139,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, model: str = PIECE_MODEL, p
     d = pick(docs, "doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memory("tokens")
         counter = piece_counter(model, path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
