@@ -47,3 +47,14 @@ def test_op5_and_op6(spark, rows):
     assert out.count() == rows.count() and sorted(r["text"] or "" for r in out.collect()) == sorted(r["text"] or "" for r in rows.collect())
     got = tokens.token_counts(rows).collect()
     assert len(got) == rows.count() and all((r["n_tokens"] == 0) == (r["n_bytes"] == 0) or r["doc_id"] == 4 for r in got)
+
+
+def test_a_worker_holds_one_memory():
+    from tidemark.llm import common, quality, templates, tokens
+
+    quality.term_counts(["some words here"]), templates.canonical(["some", "words"]), tokens.piece_counter().count(["some words"])
+    assert quality._terms and templates._words and tokens._loaded
+    common.only_memory("quality")
+    assert quality._terms and not templates._words and not tokens._loaded
+    common.only_memory("similar")
+    assert not quality._terms
