@@ -6,7 +6,7 @@ not on whole tables; tests/llm holds them against brute force, exact round trips
 
 from __future__ import annotations
 
-from . import chat, clusters, codes, ego, htmltext, packing, quality, sharding, simhash, templates, tokens, warc
+from . import chat, clusters, codes, ego, htmltext, packing, quality, rules, sharding, simhash, templates, tokens, warc
 
 QUERIES = {
     "op1_snapshot_collapse": chat.op1_snapshot_collapse,
@@ -20,10 +20,11 @@ QUERIES = {
     "op9_tree_scoring": htmltext.op9_tree_scoring,
     "op10_template_windows": templates.op10_template_windows,
     "op11_gemm_clusters": clusters.op11_gemm_clusters,
+    "op12_weak_supervision": rules.op12_weak_supervision,
     "op13_partial_distance_codes": codes.op13_partial_distance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_snapshot_collapse": chat.OP1_SQL, "op2_epsilon_grid_join": ego.OP2_SQL, "op8_gzip_normaliser": warc.OP8_SQL,
-    "op11_gemm_clusters": clusters.OP11_SQL, "op13_partial_distance_codes": codes.OP13_SQL,
+    "op11_gemm_clusters": clusters.OP11_SQL, "op12_weak_supervision": rules.OP12_SQL, "op13_partial_distance_codes": codes.OP13_SQL,
 }
