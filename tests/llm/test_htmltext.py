@@ -103,6 +103,43 @@ def test_names_alone_leave_nothing_out():
     assert htmltext.main_text(page) == STORY
 
 
+def test_marked_elements_in_the_line():
+    """A sentence keeps what a name marks in it; a block of nothing else is judged like a marked block."""
+    assert htmltext.main_text("<article><p>He wrote <span class='notice'>the public notice</span> on the wall</p></article>") == "He wrote the public notice on the wall"
+    assert htmltext.main_text(f"<article><p>The <em class='related'>related</em> case, and <b id='ad'>an advert</b>.</p><p>{P1}</p></article>") == f"The related case, and an advert.\n{P1}"
+    for alone in ("<span class='ad'>Buy now, all of you, and then again</span>", "<a class='share-link' href='/x'>Share</a> <a class='share-link' href='/y'>Post</a>", "<span class='notice'>Read <b>this</b></span>"):
+        assert htmltext.main_text(f"<article><p>{P1}</p>{alone}<p>{P2}</p></article>") == f"{P1}\n{P2}", alone
+        assert htmltext.main_text(f"<article><p>{P1}</p><p>See: {alone}</p></article>") == f"{P1}\nSee: " + re.sub("<[^>]*>", "", alone)
+    assert htmltext.main_text(f"<article><p>{P1} <span class='notice' hidden>No.</span>{P2}</p></article>") == f"{P1} {P2}"
+
+
+def test_sections_with_a_name():
+    """A paragraph in a section that a name marks is part of the article, unless the name is one of adverts and the like."""
+    about = "Social work, which began in the town, changed the lives of all of its people."
+    for name in ("social", "related", "comment-free share", "alert", "toc"):
+        assert htmltext.main_text(f"<article><p>{P1}</p><div class='{name}'><h2>Part</h2><p>{about}</p></div><p>{P2}</p><p>{P2}</p></article>") == f"{P1}\nPart\n{about}\n{P2}\n{P2}", name
+    for name in ("ad", "newsletter", "cookie-notice", "comments"):
+        assert htmltext.main_text(f"<article><p>{P1}</p><div class='{name}'><p>{about}</p></div><p>{P2}</p><p>{P2}</p></article>") == f"{P1}\n{P2}\n{P2}", name
+    assert htmltext.main_text(f"<article><p>{P1}</p><div class='social'><p><a href='/x'>{about}</a></p></div><p>{P2}</p></article>") == f"{P1}\n{P2}"
+
+
+def test_controls_stand_in_the_line():
+    for tag in ("button", "select", "audio", "video", "canvas", "object", "map", "datalist"):
+        assert htmltext.main_text(f"<article><p>{P1}</p><p>Press <{tag}>x</{tag}> to begin</p></article>") == f"{P1}\nPress to begin", tag
+    assert htmltext.main_text(f"<article><p>Name:<input value='x'>or not</p><p>{P1}</p></article>") == f"Name: or not\n{P1}"
+
+
+def test_sibling_articles():
+    one, two = f"<article><p>{P1}</p><p>{P2}</p><p>{P1}</p></article>", f"<article><p>{P2} Two.</p></article>"
+    for body in (one + two, f"<main>{one}{two}</main>", f"<div>{one}</div><div>{two}</div>"[: -len("</div>")].replace("</div><div>", "")):
+        assert htmltext.main_text(f"<body>{body}</body>") == f"{P1}\n{P2}\n{P1}\n{P2} Two.", body
+    # comments, teasers of links and adverts aren't siblings, whatever their element
+    reader = f"<article class='comment'><p>{P2} Reader.</p></article>"
+    teaser = f"<article><p><a href='/x'>{P2} Teaser.</a></p></article>"
+    assert htmltext.main_text(f"<body>{one}{reader * 4}{teaser}<article class='promo'><p>{P2}</p></article></body>") == f"{P1}\n{P2}\n{P1}"
+    assert htmltext.main_text(f"<body>{reader}</body>") == f"{P2} Reader."
+
+
 def test_nesting_is_linear():
     import time
 
