@@ -118,6 +118,58 @@ def test_repetitive_texts():
         assert time.time() - began < 3 and (text.count(" 5 kg") < 300 or len(found) == 100)
 
 
+def test_many_items_of_one_template():
+    """The work on a document follows its hits: items that share all windows are looked at together."""
+    import time
+
+    item = "A train leaves {} at {} miles an hour and another train follows {} hours later at {} miles an hour on the same track to {}".format
+    names = ["Paris", "London", "Berlin", "Madrid", "Rome"]
+    items = [(i, item(names[i % 5], 30 + i, 2 + i % 7, 90 + i, names[(i + 1 + i // 5 % 4) % 5])) for i in range(16_000)]
+    b = templates.Benchmark(items)
+    text = FILLER * 4 + item("Vienna", 11, 3, 12, "Prague") + " " + FILLER * 4
+    b.find(text)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        found = b.find(text)
+        took.append(time.process_time() - began)
+    assert {f[0] for f in found} == set(range(16_000)) and min(took) < 1.5  # some 0.3 s on an idle machine; a comparison of all hits with every item takes minutes
+    # the same rows as one by one
+    for i in (0, 7, 15_999):
+        assert templates.Benchmark([items[i]]).find(text) == [f for f in found if f[0] == i]
+    # equal values in the document where the item's differ match no more with many items than with one
+    for other in (item("Vienna", 5, 5, 5, "Vienna"), item("Vienna", 11, 11, 12, "Prague")):
+        few = {i: templates.Benchmark([items[i]]).find(FILLER + other) for i in (0, 3, 99)}
+        many = b.find(FILLER + other)
+        assert all([f for f in many if f[0] == i] == few[i] for i in few)
+
+
+def test_groups_of_items_change_nothing(monkeypatch):
+    items = [(i, f"Tom bought {i} kg of apples and {i + k} kg of pears from Anna on Monday, or so they say") for i in range(30) for k in (0, 3)]
+    b = templates.Benchmark(items)
+    text = FILLER + "Bob bought 5 kg of apples and 8 kg of pears from Jane on Friday, or so they say " + FILLER
+    want = b.find(text)
+    assert want
+    for n in (1, 50, 333):
+        monkeypatch.setattr(templates, "HITS", n)
+        assert b.find(text) == want
+
+
+@pytest.mark.parametrize("kind,value", [("int", 7), ("smallint", 7), ("string", "a"), ("date", "2024-02-03"), ("double", 0.5), ("decimal(9,2)", "1.50"), ("timestamp", "2024-02-03 04:05:06")])
+def test_ids_of_any_type(spark, kind, value):
+    """Batches with and without hits, and null ids, on both sides."""
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame([(str(value), ITEM), (None, ITEM)], "i string, text string").select(F.col("i").cast(kind).alias("item_id"), "text")
+    docs = spark.createDataFrame([(str(value), ITEM), (str(value), FILLER), (None, FILLER), (None, ITEM)], "i string, text string").select(F.col("i").cast(kind).alias("doc_id"), "text")
+    rows = templates.contaminated(docs.repartition(4), bench)
+    assert rows.schema["item_id"].dataType == bench.schema["item_id"].dataType and rows.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    one = bench.first()["item_id"]
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in rows.collect()) == sorted((str(a), str(b)) for a in (one, None) for b in (one, None))
+    assert templates.contaminated(docs.where("text like 'Some%'"), bench).count() == 0
+    assert templates.keep_clean(docs, bench).count() == 2
+
+
 def _windows_by_hand(item, text):
     """Passing windows of ``item`` in ``text``, every pair of places compared."""
     w, x = item.split(), text.split()

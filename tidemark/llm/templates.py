@@ -13,26 +13,31 @@ passes in at least COVERAGE of an item's windows is a copy of it. With other num
 windows with a literal word can pass, so it is enough to reach COVERAGE of those (counted as WINDOW at least,
 where the item has as many windows: one window of a title says nothing).
 
-Diagonals are looked at for one item after the other, and only for items whose hits could reach the coverage, so
-that memory holds the hits of one document with one item, as arrays.
+Hits are counted for all items at once, as numbers of windows; diagonals are looked at only for items whose hits could reach the
+coverage, in groups of items with about HITS hits, as arrays. So the work on a document follows its hits, however
+many items share a window, and memory holds one group's.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import MEMORIES, only_memory, pick, table, word_parts
+from .common import MEMORIES, cut, only_memory, pick, table, word_parts
 
 WINDOW = 5
 COVERAGE = 0.5
 #: Benchmark tokens that one broadcast holds (some 64 bytes each); a larger benchmark goes in parts.
 BROADCAST_TOKENS = 2_000_000
+#: Hits of one document whose diagonals are looked at together (one item's at least).
+HITS = 1 << 18
 #: Characters of a document looked up at once.
 PART_CHARS = 2_000_000
 MEMORY_WORDS = 300_000
@@ -101,7 +106,9 @@ class _Exact(dict):
 
 
 _exact = _Exact()
-MEMORIES["templates"] = lambda: (_words.clear(), _exact.clear())
+#: The index of the last benchmark that this worker saw, by the name it was sent with.
+_indexes: dict[str, Benchmark] = {}
+MEMORIES["templates"] = lambda: (_words.clear(), _exact.clear(), _indexes.clear())
 
 
 def _window_hashes(tokens, size: int = WINDOW):
@@ -128,56 +135,55 @@ def _expand(lo, hi):
     return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
 
 
-@dataclass
-class _Item:
-    item_id: object
-    words: object  # hashes of the words as they stand
-    typed: object
-    size: int  # of its windows
-    exact: object  # hash of each window as it stands
-    literal: object  # does the window hold a literal word?
-    hashes: object  # of the windows with one, under both readings of names
-    places: object
-
-
 class Benchmark:
-    """Window index of some items."""
+    """Window index of some items. Windows and words of all items lie one after the other; ``base`` and ``word_base`` say where an
+    item's begin."""
 
     def __init__(self, items: list[tuple[object, str]]):
         import numpy as np
 
-        self.items: list[_Item] = []
-        looked_up, exact, owner, place = [], [], [], []
+        self.ids: list[object] = []
+        words_of, typed_of, sizes, looked_up, exact, literals, hashes, places = [], [], [], [], [], [], [], []
         for item_id, text in items:
             words = text.split()
             if not words:
                 continue
             typed, plain = canonical(words)
-            own = np.fromiter(map(_exact.__getitem__, words), np.int64, len(words))
             size = min(WINDOW, len(words))
-            e = _window_hashes(own, size)
+            own = np.fromiter(map(_exact.__getitem__, words), np.int64, len(words))
             literal = np.lib.stride_tricks.sliding_window_view(typed >= 16, size).any(1) if size == WINDOW else np.zeros(1, bool)
             at = np.flatnonzero(literal)
             both = [_window_hashes(t, size) for t in (typed, plain)]
-            self.items.append(_Item(item_id, own, typed, size, e, literal, np.concatenate([h[at] for h in both]), np.concatenate([at, at])))
+            self.ids.append(item_id)
+            words_of.append(own), typed_of.append(typed), sizes.append(size), exact.append(_window_hashes(own, size)), literals.append(literal)
             looked_up += both
-            exact.append(e)
-            owner.append(np.full(len(e), len(self.items) - 1))
-            place.append(np.arange(len(e)))
+            other = at[both[0][at] != both[1][at]]  # a window without names reads the same both ways
+            hashes.append(np.concatenate([both[0][at], both[1][other]]))
+            places.append(np.concatenate([at, other]))
         none = [np.zeros(0, np.uint64)]
-        self.sizes = sorted({x.size for x in self.items})
+        join = lambda x, kind: np.concatenate(x or none).astype(kind)
+        starts = lambda lengths: np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64)
+        n = np.array([len(x) for x in exact], np.int64)
+        self.sizes = sorted(set(sizes))
+        self.base, self.word_base = starts(n), starts([len(x) for x in words_of])
+        self.words, self.typed = join(words_of, np.int64), join(typed_of, np.int64)
+        #: does a window hold a literal word? How many of an item's do, and which item is a window of?
+        self.literal = join(literals, bool)
+        self.owner = np.repeat(np.arange(len(n)), n)
+        lit = np.bincount(self.owner, self.literal, len(n)).astype(np.int64)
+        self.n, self.full = n, np.array(sizes, np.int64) == WINDOW
+        self.n_literal = np.maximum(lit, np.minimum(n, WINDOW))
         #: every window's hash under both readings
-        self.hashes = np.unique(np.concatenate(looked_up or none))
-        e = np.concatenate(exact or none)
+        self.hashes = np.unique(join(looked_up, np.uint64))
+        e = join(exact, np.uint64)
         order = np.argsort(e, kind="stable")
-        self.exact = e[order]
-        self.exact_at = np.stack([np.concatenate(x or none)[order].astype(np.int64) for x in (owner, place)], 1)
-        # windows with a literal word: hash -> items
-        h = np.concatenate([x.hashes for x in self.items] or none)
-        o = np.repeat(np.arange(len(self.items)), [len(x.hashes) for x in self.items])
-        order = np.argsort(h, kind="stable")
-        self.open, self.open_item = h[order], o[order]
-        self.open_place = np.concatenate([x.places for x in self.items] or none).astype(np.int64)[order]
+        self.exact, self.exact_at = e[order], order
+        # windows with a literal word, item by item and by hash
+        self.of_item = starts([len(x) for x in hashes])
+        self.item_hash, self.item_place = join(hashes, np.uint64), join(places, np.int64)
+        windows = self.item_place + np.repeat(self.base[:-1], np.diff(self.of_item))
+        order = np.argsort(self.item_hash, kind="stable")
+        self.open, self.open_at = self.item_hash[order], windows[order]
         # a small bit table in front of the sorted hashes: most windows end here
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
@@ -194,9 +200,12 @@ class Benchmark:
             typed, plain = canonical(part)
             for size in self.sizes:
                 skip = max(0, len(before) - size + 1)
+                first = None
                 for tokens in (typed, plain) if (typed != plain).any() else (typed,):
                     h = _window_hashes(tokens, size)[skip:]
-                    at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
+                    seen = self.filter[(h >> np.uint64(42)).astype(np.int64)]
+                    at = np.flatnonzero(seen if first is None else seen & (h != first))
+                    first = h
                     if len(at):
                         i = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
                         at = at[self.hashes[i] == h[at]]
@@ -228,81 +237,99 @@ class Benchmark:
         first_at = np.full(len(e1), 1 << 62)
         np.minimum.at(first_at, np.searchsorted(e1, e), at)
         rows, of = _expand(np.searchsorted(self.exact, e1, "left"), np.searchsorted(self.exact, e1, "right"))
-        same = self.exact_at[rows]
+        passed, place = self.exact_at[rows], first_at[of]  # a window of an item is equal to one e1 only
         # what any placeholder could add
         h1 = np.unique(h)
         more, _ = _expand(np.searchsorted(self.open, h1, "left"), np.searchsorted(self.open, h1, "right"))
-        could = np.stack([self.open_item[more], self.open_place[more]], 1)
-        names = np.unique(np.concatenate([same[:, 0], could[:, 0]]))
-        order = np.argsort(h, kind="stable")
-        out = []
-        for k in names.tolist():
-            item = self.items[k]
-            mine = same[:, 0] == k
-            passed = np.zeros(len(item.exact), bool)
-            passed[same[mine, 1]] = True
-            first = int(first_at[of[mine]].min()) if mine.any() else 1 << 62
-            upper = passed.copy()
-            upper[could[could[:, 0] == k, 1]] = True
-            if self._share(item, upper) < COVERAGE:
-                continue
-            if (upper & ~passed).any():
-                p, q = self._consistent(item, at[order], h[order], e[order], own[order])
-                passed[q] = True
-                first = min(first, int(p.min())) if len(p) else first
-            share = self._share(item, passed)
-            if share >= COVERAGE:
-                out.append((item.item_id, int(passed.sum()), share, first))
-        return out
-
-    @staticmethod
-    def _share(item: _Item, passed) -> float:
-        n = len(passed)
-        share = int(passed.sum()) / n
-        if item.size == WINDOW:
-            share = max(share, int((passed & item.literal).sum()) / max(int(item.literal.sum()), min(n, WINDOW)))
-        return share
-
-    @staticmethod
-    def _consistent(item: _Item, at, h, e, own):
-        """Places (in the document, in the item) of the windows with a literal word whose slots map one to one on their
-        diagonal. ``h`` is sorted."""
+        upper = np.union1d(passed, self.open_at[more])
+        items, share, count = self._shares(upper)
+        able = items[share >= COVERAGE]
+        exact_count = np.bincount(np.searchsorted(items, self.owner[passed]), minlength=len(items))
+        open_items = items[(share >= COVERAGE) & (exact_count < count)]
+        if len(open_items):
+            order = np.argsort(h, kind="stable")
+            at, h, e, own = at[order], h[order], e[order], own[order]
+            lo, hi = (np.searchsorted(h, self.item_hash, side) if 4 * len(open_items) > len(self.ids) else None for side in ("left", "right"))
+            for group in self._groups(open_items, h, lo, hi):
+                p, w = self._consistent(group, at, h, e, own)
+                passed, place = np.concatenate([passed, w]), np.concatenate([place, p])
+        if not len(passed):
+            return []
+        order = np.lexsort((place, self.owner[passed]))
+        firsts = place[order][np.unique(self.owner[passed[order]], return_index=True)[1]]
+        items, share, count = self._shares(np.unique(passed))
+        good = (share >= COVERAGE) & np.isin(items, able)
+        return [(self.ids[k], c, s, f) for k, c, s, f in zip(items[good].tolist(), count[good].tolist(), share[good].tolist(), firsts[good].tolist(), strict=True)]
+
+    def _shares(self, windows):
+        """Of distinct windows: the items that have any, the share of each item's windows, and how many they are."""
         import numpy as np
 
-        r, of = _expand(np.searchsorted(h, item.hashes, "left"), np.searchsorted(h, item.hashes, "right"))
-        p, q = at[r], item.places[of]
-        # of diagonals with equal words at equal places the first is enough
-        order = np.lexsort((q, p - q))
-        r, p, q = r[order], p[order], q[order]
-        starts = np.flatnonzero(np.diff(p - q, prepend=np.iinfo(np.int64).min))
+        items, inverse = np.unique(self.owner[windows], return_inverse=True)
+        count = np.bincount(inverse, minlength=len(items))
+        literal = np.bincount(inverse, self.literal[windows], len(items))
+        share = np.where(self.full[items], np.maximum(count / self.n[items], literal / self.n_literal[items]), count / self.n[items])
+        return items, share, count
+
+    def _groups(self, items, h, lo, hi):
+        """``items`` in groups of about HITS hits."""
+        import numpy as np
+
+        at, of = _expand(self.of_item[items], self.of_item[items + 1])
+        if lo is None:
+            lo, hi = (np.searchsorted(h, self.item_hash[at], side) for side in ("left", "right"))
+        else:
+            lo, hi = lo[at], hi[at]
+        total = np.cumsum(np.bincount(of, hi - lo, len(items)))
+        for k in np.unique(total // HITS):
+            yield items[total // HITS == k]
+
+    def _consistent(self, items, at, h, e, own):
+        """Places in the document and windows of ``items``: those with a literal word whose slots map one to one on their diagonal.
+        ``h`` is sorted."""
+        import numpy as np
+
+        i, of = _expand(self.of_item[items], self.of_item[items + 1])
+        hashes = self.item_hash[i]
+        r, j = _expand(np.searchsorted(h, hashes, "left"), np.searchsorted(h, hashes, "right"))
+        p, q, it = at[r], self.item_place[i[j]], of[j]
+        order = np.lexsort((q, p - q, it))
+        r, p, q, it = r[order], p[order], q[order], it[order]
+        # of diagonals of an item with equal words at equal places the first is enough
+        new = np.ones(len(q), bool)
+        new[1:] = (np.diff(p - q) != 0) | (np.diff(it) != 0)
+        starts = np.flatnonzero(new)
         with np.errstate(over="ignore"):
             x = (e[r] + q.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             marks = np.add.reduceat(x ^ (x >> np.uint64(32)), starts) if len(starts) else x
+            marks = (marks ^ it[starts].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         kept = np.zeros(len(starts), bool)
         kept[np.unique(marks, return_index=True)[1]] = True
         kept = np.repeat(kept, np.diff(starts, append=len(q)))
-        r, p, q = r[kept], p[kept], q[kept]
-        k = q[:, None] + np.arange(WINDOW)
-        a, b, t = item.words[k], own[r], item.typed[k]
+        r, p, q, it, d = r[kept], p[kept], q[kept], it[kept], (np.cumsum(new) - 1)[kept]
+        k = (self.word_base[items[it]] + q)[:, None] + np.arange(WINDOW)
+        a, b, t = self.words[k], own[r], self.typed[k]
         literal = ((t >= 16) & (a == b)).any(1)
         kind = np.where(t < 16, t, np.where(a != b, NAME, 0))
-        d = np.broadcast_to((p - q)[:, None], k.shape)
         use = (kind != 0) & literal[:, None]
-        cells = [x[use] for x in (d, k, kind, a, b)]
-        wrong = np.zeros(k.shape, bool)
-        bad = np.zeros(len(cells[0]), bool)
-        for x, y in ((3, 4), (4, 3)):
-            order = np.lexsort((cells[1], cells[x], cells[2], cells[0]))
+        # each word of a diagonal once, in order
+        cell = (d[:, None] * (len(self.words) + 1) + k)[use]
+        cells, one, inverse = np.unique(cell, return_index=True, return_inverse=True)
+        line, what, x, y = cells // (len(self.words) + 1), kind[use][one], a[use][one], b[use][one]
+        bad = np.zeros(len(cells), bool)
+        for x, y in ((x, y), (y, x)):
+            order = np.lexsort((x, what, line))  # stable: the first value met leads
             new = np.zeros(len(order), bool)
             new[:1] = True
-            for c in (cells[0], cells[2], cells[x]):
+            for c in (line, what, x):
                 new[1:] |= c[order][1:] != c[order][:-1]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            bad[order] |= cells[y][order] != cells[y][order][lead]
-        wrong[use] = bad
+            bad[order] |= y[order] != y[order][lead]
+        wrong = np.zeros(k.shape, bool)
+        wrong[use] = bad[inverse]
         good = literal & ~wrong.any(1)
-        return p[good], q[good]
+        return p[good], self.base[items[it[good]]] + q[good]
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
@@ -318,34 +345,57 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield held
 
 
+def _sent(benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's parts, sent to the workers one at a time, and whether it is the last: what was made with any other has to be
+    written before the next."""
+    context, before = benchmark.sparkSession.sparkContext, None
+    for items in _parts(benchmark):
+        if before is not None:
+            yield before, False
+            before.destroy()
+        before = context.broadcast((uuid.uuid4().hex, items))
+    if before is not None:
+        yield before, True
+
+
+def _index(sent: Broadcast) -> Benchmark:
+    """The index of what was sent, built once a worker."""
+    only_memory("templates")
+    name, items = sent.value
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Benchmark(items)
+    return _indexes[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, n_windows,
     coverage, first_word. Documents without any give no row.
 
     An item of fewer than WINDOW words matches where its words stand in the text in order, whatever their case; items and
-    texts that are null or hold no word match nothing; null ids stay null; repeated rows, of either table, are reported
-    each; a very long text is read in parts; other columns play no part, whatever their names; an empty table on
-    either side gives no rows.
+    texts that are null or hold no word match nothing; ids are of any type, and null ids stay null; repeated rows, of either table, are reported
+    each, and so are items that match equally well; a very long text is read in parts; other columns play no part, whatever
+    their names; an empty table on either side gives no rows. A benchmark of more than BROADCAST_TOKENS words goes in parts, each a
+    pass over the documents whose rows are written.
     """
     d = pick(docs, "doc_id", "text")
-    kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((d, "doc_id"), (pick(benchmark, "item_id"), "item_id")))
-    schema = f"doc_id {kind}, item_id {item_kind}, n_windows long, coverage double, first_word long"
+    id_type = pick(benchmark, "item_id").schema["item_id"].dataType
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {id_type.simpleString()}, n_windows long, coverage double, first_word long"
+    arrow_id = to_arrow_type(id_type)
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _parts(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    for sent, last in _sent(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            only_memory("templates")
-            index = Benchmark(sent.value)
+            index = _index(sent)
             for b in batches:
-                found = [(i, *f) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for f in index.find(t)]
-                cols = list(zip(*found, strict=True)) or [[]] * 5
-                kinds = [b.schema.field("doc_id").type, None, pa.int64(), pa.float64(), pa.int64()]
-                if not found:
-                    kinds[1] = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "n_windows", "coverage", "first_word"])
-
-        out = out.unionByName(d.mapInArrow(run, schema))
+                held = [(i, f) for i, t in enumerate(b.column("text").to_pylist()) if t for f in index.find(t)]
+                cols = list(zip(*(f for _, f in held), strict=True)) or [[]] * 4
+                kinds = [arrow_id, pa.int64(), pa.float64(), pa.int64()]
+                ids = b.column("doc_id").take(pa.array([i for i, _ in held], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "item_id", "n_windows", "coverage", "first_word"])
+
+        found = d.mapInArrow(run, schema)
+        out = out.unionByName(found if last else cut(found, "contaminated"))
     return out
 
 
@@ -358,16 +408,15 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = f"c{names.index('text')}"
-    for items in _parts(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    for sent, last in _sent(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            only_memory("templates")
-            index = Benchmark(sent.value)
+            index = _index(sent)
             for b in batches:
                 yield b.filter(pa.array([not (t and index.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        plain = plain.mapInArrow(run, plain.schema)
+        kept = plain.mapInArrow(run, plain.schema)
+        plain = kept if last else cut(kept, "clean")
     return plain.toDF(*names)
 
 
