@@ -1,8 +1,10 @@
 """Each stage on its own input, against brute force; then the whole."""
 
-from tidemark.llm import simhash, templates
+from tidemark.llm import templates
 from tidemark.llm.common import components
 
+from test_similar import groups
+
 D = "/root/testdata/sf0.001"
 
 
@@ -17,20 +19,7 @@ def test_stages(spark):
     kept = {r["doc_id"] for r in good.collect()}
     assert sum(i in kept for i, q in labels.items() if q) >= 0.97 * sum(labels.values())
     one = p.one_of_each(spark, good, D).cache()
-    prints = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in good.collect()]
-    up = {i: i for i, _ in prints}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, a in prints:
-        for j, b in prints:
-            if i < j and (a ^ b).bit_count() <= 2 and find(i) != find(j):
-                x, y = sorted((find(i), find(j)))
-                up[y] = x
-    assert {r["doc_id"] for r in one.collect()} == {i for i, _ in prints if find(i) == i}
+    assert {r["doc_id"] for r in one.collect()} == groups([(r["doc_id"], r["text"]) for r in good.collect()])
     clean = p.without_benchmark(spark, one, D).cache()
     index = templates.Benchmark([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()])
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in one.collect() if not index.find(r["text"])}

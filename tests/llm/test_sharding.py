@@ -155,3 +155,30 @@ def test_query_against_brute_force(spark):
     least = sum(max(0, b - size[o]) for o, b in old.items())
     moved = sum(r["size"] for r in got if r["shard"] != r["old_shard"])
     assert least <= moved <= least + sharding.SHARDS * largest
+
+
+@pytest.mark.parametrize("name", ["_old_shard", "old_shard", "size", "h", "bucket", "c3", "OLD_SHARD", "part", "slot"])
+def test_clashing_columns(spark, name):
+    """The layout is the column that was named, whatever the others are called."""
+    rows = [(i, "word " * (i % 7), i % 3, 1) for i in range(120)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, k int, `{name}` int")
+    out, p = sharding.reshard(df, F.col("k"), 4, blocks=16)
+    got = out.collect()
+    assert {r["doc_id"]: r["old_shard"] for r in got} == {i: k for i, _, k, _ in rows} and len({r["shard"] for r in got}) == 4
+    assert p.moved == sum(r["size"] for r in got if r["shard"] != r["old_shard"])
+
+
+def test_many_old_shards(spark, monkeypatch):
+    """Blocks are joined where there are many shards; beyond the bounds it is an error."""
+    df = spark.createDataFrame([(i, "word " * (i % 9), i % 20 if i % 11 else None) for i in range(400)], "doc_id long, text string, k int")
+    monkeypatch.setattr(sharding, "MAX_BLOCKS", 100)
+    out, p = sharding.reshard(df, F.col("k"), 4, blocks=16)
+    assert len(p.shard) <= 100 and out.count() == 400
+    sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(sizes) - min(sizes) <= 0.1 * sum(sizes)
+    monkeypatch.setattr(sharding, "MAX_BLOCKS", 10)
+    with pytest.raises(ValueError, match="old shards"):
+        sharding.reshard(df, F.col("k"), 4, blocks=16)
+    monkeypatch.setattr(sharding, "MAX_EDGES", 10)
+    with pytest.raises(ValueError, match="edges"):
+        sharding.min_cost_flow([1] * 4, [1] * 4, lambda i, j: 0)

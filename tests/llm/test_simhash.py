@@ -76,13 +76,3 @@ def test_rows(docs):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs(rows)).collect()), key=repr)
     assert got == sorted([(5, 2), (2, 2), (9, 9), (7, 7), (8, 7), (None, 2), (5, 2), (11, 11)], key=repr)
     assert simhash.near_duplicates(docs([])).count() == 0
-
-
-def test_keep_one(docs):
-    text = "the quick brown fox jumps over the lazy dog and runs far away from here"
-    rows = [(5, text), (2, text.upper()), (2, text.upper()), (9, "something else entirely here today"), (None, None), (4, text)]
-    df = docs(rows)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 9]
-    assert simhash.keep_one(docs([])).count() == 0

@@ -59,3 +59,41 @@ def test_stage_against_brute_force(spark):
     df = spark.read.parquet(f"{d}/documents.parquet")
     want = groups([(r["doc_id"], r["text"]) for r in df.collect()])
     assert {r["doc_id"] for r in p.one_of_each(spark, df, d).collect()} == want
+
+
+def test_shards_of_many_blocks(docs):
+    """A shard is a grid of blocks: a chain of near copies, whose ends aren't alike, stays one group, and other texts stay."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(base)))
+        base = list(base)
+        base[rng.randrange(150)] = f"new{i}"
+    rows += [(100 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(80))) for i in range(40)]
+    want = groups(rows)
+    assert 100 > len(want) >= 41
+    for n in (512, 7):
+        assert {r["doc_id"] for r in similar.keep_one(docs(rows), block_points=n).collect()} == want
+
+
+def test_distances_of_fingerprints():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 63, (2, 9, 16), np.uint64)
+    want = [[sum(int(x ^ y).bit_count() for x, y in zip(r, q, strict=True)) for q in b] for r in a]
+    assert similar.differing(a, b).tolist() == want
+
+
+def test_shingles_are_sets_of_five_words():
+    text = "A b c d e f a B c d e  f g"
+    assert len(similar.shingle_set(text)) == len(plain(text)) and len(similar.shingle_set("one two")) == 1 and not len(similar.shingle_set(" \n"))
+    assert set(similar.shingle_set("x y z p q")) & set(similar.shingle_set("w x y z p q r")) and not set(similar.shingle_set("x y")) & set(similar.shingle_set("x y z"))
+    long = " ".join(f"w{i}" for i in range(5000))
+    whole = similar.shingle_set(long)
+    old, similar.PART_BYTES = similar.PART_BYTES, 100
+    try:
+        assert (similar.shingle_set(long) == whole).all()
+    finally:
+        similar.PART_BYTES = old

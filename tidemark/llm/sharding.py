@@ -1,8 +1,8 @@
 """Sharding (op 5): minimum-cost-flow resharding.
 
 A layout's documents form blocks: the documents of one old shard whose hash falls into one of
-BLOCKS buckets. Block sizes are summed by the cluster; their table is bounded by old shards times BLOCKS,
-whatever the input. On it the driver solves a transportation problem as a minimum-cost flow, where
+BLOCKS buckets, or of fewer where there are many old shards: all blocks together are MAX_BLOCKS at most, whatever the input. Block sizes are
+summed by the cluster. On it the driver solves a transportation problem as a minimum-cost flow, where
 a byte that stays costs nothing and a byte that moves costs one, from the old sizes to the new
 capacities. Blocks are then chosen to carry the flow. The plan names the shards that lose or gain any, and only these are
 rewritten: the others keep their files.
@@ -20,12 +20,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, pick, table
+from .common import cut, new_folder, pick, table
 
 SHARDS = 24
 OLD_SHARDS = 16
-#: Blocks of an old shard: with OLD_SHARDS, the bound on the table of blocks that is solved and broadcast.
-BLOCKS = 1024
+#: Blocks of an old shard, and the bound on all blocks, whose table is solved on the driver and broadcast.
+BLOCKS, MAX_BLOCKS = 1024, 1 << 16
+#: The flow's edges at most: old shards times new ones.
+MAX_EDGES = 1 << 16
 #: Bytes of text of a part of a shard, about: one task's work.
 FILE_BYTES = 64 << 20
 
@@ -36,6 +38,8 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[in
     Successive shortest paths with node potentials; costs are not negative.
     """
     m, n = len(supply), len(capacity)
+    if m * n > MAX_EDGES:
+        raise ValueError(f"{m} old shards and {n} new ones are {m * n} edges; {MAX_EDGES} are solved on the driver")
     if sum(supply) > sum(capacity):
         raise ValueError("the supply exceeds the capacity")
     s, t = m + n, m + n + 1
@@ -145,7 +149,13 @@ class Layout:
 
 
 def _sized(docs: DataFrame, old_shard: Column, blocks: int) -> DataFrame:
-    d = pick(docs.select("*", old_shard.cast("int").alias("_old_shard")), "doc_id", "text", "_old_shard").withColumnRenamed("_old_shard", "old_shard")
+    names = docs.columns
+    for n in ("doc_id", "text"):
+        if n not in names:
+            raise ValueError(f"column {n!r} is missing; there are {names}")
+    # by place: no column of the caller's, whatever its name, is taken for the shard
+    placed = docs.select("*", old_shard.cast("int")).toDF(*[f"c{i}" for i in range(len(names) + 1)])
+    d = placed.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"), F.coalesce(f"c{len(names)}", F.lit(-1)).alias("old_shard"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     d = d.withColumn("size", size).withColumn("h", F.xxhash64("doc_id", F.length("text"), F.crc32("text")))
     return d.withColumn("bucket", F.pmod("h", F.lit(blocks)).cast("int"))
@@ -190,8 +200,21 @@ def _placed(d: DataFrame, sums: list, p: Plan, file_bytes: int) -> DataFrame:
     return placed.select("doc_id", "text", "size", "old_shard", "slot", "part", "shard")
 
 
-def _summed(d: DataFrame) -> list:
-    return d.groupBy("old_shard", "bucket").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+def _summed(d: DataFrame, blocks: int) -> tuple[DataFrame, list]:
+    """``d`` with its buckets, and the blocks' bytes and rows: with buckets joined where there are so many old shards
+    that all blocks would be more than MAX_BLOCKS."""
+    sums = d.groupBy("old_shard", "bucket").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    sums = cut(sums, "blocks")
+    olds = sums.select("old_shard").distinct().count()
+    if olds > MAX_BLOCKS:
+        raise ValueError(f"{olds} old shards; {MAX_BLOCKS} blocks are planned on the driver")
+    fewer = blocks
+    while fewer > 1 and olds * fewer > MAX_BLOCKS:
+        fewer = next(n for n in range(fewer - 1, 0, -1) if blocks % n == 0)  # a divisor, so that buckets stay whole
+    bucket = F.pmod("bucket", F.lit(fewer)).cast("int")
+    if fewer < blocks:
+        d, sums = d.withColumn("bucket", bucket), sums.groupBy("old_shard", bucket.alias("bucket")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    return d, sums.collect()
 
 
 def reshard(docs: DataFrame, old_shard: Column, n_new: int = SHARDS, blocks: int = BLOCKS, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, Plan]:
@@ -203,12 +226,12 @@ def reshard(docs: DataFrame, old_shard: Column, n_new: int = SHARDS, blocks: int
 
     The law is ``bytes`` alone: equal texts form no groups that would have to stay together. doc_id and text may be null or
     repeat: a row's block and part hang on both, so that only rows equal in both share a part whatever their number (ties in
-    slots fall to any of them). A very long text is one row of its part. Other columns play no part, whatever their names. An
-    empty table gives no rows.
+    slots fall to any of them). A null shard is shard -1. A very long text is one row of its part. Other columns play no part, whatever
+    their names. An empty table gives no rows. More old shards than MAX_BLOCKS, or than MAX_EDGES allows for ``n_new``, are an error.
     """
     spark = docs.sparkSession
     d = _sized(docs, old_shard, blocks)
-    sums = _summed(d)
+    d, sums = _summed(d, blocks)
     p = plan([(r["old_shard"], r["bucket"], r["b"]) for r in sums], n_new)
     folder = new_folder(spark, "shards")
     written = _placed(d, sums, p, file_bytes)
@@ -226,7 +249,7 @@ def write_layout(docs: DataFrame, shard: Column, blocks: int = BLOCKS, file_byte
     """``docs`` (doc_id, text) written as the layout that the column ``shard`` names, a folder a shard."""
     spark = docs.sparkSession
     d = _sized(docs, shard, blocks)
-    sums = _summed(d)
+    d, sums = _summed(d, blocks)
     p = Plan({(r["old_shard"], r["bucket"]): r["old_shard"] for r in sums}, 0, {r["old_shard"] for r in sums})
     folder = new_folder(spark, "layout")
     _placed(d, sums, p, file_bytes).write.partitionBy("shard").parquet(folder)
@@ -237,7 +260,7 @@ def reshard_files(spark: SparkSession, layout: Layout, n_new: int = SHARDS, bloc
     """The layout in ``n_new`` shards: shards that change are written to a new folder, the others keep their files."""
     old = layout.rows(spark)
     d = _sized(old, F.col("shard"), blocks)
-    sums = _summed(d)
+    d, sums = _summed(d, blocks)
     p = plan([(r["old_shard"], r["bucket"], r["b"]) for r in sums], n_new)
     folder = new_folder(spark, "layout")
     if p.changed:

@@ -12,14 +12,13 @@ returns a spanning forest of the links it finds, no list of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import components, cut, only_memory, pick, table
 
@@ -126,19 +125,6 @@ class BkTree:
             todo += self._edges(at, d - radius, d + radius)
         return found
 
-    def nearest(self, point: int, radius: int, accept: Callable[[int], bool]) -> int | None:
-        """The nearest accepted point within ``radius``; the radius shrinks to what has been found."""
-        best, todo = None, [self.root] if self.root is not None else []
-        while todo:
-            at = todo.pop()
-            d = (at ^ point).bit_count()
-            if d <= radius and accept(at):
-                best, radius = at, d - 1
-                if radius < 0:
-                    break
-            todo += self._edges(at, d - radius, d + radius)
-        return best
-
 
 class Forest:
     """Union-find that keeps the links which joined two sets."""
@@ -214,38 +200,15 @@ def labelled(prints: DataFrame, radius: int = RADIUS, tree_points: int = TREE_PO
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_points: int = TREE_POINTS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have fingerprint zero and are linked like any other; a null doc_id stays
+    Null and empty texts have fingerprint zero and are linked like any other; a very long text is hashed in parts of
+    PART_BYTES, to the same fingerprint; a bit that is set in exactly half of the shingles is 0; a null doc_id stays
     null and names a component only if nothing else can; repeated rows come back as often;
-    other columns play no part; an empty table gives no rows.
+    other columns play no part, whatever their names; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs), "fingerprints")
     ids = labelled(prints, radius, tree_points)
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, tree_points: int = TREE_POINTS) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest doc_id (null last; ties: the
-    smallest fingerprint; rows that repeat both: one of them). All columns of ``docs`` stay, whatever their names; null and
-    empty texts are one group; an empty table gives no rows."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at_id, at_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    out = StructType([*plain.schema.fields, StructField("fp", LongType())])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = [_signed(fingerprint(t)) if t else 0 for t in b.column(at_text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "fp"])
-
-    # rows are told apart by a number that is written with them, so that texts are shuffled once and by a key without repeats
-    full = cut(plain.mapInArrow(add, out).withColumn("uid", F.monotonically_increasing_id()), "printed")
-    prints = full.select(F.col(at_id).alias("doc_id"), "fp", "uid")
-    ids = labelled(prints, radius, tree_points)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "uid")).alias("r")
-    # the least row of each fingerprint is found before the join, so that a hot fingerprint is summed where it is read
-    rep = prints.groupBy("fp").agg(first).join(ids, "fp").groupBy("component_id").agg(F.min("r").alias("r"))
-    return full.join(rep.select("r.uid"), "uid", "left_semi").drop("fp", "uid").toDF(*names)
-
-
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
