@@ -5,73 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.text import normalize_name
 from ..functions.url import canonical_domain
 from .graph import components
+from .names import indel_ratio, name_pairs
 
-
-def indel_ratio(a: str, b: str) -> float:
-    """2 LCS / (|a| + |b|) in percent, by bit-parallel longest common subsequence."""
-    if not a or not b:
-        return 0.0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for c in b:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    lcs = len(a) - s.bit_count()
-    return 200.0 * lcs / (len(a) + len(b))
-
-
-@F.pandas_udf(DoubleType())
-def name_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([100.0 if x == y and x else indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-def name_pairs(names: DataFrame, threshold: float = 92.0, normalized: bool = False) -> DataFrame:
-    """Pairs (a, b, score) of distinct normalized names whose ratio reaches ``threshold`` (at least 67), with no country in conflict.
-
-    ``names``: id, name, country. Names are one point per normalized form and country. Two names that are
-    alike enough differ in few characters, so they share one of the pieces that each is cut into (a
-    name of length n with at most e edits, cut into e + 1 pieces, keeps one piece whole, moved by at most e places):
-    the join is on (piece, place), exact, and never of all pairs. Equal names link by a star to the smallest id. ``normalized``: the names are in that form.
-    """
-    norm = names.select("id", (F.col("name") if normalized else normalize_name(F.col("name"))).alias("n"), F.coalesce("country", F.lit("")).alias("c")).where("n <> ''")
-    points = norm.groupBy("n", "c").agg(F.min("id").alias("id"))
-    share = 1 - threshold / 100
-    # of a pair the shorter name a has |b| <= |a| * (1 + share) / (1 - share), and at most e insertions and deletions
-    length = F.length("n")
-    most = F.floor(length * (2 * share / (1 - share)) + 1e-9).cast("int")
-    grid = points.withColumn("e", most).withColumn("step", F.greatest(F.lit(1), F.floor(length / (F.col("e") + 1)).cast("int")))
-    pieces = grid.select("n", "c", "id", "e", "step", F.explode(F.sequence(F.lit(0), F.least(F.col("e"), length - 1))).alias("i"))
-    pieces = pieces.select(F.col("n").alias("a"), F.col("c").alias("ca"), F.col("id").alias("ida"), F.length("n").alias("la"), "e", F.col("i") * F.col("step") + 1)
-    pieces = pieces.toDF("a", "ca", "ida", "la", "e", "at").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("la") / (F.col("e") + 1)).cast("int")))
-    pieces = pieces.withColumn("piece", F.substring(F.col("a"), F.col("at"), F.col("step")))
-    probes = pieces.select("a", "ca", "ida", "la", "e", "step", "piece", "at")
-    sizes = probes.select("la", "step").distinct()
-    # the longer side lists its substrings of the lengths that shorter names cut themselves into
-    longer = points.select(F.col("n").alias("b"), F.col("c").alias("cb"), F.col("id").alias("idb"), F.length("n").alias("lb"))
-    reach = F.broadcast(sizes)  # at most one row per name length
-    listed = longer.join(reach, (F.col("lb") >= F.col("la")) & (F.col("lb") <= F.floor(F.col("la") * (1 + share) / (1 - share) + 1e-9)))
-    listed = listed.select("b", "cb", "idb", "lb", "la", "step", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("lb") - F.col("step") + 1))).alias("pos"))
-    listed = listed.withColumn("piece", F.substring(F.col("b"), F.col("pos"), F.col("step")))
-    joined = probes.join(listed, ["la", "step", "piece"]).where(F.abs(F.col("at") - F.col("pos")) <= F.col("e"))
-    guard = (F.col("ca") == "") | (F.col("cb") == "") | (F.col("ca") == F.col("cb"))
-    pairs = joined.where(guard & ((F.col("a") != F.col("b")) | (F.col("ca") != F.col("cb")))).select(F.least("ida", "idb").alias("a_id"),
-        F.greatest("ida", "idb").alias("b_id"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    scored = pairs.withColumn("score", name_similarity("x", "y")).where(F.col("score") >= threshold).select("a_id", "b_id", "score")
-    first = norm.join(points.select("n", "c", F.col("id").alias("first")), ["n", "c"]).where(F.col("id") != F.col("first"))
-    return scored.unionByName(first.select(F.col("first").alias("a_id"), F.col("id").alias("b_id"), F.lit(100.0).alias("score")))
+__all__ = ["claimed_domain", "entity_clusters", "indel_ratio", "name_pairs", "resolve", "vector_neighbors", "within_two_edits"]
 
 
 def claimed_domain(candidates: DataFrame) -> DataFrame:
