@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,32 @@ __all__ = ["MEMORIES", "byte_batches", "components", "cut", "drop_folder", "new_
 MEMORIES: dict[str, Callable[[], None]] = {}
 
 
+#: Whose memory this worker holds.
+_holder: list[str] = [""]
+#: Rows of one Arrow batch at most, unless the session says otherwise: batches are counted in rows, and texts are long.
+BATCH_ROWS = 2_500
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def only_memory(name: str) -> None:
-    """Called as a task begins: workers outlive their tasks, so what other operators left in this one is forgotten, and a worker
-    holds one operator's memory however many stages it serves."""
+    """Called as a task begins: workers outlive their tasks, so what other operators left in this one is forgotten and given back, and a
+    worker holds one operator's memory however many stages it serves."""
+    if _holder[0] == name:
+        return
+    _holder[0] = name
     for other, forget in MEMORIES.items():
         if other != name:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows in this session, if it has Spark's default."""
+    if spark.conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -44,6 +68,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns ``names``, found by exact name; other columns, also those whose names differ
     only in case or clash with ours, play no part."""
     ship(df.sparkSession)
+    short_batches(df.sparkSession)
     have = df.columns
     at = []
     for n in names:
@@ -56,6 +81,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
