@@ -1046,4 +1046,4 @@ def job_completion(s, d):
     return details.complete(j, j.select("job_id", F.lit("w1").alias("lease_owner")))
 
 
-from . import catalogue_reads, catalogue_sources  # noqa: E402, F401  they register their queries here
+from . import catalogue_reads, catalogue_search, catalogue_sources  # noqa: E402, F401  they register their queries here
