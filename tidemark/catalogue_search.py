@@ -1,11 +1,11 @@
-"""Registered queries over indexes: texts by tokens."""
+"""Registered queries over indexes: texts by tokens, vectors by angles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .catalogue import query, r4
-from .operators import search
+from .operators import nearest, search
 from .plans import bindings as B
 
 _TOKENS = r"""tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -38,3 +38,14 @@ def phrase_search(s, d):
     runs = asked.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3))).alias("o"))
     runs = runs.select((F.col("item_id") * 1000 + F.col("o")).alias("q"), F.array_join(F.slice("w", F.col("o"), F.lit(3)), " ").alias("text"))
     return search.phrases(_index(s, d), runs)
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings UNION ALL
+    SELECT vec_id + 1000000000, list_concat(list_transform(CAST(embedding AS DOUBLE[])[:4], lambda x: -x), CAST(embedding AS DOUBLE[])[5:]) FROM embeddings)
+  SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.88""")
+def vector_search(s, d):
+    """The rung by vectors through an index: every vector and a copy with four components turned. Queries are the rows whose id is divisible by 20."""
+    e = B.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.concat(F.transform(F.slice("embedding", 1, 4), lambda x: -x), F.slice("embedding", 5, F.greatest(F.size("embedding") - 4, F.lit(0))))
+    v = e.unionByName(e.select((F.col("id") + 1_000_000_000).alias("id"), turned.alias("embedding")))
+    return nearest.within(nearest.build(v), v.where(F.col("id") % 20 == 0), 0.88).withColumn("cosine", r4("cosine"))
