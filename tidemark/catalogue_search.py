@@ -1,10 +1,11 @@
-"""Registered queries over indexes: texts by tokens, vectors by angles."""
+"""Registered queries over indexes (texts by tokens, vectors by angles), and lookups in rule tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .catalogue import query, r4
+from .functions import suffix
 from .operators import nearest, search
 from .plans import bindings as B
 
@@ -49,3 +50,33 @@ def vector_search(s, d):
     turned = F.concat(F.transform(F.slice("embedding", 1, 4), lambda x: -x), F.slice("embedding", 5, F.greatest(F.size("embedding") - 4, F.lit(0))))
     v = e.unionByName(e.select((F.col("id") + 1_000_000_000).alias("id"), turned.alias("embedding")))
     return nearest.within(nearest.build(v), v.where(F.col("id") % 20 == 0), 0.88).withColumn("cosine", r4("cosine"))
+
+
+#: Hosts planted in pages: as they stand in the link, in letters, and how many labels of the end are a suffix.
+_HOSTS = [
+    ("Shop.Example.CO.UK", "shop.example.co.uk"), ("example.com", "example.com"), ("co.uk", "co.uk"), ("a.b.c.ck", "a.b.c.ck"), ("x.www.ck", "x.www.ck"), ("www.ck", "www.ck"), ("b.ck", "b.ck"),
+    ("www.city.kawasaki.jp", "www.city.kawasaki.jp"), ("p.q.kawasaki.jp", "p.q.kawasaki.jp"), ("xn--bcher-kva.example.com", "bücher.example.com"), ("mail.xn--mnchen-3ya.com.bd", "mail.münchen.com.bd"),
+    ("www.xn--e1afmkfd.xn--p1ai", "www.пример.рф"), ("пример.рф", "пример.рф"), ("xn--55qx5d.cn", "公司.cn"), ("a.xn--55qx5d.cn", "a.公司.cn"), ("xn--99999999999.io", "xn--99999999999.io"), ("10.0.0.1", "10.0.0.1"), ("localhost", "localhost"),
+]
+_HOST_OF = "element_at(array(" + ", ".join(f"'{h}'" for h, _ in _HOSTS) + f"), cast(page_id % {len(_HOSTS)} AS INT) + 1)"
+
+
+def _suffix_sql() -> str:
+    rules = suffix.Rules.of(suffix.RULES)
+    kinds = [("exact", 0, rules.exact), ("wild", 1, rules.wild), ("exempt", -1, rules.exempt)]
+    listed = ", ".join(f"('{kind}', '{x}', {k + more})" for kind, more, held in kinds for k, own in sorted(held.items()) for x in sorted(own))
+    hosts = ", ".join(f"({i}, '{h}')" for i, (_, h) in enumerate(_HOSTS))
+    return f"""WITH rules(kind, suffix, labels) AS (VALUES {listed}), hosts(i, host) AS (VALUES {hosts}),
+  p AS (SELECT page_id, host, string_split(host, '.') AS l FROM pages JOIN hosts ON i = page_id % {len(_HOSTS)}),
+  ends AS (SELECT page_id, k, array_to_string(l[-k:], '.') AS tail, len(l) AS n FROM p, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k)),
+  best AS (SELECT page_id, coalesce(max(labels) FILTER (kind = 'exempt'), max(labels) FILTER (kind <> 'exempt')) AS labels FROM (
+    SELECT page_id, kind, labels FROM ends JOIN rules ON suffix = tail AND labels <= n UNION ALL SELECT page_id, 'any', 1 FROM p) GROUP BY page_id)
+  SELECT page_id, CASE WHEN len(l) > labels AND NOT regexp_matches(host, '^[0-9.]+$') THEN array_to_string(l[-(labels + 1):], '.') END AS domain FROM p JOIN best USING (page_id)"""
+
+
+@query(_suffix_sql())
+def registered_domains(s, d):
+    """The registrable domain of the link that each page holds, in letters."""
+    planted = F.concat("html", F.lit('<a class="home" href="https://user@'), F.expr(_HOST_OF), F.lit(':8443/about?x=1">home</a>'))
+    link = F.regexp_extract(planted, '<a class="home" href="([^"]*)"', 1)
+    return B.read(s, d, "pages").select("page_id", suffix.registered_domain(link).alias("domain"))
