@@ -13,8 +13,7 @@ returns a spanning forest of the links it finds, no list of pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-from itertools import combinations
+from itertools import combinations, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +34,7 @@ def shingles(text: str, size: int = 3) -> Iterator:
     import numpy as np
     import xxhash
 
-    hash_of = partial(xxhash.xxh64_intdigest, seed=42)
+    hash_of = xxhash.xxh64_intdigest
     raw = text.encode("utf-8", "surrogatepass").lower()
     n, carry, start = 0, [], 0
     while True:
@@ -47,10 +46,10 @@ def shingles(text: str, size: int = 3) -> Iterator:
         last = end >= len(raw)
         count = len(words) - size + 1
         if count > 0:
-            yield np.fromiter(map(hash_of, map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))), np.uint64, count)
+            yield np.fromiter(map(hash_of, map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)), repeat(42)), np.uint64, count)
             n += count
         elif last and n == 0 and words:
-            yield np.array([hash_of(b" ".join(words))], np.uint64)
+            yield np.array([hash_of(b" ".join(words), 42)], np.uint64)
         if last:
             return
         carry, start = words[max(0, count) :], end
