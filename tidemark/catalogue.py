@@ -311,10 +311,22 @@ def critic_trigger_rates(s, d):
     return critic.trigger_rates(B.companies(s, d), B.triggers(s, d), B.feedback(s, d)).select("code", "judged", "good", r4("rate").alias("rate"), "proposal")
 
 
+@query(f"""WITH judged AS (SELECT k, NOT bool_or(code = '{B.CODES[0]}') AS good FROM triggers WHERE active GROUP BY k HAVING k IN (SELECT k FROM companies)), corpus AS (SELECT avg(good::INT) AS c FROM judged),
+  x AS (SELECT code, j.k, good FROM judged j JOIN (SELECT DISTINCT k, code FROM triggers WHERE active) t ON t.k = j.k),
+  made AS (SELECT code, CASE WHEN avg(good::INT) < 0.6 * c THEN 'lower' WHEN avg(good::INT) > 0.8 AND avg(good::INT) > 1.4 * c THEN 'raise' END AS proposal FROM x, corpus GROUP BY code, c HAVING count(*) >= 4)
+  SELECT code, proposal, k, good FROM x JOIN made USING (code) WHERE proposal IS NOT NULL""")
+def critic_cited_leads(s, d):
+    """Leads are judged by whether they carry the first code."""
+    t = B.triggers(s, d)
+    verdict = F.when(F.bool_or(F.col("code") == B.CODES[0]), "bad").otherwise("good")
+    return critic.cited_leads(B.companies(s, d), t, t.where("active").groupBy("k").agg(verdict.alias("verdict")))
+
+
 @query(f"""WITH t AS (SELECT count(*) AS total FROM leads), p AS (SELECT name, count(*) AS n, sum(c) AS cost,
     count(*) FILTER (WHERE {_tier(_final("raw - c"))} <> tier) AS promoted FROM {_pen} WHERE c < 0 GROUP BY name)
-  SELECT name, n, promoted, round(n / total, 4) AS incidence, CASE WHEN n / total >= 0.85 THEN 'constant_offset'
-  WHEN promoted / total >= 0.10 AND n / total >= 0.40 THEN 'held_back' WHEN abs(cost / n) >= 0.40 * 60 THEN 'double_charged' END AS proposal FROM p, t""")
+  , r AS (SELECT name, n, promoted, round(n / total, 4) AS incidence, CASE WHEN n / total >= 0.85 THEN 'constant_offset' WHEN promoted / total >= 0.10 AND n / total >= 0.40 THEN 'held_back' END AS offset_,
+    CASE WHEN abs(cost / n) >= 0.40 * 60 THEN 'double_charged' END AS double_ FROM p, t)
+  SELECT name, n, promoted, incidence, offset_ AS proposal FROM r WHERE offset_ IS NOT NULL OR double_ IS NULL UNION ALL SELECT name, n, promoted, incidence, double_ FROM r WHERE double_ IS NOT NULL""")
 def critic_penalties(s, d):
     return critic.penalty_proposals(leads(s, d)).select("name", "n", "promoted", r4("incidence").alias("incidence"), "proposal")
 

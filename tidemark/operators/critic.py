@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COMPONENTS, PENALTIES
+from ..config import COMPONENTS, PENALTIES, TRIGGERS
 from .diagnose import FLOOR, component_stats, penalty_stats, template_yield
 
 CONSTANT, HELD_BACK, HELD_INCIDENCE, DOUBLE = 0.85, 0.10, 0.40, 0.40
@@ -18,10 +18,14 @@ def lead_verdicts(feedback: DataFrame) -> DataFrame:
     return f.agg((~F.bool_or(F.col("verdict") == "bad")).alias("good"))
 
 
+def _weighted_codes(triggers: DataFrame) -> DataFrame:
+    return triggers.where(F.col("active") & F.col("code").isin(*TRIGGERS)).select("k", "code").distinct()
+
+
 def trigger_rates(leads: DataFrame, triggers: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Per trigger code: judged and good leads, its rate, the corpus' rate, and lower or raise."""
+    """Per trigger code that has a weight: judged and good leads, its rate, the corpus' rate, and lower or raise."""
     judged = lead_verdicts(feedback).join(leads.select("k"), "k")
-    codes = triggers.where("active").select("k", "code").distinct()
+    codes = _weighted_codes(triggers)
     rate = judged.agg(F.avg(F.col("good").cast("double")).alias("corpus"))
     out = judged.join(codes, "k").groupBy("code").agg(F.count("*").alias("judged"), F.count_if("good").alias("good")).where(F.col("judged") >= LEAST_JUDGED)
     out = out.withColumn("rate", F.col("good") / F.col("judged")).crossJoin(F.broadcast(rate))  # the one row of the corpus' rate
@@ -29,14 +33,22 @@ def trigger_rates(leads: DataFrame, triggers: DataFrame, feedback: DataFrame) ->
     return out.withColumn("proposal", verdict)
 
 
+def cited_leads(leads: DataFrame, triggers: DataFrame, feedback: DataFrame) -> DataFrame:
+    """What a proposal on a trigger rests on, a row each: code, proposal, and the judged leads (k, good) that carry the code."""
+    made = trigger_rates(leads, triggers, feedback).where("proposal IS NOT NULL").select("code", "proposal")  # a row a code at most
+    judged = lead_verdicts(feedback).join(leads.select("k"), "k")
+    return judged.join(_weighted_codes(triggers).join(F.broadcast(made), "code"), "k").select("code", "proposal", "k", "good")
+
+
 def penalty_proposals(leads: DataFrame) -> DataFrame:
-    """Penalties that are a constant offset, hold many back, or cost over 40 % of the room above the floor."""
+    """Penalties with their proposals, a row a rule that holds: constant offset; else held back, where they hold many back; and, whatever
+    else holds, double charged, where they cost over 40 % of the room above the floor. A penalty without any has one row of none."""
     total = leads.agg(F.count("*").alias("total"))
     p = penalty_stats(leads).where(F.col("name").isin(*PENALTIES)).crossJoin(F.broadcast(total))
     share, lifted = F.col("n") / F.col("total"), F.col("promoted") / F.col("total")
-    kind: Column = F.when(share >= CONSTANT, "constant_offset").when((lifted >= HELD_BACK) & (share >= HELD_INCIDENCE),
-        "held_back").when(F.abs(F.col("cost") / F.col("n")) >= DOUBLE * (100 - FLOOR), "double_charged")
-    return p.withColumn("incidence", share).withColumn("proposal", kind)
+    offset: Column = F.when(share >= CONSTANT, "constant_offset").when((lifted >= HELD_BACK) & (share >= HELD_INCIDENCE), "held_back")
+    double = F.when(F.abs(F.col("cost") / F.col("n")) >= DOUBLE * (100 - FLOOR), "double_charged")
+    return p.withColumn("incidence", share).withColumn("proposal", F.explode_outer(F.array_compact(F.array(offset, double))))
 
 
 def template_proposals(companies: DataFrame, leads: DataFrame, weights: DataFrame) -> DataFrame:

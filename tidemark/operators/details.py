@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..config import BAND_TO_MAX, COMPONENTS, PAGE_CHARS, TIERS, TRIGGERS
 from ..functions import email, text
 from ..functions.binding import let
 from ..functions.dates import to_iso
+from .graph import cut
 
 MAX_QUOTES = 2
 CARD_PROTECTED = ("📎", "⚖️")
@@ -60,17 +63,25 @@ def stored_codes(codes: Column, targets: Column) -> Column:
 
 def site_pages(pages: DataFrame) -> DataFrame:
     """Of each domain's pages (domain, rank, html), in rank order: read up to the first with an address (the root page, rank 0,
-    is always read), and up to the first that mirrors an earlier one."""
-    p = pages.withColumn("mails", email.mailto_emails(F.col("html"))).withColumn("sha", F.sha2("html", 256))
-    by = Window.partitionBy("domain").orderBy("rank")
-    p = p.withColumn("again", F.row_number().over(Window.partitionBy("domain", "sha").orderBy("rank")) > 1)
-    had = F.coalesce(F.max((F.size("mails") > 0).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    stop = F.max(F.when(F.col("again") | (had & (F.col("rank") > 0)), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("stop", stop).where("stop = 0").select("domain", "rank", "html", "mails")
+    is always read), and up to the first that mirrors an earlier one. A domain's ranks are unique.
+
+    Where a domain stops is found from digests alone, by minima with partial aggregation; the pages themselves meet one row a domain.
+    """
+    p = pages.withColumn("mails", email.mailto_emails(F.col("html")))
+    seen = cut(p.select("domain", "rank", F.sha2("html", 256).alias("sha"), (F.size("mails") > 0).alias("has")), "seen")
+    first = seen.groupBy("domain", "sha").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = lambda x, y, *names: reduce(Column.__and__, [F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names])
+    again = seen.alias("s").join(first.alias("f"), same("s", "f", "domain", "sha")).where("s.rank > f.first").groupBy("s.domain").agg(F.min("s.rank").alias("again"))
+    mailed = seen.where("has").groupBy("domain").agg(F.min("rank").alias("mailed"))
+    stop = again.unionByName(mailed, allowMissingColumns=True).groupBy("domain").agg(F.min("again").alias("again"), F.min("mailed").alias("mailed"))
+    held = p.alias("p").join(cut(stop, "stops").alias("t"), same("p", "t", "domain"), "left")
+    later = lambda c: F.coalesce(c, F.lit(False))
+    stopped = later(F.col("rank") >= F.col("again")) | later((F.col("rank") > F.col("mailed")) & (F.col("rank") > 0))
+    return held.where(~stopped).select("p.domain", "rank", "html", "mails")
 
 
 def site_findings(pages: DataFrame) -> DataFrame:
-    """Text and addresses of each domain's pages."""
+    """Text and addresses of each domain's pages. Ranks are places in a list of paths, so that a domain has few."""
     g = site_pages(pages).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("rank", text.cut_prose(text.html_text(F.col("html")), 8000).alias("t"),
         "mails"))).alias("x"))
     return g.select("domain", F.array_join(F.transform("x", lambda v: v["t"]), "\n").alias("text"),
