@@ -948,25 +948,6 @@ def dns_hygiene_gaps(s, d):
     return B.companies(s, d).select("k", F.when(gaps.isNotNull(), F.concat_ws(";", gaps)).alias("gaps"))
 
 
-_tpl = "(SELECT * FROM (VALUES ('a', false, 96), ('b', false, 92), ('c', true, 90), ('d', true, 80), ('e', true, 70), ('f', false, 35)) AS t(template, costed, weight))"
-
-
-def _templates(s):
-    rows = [("a", False, 96, ["T3_HIRING_SEC", "T4_HIRING_AI_ONLY"]), ("b", False, 92, ["T4_HIRING_AI_ONLY"]), ("c", True, 90, ["T1_AI_SHIP"]),
-        ("d", True, 80, ["T1_AI_SHIP"]), ("e", True, 70, ["T9_MARKETPLACE"]), ("f", False, 35, ["T2_FUNDING"])]
-    return s.createDataFrame(rows, "template string, costed boolean, weight int, targets array<string>")
-
-
-@query(f"SELECT template, costed, weight FROM (SELECT *, row_number() OVER (PARTITION BY costed ORDER BY weight DESC, template) AS r FROM {_tpl} WHERE template <> 'b') WHERE NOT costed OR r <= 2")
-def scout_plan(s, d):
-    return planning.plan(_templates(s), s.createDataFrame([("b",)], "template string")).select("template", "costed", "weight")
-
-
-@query("SELECT * FROM (VALUES ('T3_HIRING_SEC', 'a'), ('T4_HIRING_AI_ONLY', 'a,b'), ('T1_AI_SHIP', 'c,d'), ('T9_MARKETPLACE', 'e'), ('T2_FUNDING', 'f')) AS t(code, templates)")
-def template_coverage(s, d):
-    return planning.coverage(_templates(s))
-
-
 @query(f"""SELECT c.k, c.domain, CASE WHEN l.scored_at IS NULL OR n.newest > l.scored_at THEN 'news' WHEN l.v THEN 'calibration' ELSE 'prose' END AS reason
     FROM companies c JOIN (SELECT k, max(observed_at) AS newest FROM triggers WHERE active GROUP BY k) n ON n.k = c.k
   LEFT JOIN (SELECT k, {NOW} - to_days(CAST(k % 60 AS INT)) AS scored_at, k % 4 = 1 AS v, k % 3 = 0 AS p
