@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, r4
 from .functions import suffix
-from .operators import nearest, search
+from .operators import latency, nearest, search
 from .plans import bindings as B
 
 _TOKENS = r"""tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -80,3 +80,25 @@ def registered_domains(s, d):
     planted = F.concat("html", F.lit('<a class="home" href="https://user@'), F.expr(_HOST_OF), F.lit(':8443/about?x=1">home</a>'))
     link = F.regexp_extract(planted, '<a class="home" href="([^"]*)"', 1)
     return B.read(s, d, "pages").select("page_id", suffix.registered_domain(link).alias("domain"))
+
+
+def _calls(s, d):
+    e = B.read(s, d, "events")
+    return e.select(F.col("event_type").alias("stage"), F.col("ts").alias("at"), F.col("value").alias("seconds"), (F.col("event_id") % 9 != 0).alias("ok"), (F.col("user_id") % 3 == 0).alias("hit"))
+
+
+@query("""SELECT event_type AS stage, CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, count(*) AS n, round(avg(CASE WHEN event_id % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS error_rate,
+  round(avg(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL""")
+def stage_latency(s, d):
+    """By stage and day, from sketches by hour."""
+    hours = latency.rollup(_calls(s, d))
+    days = latency.over(hours, "stage", F.date_format("hour", "yyyy-MM-dd").alias("day"))
+    return days.withColumns({"error_rate": r4("error_rate", 6), "hit_rate": r4("hit_rate", 6)})
+
+
+@query("""WITH h AS (SELECT DISTINCT event_type AS stage, date_trunc('hour', ts) AS until FROM events)
+  SELECT stage, strftime(until, '%Y-%m-%d %H') AS until, count(*) AS n, quantile_disc(value, 0.95) AS p95 FROM h JOIN events ON event_type = stage AND ts < until + INTERVAL 1 HOUR AND ts >= until - INTERVAL 5 HOUR GROUP BY ALL""")
+def trailing_latency(s, d):
+    """The six hours up to each hour that a stage has."""
+    t = latency.trailing(latency.rollup(_calls(s, d)), 6, (0.95,))
+    return t.select("stage", F.date_format("until", "yyyy-MM-dd HH").alias("until"), "n", "p95")
