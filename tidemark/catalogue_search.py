@@ -1,4 +1,4 @@
-"""Registered queries over indexes (texts by tokens, vectors by angles), and lookups in rule tables."""
+"""Registered queries over indexes (texts by tokens, vectors by angles), lookups in rule tables, sketches, and what held when."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, r4
 from .functions import suffix
-from .operators import latency, nearest, search
+from .operators import history, latency, nearest, scoring, search
 from .plans import bindings as B
 
 _TOKENS = r"""tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -102,3 +102,39 @@ def trailing_latency(s, d):
     """The six hours up to each hour that a stage has."""
     t = latency.trailing(latency.rollup(_calls(s, d)), 6, (0.95,))
     return t.select("stage", F.date_format("until", "yyyy-MM-dd HH").alias("until"), "n", "p95")
+
+
+_changes = """SELECT k, told, max_by(value, event_id) AS value FROM (SELECT event_id, user_id * 7 + event_id % 7 AS k, ts AS told, CASE WHEN value > 75 THEN 'A' WHEN value > 50 THEN 'B' WHEN value > 25 THEN 'C' ELSE 'REJECT' END AS value
+    FROM events WHERE event_type IN ('view', 'click')) GROUP BY k, told"""
+
+
+def _scored(s, d):
+    """Each view or click of a lead as a new score."""
+    e, v = B.read(s, d, "events").where(F.col("event_type").isin("view", "click")), F.col("value")
+    tier = F.when(v > 75, "A").when(v > 50, "B").when(v > 25, "C").otherwise("REJECT")
+    return history.latest_at_once(e.select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("k"), F.col("ts").alias("at"), tier.alias("value"), "event_id"), "event_id")
+
+
+@query(f"""WITH c AS ({_changes}) SELECT e.event_id, c.value AS tier FROM (SELECT event_id, user_id * 7 + event_id % 7 AS k, ts AS told FROM events) e ASOF LEFT JOIN c ON e.k = c.k AND e.told >= c.told""")
+def tier_as_of(s, d):
+    """The tier that a lead had at each of its events."""
+    e = B.read(s, d, "events").select("event_id", (F.col("user_id") * 7 + F.col("event_id") % 7).alias("k"), F.col("ts").alias("at"))
+    return history.as_of(e, _scored(s, d), "tier").select("event_id", "tier")
+
+
+@query(f"""WITH c AS ({_changes}), n AS (SELECT k, told, value, lag(value) OVER w AS before, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY k ORDER BY told))
+  SELECT k, value, strftime(told, '%Y-%m-%d %H:%M:%S') AS from_at, strftime(lead(told) OVER (PARTITION BY k ORDER BY told), '%Y-%m-%d %H:%M:%S') AS to_at FROM n WHERE r = 1 OR before <> value""")
+def tier_intervals(s, d):
+    x = history.intervals(_scored(s, d))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return x.select("k", "value", iso("from_at"), iso("to_at"))
+
+
+@query(f"""WITH c AS ({_changes}), f AS (SELECT k, min(dispatched_at) AS told FROM dispatches GROUP BY k), t AS (SELECT f.k, c.value AS before FROM f ASOF LEFT JOIN c ON f.k = c.k AND f.told >= c.told),
+  n AS (SELECT k, max_by(value, told) AS now FROM c GROUP BY k), r AS (SELECT t.k, before, now, CASE before WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'REJECT' THEN 4 END AS i,
+    CASE now WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'REJECT' THEN 4 END AS j, t.k NOT IN (SELECT k FROM live) AS archived FROM t LEFT JOIN n ON n.k = t.k)
+  SELECT k, before AS "then", now, coalesce(j > i, false) AS demoted, archived, coalesce(j < i, false) AND NOT archived AS resend FROM r""")
+def dispatched_tiers(s, d):
+    """Leads that were sent: their tier then and now, which fell, which have no live trigger left."""
+    sent = B.dispatches(s, d).select("k", F.col("dispatched_at").alias("at"))
+    return history.dispatched_tiers(sent, _scored(s, d), scoring.live_triggers(B.triggers(s, d), B.as_of())).drop("at")
