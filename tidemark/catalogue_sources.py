@@ -12,8 +12,10 @@ from .catalogue import _html_sql, query, ts
 from .catalogue_reads import _events, pick_of
 from .functions import email, markup, rules, text, url
 from .operators import details
+from .operators.graph import new_folder
 from .plans import bindings as B
 from .plans.oracle import case
+from .sources import format as landed_as_format
 from .sources import landed
 
 
@@ -46,6 +48,19 @@ def landed_stories(s, d):
     return landed.stories(_landed(_events(s, d), u % 50, item, "hits")).select("engine", "title", "url", "author", _epoch("published_at"), "snippet")
 
 
+@query(f"SELECT 'stories' AS engine, event_type AS title, 'https://u' || user_id || '.io/' || event_id AS url, 'a' || user_id AS author, {_FLOOR} AS seconds, 'v & ' || event_id AS snippet FROM events")
+def landed_format(s, d):
+    """The same through the format: bodies written as lines, read back in ranges of bytes."""
+    i, u = F.col("event_id"), F.col("user_id")
+    item = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("https://u"), _s(u), F.lit(".io/"), _s(i)).alias("url"),
+        F.concat(F.lit("a"), _s(u)).alias("author"), _seconds("ts").alias("created_at_i"), F.concat(F.lit("<p>v &amp; "), _s(i), F.lit("</p>")).alias("story_text"))
+    folder = new_folder(s, "landed")
+    _landed(_events(s, d), u % 50, item, "hits").select("body").write.text(folder)
+    landed_as_format.register(s)
+    rows = s.read.format("landed").option("range", str(1 << 16)).load(folder)
+    return landed.stories(rows).select("engine", "title", "url", "author", _epoch("published_at"), "snippet")
+
+
 @query(f"""SELECT title, url, author, seconds, snippet FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS r
     FROM (SELECT event_id, 'a' || user_id AS author, {_FLOOR} AS seconds,
   CASE event_id % 3 WHEN 0 THEN 'Acme' || event_id ELSE 'Plain Co ' || event_id END AS title, CASE event_id % 3
