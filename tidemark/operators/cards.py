@@ -91,11 +91,3 @@ def skip_reason(leads: DataFrame, immediate=("A", "B")) -> DataFrame:
     why = F.when(c("tier") == "REJECT", "rejected").when(~c("tier").isin(*immediate), "digest").when(c("already_sent"), "already_sent").when(c("channel").isNull(),
         "no_channel")
     return leads.withColumn("skip_reason", why)
-
-
-def markdown(rows: DataFrame, title: str) -> str:
-    """A small report as a Markdown table; only for reports, whose rows are few by contract."""
-    names = rows.columns
-    lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()]
-    return "\n".join(lines)

@@ -41,11 +41,11 @@ def stored_leads(leads: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def lead_view(leads: DataFrame, triggers: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
-    """Each lead with its live triggers, the weightiest first (ties by id), and their evidence in that order. Triggers and evidence
-    are aggregated before they meet the leads; the lists are one company's."""
+    """Each lead with its live triggers, the weightiest first (ties by id), and their evidence in that order. Triggers and the
+    evidence of live ones are aggregated before they meet the leads; the lists are one company's, as a reader sees them whole."""
     weight = lookup({k: v[0] for k, v in C.TRIGGERS.items()}, F.col("code"), 0.0)
     live = live_triggers(triggers, as_of).select("k", "trigger_id", "code", "observed_at", (-weight).alias("order"))
-    cited = evidence.groupBy("trigger_id").agg(F.array_sort(F.collect_set(F.struct("evidence_id", "source_id", "url"))).alias("cited"))
+    cited = evidence.join(live.select("trigger_id"), "trigger_id", "left_semi").groupBy("trigger_id").agg(F.array_sort(F.collect_set(F.struct("evidence_id", "source_id", "url"))).alias("cited"))
     each = live.join(cited, "trigger_id",
         "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("order", "trigger_id", "code", "observed_at", "cited"))).alias("x"))
     none = F.array().cast(each.select(F.col("x.cited")[0].alias("c")).schema["c"].dataType)
