@@ -405,9 +405,8 @@ def site_findings(s, d):
     return details.site_findings(p).select("domain", F.array_join("emails", ",").alias("emails"))
 
 
-@query("SELECT event_id, true AS within FROM events")
+@query("""SELECT event_id, round(CAST('0x' || left(sha256(event_id || ':' || event_id % 12), 8) AS BIGINT) / 4294967296.0 * least(60.0, pow(2.0, event_id % 12)), 6) AS seconds FROM events""")
 def backoff_bounds(s, d):
-    """Random delays between zero and the doubled base, at most the cap."""
-    x = _events(s, d).select("event_id", details.backoff((F.col("event_id") % 12).cast("double")).alias("s"),
-        F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("event_id") % 12)).alias("most"))
-    return x.select("event_id", F.col("s").between(0, F.col("most")).alias("within"))
+    """Each job's delay at its attempt: drawn by its key below the doubled base, at most the cap."""
+    delay = details.backoff((F.col("event_id") % 12).cast("double"), key=F.col("event_id"))
+    return _events(s, d).select("event_id", F.round(delay, 6).alias("seconds"))

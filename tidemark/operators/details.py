@@ -154,9 +154,13 @@ def budget_status(used: Column, cap: Column) -> Column:
         (used >= cap).alias("exhausted"))
 
 
-def backoff(attempt: Column, base: float = 1.0, cap: float = 60.0, seed: int = 0) -> Column:
-    """A random delay below the doubled base, at most the cap."""
-    return F.rand(seed) * F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float = 1.0, cap: float = 60.0, seed: int = 0, key: Column | None = None) -> Column:
+    """A random delay below the doubled base, at most the cap. With a ``key`` the delay is its own at each attempt: a task that runs again gives the same."""
+    most = F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt))
+    if key is None:
+        return F.rand(seed) * most
+    drawn = F.conv(F.left(F.sha2(F.concat_ws(":", key.cast("string"), attempt.cast("int").cast("string")), 256), F.lit(8)), 16, 10).cast("double") / (1 << 32)
+    return drawn * most
 
 
 def is_client_error(status: Column) -> Column:
