@@ -35,6 +35,26 @@ def test_budget_refusals_spend_nothing():
     assert out == [True, True, False, True, True, False]
 
 
+def test_budget_adds_grants_one_by_one(spark):
+    """One after the other, as SQL adds them, these exceed the cap of 1; hour by hour, or by a compensated sum, they don't."""
+    asks = [(0, 0.54), (1, 0.03), (1, 0.32), (2, 0.11), (2, 0.05), (30, 0.1), (30, 0.9)]
+    state, want, held = None, [], []
+    for h, u in asks:
+        held = [x for x in held if x[0] > h - 24]
+        total = 0.0
+        for _, x in held:
+            total += x
+        want.append(total + u <= 1.0)
+        if want[-1]:
+            held.append((h, u))
+        state, ok = machines.budget(state, h, u, 1.0, 24)
+        assert ok == want[-1]
+    rows = [("a", f"2024-03-{1 + h // 24:02d} {h % 24:02d}:00:00", i, u) for i, (h, u) in enumerate(asks)]
+    df = spark.createDataFrame(rows, "provider string, at string, seq long, units double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert [r["granted"] for r in machines.budget_grants(df, 1.0).orderBy("seq").collect()] == want
+    assert want[3] is False and sum([0.54, 0.03, 0.32]) + 0.11 <= 1.0
+
+
 def test_governor_bands():
     steps = [("nominal", 71, "warm"), ("warm", 67.5, "warm"), ("nominal", 67.5, "nominal"), ("warm", 66, "nominal"), ("warm", 84, "hot"), ("hot", 81, "hot"), ("hot", 80.9, "warm"), ("throttled", 82, "warm"), ("throttled", 60, "nominal"), ("throttled", None, "hot"), ("warm", None, "warm")]
     assert [machines.governor(now, t, False) for now, t, _ in steps] == [want for *_, want in steps]

@@ -6,7 +6,8 @@ rows, as only its state is held. On streams the same function runs in ``transfor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -48,15 +49,18 @@ def breaker(state: tuple[str, int, float] | None, at: float, ok: bool, threshold
 
 
 def budget(state: list[tuple[int, float]] | None, hour: int, units: float, soft_cap: float, hours: int) -> tuple[list[tuple[int, float]], bool]:
-    """Reserve ``units`` in the rolling window if the soft cap allows; a refused request spends nothing. State: (hour, units) of the window."""
+    """Reserve ``units`` in the rolling window if the soft cap allows; a refused request spends nothing. State: (hour, units) of each grant of the window."""
     held = [(h, u) for h, u in state or [] if h > hour - hours]
-    if sum(u for _, u in held) + units > soft_cap:
-        return held, False
-    if held and held[-1][0] == hour:
-        held[-1] = (hour, held[-1][1] + units)
-    else:
-        held.append((hour, units))
-    return held, True
+    ok = _added(held) + units <= soft_cap
+    return [*held, (hour, units)] if ok else held, ok
+
+
+def _added(held: Iterable[tuple[int, float]]) -> float:
+    """The units of grants, added one by one in their order as SQL does: ``sum`` compensates, and rounds to another side of the cap."""
+    total = 0.0
+    for _, u in held:
+        total += u
+    return total
 
 
 def fold(rows: DataFrame, key: str, order: list[str], step: Callable[..., tuple[Any, tuple]], out: str, columns: list[str]) -> DataFrame:
@@ -114,7 +118,17 @@ def budget_grants(requests: DataFrame, soft_cap: float, hours: int = 24) -> Data
     """provider, seq, granted for requests (provider, at, seq, units)."""
 
     def step(state, provider, us, seq, units):
-        new, ok = budget(state, us // 3_600_000_000, float(units), soft_cap, hours)
-        return new, (provider, seq, ok)
+        # as ``budget``, but grants are added anew only when one has left the window
+        held, total = state or (deque(), 0.0)
+        hour, units = us // 3_600_000_000, float(units)
+        if held and held[0][0] <= hour - hours:
+            while held and held[0][0] <= hour - hours:
+                held.popleft()
+            total = _added(held)
+        ok = total + units <= soft_cap
+        if ok:
+            held.append((hour, units))
+            total += units
+        return (held, total), (provider, seq, ok)
 
     return fold(_with_micros(requests), "provider", ["at", "seq"], step, "provider string, seq long, granted boolean", ["us", "seq", "units"])
