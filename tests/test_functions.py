@@ -167,6 +167,11 @@ def test_parsed_prose(spark):
     assert col(spark, [page], text.html_text) == ["One <b> two\nthree"]
 
 
+def test_references_without_semicolon_stay(spark):
+    got = col(spark, ["<p>and&amp</p>", "<p>a&ampx; &#65; &copy; &copy b &nosuch;</p>"], markup.html_prose)
+    assert [r["text"] for r in got] == ["and&amp", "a&ampx; A © &copy b &nosuch;"]
+
+
 @pytest.mark.parametrize("f,rows,want", [
     (text.comment_title, ["Acme | Dhaka | Remote", "One - two"], ["Acme", "One"]), (text.strip_tags, ["<p>a &amp; b</p>  c"], ["a & b c"]), (text.outer_json, ['x {"a": {"b": 1}} y', "none"], ['{"a": {"b": 1}}', None]),
     (text.publishable, ["We saw T1_AI_SHIP", "an ai_llm_assessment", "fine"], ["", "", "fine"]), (text.classify_role, ["AppSec lead", "ML engineer", "Cook"], ["security", "ai", "other"]),
