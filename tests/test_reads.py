@@ -73,3 +73,19 @@ def test_generation_stops_where_the_backend_is_down(spark):
         x = one(spark, reads.generation(tries(first, second), F.struct(*[F.lit(cloud).alias(n) for n in ("allowed", "configured", "affordable", "ok")])))
         local = 1 if first[0] else 2 if not first[1] and second[0] else None
         assert (x["local_attempt"], x["escalated"], x["reason"]) == (local, local is None and cloud, None if local or cloud else "not permitted")
+
+
+def test_stale_extractions_know_each_company(spark, duck, same, tmp_path):
+    """Users 1, 501 and 1001 are three companies of which one lacks an industry: none stands for the others."""
+    import datetime
+
+    from tidemark import catalogue
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(200 + 5 * i, at, 1 + 500 * (i % 3) + 2 * (i // 60), "view", 1.0, "{}") for i in range(180)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLE_SQL["stale_extractions"]).df()
+    assert len(want)
+    same(catalogue.QUERIES["stale_extractions"](spark, f"file://{tmp_path}").toPandas(), want)
