@@ -52,3 +52,19 @@ def test_one_scan(spark, data_dir):
 
     plan = catalogue.QUERIES["stage_latency"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2  # once in the initial plan, once in the final one
+
+
+def test_counts_are_exact_beyond_the_sketch(spark):
+    c = calls(spark, 60_000, 1).cache()  # 30,000 calls an hour and stage, where a sketch keeps 4096
+    found = latency.counted(c)
+    for got in (latency.exactly(found, "stage"), latency.trailing_exactly(found, 6)):
+        for r in got.collect():
+            v = sorted(x[0] for x in c.where(F.col("stage") == r["stage"]).select("seconds").collect())
+            assert (r["n"], r["p50"], r["p95"]) == (len(v), v[math.ceil(0.5 * len(v)) - 1], v[-(-95 * len(v) // 100) - 1])
+
+
+def test_counts_of_odd_calls(spark):
+    rows = [("a", "2024-01-01 00:10:00", None, None, None), ("a", "2024-01-01 00:20:00", float("nan"), True, False), ("a", None, 9.0, False, True), ("b", "2024-01-01 01:59:59", 2.0, False, True), (None, "2024-01-01 02:00:00", 4.0, True, True), ("b", "2024-01-01 03:00:00", 6.0, True, False)]
+    df = spark.createDataFrame(rows, "stage string, t string, seconds double, ok boolean, hit boolean").withColumn("at", F.col("t").cast("timestamp_ntz"))
+    got = {r["stage"]: (r["n"], r["error_rate"], r["hit_rate"], r["p50"]) for r in latency.exactly(latency.counted(df), "stage").collect()}
+    assert got == {"a": (2, 0.0, 0.0, None), "b": (2, 0.5, 0.5, 2.0), None: (1, 0.0, 1.0, 4.0)}
