@@ -95,3 +95,11 @@ def test_plans_and_threads(spark):
     s = rows(spark, "template string, story_id long, title string, url string, published_at long", *[("t", i, "Ask: Who is hiring?", "u", i) for i in range(5)], ("t", 9, "Other", "o", 1))
     c = rows(spark, "story_id long, title string, url string", *[(i, f"c{i}", "x") for i in range(5)])
     assert sorted(x["title"] for x in details.expand_threads(s, c, "who is hiring").collect()) == ["Other", "c2", "c3", "c4"]
+
+
+def test_threads_that_share_comments_meet_only_those_left(spark):
+    """A hundred thousand stories share one thousand comments; of them one thread is left, so the join sees its comments only."""
+    i = F.col("id")
+    s = spark.range(100_000).select(F.lit("t").alias("template"), i.alias("story_id"), F.lit("Who is hiring?").alias("title"), F.lit("u").alias("url"), i.alias("published_at"), F.lit(7).alias("m"))
+    c = spark.range(1000).select(F.lit(7).alias("m"), F.concat(F.lit("c"), i.cast("string")).alias("title"), F.lit("v").alias("url"))
+    assert details.expand_threads(s, c, "who is hiring", 1, "m").select("title").distinct().count() == details.expand_threads(s, c, "who is hiring", 1, "m").count() == 1000

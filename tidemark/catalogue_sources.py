@@ -361,10 +361,9 @@ def expanded_threads(s, d):
     e = _events(s, d)
     stories = e.select(F.concat(F.lit("tpl_"), _s(i % 40)).alias("template"), i.alias("story_id"),
         F.when(i % 10 == 0, "Ask: Who is hiring").otherwise(F.col("event_type")).alias("title"), F.concat(F.lit("https://s/"), _s(i)).alias("url"),
-        F.col("ts").alias("published_at"))
-    own = e.where(i % 2 == 0).select((i % 1000).alias("m"), F.col("event_type").alias("title"), F.concat(F.lit("https://c/"), _s(i)).alias("url"))
-    comments = e.where(i % 10 == 0).select(i.alias("story_id"), (i % 1000).alias("m")).join(own, "m").drop("m")
-    return details.expand_threads(stories, comments, "who is hiring", 3)
+        F.col("ts").alias("published_at"), (i % 1000).alias("m"))
+    comments = e.where(i % 2 == 0).select((i % 1000).alias("m"), F.col("event_type").alias("title"), F.concat(F.lit("https://c/"), _s(i)).alias("url"))
+    return details.expand_threads(stories, comments, "who is hiring", 3, "m")
 
 
 @query("""SELECT event_id, '{"url":"https://t/' || event_id || '","discovered_at":"https://u/' || event_id || '","title":"' || event_type || '","snippet":"s","targets":["T1_AI_SHIP"],"template_id":"tpl_1"}' AS raw_payload FROM events""")

@@ -246,11 +246,12 @@ def plan_rows(templates: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.col("ttl_hours")).alias("ttl_hours"))
 
 
-def expand_threads(stories: DataFrame, comments: DataFrame, title: str, most: int = 3) -> DataFrame:
+def expand_threads(stories: DataFrame, comments: DataFrame, title: str, most: int = 3, key: str = "story_id") -> DataFrame:
     """Threads whose title holds ``title`` become their comments, at most ``most`` threads a template, the newest first; other
-    stories pass through."""
+    stories pass through. ``key`` is the column of both that tells whose comments they are: stories that share a key share comments, and
+    only the threads that are left are joined with them."""
     is_thread = F.contains(F.lower("title"), F.lit(title.lower()))
     w = Window.partitionBy("template").orderBy(F.desc("published_at"), "story_id")
-    threads = stories.where(is_thread).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("template", "story_id")
-    found = comments.join(threads, "story_id").select("template", "title", "url")
+    threads = stories.where(is_thread).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("template", key)
+    found = comments.join(threads, key).select("template", "title", "url")
     return stories.where(~is_thread).select("template", "title", "url").unionByName(found)
