@@ -1,5 +1,7 @@
 """The vector index finds what all pairs give, whatever its centroids."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,25 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], KIND)
     index = nearest.build(df)
     assert nearest.within(index, df).count() == 0 and nearest.share_read(index, df) == 0.0
+
+
+def test_small_tiles(spark, monkeypatch):
+    """Tiles and parts of queries of a few vectors each: the same pairs, each once."""
+    monkeypatch.setattr(nearest, "TILE_BYTES", 640)
+    rows = clustered(200)
+    df = spark.createDataFrame(rows, KIND)
+    got = sorted((r["a"], r["b"]) for r in nearest.within(nearest.build(df), df.where("id % 3 = 0"), 0.8).collect())
+    assert got == brute(rows, range(0, 200, 3), 0.8)
+
+
+def test_queries_are_not_copied_by_ring(spark):
+    """Vectors without clusters, whose queries meet nearly every ring: what lies in the shared folder stays near the size of the vectors."""
+    x = np.random.default_rng(1).normal(size=(2000, 64)).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], KIND)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    before = held()
+    asked = df.where("id % 20 = 0")
+    index = nearest.build(df)
+    nearest.within(index, asked, 0.88).count()
+    assert held() - before < 4 * x.nbytes and nearest.share_read(index, asked) > 0.5
