@@ -89,3 +89,18 @@ def test_stale_extractions_know_each_company(spark, duck, same, tmp_path):
     want = con.execute(catalogue.ORACLE_SQL["stale_extractions"]).df()
     assert len(want)
     same(catalogue.QUERIES["stale_extractions"](spark, f"file://{tmp_path}").toPandas(), want)
+
+
+def test_evidence_rows_of_large_keys(spark, duck, same, data_dir, tmp_path):
+    """What is made for a row doesn't grow with its key: a key beyond an int is one like any other."""
+    from tidemark import catalogue
+
+    for name in ("nation", "orders"):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").write.parquet(f"file://{tmp_path}/{name}.parquet")
+    far = spark.read.parquet(f"{data_dir}/customer.parquet").limit(20).withColumn("c_custkey", F.col("c_custkey") + 5_000_000_000 * (F.col("c_custkey") % 2))
+    far.write.parquet(f"file://{tmp_path}/customer.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLE_SQL["evidence_rows"]).df()
+    assert want["k"].max() > 5_000_000_000
+    same(catalogue.QUERIES["evidence_rows"](spark, f"file://{tmp_path}").toPandas(), want)
