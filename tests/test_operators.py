@@ -248,3 +248,16 @@ def test_stages(spark):
     got = [(r["outcome"], r["snippets"]) for r in stages.extract(pages, model).collect()]
     assert got == [("store", ["build WIDGETS for people"]), ("quarantine", []), ("skip", [])]
     assert set(stages.STAGES) == {"harvest", "extract", "resolve", "enrich", "score", "dispatch"} and bindings.AS_OF
+
+
+def test_pages_are_read_once(spark):
+    """The patterns of the markup stand once in the plan of a cut text, and not at all in those of what is committed."""
+    from tidemark.functions import text
+    from tidemark.plans import stages
+
+    pages = spark.createDataFrame([("u", "<p>Some prose about an assistant that ships</p>", False, ["C"], None)], "url string, html string, paused boolean, codes array<string>, fetched_at timestamp")
+    patterns = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("<!--")
+    assert patterns(pages.select(text.cut_prose(text.html_text(F.col("html"))).alias("t"))) == 1
+    status, rows = stages.committed(stages.extract(pages, lambda p: p.withColumn("snippets", F.array(F.col("prose")))))
+    assert patterns(status.join(rows, "url", "left")) == 0
+    assert status.first()["codes"] == ["C"] and rows.first()["snippet"] == "Some prose about an assistant that ships"
