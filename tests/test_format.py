@@ -74,3 +74,57 @@ def test_stream_resumes(spark, folder, tmp_path):
     got = run()
     assert got == sorted([*body[:-1], body[-1] + " ", "late one", "late two", "part", "new"]) or got == sorted([*body[:-1], body[-1] + " ", "late one", "late two", "new", "part"])
     assert run() == got
+
+
+def test_a_long_line_is_read_once(tmp_path, monkeypatch):
+    """Ranges in the middle of a line read their own bytes and not the rest of the line."""
+    f = tmp_path / "long"
+    body = [b"x" * 200_000, b"", b"y" * 30, b"z" * 50_000]
+    f.write_bytes(b"\n".join(body))
+    n, read = f.stat().st_size, []
+    system, at = fmt._system(str(f))
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, size):
+            read.append(size)
+            return self.file.read(size)
+
+    class System:
+        def open_input_file(self, path):
+            return Counted(system.open_input_file(path))
+
+    monkeypatch.setattr(fmt, "_system", lambda _: (System(), at))
+    monkeypatch.setattr(fmt, "CHUNK", 4096)
+    got = [x for r in fmt._ranges(str(f), 0, n, 1000) for x in fmt.lines(str(f), r.start, r.end)]
+    assert got == [(0, body[0]), (200_002, body[2]), (200_033, body[3])]
+    assert sum(read) < 3 * n
+
+
+def test_answers_are_bounded(spark, monkeypatch):
+    """Items of one source lie in answers of a bounded number of events."""
+    from tidemark import catalogue_sources as c
+
+    monkeypatch.setattr(c, "PAGE", 100)
+    rows = spark.range(1000).select(F.col("id").alias("event_id"))
+    found = c._landed(rows, F.lit(1), F.struct("event_id"), "hits").where("board <> 'junk'").select(F.size(F.from_json("body", "hits array<struct<event_id:long>>")["hits"]).alias("n"))
+    assert sorted(r["n"] for r in found.collect()) == [100] * 10
+
+
+def test_small_ranges_share_tasks():
+    """The number of tasks follows the bytes, however small the ranges are, and each range is read by one."""
+    ranges = fmt._ranges("f", 0, 100_000, 10)
+    parts = fmt._dealt(ranges)
+    assert len(parts) <= fmt.PARTITIONS + 1 and [r.value for p in parts for r in p.ranges] == [r.value for r in ranges]
+    assert len(fmt._dealt(fmt._ranges("f", 0, 10 * fmt.RANGE, fmt.RANGE))) == 10 and len(fmt._dealt(fmt._ranges("f", 0, 30, 10))) == 3 and len(fmt._dealt([])) == 1

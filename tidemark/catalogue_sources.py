@@ -19,9 +19,15 @@ from .sources import format as landed_as_format
 from .sources import landed
 
 
-def _landed(rows, by, item, wrap: str | None, **names):
-    """One answer for each value of ``by``: a JSON object with the items in a list named ``wrap``, or the bare list; and one that is no JSON."""
-    g = rows.groupBy(by.alias("g")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("x")))).alias("l"))
+#: Events whose items may share one answer: sources give their answers in pages of a bounded size.
+PAGE = 50_000
+
+
+def _landed(rows, by, item, wrap: str | None, whole: bool = False):
+    """Answers for each value of ``by``, one for each PAGE of events (``whole``: one for all): a JSON object with the items in a list named ``wrap``, or the bare list;
+    and one that is no JSON."""
+    page = F.lit(0) if whole else F.floor(F.col("event_id") / PAGE)
+    g = rows.groupBy(by.alias("g"), page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("x")))).alias("l"))
     items = F.transform("l", lambda v: v["x"])
     body = F.to_json(F.struct(items.alias(wrap)) if wrap else items)
     out = g.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("board"), body.alias("body"))
@@ -73,7 +79,7 @@ def landed_threads(s, d):
         F.lit('.io&#x2F;jobs">apply</a>'))).when(i % 3 == 1, "see https://github.com/x only")
     said = said.otherwise(F.concat(F.lit("Plain Co "), _s(i), F.lit(" - hiring https://www.plain"), _s(i), F.lit(".com/x, now")))
     item = F.struct(said.alias("comment_text"), F.concat(F.lit("a"), _s(F.col("user_id"))).alias("author"), _seconds("ts").alias("created_at_i"))
-    return landed.thread_comments(_landed(_events(s, d), i % 500, item, "hits"), 5).select("title", "url", "author", _epoch("published_at"), "snippet")
+    return landed.thread_comments(_landed(_events(s, d), i % 500, item, "hits", whole=True), 5).select("title", "url", "author", _epoch("published_at"), "snippet")
 
 
 @query(f"SELECT 'o' || user_id || '/r' || event_id AS title, 'https://github.com/r' || event_id AS url, CASE WHEN event_id % 2 = 0 THEN 'https://r' || event_id || '.io' END AS homepage, 'o' || user_id AS author, {_FLOOR} AS seconds, event_type AS snippet FROM events WHERE user_id % 3 < 2")

@@ -1,8 +1,8 @@
 """Landed answers as a format of Spark: ``spark.read.format("landed")`` and ``spark.readStream.format("landed")``.
 
 A folder holds files of lines, one answer each. Rows are (path, pos, body): the file, the byte at which the line begins, and the line;
-``landed`` has the functions that make rows of the bodies. A file is read in ranges of bytes, each a partition: a line belongs to the range in
-which it begins. Filters on ``path`` and ``pos`` decide which files and ranges are planned. As a stream, files are taken in the
+``landed`` has the functions that make rows of the bodies. A file is read in ranges of bytes, small ones several to a
+partition: a line belongs to the range in which it begins. Filters on ``path`` and ``pos`` decide which files and ranges are planned. As a stream, files are taken in the
 order of their names, and the last may grow: an offset is a file and a byte at which a line ends, so that a restarted stream goes on where it was.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "path string, pos long, body string"
 #: Bytes of one partition, and of one read.
 RANGE, CHUNK = 32 << 20, 1 << 20
+#: Partitions that small ranges are packed into at least: a range of a few KB costs less than a task.
+PARTITIONS = 64
 #: Lines of one Arrow batch.
 LINES = 4096
 
@@ -32,6 +34,28 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+class Dealt(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[Range]):
+        super().__init__(tuple(r.value for r in ranges))
+        self.ranges = ranges
+
+
+def _dealt(ranges: list[Range]) -> list[Dealt]:
+    """Ranges in partitions of up to RANGE bytes, or less where these would be fewer than PARTITIONS; a larger range stands alone."""
+    target = min(RANGE, sum(r.end - r.start for r in ranges) / PARTITIONS)
+    out: list[list[Range]] = []
+    size = 0
+    for r in ranges:
+        if not out or size + r.end - r.start > target:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += r.end - r.start
+    return [Dealt(own) for own in out] or [Dealt([])]
+
+
 def _system(path: str):
     from pyarrow import fs
 
@@ -56,31 +80,36 @@ def lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     system, at = _system(path)
     with system.open_input_file(at) as f:
         size = f.size()
-        here, held = start, b""
+        here, held = start, []
         if start:
             f.seek(start - 1)
             first = f.read(1)
             here = start if first == b"\n" else -1  # -1: in the middle of a line that begins earlier
         pos = start
-        while pos < size and (here < 0 or here < end):
+        while pos < size and (here < end if here >= 0 else pos < end - 1):
             f.seek(pos)
-            chunk = f.read(CHUNK)
+            # as long as no line has begun, only the range is read: what begins behind its end belongs to another one
+            chunk = f.read(CHUNK if here >= 0 else min(CHUNK, end - 1 - pos))
             pos += len(chunk)
             if here < 0:
                 cut = chunk.find(b"\n")
                 if cut < 0:
                     continue
                 here, chunk = pos - len(chunk) + cut + 1, chunk[cut + 1 :]
-            parts = (held + chunk).split(b"\n")
-            held = parts.pop()
+            if b"\n" not in chunk:  # a line of many chunks is put together once
+                held.append(chunk)
+                continue
+            parts = b"".join([*held, chunk]).split(b"\n")
+            held = [parts.pop()]
             for p in parts:
                 if here >= end:
                     return
                 if p.strip():
                     yield here, p
                 here += len(p) + 1
-        if held.strip() and 0 <= here < end:
-            yield here, held
+        last = b"".join(held)
+        if last.strip() and 0 <= here < end:
+            yield here, last
 
 
 def _batches(part: Range, low: int = 0, high: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -126,14 +155,15 @@ class Reader(DataSourceReader):
         tests = {EqualTo: lambda f: path == f.value, In: lambda f: path in f.value, StringStartsWith: lambda f: path.startswith(f.value)}
         return all(tests[type(f)](f) for f in self.paths)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Dealt]:
         # a line that begins at pos lies in one range only, so ranges outside of the wanted bytes hold none
         top = lambda n: n if self.high is None else min(n, self.high + 1)
-        return [r for path, n in files(self.path) if self._wanted(path) for r in _ranges(path, min(self.low, n), max(0, top(n)), self.size)] or [Range("", 0, 0)]
+        found = [r for path, n in files(self.path) if self._wanted(path) for r in _ranges(path, min(self.low, n), max(0, top(n)), self.size)]
+        return _dealt(found)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.path:
-            yield from _batches(part, self.low, self.high)
+    def read(self, part: Dealt) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            yield from _batches(r, self.low, self.high)
 
 
 class StreamReader(DataSourceStreamReader):
@@ -150,17 +180,17 @@ class StreamReader(DataSourceStreamReader):
                 return {"file": path, "byte": end}
         return self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Dealt]:
         out = []
         for path, n in files(self.path):
             if start["file"] <= path <= end["file"]:
                 a = start["byte"] if path == start["file"] else 0
                 out += _ranges(path, a, end["byte"] if path == end["file"] else n, self.size)
-        return out or [Range("", 0, 0)]
+        return _dealt(out)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.path:
-            yield from _batches(part)
+    def read(self, part: Dealt) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            yield from _batches(r)
 
 
 def _last_end(path: str, size: int) -> int:
