@@ -97,3 +97,16 @@ def test_shingles_are_sets_of_five_words():
         assert (similar.shingle_set(long) == whole).all()
     finally:
         similar.PART_BYTES = old
+
+
+def test_links_begin_with_trees(docs, monkeypatch):
+    """The stage's first links come from op 3's BK-trees: also with no other proposals, near copies of two bits form groups; sets decide them."""
+    called, real = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda points: called.append(1) or real(points))
+    points = docs([(1, "a")]).sparkSession.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 7), (5, 1 << 40 | 7 << 50)], "uid long, fp long")
+    found = {tuple(r) for r in similar._by_trees(points).collect()}
+    assert found == {(1, 2), (1, 3), (3, 4)}
+    words = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, words), (2, words + " end"), (3, "something else")]
+    assert {r["doc_id"] for r in similar.keep_one(docs(rows)).collect()} == groups(rows) == {1, 3}
+    assert len(called) == 2

@@ -12,7 +12,7 @@ returns a spanning forest of the links it finds, no list of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import pyarrow as pa
@@ -57,10 +57,15 @@ def shingles(text: str, size: int = 3) -> Iterator:
 
 def fingerprint(text: str) -> int:
     """64-bit SimHash of the text's three-word shingles, unsigned."""
+    return simhash(shingles(text))
+
+
+def simhash(hashes: Iterable) -> int:
+    """64-bit SimHash of arrays of hashes, unsigned; zero without any."""
     import numpy as np
 
     sums, n = np.zeros(64, np.int64), 0
-    for h in shingles(text):
+    for h in hashes:
         for k in range(0, len(h), 1 << 16):
             bits = np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             sums += bits.sum(0, dtype=np.int64)

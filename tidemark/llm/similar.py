@@ -1,7 +1,8 @@
 """Near-duplicates of whole texts by word shingles: the pipeline's SimHash stage (op 3's query itself is ``simhash``).
 
 Texts with one set of five-word shingles are one point. A point's fingerprint is a SimHash of PRINT_BITS bits
-over its shingles. At a Jaccard similarity of SHARE two fingerprints differ by 15.3 % of their bits or less (sets of fewer
+over its shingles. Links begin with op 3's operator: points whose fingerprints of 64 bits differ in at most two are found by sharded BK-trees
+(``simhash.links``), and whole sets decide them. That loses nearly all pairs at SHARE, so wider fingerprints find the rest. At a Jaccard similarity of SHARE two fingerprints differ by 15.3 % of their bits or less (sets of fewer
 than SMALL shingles: 18.8 %), so links lie within a radius of 4.4 standard deviations more. Such a radius is far too wide
 for shards that are blocks of the fingerprint; the shards are BANDS keys of ROWS MinHash values instead. A pair at
 SHARE shares none with a chance of (1 - SHARE ** ROWS) ** BANDS, some 7 in a million, and less above it.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import components, cut, only_memory, short_batches
+from . import simhash
 from .simhash import PART_BYTES, _signed
 
 WORDS = 5
@@ -231,6 +233,16 @@ def _can_link(x: dict, y: dict, share: float, radius: int, small: int):
     return (lo >= share * hi - 1e-9) & (d <= np.where(lo < SMALL, small, radius)), d
 
 
+def _by_trees(points: DataFrame) -> DataFrame:
+    """Of ``points`` (uid, fp) pairs (u, v) whose fingerprints of 64 bits differ in at most two: a spanning forest, found by op 3's sharded BK-trees;
+    points of one fingerprint are paired with the first of them."""
+    own = points.groupBy("fp").agg(F.min("uid").alias("u"))
+    same = points.join(own, "fp").where("uid <> u").select("u", F.col("uid").alias("v"))
+    near = simhash.links(own.select("fp")).toDF("a", "b")
+    near = near.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return same.unionByName(near)
+
+
 def _nearest(rows: DataFrame, share: float, block_points: int) -> DataFrame:
     """Of the points (key, uid, n, size, print) of each shard pairs (u, v) of near neighbours: at most one a point and shard."""
 
@@ -289,7 +301,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: float = SHARE, block_po
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    out = StructType([*plain.schema.fields, StructField("sig", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))])
+    out = StructType([*plain.schema.fields, StructField("sig", LongType()), StructField("n", IntegerType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -299,18 +311,20 @@ def keep_one(docs: DataFrame, words: int = WORDS, share: float = SHARE, block_po
             for k in range(0, batch.num_rows, SLICE):
                 b = batch.slice(k, SLICE)
                 found = [shingle_set(t, words) for t in b.column(at_text).to_pylist()]
-                more = [pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "sig", "n", "keys"])
+                more = [pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([_signed(simhash.simhash([x])) for x in found], pa.int64()), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "sig", "n", "fp", "keys"])
 
     full = cut(plain.mapInArrow(add, out).withColumn("uid", F.monotonically_increasing_id()), "printed")
-    own = F.struct(F.col(at_id).isNull().alias("none"), F.col(at_id).alias("id"), "uid", "n", "keys")
+    own = F.struct(F.col(at_id).isNull().alias("none"), F.col(at_id).alias("id"), "uid", "n", "fp", "keys")
     points = cut(full.groupBy("sig").agg(F.min(own).alias("r")).select("r.*"), "points")
     rows = points.select("uid", F.posexplode("keys").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(rows.join(sizes, "key"), "shared")
     sets = cut(_sets(full, at_text, shared.select("uid").distinct(), words), "sets")
     placed = shared.join(sets.drop("hashes"), "uid")
-    first = cut(_nearest(placed.where(F.col("band") < NEAR_BANDS), share, block_points), "pairs")
+    # only what shares a key has its set written; a pair at SHARE that shares none is as rare as is said above
+    trees = _by_trees(points.join(shared.select("uid").distinct(), "uid").select("uid", "fp"))
+    first = cut(_nearest(placed.where(F.col("band") < NEAR_BANDS), share, block_points).unionByName(trees).distinct(), "pairs")
     links = cut(_compared(first, sets, share), "links")
     comp = components(links)
     held = shared.join(comp, F.col("uid") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "uid").alias("comp"))
