@@ -46,3 +46,11 @@ def test_whole_documents_and_pages(spark, duck, same, data_dir):
 def test_registered(spark, data_dir):
     rows = catalogue.QUERIES["entity_clusters"](spark, data_dir).collect()
     assert len(rows) == len({r["id"] for r in rows}) and {r["entity_id"] for r in rows} <= {r["id"] for r in rows}
+
+
+def test_domains_are_read_once(spark):
+    """What follows the companies reads them and not the candidates again."""
+    c = spark.createDataFrame([(1, None, "https://a.com/", "Harbour", None, 1), (2, None, "https://b.com/", "Harbour", None, 2)], "id long, claimed string, url string, name string, country string, created_at long")
+    got = resolve.entity_clusters(c)
+    assert "claimed" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r["entity_id"] for r in got.collect()} == {1: 1, 2: 1}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.url import canonical_domain
-from .graph import components
+from .graph import components, cut
 from .names import indel_ratio, name_pairs
 
 __all__ = ["claimed_domain", "entity_clusters", "indel_ratio", "name_pairs", "resolve", "vector_neighbors", "within_two_edits"]
@@ -50,7 +50,8 @@ def entity_clusters(candidates: DataFrame, threshold: float = 92.0) -> DataFrame
     order = F.struct("created_at", "id")
     by = lambda col: F.min_by(F.col(col), F.when(F.col(col).isNotNull() & (F.col(col) != ""), order))
     own = c.groupBy("resolved_domain").agg(F.min(order).alias("o"), by("name").alias("name"), by("country").alias("country"))
-    own = own.select("resolved_domain", "o", F.col("o.id").alias("id"), "name", "country")
+    # domains are read from addresses once, and not for each of the joins below
+    own = cut(own.select("resolved_domain", "o", F.col("o.id").alias("id"), "name", "country"), "companies")
     comp = components(name_pairs(own, threshold).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
     held = own.join(comp, F.col("id") == F.col("node"), "left").select("resolved_domain", "o", "id", F.coalesce("component", "id").alias("c"))
     first = held.groupBy("c").agg(F.min("o").alias("r"))
